@@ -6,9 +6,11 @@ executor (also one that replaces a lost one) can read what another has produced.
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -22,7 +24,11 @@ RUN_BYTES = 2 << 20
 
 
 def tune(spark: SparkSession) -> None:
-    """Arrow batches of few rows, so that a batch of very long texts fits in memory."""
+    """Arrow batches of few rows, so that a batch of very long texts fits in memory; workers find this package."""
+    root = str(Path(__file__).resolve().parents[2])
+    own = spark.sparkContext.environment.get("PYTHONPATH", "")
+    if root not in own.split(os.pathsep):
+        spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join(filter(None, [own, root]))
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")) > 1000:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
 
