@@ -6,8 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .chat import chat_format
+from .decontaminate import contaminated
 from .exact_dedup import exact_dedup
+from .html_extract import extract
+from .license_scan import license_scan, oracle_sql as license_sql
 from .minhash import near_dedup
+from .packing import pack
+from .quality import quality_scores
+from .secrets import secret_scan
+from .toxicity import toxicity_scores
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,16 +27,64 @@ def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup(_table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "kept")
 
 
+def tokenizer_path() -> str:
+    """The byte-level vocabulary that packing uses."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licences by a positional rare-token index."""
+    return license_scan(_table(spark, sf_dir, "documents"))
+
+
+def op3_hilbert_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sequences of 1024 tokens along a Hilbert curve."""
+    return pack(_table(spark, sf_dir, "documents"), tokenizer_path())
+
+
+def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality by supervised subword embeddings."""
+    return quality_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets, judged by who holds them over the corpus."""
+    return secret_scan(_table(spark, sf_dir, "documents"))
+
+
+def op6_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold benchmark items, by greedy string tiling."""
+    return contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Severity grades by cumulative-link regression."""
+    return toxicity_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text by message passing over the DOM."""
+    return extract(_table(spark, sf_dir, "pages"))
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Exact copies by a Golomb-coded fingerprint exchange."""
     return exact_dedup(_table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_minhash_near_dedup, op9_exact_dedup)}
+def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reply-ordered conversations without quotes."""
+    return chat_format(_table(spark, sf_dir, "conversations"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_minhash_near_dedup, op2_license_scan, op3_hilbert_packing, op4_quality_classifier, op5_secret_scan, op6_benchmark_decontamination, op7_toxicity, op8_html_extraction, op9_exact_dedup, op10_chat_formatting)}
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 ORACLE_SQL: dict[str, str] = {
+    "op2_license_scan": license_sql(),
     "op1_minhash_near_dedup": f"""
 with recursive w as (
   select doc_id, regexp_extract_all({_LOWER}, '[^\\x20\\x09-\\x0D]+') as ws from documents),
