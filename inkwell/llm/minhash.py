@@ -1,17 +1,18 @@
 """MinHash near-dedup by a signature-coordinate inverted join.
 
 A text's signature has K coordinates. It is posted under each (coordinate, value) pair.
-Texts whose Jaccard similarity is J agree in K*J coordinates on average, so a pair is a
-candidate if it agrees in T at least. Two texts with T common pairs of K share one of the
-K - T + 1 rarest pairs of either (ordered by corpus frequency), so only these prefixes
-are merged; the T - 1 most frequent pairs of a text, whose lists are the long ones, are
-skipped and only counted for candidates, coordinate by coordinate. Candidates are
+Texts whose Jaccard similarity is J agree in K*J coordinates on average; two with T
+common pairs of K share one of the K - T + 1 rarest pairs of either (ordered by corpus
+frequency), so only these prefixes are merged; the T - 1 most frequent pairs of a text,
+whose lists are the long ones, are skipped. Collisions of a candidate are then counted
+over a longer, narrower signature, and pairs above its match threshold are retained and
 confirmed on full shingle sets.
 
 A list is merged in two rounds. First each member is held against the list's smallest
 member, which joins up large groups of copies by as many pairs as there are members.
-Then lists whose members are still in more than one component are compared in blocks,
-and only pairs across components that pass the count leave a block.
+Then lists whose members are still in more than one component are compared in blocks:
+what passes the count is packed block by block, meets its shingle sets there, and only
+confirmed links that join two components leave, fewer than there are members.
 """
 
 from __future__ import annotations
@@ -29,12 +30,15 @@ from .components import connected_components
 from .shingles import shingle_sets
 
 COORDINATES = 32
-#: At a similarity of 0.75 a pair agrees in fewer coordinates with a probability of 3e-6.
+#: At a similarity of 0.75 a pair agrees in fewer coordinates with a probability of 2e-6.
 MATCHES = 12
-#: Members of a list that one block holds, on average.
+#: Coordinates of one byte for counting, and the matches that a candidate needs; it is missed with a probability of 3e-7.
+COUNTERS, COUNTED = 256, 156
+#: Members of a list that one block holds, on average; texts that meet in a package at most, but for one pair of blocks.
 BLOCK = 256
 
 _FACTORS = mix(np.arange(1, 257, dtype=np.uint64)) | np.uint64(1)
+_SMALL = (mix(np.arange(1001, 1001 + 1024, dtype=np.uint64)) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
 
 
 def signature(shingles: np.ndarray, coordinates: int = COORDINATES) -> np.ndarray:
@@ -45,140 +49,228 @@ def signature(shingles: np.ndarray, coordinates: int = COORDINATES) -> np.ndarra
     return out
 
 
-def _signed(width: int, coordinates: int):
+def counters(shingles: np.ndarray, size: int = COUNTERS) -> np.ndarray:
+    """One byte for each of ``size`` further hash functions' smallest values."""
+    out = np.full(size, np.iinfo(np.uint32).max, np.uint32)
+    half = (shingles >> np.uint64(32)).astype(np.uint32) ^ shingles.astype(np.uint32)
+    for a in range(0, len(half), 1024):
+        np.minimum(out, (half[a : a + 1024][None, :] * _SMALL[:size, None]).min(axis=1), out=out)
+    return (mix(out.astype(np.uint64)) & np.uint64(255)).astype(np.uint8)
+
+
+def _name(shingles: np.ndarray) -> int:
+    return int.from_bytes(hashlib.blake2b(shingles.tobytes(), digest_size=8).digest(), "little", signed=True)
+
+
+def _signed(width: int):
     def sign(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        n, node, sig = [], [], []
-        for s in shingle_sets(batch.column("text"), width):
-            n.append(len(s))
-            node.append(int.from_bytes(hashlib.blake2b(s.tobytes(), digest_size=8).digest(), "little", signed=True) if len(s) else None)
-            sig.append(signature(s, coordinates).tobytes() if len(s) else None)
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(n, pa.int64()), pa.array(node, pa.int64()), pa.array(sig, pa.binary())], ["doc_id", "n", "node", "sig"])
+        rows = [(len(s), _name(s), signature(s).tobytes(), counters(s).tobytes()) if len(s) else (0, None, None, None) for s in shingle_sets(batch.column("text"), width)]
+        n, node, sig, cnt = zip(*rows)
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(n, pa.int64()), pa.array(node, pa.int64()), pa.array(sig, pa.binary()), pa.array(cnt, pa.binary())], ["doc_id", "n", "node", "sig", "counters"])
 
     return sign
 
 
-def _posted(coordinates: int):
-    salt = mix(np.arange(1, coordinates + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+_SALT = mix(np.arange(1, COORDINATES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
-    def post(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        values = np.frombuffer(b"".join(batch.column("sig").to_pylist()), np.uint64).reshape(-1, coordinates)
-        keys = mix(values ^ salt[None, :]).view(np.int64).ravel()
-        again = np.repeat(np.arange(batch.num_rows), coordinates)
-        yield pa.RecordBatch.from_arrays([pa.array(keys), batch.column("node").take(pa.array(again))], ["key", "node"])
 
-    return post
+def _matrix(column: list[bytes], kind: type, width: int) -> np.ndarray:
+    return np.frombuffer(b"".join(column), kind).reshape(-1, width)
 
 
-def _counted(coordinates: int, matches: int):
-    def count(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint64).reshape(-1, coordinates) for c in ("sig_a", "sig_b"))
-        keep = pa.array((a == b).sum(axis=1) >= matches)
-        yield pa.RecordBatch.from_arrays([batch.column("a").filter(keep), batch.column("b").filter(keep)], ["a", "b"])
+def _posted(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    values = _matrix(batch.column("sig").to_pylist(), np.uint64, COORDINATES)
+    keys = mix(values ^ _SALT[None, :]).view(np.int64).ravel()
+    again = pa.array(np.repeat(np.arange(batch.num_rows), COORDINATES))
+    yield pa.RecordBatch.from_arrays([pa.array(keys), batch.column("node").take(again), pa.array(np.tile(np.arange(COORDINATES, dtype=np.int32), batch.num_rows))], ["key", "node", "c"])
 
-    return count
 
+def _counted(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    a, b = (_matrix(batch.column(c).to_pylist(), np.uint8, COUNTERS) for c in ("counters_a", "counters_b"))
+    keep = pa.array((a == b).sum(axis=1) >= COUNTED)
+    yield pa.RecordBatch.from_arrays([batch.column("a").filter(keep), batch.column("b").filter(keep)], ["a", "b"])
+
+
+def _packed(percent: int):
+    """Candidates across components, in packages of few nodes; a pair is taken in the list of its lowest common prefix coordinate."""
+
+    def flush(pairs: list[np.ndarray]) -> pa.RecordBatch:
+        found = np.concatenate(pairs)  # node, node, comp, comp, matches
+        nodes, at = np.unique(found[:, :2], return_inverse=True)
+        at = at.reshape(-1, 2)
+        comp = np.empty(len(nodes), np.int64)
+        comp[at[:, 0]], comp[at[:, 1]] = found[:, 2], found[:, 3]
+        best = np.argsort(-found[:, 4], kind="stable")
+        return pa.RecordBatch.from_arrays([pa.array([nodes.tolist()], pa.list_(pa.int64())), pa.array([comp.tolist()], pa.list_(pa.int64())), pa.array([at[best].astype("<u4").tobytes()], pa.binary())], ["nodes", "comps", "pairs"])
 
-def _blocked(coordinates: int, matches: int, percent: int):
     def block(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, names = [], set()
         for table in groups(batches, ["key", "i", "j"]):
-            node, comp, n = (table[c].to_numpy() for c in ("node", "comp", "n"))
-            sig = np.frombuffer(b"".join(table["sig"].to_pylist()), np.uint64).reshape(-1, coordinates)
-            own, i, j = table["block"].to_numpy(), table["i"][0].as_py(), table["j"][0].as_py()
+            node, comp, n, mask = (table[c].to_numpy() for c in ("node", "comp", "n", "mask"))
+            own, i, j, c = table["block"].to_numpy(), table["i"][0].as_py(), table["j"][0].as_py(), table["c"][0].as_py()
             left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
+            if not len(left) or not len(right):
+                continue
+            cnt, sig = _matrix(table["counters"].to_pylist(), np.uint8, COUNTERS), _matrix(table["sig"].to_pylist(), np.uint64, COORDINATES)
+            below = (np.uint64(1) << np.arange(COORDINATES, dtype=np.uint64)).astype(np.int64)[:c]
             for x in left.tolist():
                 ys = right[right > x] if i == j else right
                 ys = ys[(comp[ys] != comp[x]) & (100 * np.minimum(n[ys], n[x]) >= percent * np.maximum(n[ys], n[x]))]
-                ys = ys[(sig[ys] == sig[x][None, :]).sum(axis=1) >= matches] if len(ys) else ys
+                if not len(ys):
+                    continue
+                matches = (cnt[ys] == cnt[x][None, :]).sum(axis=1)
+                ys, matches = ys[matches >= COUNTED], matches[matches >= COUNTED]
+                if len(ys) and c:
+                    before = ((sig[ys, :c] == sig[x, :c][None, :]) & (((mask[ys] & mask[x])[:, None] & below[None, :]) != 0)).any(axis=1)
+                    ys, matches = ys[~before], matches[~before]
                 if len(ys):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(node[ys], node[x])), pa.array(np.maximum(node[ys], node[x]))], ["a", "b"])
+                    held.append(np.stack([np.full(len(ys), node[x]), node[ys], np.full(len(ys), comp[x]), comp[ys], matches], axis=1))
+                    names.update(node[ys].tolist(), [int(node[x])])
+            if len(names) >= 2 * BLOCK:
+                yield flush(held)
+                held, names = [], set()
+        if held:
+            yield flush(held)
 
     return block
 
 
+def _linked(percent: int):
+    """Of a package's pairs, best first, the confirmed links that join two components."""
+
+    def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in groups(batches, ["uid"]):
+            rows = table.to_pydict()
+            head = next((k for k, p in enumerate(rows["pairs"]) if p is not None), None)
+            if head is None:
+                continue
+            nodes, comps = rows["nodes"][head], rows["comps"][head]
+            sets = {node: np.frombuffer(s, np.uint64) for node, s in zip(rows["node"], rows["shingles"]) if s is not None}
+            values = np.unique(np.concatenate(list(sets.values()))) if sets else np.zeros(0, np.uint64)
+            places = {node: np.searchsorted(values, s) for node, s in sets.items()}
+            root = {c: c for c in comps}
+
+            def find(x: int, root=root) -> int:
+                while root[x] != x:
+                    root[x] = root[root[x]]
+                    x = root[x]
+                return x
+
+            pairs, mark, marked, out = np.frombuffer(rows["pairs"][head], "<u4").reshape(-1, 2).tolist(), np.zeros(len(values), bool), None, []
+            for x, y in pairs:
+                p, q = find(comps[x]), find(comps[y])
+                if p == q:
+                    continue
+                if marked != x:
+                    if marked is not None:
+                        mark[places[nodes[marked]]] = False
+                    mark[places[nodes[x]]] = True
+                    marked = x
+                shared, total = int(mark[places[nodes[y]]].sum()), len(places[nodes[x]]) + len(places[nodes[y]])
+                if 100 * shared >= percent * (total - shared):
+                    root[max(p, q)] = min(p, q)
+                    out.append((nodes[x], nodes[y]))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], ["a", "b"])
+
+    return link
+
+
 def _sets(width: int):
     def sets(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        node, out = [], []
-        for s in shingle_sets(batch.column("text"), width):
-            node.append(int.from_bytes(hashlib.blake2b(s.tobytes(), digest_size=8).digest(), "little", signed=True))
-            out.append(s.view(np.int64))
-        yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array(out, pa.list_(pa.int64()))], ["node", "shingles"])
+        found = list(shingle_sets(batch.column("text"), width))
+        yield pa.RecordBatch.from_arrays([pa.array([_name(s) for s in found], pa.int64()), pa.array([s.tobytes() for s in found], pa.binary())], ["node", "shingles"])
 
     return sets
 
 
-def _confirmed(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, width: int, percent: int, scratch: Scratch) -> DataFrame:
-    """The (a, b) of ``pairs`` that are similar on their full sets; only texts of ``pairs`` are read again."""
-    ends = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-    ends = nodes.join(ends, "node", "left_semi").select("node", "doc")
-    texts = RowFilter(ends, "doc").some(docs.select("doc_id", "text"), "doc_id")
-    sets = map_arrow(texts.where("text is not null"), _sets(width), "node long, shingles array<long>")
-    sets = scratch.keep(sets.join(ends, "node", "left_semi").dropDuplicates(["node"]))
-    both = pairs.join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("of_b")), "b")
-    both = both.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("of_a")), "a")
-    shared, total = F.size(F.array_intersect("of_a", "of_b")), F.size("of_a") + F.size("of_b")
-    links = scratch.keep(both.where(100 * shared >= percent * (total - shared)).select("a", "b"))
-    scratch.drop(sets)
-    return links
+def _intersected(percent: int):
+    def intersect(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        keep = []
+        for x, y in zip(batch.column("of_a").to_pylist(), batch.column("of_b").to_pylist()):
+            x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+            shared = len(x) + len(y) - len(np.unique(np.concatenate([x, y])))
+            keep.append(100 * shared >= percent * (len(x) + len(y) - shared))
+        keep = pa.array(keep, pa.bool_())
+        yield pa.RecordBatch.from_arrays([batch.column("a").filter(keep), batch.column("b").filter(keep)], ["a", "b"])
+
+    return intersect
 
 
-def near_dedup(docs: DataFrame, width: int = 5, percent: int = 75, coordinates: int = COORDINATES, matches: int = MATCHES) -> DataFrame:
-    """One row per row of ``docs`` (doc_id, text): doc_id, n_shingles, component_id, kept, node, links.
+def near_dedup(docs: DataFrame, width: int = 5, percent: int = 75) -> DataFrame:
+    """One row per row of ``docs`` (doc_id, text): doc_id, n_shingles, component_id, kept, node.
 
     Documents are linked with 100 * intersection >= percent * union of their shingle
     sets; component_id is the smallest doc_id reachable and kept = (doc_id =
-    component_id). ``node`` identifies the shingle set and ``links`` counts the links of
-    that set found on the way to the components (pairs inside a component that was
-    already joined up are not all made). Null, empty and blank texts have no shingles,
-    are linked with nothing and are kept. A null doc_id is never a representative unless
-    its whole set has none: its component_id is then null and kept true. Repeated rows
-    fall into one component. Other columns are ignored.
+    component_id). ``node`` identifies the shingle set. Null, empty and blank texts have
+    no shingles, are linked with nothing and are kept. A null doc_id is never a
+    representative unless its whole component has none: component_id is then null and
+    kept true. Repeated rows fall into one component. Other columns are ignored; texts
+    are read whole. ``percent`` may not be below 75, for which the match thresholds are set.
     """
+    if percent < 75:
+        raise ValueError("the match thresholds are set for 75 percent and more")
     spark = docs.sparkSession
     tune(spark)
     scratch = Scratch(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    signed = scratch.keep(map_arrow(docs, _signed(width, coordinates), "doc_id long, n long, node long, sig binary"))
-    nodes = scratch.keep(signed.where("node is not null").groupBy("node").agg(F.first("n").alias("n"), F.min("doc_id").alias("doc"), F.first("sig").alias("sig")))
+    signed = scratch.keep(map_arrow(docs, _signed(width), "doc_id long, n long, node long, sig binary, counters binary"))
+    nodes = signed.where("node is not null").groupBy("node").agg(F.first("n").alias("n"), F.min("doc_id").alias("doc"), F.first("sig").alias("sig"), F.first("counters").alias("counters"))
+    nodes = scratch.keep(nodes)
 
-    posted = map_arrow(nodes.select("node", "sig"), _posted(coordinates), "key long, node long")
+    posted = map_arrow(nodes.select("node", "sig"), _posted, "key long, node long, c int")
     lists = posted.groupBy("key").agg(F.count("*").alias("length")).where("length > 1")
-    shared = posted.join(lists, "key")
-    rank = "row_number() over (partition by node order by length, key)"
-    ranked = shared.select("*", F.expr(rank).alias("r"), F.expr("count(*) over (partition by node)").alias("m"))
+    ranked = posted.join(lists, "key").select("*", F.expr("row_number() over (partition by node order by length, key)").alias("r"), F.expr("count(*) over (partition by node)").alias("m"))
     # Of K pairs, K - m are nobody else's and come first; the prefix has K - T + 1, so m - T + 1 of the others.
-    prefix = ranked.where(F.col("r") <= F.col("m") - matches + 1).select("key", "node")
+    prefix = ranked.where(F.col("r") <= F.col("m") - MATCHES + 1).select("key", "node", "c")
     prefix = scratch.keep(prefix.join(nodes.select("node", "n"), "node"))
 
     fits = lambda n, m: 100 * F.least(n, m) >= percent * F.greatest(n, m)  # noqa: E731  more differing sizes can't be so similar
     heads = prefix.groupBy("key").agg(F.min(F.struct("node", "n")).alias("head"), F.count("*").alias("length")).where("length > 1")
-    heads = heads.select("key", "length", F.col("head.node").alias("a"), F.col("head.n").alias("n_a"))
+    heads = heads.select("key", F.col("head.node").alias("a"), F.col("head.n").alias("n_a"))
     pairs = prefix.join(heads, "key").where((F.col("node") != F.col("a")) & fits(F.col("n"), F.col("n_a"))).select("a", F.col("node").alias("b")).distinct()
-    sigs = nodes.select("node", "sig")
-    pairs = pairs.join(sigs.withColumnsRenamed({"node": "b", "sig": "sig_b"}), "b").join(sigs.withColumnsRenamed({"node": "a", "sig": "sig_a"}), "a")
-    tested = scratch.keep(map_arrow(pairs.select("a", "b", "sig_a", "sig_b"), _counted(coordinates, matches), "a long, b long"))
-    links = _confirmed(docs, nodes, tested, width, percent, scratch)
+    cnt = nodes.select("node", "counters")
+    pairs = pairs.join(cnt.withColumnsRenamed({"node": "b", "counters": "counters_b"}), "b").join(cnt.withColumnsRenamed({"node": "a", "counters": "counters_a"}), "a")
+    pairs = scratch.keep(map_arrow(pairs.select("a", "b", "counters_a", "counters_b"), _counted, "a long, b long"))
+
+    def sets_of(ends: DataFrame) -> DataFrame:
+        """The shingle sets of some nodes; only texts that may be theirs are read by Python and move."""
+        ends = nodes.select("node", "doc").join(ends.distinct(), "node", "left_semi")
+        texts = RowFilter(ends, "doc").some(docs, "doc_id").where("text is not null")
+        return scratch.keep(map_arrow(texts.select("text"), _sets(width), "node long, shingles binary").join(ends, "node", "left_semi").dropDuplicates(["node"]))
+
+    sets = sets_of(pairs.select(F.explode(F.array("a", "b")).alias("node")))
+    both = pairs.join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("of_b")), "b")
+    both = both.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("of_a")), "a")
+    links = scratch.keep(map_arrow(both.select("a", "b", "of_a", "of_b"), _intersected(percent), "a long, b long"))
     comps = scratch.keep(connected_components(links, scratch))
+    scratch.drop(sets, pairs)
 
-    members = prefix.join(comps, "node", "left").select("key", "node", "n", F.coalesce("component", "node").alias("comp"))
-    members = scratch.keep(members)
-    open_lists = members.groupBy("key").agg(F.count("*").alias("length"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("length > 2 and lo <> hi")
-    left = members.join(open_lists.select("key", F.ceil(F.col("length") / BLOCK).cast("int").alias("blocks")), "key").join(sigs, "node")
+    members = scratch.keep(prefix.join(comps, "node", "left").select("key", "c", "node", "n", F.coalesce("component", "node").alias("comp")))
+    mixed = members.groupBy("key").agg(F.count("*").alias("length"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("length > 2 and lo <> hi")
+    masks = members.groupBy("node").agg(F.expr("bit_or(shiftleft(1L, c))").alias("mask"))
+    left = members.join(mixed.select("key", F.ceil(F.col("length") / BLOCK).cast("int").alias("blocks")), "key")
+    left = left.join(masks.join(nodes.select("node", "sig", "counters"), "node"), "node")
     left = left.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     left = left.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    left = left.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "comp", "n", "sig")
+    left = left.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "c", "block", "node", "comp", "n", "mask", "sig", "counters")
     left = left.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-    more = left.mapInArrow(_blocked(coordinates, matches, percent), "a long, b long").distinct().join(tested, ["a", "b"], "left_anti")
-    more = scratch.keep(more)
-    scratch.drop(prefix, tested, members)
-    if not more.isEmpty():
-        links = scratch.keep(links.unionByName(_confirmed(docs, nodes, more, width, percent, scratch)))
+    packed = scratch.keep(left.mapInArrow(_packed(percent), "nodes array<long>, comps array<long>, pairs binary").withColumn("uid", F.monotonically_increasing_id()))
+    scratch.drop(prefix, members)
+    if not packed.isEmpty():
+        wanted = packed.select("uid", F.explode("nodes").alias("node"))
+        sets = sets_of(wanted.select("node"))
+        parts = wanted.join(sets.select("node", "shingles"), "node").select("uid", "node", "shingles")
+        parts = parts.unionByName(packed, allowMissingColumns=True)
+        parts = parts.repartition("uid").sortWithinPartitions("uid")
+        links = scratch.keep(links.unionByName(parts.mapInArrow(_linked(percent), "a long, b long")))
         comps = scratch.keep(connected_components(links, scratch))
+        scratch.drop(sets)
+    scratch.drop(packed)
 
-    ends = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("links"))
-    known = nodes.select("node", "doc").join(comps, "node", "left").join(ends, "node", "left")
-    known = known.withColumn("component", F.coalesce("component", "node"))
+    known = nodes.select("node", "doc").join(comps, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = known.groupBy("component").agg(F.min("doc").alias("component_id"))
-    known = known.join(least, "component").select("node", "component_id", F.coalesce("links", F.lit(0)).cast("long").alias("links"))
+    known = known.join(least, "component").select("node", "component_id")
     out = signed.select("doc_id", F.col("n").alias("n_shingles"), "node").join(known, "node", "left")
     component = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), component.eqNullSafe(F.col("doc_id")).alias("kept"), "node", F.coalesce("links", F.lit(0)).cast("long").alias("links"))
+    return out.select("doc_id", "n_shingles", component.alias("component_id"), component.eqNullSafe(F.col("doc_id")).alias("kept"), "node")
