@@ -119,6 +119,18 @@ def map_arrow(df: DataFrame, function: Callable[[pa.RecordBatch], Iterator[pa.Re
     return df.mapInArrow(run, schema)
 
 
+def learn(rows: DataFrame, train: Callable[[pa.Table], bytes]) -> bytes | None:
+    """What ``train`` makes of all of ``rows``, a sample of bounded size, in one executor's task; None without rows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = [b for b in batches if b.num_rows]
+        if found:
+            yield pa.RecordBatch.from_arrays([pa.array([train(pa.Table.from_batches(found))], pa.binary())], ["model"])
+
+    model = rows.repartition(1).mapInArrow(run, "model binary").collect()
+    return bytes(model[0]["model"]) if model else None
+
+
 def strings(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(UTF-8 bytes, offsets) of a string column; null counts as empty."""
     column = column.cast(pa.large_string()).fill_null("")

@@ -14,7 +14,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_arrow, runs, span_hashes, spans, strings, tune
+from .common import learn, map_arrow, runs, span_hashes, spans, strings, tune
 
 TABLE_BITS = 20
 GRADES = 3
@@ -38,7 +38,7 @@ def features(texts: pa.Array) -> Iterator[np.ndarray]:
         starts, ends, row = spans(_WORD[part], at)
         found = [span_hashes(part, starts, ends)]
         found += [np.where(ends - starts > k, span_hashes(part, starts, np.minimum(ends, starts + k)) * np.uint64(2 * k + 1), found[0]) for k in (4, 5)]
-        found = (np.stack(found, axis=1) >> shift).astype(np.int64)
+        found = (np.stack(found, axis=1) >> shift).astype(np.int32)
         edges = np.searchsorted(row, np.arange(end - first + 1))
         for a, b in zip(edges[:-1].tolist(), edges[1:].tolist()):
             yield found[a:b]
@@ -88,6 +88,12 @@ def train(texts: list[str], toxic: list[int], seed: int = 3) -> tuple[np.ndarray
     return w.astype(np.float32), cuts
 
 
+def _fitted(rows: pa.Table) -> bytes:
+    rows = rows.sort_by([("doc_id", "ascending"), ("label", "ascending"), ("text", "ascending")])
+    weights, cuts = train([x or "" for x in rows["text"].to_pylist()], rows["label"].to_pylist())
+    return np.concatenate([weights, cuts.astype(np.float32)]).tobytes()
+
+
 def toxicity_scores(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, threshold: float = 0.5) -> DataFrame:
     """One row per row of ``docs``: doc_id, severity (expected grade), grade, score (of grade >= 1), toxic.
 
@@ -100,8 +106,10 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, th
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("label"))
     known = known.where(F.col("label").isin(0, 1) & F.col("doc_id").isNotNull()).orderBy(F.xxhash64("doc_id"), "doc_id", "label").limit(sample)
-    rows = docs.join(F.broadcast(known), "doc_id").orderBy("doc_id", "label", "text").collect()
-    weights, cuts = train([r["text"] or "" for r in rows], [r["label"] for r in rows]) if rows else (np.zeros(1 << TABLE_BITS, np.float32), np.arange(1.0, GRADES + 1))
+    rows = docs.join(F.broadcast(known), "doc_id")
+    model = learn(rows, lambda t: _fitted(t))
+    both = np.frombuffer(model, np.float32) if model else np.concatenate([np.zeros(1 << TABLE_BITS, np.float32), np.arange(1.0, GRADES + 1, dtype=np.float32)])
+    weights, cuts = both[: 1 << TABLE_BITS], both[1 << TABLE_BITS :].astype(float)
     weights = spark.sparkContext.broadcast(weights)
 
     def scored(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
