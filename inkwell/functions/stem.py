@@ -5,8 +5,11 @@ from __future__ import annotations
 from functools import lru_cache
 
 import pandas as pd
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
+from .workers import ship
+
 _STEP2 = [("ational", "ate"), ("tional", "tion"), ("enci", "ence"), ("anci", "ance"), ("izer", "ize"), ("bli", "ble"), ("alli", "al"), ("entli", "ent"), ("eli", "e"), ("ousli", "ous"), ("ization", "ize"), ("ation", "ate"), ("ator", "ate"), ("alism", "al"), ("iveness", "ive"), ("fulness", "ful"), ("ousness", "ous"), ("aliti", "al"), ("iviti", "ive"), ("biliti", "ble"), ("logi", "log")]
 _STEP3 = [("icate", "ic"), ("ative", ""), ("alize", "al"), ("iciti", "ic"), ("ical", "ic"), ("ful", ""), ("ness", "")]
 _STEP4 = ["al", "ance", "ence", "er", "ic", "able", "ible", "ant", "ement", "ment", "ent", "ion", "ou", "ism", "ate", "iti", "ous", "ive", "ize"]
@@ -75,6 +78,13 @@ def porter(w: str) -> str:
     return w
 
 
-@F.pandas_udf("string")
-def stem(words: pd.Series) -> pd.Series:
-    return words.map(lambda w: w if w is None else porter(w))
+def stem(words: str | Column) -> Column:
+    """The stems of a column of lower-case words."""
+
+    ship(SparkSession.active())
+
+    @F.pandas_udf("string")
+    def run(batch: pd.Series) -> pd.Series:
+        return batch.map(lambda w: w if w is None else porter(w))
+
+    return run(words)

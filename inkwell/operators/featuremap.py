@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.workers import ship
+
 FEATURE_KINDS = ["capability", "data", "evaluation", "infrastructure", "interface", "model", "training", "other"]
 MOST_FEATURES, CANDIDATES, KEPT, EVIDENCE, ITEM_CHARS = 10, 8, 3, 2, 60
 
@@ -43,7 +45,7 @@ def missing_items(matches: DataFrame, items: DataFrame, features: DataFrame, ite
 def evaluation_items(datasets: DataFrame, findings: DataFrame) -> DataFrame:
     """(paper_id, name): datasets, and the first two parts of 'benchmark :: metric :: scores', up to 60 characters."""
     parts = F.slice(F.split("finding", " :: "), 1, 2)
-    f = findings.select("paper_id", F.explode(F.transform(parts, F.trim)).alias("name"))
+    f = findings.select("paper_id", F.explode(F.transform(parts, lambda x: F.trim(x))).alias("name"))
     return datasets.select("paper_id", "name").unionByName(f).where((F.length("name") > 0) & (F.length("name") <= ITEM_CHARS)).distinct()
 
 
@@ -108,6 +110,7 @@ def call_model(prompts: DataFrame, model: Callable[[str], str] | None, key: str
                     out.append(None)
             yield pd.DataFrame({key: part[key], "answer": pd.Series(out, dtype=object), "failed": [a is None for a in out]})
 
+    ship(prompts.sparkSession)
     kind = prompts.schema[key].dataType.simpleString()
     return prompts.select(key, prompt).mapInPandas(run, f"{key} {kind}, answer string, failed boolean")
 

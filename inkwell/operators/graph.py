@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.workers import ship
 from . import aggregates as A
 from .browse import induced
 
@@ -230,6 +231,7 @@ def betweenness(nodes: DataFrame, edges: DataFrame, key: str = "id", invert_weig
     than WHOLE_GRAPH_EDGES edges is refused rather than broadcast.
     """
     spark = edges.sparkSession
+    ship(spark)
     m = edges.count()
     if m > WHOLE_GRAPH_EDGES:
         raise ValueError(f"{m} edges are too many to hold in one worker; take a subgraph or sample of sources")
@@ -300,9 +302,10 @@ def communities(nodes: DataFrame, edges: DataFrame, key: str = "id") -> DataFram
         found = greedy_modularity([(int(a), int(b), 1.0) for a, b in zip(pdf["src"], pdf["dst"])])
         return pd.DataFrame([(v, k) for k, s in enumerate(found) for v in sorted(s)], columns=[key, "cluster_id"])
 
+    ship(edges.sparkSession)
     if edges.count() > WHOLE_GRAPH_EDGES:
         raise ValueError("too many edges for one task; use label_propagation")
-    named = edges.select("src", "dst").groupBy(F.lit(1)).applyInPandas(run, f"{key} long, cluster_id long")
+    named = edges.select("src", "dst", F.lit(1).alias("all")).groupBy("all").applyInPandas(run, f"{key} long, cluster_id long")
     alone = nodes.select(key).join(edges.select(F.explode(F.array("src", "dst")).alias(key)).distinct(), key, "left_anti")
     first = named.agg(F.coalesce(F.max("cluster_id") + 1, F.lit(0)).alias("_first"))
     alone = alone.crossJoin(F.broadcast(first)).select(key, (F.col("_first") + F.expr(f"row_number() over (order by {key})") - 1).alias("cluster_id"))

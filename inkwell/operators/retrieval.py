@@ -4,9 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.workers import ship
+
 # See the README's table of constants.
 SEMANTIC_WEIGHT, CHUNKS, PAPERS, LEAST_COSINE, CHUNK_CHARS, CHUNKS_PER_PAPER = 40.0, 200, 50, 0.30, 2000, 5
 RRF_K, DENSE_WEIGHT, TECHNIQUE_WEIGHT, CATEGORY_WEIGHT = 60, 1.0, 1.4, 0.7
@@ -52,8 +56,7 @@ def build_chunks(papers: DataFrame, sections: list[str], key: str = "id") -> Dat
 
 def encode(chunks: DataFrame, encoder: Callable[[list[str]], list[list[float]]], text: str = "chunk") -> DataFrame:
     """Adds L2-normalised vectors of an encoder that workers call with batches of texts."""
-    import numpy as np
-    import pandas as pd
+    ship(chunks.sparkSession)
 
     @F.pandas_udf("array<float>")
     def run(texts: pd.Series) -> pd.Series:

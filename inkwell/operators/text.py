@@ -203,7 +203,7 @@ LABELS = ["PAPER", "SUMMARY", "ADVANTAGE", "LIMITATION", "FUTURE_WORK", "INTRODU
 def blocks(answers: DataFrame, key: str = "answer_id", text: str = "answer") -> DataFrame:
     """(answer_id, block, title, lines) of the blocks that begin with PAPER:."""
     rows = answers.select(key, F.posexplode(F.split(text, r"\n===+\n?")).alias("block", "raw"))
-    rows = rows.withColumn("lines", F.filter(F.transform(F.split("raw", "\n"), F.rtrim), lambda x: F.trim(x) != ""))
+    rows = rows.withColumn("lines", F.filter(F.transform(F.split("raw", "\n"), lambda x: F.rtrim(x)), lambda x: F.trim(x) != ""))
     first = F.get("lines", F.lit(0))
     return rows.where(F.startswith(first, F.lit("PAPER:"))).select(key, "block", F.trim(F.substring(first, F.lit(7), F.length(first))).alias("title"), "lines")
 
@@ -278,7 +278,7 @@ def repaired_json(text: Column, schema: str) -> Column:
 
 def string_list(value: Column) -> Column:
     """A JSON list of anything as its trimmed, non-empty strings."""
-    return F.filter(F.transform(F.coalesce(F.from_json(value, "array<string>"), F.array().cast("array<string>")), F.trim), lambda x: x.isNotNull() & (x != ""))
+    return F.filter(F.transform(F.coalesce(F.from_json(value, "array<string>"), F.array().cast("array<string>")), lambda x: F.trim(x)), lambda x: x.isNotNull() & (x != ""))
 
 
 def list_field(value: Column) -> Column:

@@ -63,7 +63,7 @@ def agg_freq_methodology(c):
 
 @query("select canonical_name, count(distinct paper_id) as usage, count_if(role = 'introduces') as introduces, count_if(role = 'uses') as uses from techniques where canonical_name is not null group by 1 having count(distinct paper_id) >= 3")
 def agg_technique_browser(c):
-    rows = c.techniques.where("canonical_name is not null").groupBy("canonical_name").pivot("role", ["introduces", "uses", "compares"]).agg(F.count("*"))
+    rows = c.techniques.where("canonical_name is not null").groupBy("canonical_name").pivot("role", ["introduces", "uses", "compares"]).agg(F.count(F.lit(1)))
     usage = c.techniques.where("canonical_name is not null").groupBy("canonical_name").agg(F.count_distinct("paper_id").alias("usage")).where("usage >= 3")
     return usage.join(rows, "canonical_name").select("canonical_name", "usage", F.coalesce("introduces", F.lit(0)).alias("introduces"), F.coalesce("uses", F.lit(0)).alias("uses"))
 

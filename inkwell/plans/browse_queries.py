@@ -49,9 +49,9 @@ def join_anti_exists(c):
     return c.papers.join(ids, "id", "left_anti").select("id", "title")
 
 
-@query(f"with {BASE_SQL} select id, title, conference, citation_count from base where contains(lower(title), '1') and lower(conference) = 'canada' and cluster_id = 3 and citation_count >= 50 and presentation_type = 'oral' and edition_year = 1993 and id in (select paper_id from techniques where contains(lower(coalesce(canonical_name, name)), 'e')) order by citation_count desc nulls last, id limit 20")
+@query(f"with {BASE_SQL} select id, title, conference, citation_count from base where contains(lower(title), '1') and lower(conference) = 'nation_3' and cluster_id = 3 and citation_count >= 10 and presentation_type = 'oral' and edition_year = 1993 and id in (select paper_id from techniques where contains(lower(coalesce(canonical_name, name)), 'e')) order by citation_count desc nulls last, id limit 20")
 def flt_list_papers_v1(c):
-    rows = B.filter_papers(_base(c), title="1", conference="Canada", cluster=3, min_citations=50, presentation_type="oral", year=1993, technique="E", techniques=c.techniques)
+    rows = B.filter_papers(_base(c), title="1", conference="Nation_3", cluster=3, min_citations=10, presentation_type="oral", year=1993, technique="E", techniques=c.techniques)
     return B.sort_papers(rows).limit(20).select("id", "title", "conference", "citation_count")
 
 
@@ -80,9 +80,9 @@ def flt_eq_ci(c):
     return c.conferences.where(B.equals_ci("field", "Europe")).select("id", "short_name")
 
 
-@query("select id, short_name from conferences where lower(short_name) in ('france', 'peru')")
+@query("select id, short_name from conferences where lower(short_name) in ('nation_1', 'nation_2')")
 def flt_in_list_ci(c):
-    return c.conferences.where(B.in_list_ci("short_name", ["France", "PERU"])).select("id", "short_name")
+    return c.conferences.where(B.in_list_ci("short_name", ["Nation_1", "NATION_2"])).select("id", "short_name")
 
 
 @query("select doc_id, source, regexp_matches(lower(text), 'submitted|withdrawn|rejected') = false and trim(text) <> '' as accepted from documents")

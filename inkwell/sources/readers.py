@@ -5,10 +5,13 @@ from __future__ import annotations
 import json
 from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from ..functions.workers import ship
+
 RAW_PAPER = "title string, abstract string, authors array<string>, year int, venue string, presentation_type string, pdf_url string, openreview_id string, s2_id string, arxiv_id string, doi string"
 
 
@@ -104,7 +107,7 @@ def pdf_files(spark: SparkSession, pattern: str, least: int = 10_000) -> DataFra
 
 def pdf_text(files: DataFrame, reader: Callable[[bytes], str]) -> DataFrame:
     """(path, text) by a reader that workers call."""
-    import pandas as pd
+    ship(files.sparkSession)
 
     @F.pandas_udf("string")
     def run(content: pd.Series) -> pd.Series:

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import StructType
 
+from ..functions.workers import ship
+
 
 def files(spark: SparkSession, path: str, schema: StructType, per_trigger: int = 100) -> DataFrame:
     """New Parquet files of a folder, as they come."""
@@ -78,6 +80,7 @@ def upload_states(attempts: DataFrame) -> DataFrame:
         state.update((status, n, done))
         yield pd.DataFrame({"source_id": [key[0]], "status": [status], "attempts": [n], "completed_at": [done]})
 
+    ship(attempts.sparkSession)
     return attempts.groupBy("source_id").applyInPandasWithState(update, UPLOAD_OUT, UPLOAD_STATE, "update", GroupStateTimeout.NoTimeout)
 
 
