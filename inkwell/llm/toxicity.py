@@ -62,12 +62,13 @@ def grades_of(words: list[np.ndarray], toxic: np.ndarray) -> np.ndarray:
     return np.where(toxic == 0, 0, np.where(hits <= MILD, 1, np.where(hits <= STRONG, 2, 3)))
 
 
-def train(texts: list[str], toxic: list[int], seed: int = 3) -> tuple[np.ndarray, np.ndarray]:
+def train(texts: pa.Array, toxic: list[int], seed: int = 3) -> tuple[np.ndarray, np.ndarray]:
     """(weights, cuts), by stochastic gradients with per-feature rates and soft thresholds towards 0."""
     rng = np.random.default_rng(seed)
-    words = list(features(pa.array(texts, pa.large_string())))
+    words = list(features(texts))
     y = grades_of(words, np.array(toxic))
     docs = [np.unique(f) for f in words]
+    del words
     seen = np.zeros(1 << TABLE_BITS, np.int64)
     for d in docs:
         seen[d] += 1
@@ -90,7 +91,7 @@ def train(texts: list[str], toxic: list[int], seed: int = 3) -> tuple[np.ndarray
 
 def _fitted(rows: pa.Table) -> bytes:
     rows = rows.sort_by([("doc_id", "ascending"), ("label", "ascending"), ("text", "ascending")])
-    weights, cuts = train([x or "" for x in rows["text"].to_pylist()], rows["label"].to_pylist())
+    weights, cuts = train(rows["text"].combine_chunks(), rows["label"].to_pylist())
     return np.concatenate([weights, cuts.astype(np.float32)]).tobytes()
 
 
