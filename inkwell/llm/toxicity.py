@@ -14,14 +14,16 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import learn, map_arrow, runs, span_hashes, spans, strings, tune
+from .common import learn, map_arrow, row_hash, runs, span_hashes, spans, strings, tune
 
 TABLE_BITS = 20
 GRADES = 3
-#: Labelled documents that training sees at most, and passes over them.
-SAMPLE, EPOCHS = 12000, 16
+#: Labelled documents that training sees at most, and the steps it takes, in 8 to 200 passes.
+SAMPLE, STEPS = 8000, 90_000
 #: Pull of every weight towards 0, and the step of the weights.
-SPARSE, RATE = 1e-2, 0.3
+SPARSE, RATE = 4e-2, 0.3
+#: A document is toxic from this share of the score w.x that half of the toxic training documents reach.
+SHARE = 0.22
 #: Marked words up to which a toxic document has grade 1, or grade 2.
 MILD, STRONG = 2, 5
 
@@ -62,8 +64,8 @@ def grades_of(words: list[np.ndarray], toxic: np.ndarray) -> np.ndarray:
     return np.where(toxic == 0, 0, np.where(hits <= MILD, 1, np.where(hits <= STRONG, 2, 3)))
 
 
-def train(texts: pa.Array, toxic: list[int], seed: int = 3) -> tuple[np.ndarray, np.ndarray]:
-    """(weights, cuts), by stochastic gradients with per-feature rates and soft thresholds towards 0."""
+def train(texts: pa.Array, toxic: list[int], seed: int = 3) -> tuple[np.ndarray, np.ndarray, float]:
+    """(weights, cuts, least score of a toxic document), by stochastic gradients with per-feature rates and soft thresholds towards 0."""
     rng = np.random.default_rng(seed)
     words = list(features(texts))
     y = grades_of(words, np.array(toxic))
@@ -75,7 +77,7 @@ def train(texts: pa.Array, toxic: list[int], seed: int = 3) -> tuple[np.ndarray,
     docs = [d[seen[d] >= 2] for d in docs]  # a feature of one document says nothing of others
     w, past = np.zeros(1 << TABLE_BITS), np.full(1 << TABLE_BITS, 1e-2)
     cuts = np.arange(1.0, GRADES + 1)
-    for epoch in range(EPOCHS):
+    for epoch in range(min(200, max(8, STEPS // max(1, len(docs))))):
         for i in rng.permutation(len(docs)).tolist():
             d = docs[i]
             z = w[d].sum()
@@ -86,37 +88,40 @@ def train(texts: pa.Array, toxic: list[int], seed: int = 3) -> tuple[np.ndarray,
             now = w[d] - step * g
             w[d] = np.sign(now) * np.maximum(0, np.abs(now) - step * SPARSE)
             cuts = np.maximum.accumulate(cuts + 0.02 * slope / (1 + epoch))
-    return w.astype(np.float32), cuts
+    scores = [w[d].sum() for d, t in zip(docs, toxic) if t]
+    return w.astype(np.float32), cuts, SHARE * float(np.median(scores)) if scores else np.inf
 
 
 def _fitted(rows: pa.Table) -> bytes:
     rows = rows.sort_by([("doc_id", "ascending"), ("label", "ascending"), ("text", "ascending")])
-    weights, cuts = train(rows["text"].combine_chunks(), rows["label"].to_pylist())
-    return np.concatenate([weights, cuts.astype(np.float32)]).tobytes()
+    weights, cuts, least = train(rows["text"].combine_chunks(), rows["label"].to_pylist())
+    return np.concatenate([weights, cuts.astype(np.float32), np.array([least], np.float32)]).tobytes()
 
 
-def toxicity_scores(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, threshold: float = 0.5) -> DataFrame:
-    """One row per row of ``docs``: doc_id, severity (expected grade), grade, score (of grade >= 1), toxic.
+def toxicity_scores(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
+    """One row per row of ``docs``: doc_id, severity (expected grade), grade, score (of grade >= 1), toxic, row_hash.
 
     At most ``sample`` labelled documents, the first by a hash of doc_id, are trained on;
     null labels and doc_ids are not. Null and empty texts have no features; with no
-    labelled rows nothing is toxic. Repeated rows repeat. Other columns are ignored.
+    labelled toxic rows nothing is toxic. Repeated rows repeat. Other columns are ignored.
+    The grade is 0 below the trained least score, else the last whose probability is a half (1 at least).
     """
     spark = docs.sparkSession
     tune(spark)
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), row_hash())
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("label"))
     known = known.where(F.col("label").isin(0, 1) & F.col("doc_id").isNotNull()).orderBy(F.xxhash64("doc_id"), "doc_id", "label").limit(sample)
-    rows = docs.join(F.broadcast(known), "doc_id")
+    rows = docs.drop("row_hash").join(F.broadcast(known), "doc_id")
     model = learn(rows, lambda t: _fitted(t))
-    both = np.frombuffer(model, np.float32) if model else np.concatenate([np.zeros(1 << TABLE_BITS, np.float32), np.arange(1.0, GRADES + 1, dtype=np.float32)])
-    weights, cuts = both[: 1 << TABLE_BITS], both[1 << TABLE_BITS :].astype(float)
+    both = np.frombuffer(model, np.float32) if model else np.concatenate([np.zeros(1 << TABLE_BITS, np.float32), np.full(GRADES, 30, np.float32), np.array([np.inf], np.float32)])
+    weights, cuts, least = both[: 1 << TABLE_BITS], both[1 << TABLE_BITS : -1].astype(float), float(both[-1])
     weights = spark.sparkContext.broadcast(weights)
 
     def scored(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         z = np.array([weights.value[np.unique(f)].sum() for f in features(batch.column("text"))])
         p = _sigmoid(z[:, None] - cuts[None, :])
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(p.sum(axis=1)), pa.array((p >= threshold).sum(axis=1), pa.int32()), pa.array(p[:, 0])], ["doc_id", "severity", "grade", "score"])
+        grade = np.where(z >= least, np.maximum(1, (p >= 0.5).sum(axis=1)), 0)
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(p.sum(axis=1)), pa.array(grade, pa.int32()), pa.array(p[:, 0]), batch.column("row_hash")], ["doc_id", "severity", "grade", "score", "row_hash"])
 
-    out = map_arrow(docs, scored, "doc_id long, severity double, grade int, score double")
-    return out.withColumn("toxic", F.col("grade") >= 1)
+    out = map_arrow(docs, scored, "doc_id long, severity double, grade int, score double, row_hash long")
+    return out.select("doc_id", "severity", "grade", "score", (F.col("grade") >= 1).alias("toxic"), "row_hash")
