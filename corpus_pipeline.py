@@ -16,22 +16,22 @@ from inkwell.llm.toxicity import toxicity_scores
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of severity grade 1 and more go."""
     scored = toxicity_scores(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return without(docs, scored.where("toxic").select("doc_id"))
+    return without(docs, scored.where("toxic").select("doc_id", "row_hash"))
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of equal texts stays."""
-    return without(docs, exact_dedup(docs).where("not kept").select("doc_id"))
+    return without(docs, exact_dedup(docs).where("not kept").select("doc_id", "row_hash"))
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each component of near copies stays."""
-    return without(docs, near_dedup(docs).where("not kept").select("doc_id"))
+    return without(docs, near_dedup(docs).where("not kept").select("doc_id", "row_hash"))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold half or more of a benchmark item go."""
-    return without(docs, contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select("doc_id"))
+    return without(docs, contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select("doc_id", "row_hash"))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

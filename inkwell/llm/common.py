@@ -99,13 +99,18 @@ class RowFilter:
         return self.mark(df, *cols).where("__ink_may").drop("__ink_may")
 
 
-def without(docs: DataFrame, dropped: DataFrame, key: str = "doc_id") -> DataFrame:
-    """``docs`` less the rows whose ``key`` is in ``dropped``; only rows that may be dropped are shuffled."""
-    marked = RowFilter(dropped, key).mark(docs, key)
-    gone = dropped.select(F.col(key).alias("__ink_key")).distinct()
+def row_hash() -> Column:
+    """Of a row's text: with doc_id it tells rows apart where ids are null or repeated."""
+    return F.xxhash64(F.col("text").cast("string")).alias("row_hash")
+
+
+def without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
+    """``docs`` less the rows whose (doc_id, row_hash) is in ``dropped``; only rows that may be dropped are shuffled."""
+    marked = RowFilter(dropped, "doc_id").mark(docs, "doc_id")
+    gone = dropped.select(F.col("doc_id").cast(docs.schema["doc_id"].dataType).alias("__ink_key"), F.col("row_hash").alias("__ink_hash")).distinct()
     unsure = marked.where("__ink_may").drop("__ink_may")
-    unsure = unsure.join(gone, unsure[key].eqNullSafe(gone["__ink_key"]), "left_anti")
-    return marked.where("not __ink_may").drop("__ink_may").unionByName(unsure)
+    same = unsure["doc_id"].eqNullSafe(gone["__ink_key"]) & (F.xxhash64(unsure["text"].cast("string")) == gone["__ink_hash"])
+    return marked.where("not __ink_may").drop("__ink_may").unionByName(unsure.join(gone, same, "left_anti"))
 
 
 def map_arrow(df: DataFrame, function: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch] | None], schema: str) -> DataFrame:

@@ -18,7 +18,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_arrow, mix, runs, span_hashes, spans, strings, tune
+from .common import map_arrow, mix, row_hash, runs, span_hashes, spans, strings, tune
 
 MIN_MATCH = 4
 COVERAGE = 0.5
@@ -131,7 +131,7 @@ class Index:
 def _matched(index, least: int, coverage: float):
     def match(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         ix, rows = index.value, []
-        docs = batch.column("doc_id").to_pylist()
+        docs, hashes = batch.column("doc_id").to_pylist(), batch.column("row_hash").to_pylist()
         for first, tokens, edges in token_hashes(batch.column("text")):
             by: dict[tuple[int, int], list[tuple[int, int, int]]] = defaultdict(list)
             for place, width, a, b in ix.hits(tokens):
@@ -158,16 +158,16 @@ def _matched(index, least: int, coverage: float):
                 found = tiles(own.tolist(), text, min(least, len(own)))
                 size = sum(k for _, _, k in found)
                 if size >= coverage * len(own):
-                    rows.append((docs[first + row], ix.ids[item], size / len(own), size, len(own), len(found)))
+                    rows.append((docs[first + row], ix.ids[item], size / len(own), size, len(own), len(found), hashes[first + row]))
         if rows:
-            kinds = [pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64(), pa.int64()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], ["doc_id", "item_id", "coverage", "matched", "item_tokens", "tiles"])
+            kinds = [pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64(), pa.int64(), pa.int64()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], ["doc_id", "item_id", "coverage", "matched", "item_tokens", "tiles", "row_hash"])
 
     return match
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, least: int = MIN_MATCH, coverage: float = COVERAGE) -> DataFrame:
-    """One row per (doc_id, item_id) whose tiles cover ``coverage`` of the item: coverage, matched, item_tokens, tiles.
+    """One row per (doc_id, item_id) whose tiles cover ``coverage`` of the item: coverage, matched, item_tokens, tiles, row_hash.
 
     Tokens are lower-cased. An item of fewer than ``least`` tokens must occur whole; one
     without tokens (or null) matches nothing. Null and empty texts match nothing. Repeated
@@ -177,13 +177,13 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, least: int = MIN_MATCH,
     """
     spark = docs.sparkSession
     tune(spark)
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("text is not null")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), row_hash()).where("text is not null")
     benchmark = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("text is not null")
     total = benchmark.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks, out = max(1, math.ceil(total / BLOCK_BYTES)), None
     for k in range(blocks):
         block = benchmark.where(F.pmod(F.xxhash64("text"), F.lit(blocks)) == k).collect()
         index = spark.sparkContext.broadcast(Index([r["item_id"] for r in block], [r["text"] for r in block], least))
-        found = map_arrow(docs, _matched(index, least, coverage), "doc_id long, item_id long, coverage double, matched long, item_tokens long, tiles long")
+        found = map_arrow(docs, _matched(index, least, coverage), "doc_id long, item_id long, coverage double, matched long, item_tokens long, tiles long, row_hash long")
         out = found if out is None else out.unionByName(found)
     return out

@@ -20,7 +20,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import RowFilter, Scratch, groups, tune
+from .common import RowFilter, Scratch, groups, row_hash, tune
 
 #: Fingerprints in a message's run; one group of the exchange holds so many at most.
 RUN = 1 << 15
@@ -70,7 +70,7 @@ def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         runs = (seen + np.arange(len(digests))) // RUN
         seen += len(digests)
         prints = np.frombuffer(b"".join(x[:8] for x in digests), "<i8") if digests else np.zeros(0, np.int64)
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(prints), pa.array([x.hex() for x in digests], pa.string()), pa.array(sender * (1 << 31) + runs, pa.int64())], ["doc_id", "fp", "text_sha256", "sender"])
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(prints), pa.array([x.hex() for x in digests], pa.string()), pa.array(sender * (1 << 31) + runs, pa.int64()), batch.column("row_hash")], ["doc_id", "fp", "text_sha256", "sender", "row_hash"])
 
 
 def _sent(owners: int):
@@ -111,7 +111,7 @@ def _looked_up(owners: int):
         for at, bitmap in zip(answers["owner"].to_pylist(), answers["bitmap"].to_pylist()):
             a, b = np.searchsorted(owner, [at, at + 1])
             flags[a:b] = np.unpackbits(np.frombuffer(bitmap, np.uint8), count=b - a)
-        return pa.table({"doc_id": prints["doc_id"], "fp": prints["fp"], "text_sha256": prints["text_sha256"], "suspect": pa.array(flags[back])})
+        return pa.table({"doc_id": prints["doc_id"], "fp": prints["fp"], "text_sha256": prints["text_sha256"], "row_hash": prints["row_hash"], "suspect": pa.array(flags[back])})
 
     return look_up
 
@@ -124,7 +124,7 @@ def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def exact_dedup(docs: DataFrame, owners: int | None = None) -> DataFrame:
-    """One row per row of ``docs`` (doc_id, text): doc_id, keep_id, group_size, kept, text_sha256.
+    """One row per row of ``docs`` (doc_id, text): doc_id, keep_id, group_size, kept, text_sha256, row_hash.
 
     Texts are equal when identical after lower-casing A-Z; of equal texts the row with
     the largest doc_id stays. Null text counts as empty. A null doc_id is smaller than any
@@ -137,16 +137,16 @@ def exact_dedup(docs: DataFrame, owners: int | None = None) -> DataFrame:
     tune(spark)
     scratch = Scratch(spark)
     owners = owners or max(8, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    prints = scratch.keep(docs.mapInArrow(_fingerprints, "doc_id long, fp long, text_sha256 string, sender long"))
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), row_hash())
+    prints = scratch.keep(docs.mapInArrow(_fingerprints, "doc_id long, fp long, text_sha256 string, sender long, row_hash long"))
     held = prints.select("sender", "fp").repartition("sender").sortWithinPartitions("sender")
     sent = held.mapInArrow(_sent(owners), "sender long, owner long, code binary, twice binary")
     answers = sent.repartition("owner").sortWithinPartitions("owner").mapInArrow(_answered, "sender long, owner long, bitmap binary")
-    flagged = scratch.keep(prints.groupBy("sender").cogroup(answers.groupBy("sender")).applyInArrow(_looked_up(owners), "doc_id long, fp long, text_sha256 string, suspect boolean"))
+    flagged = scratch.keep(prints.groupBy("sender").cogroup(answers.groupBy("sender")).applyInArrow(_looked_up(owners), "doc_id long, fp long, text_sha256 string, row_hash long, suspect boolean"))
     scratch.drop(prints)
 
     suspects = flagged.where("suspect")
-    texts = RowFilter(suspects, "doc_id").some(docs, "doc_id").mapInArrow(_texts, "doc_id long, fp long, text_sha256 string, body binary")
+    texts = RowFilter(suspects, "doc_id").some(docs, "doc_id").select("doc_id", "text").mapInArrow(_texts, "doc_id long, fp long, text_sha256 string, body binary")
     ids = suspects.select(F.col("doc_id").alias("d"), F.col("fp").alias("f")).distinct()
     texts = texts.join(ids, texts["doc_id"].eqNullSafe(ids["d"]) & (texts["fp"] == ids["f"]), "left_semi")
     # Byte for byte: the body itself is the grouping key. Copies meet in the map-side aggregate first.
@@ -154,6 +154,6 @@ def exact_dedup(docs: DataFrame, owners: int | None = None) -> DataFrame:
     # One body for a digest, or the digest can't stand for the body: this stops rather than merge different texts.
     same = bodies.groupBy("text_sha256").agg(F.max("keep_id").alias("keep_id"), F.max("group_size").alias("group_size"), F.count("*").alias("bodies"))
     same = scratch.keep(same.withColumn("group_size", F.when(F.col("bodies") == 1, F.col("group_size")).otherwise(F.raise_error(F.lit("two texts with one SHA-256")).cast("long"))).drop("bodies"))
-    out = suspects.join(same, "text_sha256").select("doc_id", "keep_id", "group_size", "text_sha256")
-    alone = flagged.where("not suspect").select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), "text_sha256")
-    return out.unionByName(alone).select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
+    out = suspects.join(same, "text_sha256").select("doc_id", "keep_id", "group_size", "text_sha256", "row_hash")
+    alone = flagged.where("not suspect").select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), "text_sha256", "row_hash")
+    return out.unionByName(alone).select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256", "row_hash")

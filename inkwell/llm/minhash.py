@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import RowFilter, Scratch, groups, map_arrow, mix, tune
+from .common import RowFilter, Scratch, groups, map_arrow, mix, row_hash, tune
 from .components import connected_components
 from .shingles import shingle_sets
 
@@ -66,7 +66,7 @@ def _signed(width: int):
     def sign(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         rows = [(len(s), _name(s), signature(s).tobytes(), counters(s).tobytes()) if len(s) else (0, None, None, None) for s in shingle_sets(batch.column("text"), width)]
         n, node, sig, cnt = zip(*rows)
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(n, pa.int64()), pa.array(node, pa.int64()), pa.array(sig, pa.binary()), pa.array(cnt, pa.binary())], ["doc_id", "n", "node", "sig", "counters"])
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(n, pa.int64()), pa.array(node, pa.int64()), pa.array(sig, pa.binary()), pa.array(cnt, pa.binary()), batch.column("row_hash")], ["doc_id", "n", "node", "sig", "counters", "row_hash"])
 
     return sign
 
@@ -198,7 +198,7 @@ def _intersected(percent: int):
 
 
 def near_dedup(docs: DataFrame, width: int = 5, percent: int = 75) -> DataFrame:
-    """One row per row of ``docs`` (doc_id, text): doc_id, n_shingles, component_id, kept, node.
+    """One row per row of ``docs`` (doc_id, text): doc_id, n_shingles, component_id, kept, node, row_hash.
 
     Documents are linked with 100 * intersection >= percent * union of their shingle
     sets; component_id is the smallest doc_id reachable and kept = (doc_id =
@@ -214,7 +214,7 @@ def near_dedup(docs: DataFrame, width: int = 5, percent: int = 75) -> DataFrame:
     tune(spark)
     scratch = Scratch(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    signed = scratch.keep(map_arrow(docs, _signed(width), "doc_id long, n long, node long, sig binary, counters binary"))
+    signed = scratch.keep(map_arrow(docs.withColumn("row_hash", row_hash()), _signed(width), "doc_id long, n long, node long, sig binary, counters binary, row_hash long"))
     nodes = signed.where("node is not null").groupBy("node").agg(F.first("n").alias("n"), F.min("doc_id").alias("doc"), F.first("sig").alias("sig"), F.first("counters").alias("counters"))
     nodes = scratch.keep(nodes)
 
@@ -271,6 +271,6 @@ def near_dedup(docs: DataFrame, width: int = 5, percent: int = 75) -> DataFrame:
     known = nodes.select("node", "doc").join(comps, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = known.groupBy("component").agg(F.min("doc").alias("component_id"))
     known = known.join(least, "component").select("node", "component_id")
-    out = signed.select("doc_id", F.col("n").alias("n_shingles"), "node").join(known, "node", "left")
+    out = signed.select("doc_id", F.col("n").alias("n_shingles"), "node", "row_hash").join(known, "node", "left")
     component = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), component.eqNullSafe(F.col("doc_id")).alias("kept"), "node")
+    return out.select("doc_id", "n_shingles", component.alias("component_id"), component.eqNullSafe(F.col("doc_id")).alias("kept"), "node", "row_hash")
