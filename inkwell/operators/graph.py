@@ -110,7 +110,7 @@ def degree_centrality(nodes: DataFrame, edges: DataFrame, key: str = "id") -> Da
 
 def paper_metrics(nodes: DataFrame, edges: DataFrame, key: str = "id") -> DataFrame:
     """Number of neighbours and total edge weight of each node."""
-    m = symmetrise(edges).groupBy(F.col("node").alias(key)).agg(F.count("*").alias("neighbors_count"), F.round(F.sum("weight"), 4).alias("total_edge_weight"))
+    m = symmetrise(edges).groupBy(F.col("node").alias(key)).agg(F.count("*").alias("neighbors_count"), F.round(F.sum("weight"), 6).alias("total_edge_weight"))
     return nodes.select(key).join(m, key, "left").select(key, F.coalesce("neighbors_count", F.lit(0)).alias("neighbors_count"), F.coalesce("total_edge_weight", F.lit(0.0)).alias("total_edge_weight"))
 
 

@@ -95,7 +95,7 @@ class Corpus:
         """Papers of one edition are related, the more the closer their prices."""
         a = self.table("orders").select(F.col("o_custkey").alias("k"), F.col("o_orderkey").alias("src"), F.col("o_totalprice").alias("x"))
         b = a.select("k", F.col("src").alias("dst"), F.col("x").alias("y"))
-        return a.join(b, "k").where("src < dst").select("src", "dst", F.round(1 + F.abs(F.col("x") - F.col("y")) / 50000, 4).alias("weight"))
+        return a.join(b, "k").where("src < dst").select("src", "dst", F.round(1 + F.abs(F.col("x") - F.col("y")) / 50000, 8).alias("weight"))
 
     @cached_property
     def works(self) -> DataFrame:
@@ -151,7 +151,7 @@ metrics as (
   select o_orderkey as paper_id, round((o_orderkey % 97) / 97.0, 6) as degree_centrality, round((o_orderkey % 89) / 89.0, 6) as betweenness_centrality,
     (o_custkey % 10)::int as cluster_id, (o_orderkey % 31)::int as neighbors_count from orders),
 edges as (
-  select a.o_orderkey as src, b.o_orderkey as dst, round(1 + abs(a.o_totalprice - b.o_totalprice) / 50000, 4) as weight
+  select a.o_orderkey as src, b.o_orderkey as dst, round(1 + abs(a.o_totalprice - b.o_totalprice) / 50000, 8) as weight
   from orders a join orders b on a.o_custkey = b.o_custkey and a.o_orderkey < b.o_orderkey),
 works as (select c_custkey as id, c_name as title, floor(c_acctbal)::bigint as citation_count from customer),
 work_entities as (

@@ -83,7 +83,7 @@ def gr_degree_centrality(c):
     return G.degree_centrality(c.papers, c.edges).withColumn("degree_centrality", F.round("degree_centrality", 9))
 
 
-@query(f"with {SYM_SQL}, d as (select node, count(*) as n, round(sum(weight), 4) as w from sym group by 1) select id, coalesce(n, 0) as neighbors_count, coalesce(w, 0) as total_edge_weight from papers left join d on node = id")
+@query(f"with {SYM_SQL}, d as (select node, count(*) as n, round(sum(weight), 6) as w from sym group by 1) select id, coalesce(n, 0) as neighbors_count, coalesce(w, 0) as total_edge_weight from papers left join d on node = id")
 def gr_paper_metrics(c):
     return G.paper_metrics(c.papers, c.edges)
 

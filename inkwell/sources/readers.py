@@ -102,7 +102,11 @@ def pdf_url(doi: Column, arxiv_id: Column, url: Column) -> tuple[Column, Column]
 def pdf_files(spark: SparkSession, pattern: str, least: int = 10_000) -> DataFrame:
     """Downloaded files with whether they can be PDFs: the magic number and a least size."""
     files = spark.read.format("binaryFile").load(pattern)
-    return files.withColumn("valid", (F.substring("content", 1, 4) == F.lit(b"%PDF")) & (F.col("length") >= least))
+    return files.withColumn("valid", valid_pdf(F.col("content"), least))
+
+
+def valid_pdf(content: Column, least: int = 10_000) -> Column:
+    return (F.substring(content, 1, 4) == F.lit(b"%PDF")) & (F.octet_length(content) >= least)
 
 
 def pdf_text(files: DataFrame, reader: Callable[[bytes], str]) -> DataFrame:
@@ -119,7 +123,11 @@ def pdf_text(files: DataFrame, reader: Callable[[bytes], str]) -> DataFrame:
 def aliases(spark: SparkSession, path: str) -> DataFrame:
     """(key, canonical) of a JSON object; keys that begin with === or _ and null values are comments."""
     text = "".join(r["value"] for r in spark.read.text(path, wholetext=True).collect())
-    return spark.createDataFrame([(k.lower(), v) for k, v in json.loads(text).items() if isinstance(v, str) and not k.startswith(("===", "_"))], "key string, canonical string")
+    return alias_map(spark, json.loads(text))
+
+
+def alias_map(spark: SparkSession, spec: dict) -> DataFrame:
+    return spark.createDataFrame([(k.lower(), v) for k, v in spec.items() if isinstance(v, str) and not k.startswith(("===", "_"))], "key string, canonical string")
 
 
 def topic_keywords(spark: SparkSession, path: str) -> DataFrame:
