@@ -15,17 +15,12 @@ from .graph_queries import EDGE_SQL
 from .registry import ORACLE_SQL, QUERIES, query
 
 
-def _note(i: int) -> dict:
-    return {"title": f"Note {i}", "year": 2000 + i % 25, "venue": "oral" if i % 3 else "poster", "openreview_id": f"n{i}"}
-
-
 @query("select 'Note ' || i as title, (2000 + i % 25)::int as year, case when i % 3 = 0 then 'poster' else 'oral' end as venue, 'n' || i as openreview_id from range(0, 2500) t(i)")
 def src_openreview(c):
     """Pages of a service, one partition each; the service here counts."""
-    readers.PagedNotes.fetchers["count"] = lambda at, n: [_note(i) for i in range(at, at + n)]
     readers.ship(c.spark)
     c.spark.dataSource.register(readers.PagedNotes)
-    rows = c.spark.read.format("paged_notes").options(fetch="count", total="2500", page="500").load()
+    rows = c.spark.read.format("paged_notes").options(fetch="inkwell.sources.readers:sample_notes", total="2500", page="500").load()
     return rows.select("title", "year", "venue", "openreview_id")
 
 

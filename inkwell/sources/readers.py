@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import importlib
 import json
 from collections.abc import Callable, Iterator
 
@@ -30,12 +31,10 @@ def jdbc(spark: SparkSession, url: str, name: str, column: str | None = None, bo
 class PagedNotes(DataSource):
     """A paged JSON service as a batch source: one partition per page.
 
-    Options: ``fetch`` names a registered callable (offset, limit) -> list of dicts with
-    the fields of RAW_PAPER; ``total`` and ``page`` set the offsets.
+    Options: ``fetch`` names a function as "module:function", (offset, limit) -> list of
+    dicts with the fields of RAW_PAPER; ``total`` and ``page`` set the offsets.
     """
 
-    fetchers: dict[str, Callable[[int, int], list[dict]]] = {}
-
     @classmethod
     def name(cls) -> str:
         return "paged_notes"
@@ -44,7 +43,7 @@ class PagedNotes(DataSource):
         return RAW_PAPER
 
     def reader(self, schema) -> DataSourceReader:
-        return _PagedReader(self.fetchers[self.options["fetch"]], int(self.options["total"]), int(self.options.get("page", "1000")), [f.name for f in schema.fields])
+        return _PagedReader(self.options["fetch"], int(self.options["total"]), int(self.options.get("page", "1000")), [f.name for f in schema.fields])
 
 
 class _Page(InputPartition):
@@ -53,17 +52,23 @@ class _Page(InputPartition):
 
 
 class _PagedReader(DataSourceReader):
-    def __init__(self, fetch: Callable[[int, int], list[dict]], total: int, page: int, names: list[str]):
+    def __init__(self, fetch: str, total: int, page: int, names: list[str]):
         self.fetch, self.total, self.page, self.names = fetch, total, page, names
 
     def partitions(self) -> list[_Page]:
         return [_Page(at) for at in range(0, self.total, self.page)]
 
     def read(self, partition: _Page) -> Iterator[tuple]:
-        for row in self.fetch(partition.offset, min(self.page, self.total - partition.offset)):
+        module, _, name = self.fetch.partition(":")
+        for row in getattr(importlib.import_module(module), name)(partition.offset, min(self.page, self.total - partition.offset)):
             yield tuple(row.get(n) for n in self.names)
 
 
+def sample_notes(offset: int, limit: int) -> list[dict]:
+    """A service that needs no network: its notes are their numbers."""
+    return [{"title": f"Note {i}", "year": 2000 + i % 25, "venue": "oral" if i % 3 else "poster", "openreview_id": f"n{i}"} for i in range(offset, offset + limit)]
+
+
 def notes(spark: SparkSession, landing: str) -> DataFrame:
     """Accepted papers of a landing zone of JSON notes, whose fields are {value: x} or x."""
     from ..operators.browse import accepted, presentation_type
