@@ -166,14 +166,17 @@ def parse(source: str) -> list[Node]:
 
 
 def evidence(node: Node) -> list[str]:
-    """The node's own features; what its relatives say comes by the messages."""
+    """The node's own features and whether it stands in an article; what its relatives hold comes by the messages."""
     if node.tag == "#root":
         return ["root"]
     share = node.links / node.size if node.size else 0
     linked = 0 if share < 0.2 else 1 if share < 0.6 else 2
     if node.tag == "#text":
         return ["text", f"text links {linked}"]
-    out = [f"tag {node.tag}", f"box links {linked}", f"{node.tag} links {linked}", f"box size {min(4, int(math.log10(node.size + 1)))}"]
+    above = node.parent
+    while above is not None and above.tag not in ("article", "main"):
+        above = above.parent
+    out = [f"tag {node.tag}", f"{node.tag} in {above.tag if above is not None else 'page'}", f"box links {linked}", f"{node.tag} links {linked}"]
     for name in node.names:
         out += [f"name {name}", f"start {name[:4]}"]
     return out
@@ -250,16 +253,19 @@ def labelled_pages(n: int = 500, seed: int = 17) -> Iterator[str]:
 
     kinds = list(BOILERPLATE)
     for _ in range(n):
+        tag = rng.choice(["article", "article", "main", "div", "div", "section"])
         body = "".join(piece() for _ in range(rng.randint(1, 14)))
         if rng.random() < 0.8:
-            body = f"<h1>{words(2, 9)}</h1>" + body
+            title = f"<h1>{words(2, 9)}</h1>"
+            if tag in ("article", "main") and rng.random() < 0.35:
+                title = f'<header{rng.choice(["", ' class="entry-header"', ' class="post-header"', ' class="article-header"'])} data-label="1">{title}{rng.choice(["", f"<p>{words(3, 12)}</p>"])}</header>'
+            body = title + body
         if rng.random() < 0.25:  # boxes within the article
             body += boiler(rng.choice(["share", "ad", "aside", "comments", "form"]))
         if rng.random() < 0.15:
             body = boiler(rng.choice(["share", "ad", "nav", "notice"])) + body
         if rng.random() < 0.2:
             body = f'<div class="{rng.choice(CONTENT_NAMES)}" data-label="1">{body}</div>'
-        tag = rng.choice(["article", "article", "main", "div", "div", "section"])
         name = named(CONTENT_NAMES) if tag != "div" else f' class="{rng.choice(CONTENT_NAMES)}-{rng.choice(CONTENT_NAMES)}"'
         body = f'<{tag}{name} data-label="1">{body}</{tag}>'
         if rng.random() < 0.3:
@@ -272,7 +278,7 @@ def labelled_pages(n: int = 500, seed: int = 17) -> Iterator[str]:
 #: States of parent and child that can't be: what holds content is held by what holds content.
 NEVER = -30.0
 #: Labelled pages to train on, and passes over them.
-PAGES, EPOCHS = 1000, 8
+PAGES, EPOCHS = 1500, 8
 
 
 def messages(own: list[float], parent: list[int], tie: list[float]) -> tuple[list[float], list[float]]:
