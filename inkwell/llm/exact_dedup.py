@@ -22,8 +22,9 @@ from pyspark.sql import functions as F
 
 from .common import RowFilter, Scratch, groups, row_hash, tune
 
-#: Fingerprints in a message's run; one group of the exchange holds so many at most.
-RUN = 1 << 15
+#: Documents in a sender's run, and fingerprints that an owner has on average: both bound a task's
+#: memory, and together they keep messages long (RUN * OWNED / documents fingerprints each).
+RUN, OWNED = 1 << 18, 1 << 20
 
 
 def golomb_encode(values: np.ndarray) -> bytes:
@@ -136,9 +137,9 @@ def exact_dedup(docs: DataFrame, owners: int | None = None) -> DataFrame:
     spark = docs.sparkSession
     tune(spark)
     scratch = Scratch(spark)
-    owners = owners or max(8, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), row_hash())
     prints = scratch.keep(docs.mapInArrow(_fingerprints, "doc_id long, fp long, text_sha256 string, sender long, row_hash long"))
+    owners = owners or max(math.ceil(prints.count() / OWNED), min(200, int(spark.conf.get("spark.sql.shuffle.partitions"))))
     held = prints.select("sender", "fp").repartition("sender").sortWithinPartitions("sender")
     sent = held.mapInArrow(_sent(owners), "sender long, owner long, code binary, twice binary")
     answers = sent.repartition("owner").sortWithinPartitions("owner").mapInArrow(_answered, "sender long, owner long, bitmap binary")
