@@ -12,6 +12,7 @@ import json
 import re
 import zlib
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -170,7 +171,7 @@ def pack(docs: DataFrame, tokenizer: str, length: int = LENGTH) -> DataFrame:
     line = scratch.keep(line.mapInArrow(_summed, "uid long, part long, end long"))
     # One number for each range partition is all that the driver sums up.
     parts = sorted((r["part"], r["e"]) for r in line.groupBy("part").agg(F.max("end").alias("e")).collect())
-    bases = [(p, sum(e for _, e in parts[:i])) for i, (p, _) in enumerate(parts)]
+    bases = list(zip((p for p, _ in parts), accumulate((e for _, e in parts[:-1]), initial=0)))
     bases = spark.createDataFrame(bases, "part long, base long")
     ends = line.join(F.broadcast(bases), "part").select("uid", (F.col("end") + F.col("base")).alias("end"))
     placed = coded.select("uid", "doc_id", "n", "ids").join(ends, "uid").select("doc_id", "ids", (F.col("end") - F.col("n")).alias("at"))
