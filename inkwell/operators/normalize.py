@@ -85,18 +85,31 @@ def backfill(techniques: DataFrame) -> DataFrame:
     return rows.select("paper_id", "name", F.col("_c").alias("proposed"), F.when(F.col("name") == F.col("_c"), "exact").otherwise("case_insensitive").alias("match_type"))
 
 
+def rare_tokens(rows: DataFrame, key: str, tokens: str, share: float) -> DataFrame:
+    """(key, token): of each row the rarest tokens, as many that two rows sharing ``share`` of them must have one in common.
+
+    A set of n that shares at least k = ceil(share * n) tokens with another has one of
+    them among its n - k + 1 rarest, so tokens that very many rows have are not joined on.
+    """
+    each = rows.select(key, F.size(tokens).alias("_n"), F.explode(tokens).alias("token"))
+    df = each.groupBy("token").agg(F.count("*").alias("_df"))
+    ranked = each.join(df, "token").withColumn("_r", F.row_number().over(Window.partitionBy(key).orderBy("_df", "token")))
+    return ranked.where(F.col("_r") <= F.col("_n") - F.ceil(F.round(share * F.col("_n"), 9)) + 1).select(key, "token")
+
+
 def suspected_duplicates(names: DataFrame, name: str = "name", overlap: float = 0.8, ratio: float = 0.6) -> DataFrame:
     """(a, b, reason): names of which one holds the other, or that share most tokens.
 
-    Both joins are on what such pairs must share: a token for the overlap, and for
-    containment a whole token of the shorter name's, or its first three letters.
+    Both joins are on what such pairs must share: for the overlap one of either's rarest
+    tokens, for containment the first three letters of the shorter name.
     """
     rows = names.select(F.col(name).alias("n")).distinct().select("n", F.lower("n").alias("low"), token_set(F.col("n")).alias("ts"))
-    tok = rows.select("n", "low", "ts", F.explode("ts").alias("t"))
-    a, b = tok.toDF("a", "la", "ta", "t"), tok.toDF("b", "lb", "tb", "t")
-    pairs = a.join(b, "t").where("a < b").select("a", "b", "la", "lb", "ta", "tb").distinct()
+    rare = rare_tokens(rows.where(F.size("ts") >= 2), "n", "ts", overlap)
+    pairs = rare.toDF("a", "token").join(rare.toDF("b", "token"), "token").where("a < b").select("a", "b").distinct()
+    sets = rows.select("n", "ts")
+    pairs = pairs.join(sets.toDF("a", "ta"), "a").join(sets.toDF("b", "tb"), "b")
     shared = F.size(F.array_intersect("ta", "tb"))
-    jac = pairs.where((F.size("ta") >= 2) & (F.size("tb") >= 2) & (shared >= overlap * (F.size("ta") + F.size("tb") - shared))).select("a", "b", F.lit("token-overlap").alias("reason"))
+    jac = pairs.where(shared >= overlap * (F.size("ta") + F.size("tb") - shared)).select("a", "b", F.lit("token-overlap").alias("reason"))
     gram = lambda c: F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(c) - 2)), lambda i: F.substring(c, i, F.lit(3))))
     longs = rows.select(F.col("n").alias("long"), F.col("low").alias("ll"), F.explode(gram(F.col("low"))).alias("g"))
     shorts = rows.select(F.col("n").alias("short"), F.col("low").alias("ls"), F.substring("low", 1, 3).alias("g"))
@@ -111,12 +124,22 @@ def title_tokens(title: Column) -> Column:
 
 
 def match_titles(raw: DataFrame, known: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """(raw_id, id, score): for each raw title the known one of most shared tokens over the longer's, if enough."""
-    a = raw.select("raw_id", title_tokens(F.col("title")).alias("ta"))
-    b = known.select("id", title_tokens(F.col("title")).alias("tb"))
-    hits = a.select("raw_id", F.size("ta").alias("na"), F.explode("ta").alias("t")).join(b.select("id", F.size("tb").alias("nb"), F.explode("tb").alias("t")), "t")
-    scored = hits.groupBy("raw_id", "id", "na", "nb").agg(F.count("*").alias("m")).withColumn("score", F.col("m") / F.greatest("na", "nb")).where(F.col("score") >= threshold)
-    best = scored.groupBy("raw_id").agg(F.max_by(F.struct("id", "score"), F.struct(F.col("score"), -F.col("id"))).alias("x"))
+    """(raw_id, id, score): for each raw title the known one of most shared tokens over the longer's, if enough.
+
+    The two titles share ``threshold`` of either's tokens, so one of the raw title's
+    rarest ones; only those are looked up.
+    """
+    a = raw.select("raw_id", title_tokens(F.col("title")).alias("ta")).where(F.size("ta") > 0)
+    b = known.select("id", title_tokens(F.col("title")).alias("tb")).where(F.size("tb") > 0)
+    posts = b.select("id", F.explode("tb").alias("token"))
+    df = posts.groupBy("token").agg(F.count("*").alias("_df"))
+    each = a.select("raw_id", F.size("ta").alias("_n"), F.explode("ta").alias("token")).join(df, "token", "left")
+    ranked = each.withColumn("_r", F.row_number().over(Window.partitionBy("raw_id").orderBy(F.coalesce("_df", F.lit(0)), "token")))
+    rare = ranked.where(F.col("_r") <= F.col("_n") - F.ceil(F.round(threshold * F.col("_n"), 9)) + 1)
+    pairs = rare.join(posts, "token").select("raw_id", "id").distinct().join(a, "raw_id").join(b, "id")
+    score = F.size(F.array_intersect("ta", "tb")) / F.greatest(F.size("ta"), F.size("tb"))
+    best = pairs.select("raw_id", "id", score.alias("score")).where(F.col("score") >= threshold)
+    best = best.groupBy("raw_id").agg(F.max_by(F.struct("id", "score"), F.struct(F.col("score"), -F.col("id"))).alias("x"))
     return best.select("raw_id", F.col("x.id").alias("id"), F.round("x.score", 6).alias("score"))
 
 
