@@ -259,10 +259,32 @@ def gr_evolution_chains(c):
     return I.evolution_chains(G.influence_edges(c.techniques), 10, 6)
 
 
-@query("with pair as (select src, dst, weight from edges order by weight desc, src, dst limit 20), s as (select distinct paper_id, trim(coalesce(canonical_name, name)) as t, role from techniques) select src, dst, weight, coalesce((select string_agg(distinct a.t, '; ' order by a.t) from s a join s b using (t) where a.paper_id = src and b.paper_id = dst), '') as shared, coalesce((select string_agg(distinct a.t, '; ' order by a.t) from s a where a.paper_id = src and a.t not in (select t from s b where b.paper_id = dst)), '') as only_src from pair")
+EXPLAIN_SQL = """df as (select canonical_name as name, case when ln((select count(*) from papers) / count(distinct paper_id)) < 3.0 then 'GENERIC' when ln((select count(*) from papers) / count(distinct paper_id)) < 3.69 then 'SHARED' else 'SPECIALIZED' end as tier from techniques where canonical_name is not null group by 1),
+rl as (select paper_id, canonical_name as name, case when bool_or(role = 'introduces') then 'introduces' else min(role) end as role from techniques where canonical_name is not null group by 1, 2),
+tl as (select paper_id, list(name order by name) as ns, list(name order by name) filter (role = 'introduces') as intro, list(name order by name) filter (role <> 'introduces') as uses from rl group by 1),
+ml as (select paper_id, list(distinct name order by name) as ms from methodologies group by 1), cl as (select paper_id, list(distinct name order by name) as cs from categories group by 1),
+ow as (select id, title, abstract, coalesce(ns, []) as ns, coalesce(intro, []) as intro, coalesce(uses, []) as uses, coalesce(ms, []) as ms, coalesce(cs, []) as cs from papers left join tl on tl.paper_id = id left join ml on ml.paper_id = id left join cl on cl.paper_id = id),
+sh as (select src, dst, string_agg(a.name || ':' || tier || ':' || a.role || ':' || b.role, '; ' order by case tier when 'SPECIALIZED' then 0 when 'SHARED' then 1 else 2 end, a.name) as shared, list(a.name order by a.name) as sn from edges join rl a on a.paper_id = src join rl b on b.paper_id = dst and a.name = b.name join df on df.name = a.name group by 1, 2)"""
+
+
+def _apart_sql(x, y):
+    return (
+        f"'**' || substr({x}.title, 1, 65) || case when length({x}.title) > 65 then '…' else '' end || '** — ' || case "
+        f"when len(list_filter({x}.intro, lambda n: not list_contains({y}.ns, n))) > 0 then 'Introduces ' || array_to_string(list_filter({x}.intro, lambda n: not list_contains({y}.ns, n))[1:2], ', ') "
+        f"when len(list_filter({x}.uses, lambda n: not list_contains({y}.ns, n))) > 0 then 'Applies ' || array_to_string(list_filter({x}.uses, lambda n: not list_contains({y}.ns, n))[1:2], ', ') "
+        f"when len(list_filter({x}.ms, lambda n: not list_contains({y}.ms, n))) > 0 then 'Uses ' || array_to_string(list_filter({x}.ms, lambda n: not list_contains({y}.ms, n))[1:2], ', ') "
+        f"else coalesce(nullif(trim(substr({x}.abstract, 1, 200)), ''), substr({x}.title, 1, 80)) end"
+    )
+
+
+@query(f"""with {EXPLAIN_SQL} select e.src, e.dst, e.weight, coalesce(shared, '') as shared, {_apart_sql('a', 'b')} as difference_src, {_apart_sql('b', 'a')} as difference_dst,
+  case when len(list_filter(a.cs, lambda n: list_contains(b.cs, n))) > 0 then 'Both papers work in the intersection of ' || array_to_string(list_filter(a.cs, lambda n: list_contains(b.cs, n))[1:3], ' and ')
+    when sn is not null then 'Both papers apply ' || array_to_string(sn[1:2], ' and ') else 'Both papers share overlapping research contributions' end || '.' as connection
+from edges e join ow a on a.id = e.src join ow b on b.id = e.dst left join sh on sh.src = e.src and sh.dst = e.dst""")
 def gr_explain(c):
-    pairs = c.edges.orderBy(F.desc("weight"), "src", "dst").limit(20)
-    return I.explain_pairs(pairs, c.techniques)
+    rows = I.explain_pairs(c.edges, c.papers, c.techniques, c.categories, c.methodologies)
+    text = F.array_join(F.transform("shared", lambda x: F.concat_ws(":", x["name"], x["tier"], x["role_a"], x["role_b"])), "; ")
+    return rows.select("src", "dst", "weight", text.alias("shared"), "difference_src", "difference_dst", "connection")
 
 
 @query()

@@ -153,12 +153,12 @@ def ret_like_legacy(c):
     return T.like_score(c.texts, _tagged(c), _like_queries(c)).withColumn("labels", F.array_join("labels", "; "))
 
 
-VEC_SQL = "sims as (select q.vec_id as query_id, e.vec_id as chunk_id, e.label as paper_id, round(list_dot_product(e.embedding::double[], q.embedding::double[]), 6) as score from embeddings e, (select * from embeddings where vec_id < 10) q), top as (select * from (select *, row_number() over (partition by query_id order by score desc, chunk_id) as r from sims) where r <= 200 and score >= 0.30)"
+VEC_SQL = "sims as (select q.vec_id as query_id, e.vec_id as chunk_id, e.label as paper_id, round(list_dot_product(e.embedding::double[], q.embedding::double[]), 6) as score from embeddings e, (select * from embeddings where vec_id % 20 = 0) q), top as (select * from (select *, row_number() over (partition by query_id order by score desc, chunk_id) as r from sims) where r <= 200 and score >= 0.30)"
 
 
 def _vectors(c):
     e = c.table("embeddings").select(F.col("vec_id").alias("chunk_id"), F.col("label").alias("paper_id"), "embedding")
-    q = c.table("embeddings").where("vec_id < 10").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
+    q = c.table("embeddings").where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
     return R.vector_topk(e, q)
 
 
@@ -196,7 +196,7 @@ def hashing_encoder(texts, width: int = 64):
     return out
 
 
-HYBRID_SQL = f"""{BM25_SQL}, sem as (select query_id % 10 as q, paper_id, score from (select v.query_id, e.vec_id as paper_id, v.score from (select * from (select q.vec_id as query_id, e.vec_id as chunk_id, round(list_dot_product(e.embedding::double[], q.embedding::double[]), 6) as score from embeddings e, (select * from embeddings where vec_id < 10) q) where score >= 0.30) v join embeddings e on e.vec_id = v.chunk_id)),
+HYBRID_SQL = f"""{BM25_SQL}, sem as (select query_id as q, paper_id, score from (select v.query_id, e.vec_id as paper_id, v.score from (select * from (select q.vec_id as query_id, e.vec_id as chunk_id, round(list_dot_product(e.embedding::double[], q.embedding::double[]), 6) as score from embeddings e, (select * from embeddings where vec_id % 20 = 0) q) where score >= 0.30) v join embeddings e on e.vec_id = v.chunk_id)),
 ks as (select query_id, id, score as k from bm), ss as (select q as query_id, paper_id as id, score as s from (select *, row_number() over (partition by q order by score desc, paper_id) as r from sem) where r <= 50),
 hy as (select query_id, id, round(coalesce(k, 0) + 40 * coalesce(s, 0) + ln(1 + n_chars), 6) as score, s is not null as semantic from ks full join ss using (query_id, id) join documents on doc_id = id)"""
 
@@ -204,7 +204,7 @@ hy as (select query_id, id, round(coalesce(k, 0) + 40 * coalesce(s, 0) + ln(1 +
 @query(f"with {HYBRID_SQL} select query_id, id, score, semantic, rank from (select *, row_number() over (partition by query_id order by score desc, id)::int as rank from hy) where rank <= 20")
 def ret_hybrid(c):
     e = c.table("embeddings").select(F.col("vec_id").alias("chunk_id"), F.col("vec_id").alias("paper_id"), "embedding")
-    q = c.table("embeddings").where("vec_id < 10").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
+    q = c.table("embeddings").where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
     semantic = R.max_pool(R.vector_topk(e, q))
     papers = c.table("documents").select(F.col("doc_id").alias("id"), F.col("n_chars").alias("citation_count"))
     return R.hybrid(T.bm25(_post(c), _asked(c)), semantic, papers, 20)
