@@ -6,6 +6,8 @@ executor (also one that replaces a lost one) can read what another has produced.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import os
 import tempfile
 import uuid
@@ -113,6 +115,13 @@ def without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
     return marked.where("not __ink_may").drop("__ink_may").unionByName(unsure.join(gone, same, "left_anti"))
 
 
+def release() -> None:
+    """Gives memory that a task has freed back to the system: the worker lives on for other tasks."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def map_arrow(df: DataFrame, function: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch] | None], schema: str) -> DataFrame:
     """mapInArrow with a function of one batch."""
 
@@ -120,6 +129,7 @@ def map_arrow(df: DataFrame, function: Callable[[pa.RecordBatch], Iterator[pa.Re
         for batch in batches:
             if batch.num_rows:
                 yield from function(batch) or ()
+        release()
 
     return df.mapInArrow(run, schema)
 
@@ -131,6 +141,8 @@ def learn(rows: DataFrame, train: Callable[[pa.Table], bytes]) -> bytes | None:
         found = [b for b in batches if b.num_rows]
         if found:
             yield pa.RecordBatch.from_arrays([pa.array([train(pa.Table.from_batches(found))], pa.binary())], ["model"])
+        found.clear()
+        release()
 
     model = rows.repartition(1).mapInArrow(run, "model binary").collect()
     return bytes(model[0]["model"]) if model else None

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, map_arrow, mix, tune
+from .common import Scratch, map_arrow, mix, release, tune
 
 LENGTH = 1024
 DIMENSIONS, BITS, BUCKETS = 3, 16, 1024
@@ -120,6 +120,8 @@ def _encoded(path: str):
                 point = np.add.reduceat(shares[flat], edges, axis=0) / n[:, None]
                 cells = np.clip((1 << BITS) / (1 + np.exp(-6.0 * point)), 0, (1 << BITS) - 1).astype(np.int64)
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, 200).cast(pa.int64()), pa.array(n), pa.array(hilbert_key(cells)), pa.array(codes, pa.binary())], ["doc_id", "n", "key", "ids"])
+        del encoder, shares
+        release()
 
     return encode
 
