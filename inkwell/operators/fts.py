@@ -178,12 +178,14 @@ def like_score(papers: DataFrame, entities: DataFrame, queries: DataFrame, signa
         each = queries.select("query_id", F.lower(F.trim("text")).alias("_q"), F.explode(query_tokens(F.trim("text"))).alias("t"))
         term = term.unionByName(each.where("t <> _q").select("query_id", "t", token_boost(F.col("t")).alias("boost")))
     term = F.broadcast(term)
-    title, abstract = F.lower(F.coalesce("title", F.lit(""))), F.lower(F.coalesce("abstract", F.lit("")))
-    own = papers.join(term, F.contains(title, F.col("t")) | F.contains(abstract, F.col("t")))
+    # Texts are lowered once and each distinct term is looked for once; queries come in after.
+    low = papers.select("id", F.lower(F.coalesce("title", F.lit(""))).alias("lt"), F.lower(F.coalesce("abstract", F.lit(""))).alias("la"))
+    own = low.join(F.broadcast(term.select("t").distinct()), F.contains("lt", "t") | F.contains("la", "t"))
     found = F.array_compact(F.array(
-        F.when(title == F.col("t"), F.lit("title_exact")), F.when((title != F.col("t")) & F.contains(title, F.col("t")), F.lit("title")), F.when(F.contains(abstract, F.col("t")), F.lit("abstract")),
+        F.when(F.col("lt") == F.col("t"), F.lit("title_exact")), F.when((F.col("lt") != F.col("t")) & F.contains("lt", "t"), F.lit("title")), F.when(F.contains("la", "t"), F.lit("abstract")),
     ))
-    rows = own.select("query_id", "id", "boost", F.explode(found).alias("signal")).withColumn("label", F.regexp_replace("signal", "_exact", ""))
+    own = own.select("id", "t", F.explode(found).alias("signal")).join(term, "t")
+    rows = own.select("query_id", "id", "boost", "signal").withColumn("label", F.regexp_replace("signal", "_exact", ""))
     names = entities.select("kind", "name").distinct().join(term, F.contains(F.lower("name"), F.col("t"))).select("query_id", "kind", "name", "boost")
     ent = entities.select("paper_id", "kind", "name").distinct().join(names, ["kind", "name"])
     rows = rows.unionByName(ent.select("query_id", F.col("paper_id").alias("id"), "boost", F.col("kind").alias("signal"), F.concat_ws(":", "kind", "name").alias("label")))
