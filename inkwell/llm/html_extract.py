@@ -25,13 +25,15 @@ from pyspark.sql import functions as F
 from .common import map_arrow, tune
 
 _TAG = re.compile(r"""<!--.*?(?:--!?>|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<[!?/][^>]*(?:>|\Z)""", re.S)
-_ATTRIBUTE = re.compile(r"""([a-zA-Z:-]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
+_ATTRIBUTE = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*(?:"([^"]*)(?:"|\Z)|'([^']*)(?:'|\Z)|([^\s"'>][^\s>]*)))?""")
 _NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 _WHITE = re.compile(r"\s+")
 
 # HTML's own element classes.
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "br", "cite", "code", "data", "del", "dfn", "em", "font", "i", "img", "ins", "kbd", "label", "mark", "q", "rp", "rt", "ruby", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr"}
+#: Inline elements whose end tags also count within blocks that they hold.
+FORMATTING = {"a", "b", "big", "code", "em", "font", "i", "s", "small", "strike", "strong", "tt", "u"}
 #: What a browser does not show as text.
 UNSEEN = {"script", "style", "noscript", "template", "head", "svg", "math", "iframe", "object", "canvas", "audio", "video", "textarea", "select", "title", "button", "option", "datalist"}
 RAW = {"script", "style", "textarea", "title", "noscript", "iframe", "xmp", "noembed", "noframes"}
@@ -55,13 +57,15 @@ def parse(source: str) -> list[Node]:
 
     Markup that browsers don't show is left out; unclosed and misnested tags are put
     right in the usual way: a new block ends an open paragraph, an end tag without a
-    start is ignored.
+    start is ignored. A hidden inline element ends at its own end tag, and the text
+    around it is one run; inline elements are on the stack only within hidden ones.
     """
     root = Node("#root", None)
     nodes, stack, at, n = [root], [root], 0, len(source)
     open_inline: list[str] = []
     leaf: Node | None = None
     unseen = 0
+    around: dict[Node, tuple[Node | None, list[str]]] = {}
 
     def put(text: str) -> None:
         nonlocal leaf
@@ -82,6 +86,32 @@ def parse(source: str) -> list[Node]:
         while len(stack) > k:
             unseen -= stack.pop().hidden
 
+    def end_inline(tag: str) -> None:
+        """Ends the last inline element of this tag on the stack; blocks that it holds stay open."""
+        nonlocal leaf, unseen
+        for k in range(len(stack) - 1, 0, -1):
+            if stack[k].tag == tag:
+                break
+            if stack[k].tag in SCOPE or stack[k].tag not in INLINE and tag not in FORMATTING:
+                return
+        else:
+            return
+        node, *rest = stack[k:]
+        del stack[k:]
+        unseen -= node.hidden
+        leaf, open_inline[:] = around[node]
+        above = sum(x.hidden for x in stack)
+        for x in rest:
+            above += x.hidden
+            if x.tag in INLINE and not above:
+                open_inline.append(x.tag)
+                continue
+            x.parent, leaf = stack[-1], None
+            stack.append(x)
+            open_inline.clear()
+            if not above:
+                nodes.append(x)
+
     while at < n:
         m = _TAG.search(source, at)
         if m is None:
@@ -99,6 +129,8 @@ def parse(source: str) -> list[Node]:
             if tag in INLINE and tag not in UNSEEN:
                 if tag in open_inline:
                     del open_inline[len(open_inline) - 1 - open_inline[::-1].index(tag)]
+                else:
+                    end_inline(tag)
                 continue
             for k in range(len(stack) - 1, 0, -1):
                 if stack[k].tag == tag:
@@ -110,14 +142,25 @@ def parse(source: str) -> list[Node]:
                     break
             continue
         rest = m[3] if m[2] else m[6]
-        attributes = {k.lower(): a or b or c or "" for k, a, b, c in _ATTRIBUTE.findall(rest)} if rest and "=" in rest else {}
+        attributes = {k.lower(): a or b or c or "" for k, a, b, c in _ATTRIBUTE.findall(rest)} if rest else {}
         bare = rest.lower() if rest else ""
-        hidden = tag in UNSEEN or "hidden" in bare.replace('"', " ").split() or attributes.get("aria-hidden") == "true" or "display:none" in attributes.get("style", "").replace(" ", "").lower()
+        hidden = tag in UNSEEN or "hidden" in attributes or attributes.get("aria-hidden") == "true" or "display:none" in attributes.get("style", "").replace(" ", "").lower()
         if tag in RAW:
             end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(source, at)
             at = end.end() if end else n
             continue
-        if tag in INLINE and not (hidden and tag not in VOID):
+        if unseen and tag == "a":
+            end_inline(tag)
+        if tag in INLINE and tag not in VOID and (hidden or unseen):
+            if not bare.endswith("/"):
+                node = Node(tag, stack[-1], hidden=hidden)
+                around[node] = leaf, open_inline[:]
+                stack.append(node)
+                unseen += hidden
+                leaf = None
+                open_inline.clear()
+            continue
+        if tag in INLINE:
             if tag == "br":
                 put(" ")
             elif tag not in VOID and not bare.endswith("/"):
@@ -136,7 +179,7 @@ def parse(source: str) -> list[Node]:
                     break
                 if stack[k].tag in ends:
                     pop_to(k)
-        elif tag not in INLINE:
+        else:
             for k in range(len(stack) - 1, 0, -1):
                 if stack[k].tag in SCOPE:
                     break

@@ -303,6 +303,31 @@ def test_html(spark):
     assert extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+@pytest.mark.parametrize(
+    "source, text",
+    [
+        ('<article><p><i class=icon aria-hidden="true"></i> text</p><h2><a aria-hidden="true" href=#x></a>Title</h2></article>', "text\n\nTitle"),
+        ("<body><span hidden></span><article><p>First.</p><p>Second.</p></article></body>", "First.\n\nSecond."),
+        ("<article><p>one <i hidden>x <i>y</i> z</i>two <b style='display: none'>x</b>three</p></article>", "one two three"),
+        ("<article><p><span hidden=''><span><b>x</b></span> y</span>one</p><p>two</p></article>", "one\n\ntwo"),
+        ("<article><i hidden><div>x</i><p>one</p></div><p>two</p></article>", "one\n\ntwo"),
+        ("<article><span hidden><div>x</span>y</div>z</span><p>one</p></article>", "one"),
+        ("<article><p><a hidden>x<a href=y></a>one</p></article>", "one"),
+        ('<article title="the hidden world"><p class="hidden md:block">one</p><p data-x1="aria-hidden=true" title=\'hidden\'>two</p></article>', "one\n\ntwo"),
+        ('<article><p hidden="">x</p><p hidden=hidden>y</p><p class=a HIDDEN>z</p><p>one</p></article>', "one"),
+    ],
+)
+def test_html_hidden(source, text):
+    assert "\n\n".join(x.text[0] for x in html_extract.parse(source) if x.tag == "#text") == text
+    if "<div>" not in source:
+        assert main_text(source, *model()) == text
+
+
+def test_html_hidden_keeps_links():
+    text = html_extract.parse("<p><a href=x>one <i hidden>x</i>two</a></p>")[-1]
+    assert text.text == ["one two"] and text.linked == len("one two")
+
+
 def test_html_deep_nesting():
     assert isinstance(main_text("<div>" * 5000 + "x" + "</div>" * 5000, *model()), str)
 
