@@ -92,7 +92,8 @@ def license_scan(docs: DataFrame) -> DataFrame:
     starts = f"array({', '.join(str(start) for _, _, start, _, _ in PATTERNS)})"
     labels = _strings([label for label, *_ in PATTERNS])
     out = out.withColumn("at", F.expr(f"transform(agreed, p -> named_struct('t', cast(p div {_STEP} as int), 'i', cast(p % {_STEP} - {_SHIFT} as int)))"))
-    verified = f"filter(at, p -> slice(w, p.i + get({starts}, p.t) + 1, size(get({keys}, p.t))) = get({keys}, p.t))"
+    # A file can begin inside a key phrase, whose place is then before its first word; slice() takes no 0.
+    verified = f"filter(at, p -> CASE WHEN p.i + get({starts}, p.t) >= 0 THEN slice(w, p.i + get({starts}, p.t) + 1, size(get({keys}, p.t))) = get({keys}, p.t) ELSE false END)"
     out = out.withColumn("at", F.expr(f"CASE WHEN size(at) > 0 THEN {verified} ELSE at END"))
     out = out.withColumn("base", F.expr(f"filter(at, p -> p.t < {len(BASE)})"))
     share = f"transform(at, p -> size(filter(transform(get({whole}, p.t), (x, k) -> p.i + k >= 0 AND coalesce(get(w, p.i + k) = x, false)), x -> x)) / size(get({whole}, p.t)))"

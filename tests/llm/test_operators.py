@@ -57,6 +57,15 @@ def test_licences(spark):
     assert license_scan(frame(spark, [])).count() == 0
 
 
+def test_licences_begin_inside_a_key_phrase(spark):
+    """First words are common, so the anchors are among the words that follow."""
+    keys = [key for _, _, _, key, _ in PATTERNS]
+    texts = [" ".join(key[k:]) + end for key in keys for k in range(1, len(key)) for end in ("", " and more " + " ".join(key))]
+    texts += [w for w in sorted({key[0] for key in keys}) for _ in range(len(texts))]
+    got = license_scan(frame(spark, [(i, t, "s") for i, t in enumerate(["The MIT License (MIT)", "Rights reserved.", *texts])])).collect()
+    assert [(r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels, r.labels, round(r.score, 9)) for r in sorted(got, key=lambda r: r.doc_id)] == [licence_expected(t) for t in ["The MIT License (MIT)", "Rights reserved.", *texts]]
+
+
 def test_licences_are_native(spark):
     plan = license_scan(frame(spark, [(1, "x", "s")]))._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Arrow|Pandas", plan)
