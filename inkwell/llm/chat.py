@@ -1,8 +1,10 @@
 """Chat formatting by quotation linking, in DataFrame operations only.
 
-Quote levels are parsed line by line. The sentences of quoted passages are normalised
-and hashed, and joined within the conversation to the latest earlier message that says
-them itself; the message with the most weight is the one replied to. A message that
+Quote levels are parsed line by line. The sentences and lines of what is quoted at the
+shallowest level are normalised and hashed, and joined within the conversation to the
+latest earlier message that says them itself; so are, for sentences that were cut, all
+runs of PART words and the sentences and lines that are shorter. The message with the
+most weight is the one replied to. A message that
 answers another than the one before it opens a branch. Conversations are put in order
 branch by branch, so that every reply comes after its original, without the quotes.
 """
@@ -18,25 +20,52 @@ from .common import RowFilter, Scratch
 #: conversation of any length is dealt over many tasks.
 STRETCH = 1024
 
-_SENTENCES = "filter(transform(split({0}, '(?<=[.!?…])\\\\s+'), s -> trim(regexp_replace(lower(s), '[^\\\\p{{L}}\\\\p{{N}}]+', ' '))), s -> s <> '')"
+#: Words of a run that is looked for within sentences.
+PART = 5
+
 _WROTE = "(?i)^(on|am|le|el)\\\\b.*\\\\b(wrote|schrieb|écrit|escribió)\\\\s*:$|^.{1,80}\\\\b(wrote|schrieb)\\\\s*:$"
 
 
+def _plain(text: str) -> str:
+    return f"trim(regexp_replace(lower({text}), '[^\\\\p{{L}}\\\\p{{N}}]+', ' '))"
+
+
+def _sentences(text: str) -> str:
+    return f"transform(split({text}, '(?<=[.!?…])\\\\s+|(?<=[。！？｡])\\\\s*'), s -> {_plain('s')})"
+
+
+def _words(text: str) -> str:
+    """Some scripts don't part words: each of their letters counts as one."""
+    letters = "".join(f"\\\\p{{Is{x}}}" for x in ("Han", "Hiragana", "Katakana", "Thai", "Lao", "Khmer", "Myanmar"))
+    return f"filter(split(regexp_replace({_plain(text)}, '([{letters}])', ' $1 '), ' '), w -> w <> '')"
+
+
+def _runs(words: str, n: int) -> str:
+    """Hashes of all runs of ``n`` of the words."""
+    return f"CASE WHEN size({words}) >= {n} THEN transform(sequence(1, size({words}) - {n - 1}), i -> xxhash64('part', array_join(slice({words}, i, {n}), ' '))) ELSE array() END"
+
+
 def parse_quotes(messages: DataFrame) -> DataFrame:
-    """``messages`` with own (text without quotes and their attribution lines), own_hashes, quoted_hashes, levels."""
+    """``messages`` with own (text without quotes and their attribution lines), own_hashes, quoted_hashes, quoted_parts, levels."""
     lines = messages.withColumn("l", F.split(F.coalesce(F.col("text").cast("string"), F.lit("")), "\\r?\\n"))
     lines = lines.withColumn("l", F.expr("transform(l, x -> named_struct('mark', regexp_extract(x, '^(?:[ \\\\t]*>)*', 0), 'x', x))"))
     lines = lines.withColumn("l", F.expr("transform(l, x -> named_struct('level', length(x.mark) - length(replace(x.mark, '>', '')), 'x', trim(substring(x.x, length(x.mark) + 1, length(x.x))), 'raw', x.x))"))
-    lines = lines.withColumn("own_lines", F.expr(f"filter(l, (x, i) -> x.level = 0 AND NOT (coalesce(get(l, i + 1).level, 0) > 0 AND x.x rlike '{_WROTE}'))"))
-    quoted = "array_join(transform(filter(l, x -> x.level = 1), x -> x.x), ' ')"
-    own = "array_join(transform(own_lines, x -> x.x), ' ')"
-    hashed = lambda t: f"array_distinct(transform({_SENTENCES.format(t)}, s -> xxhash64(s)))"
-    whole = lambda t: f"xxhash64('whole', trim(regexp_replace(lower({t}), '[^\\\\p{{L}}\\\\p{{N}}]+', ' ')))"
+    lines = lines.withColumn("l", F.expr(f"transform(l, (x, i) -> named_struct('level', x.level, 'x', x.x, 'raw', x.raw, 'wrote', coalesce(get(l, i + 1).level, 0) > x.level AND x.x rlike '{_WROTE}'))"))
+    lines = lines.withColumn("own_lines", F.expr("filter(l, x -> x.level = 0 AND NOT x.wrote)"))
+    lines = lines.withColumn("quoted_lines", F.expr("filter(l, x -> x.level > 0 AND x.x <> '' AND NOT x.wrote)"))
+    lines = lines.withColumn("quoted_lines", F.expr("filter(quoted_lines, x -> x.level = array_min(transform(quoted_lines, y -> y.level)))"))
+    joined = lambda c: f"array_join(transform({c}, x -> x.x), ' ')"
+    pieces = lambda c: F.expr(f"filter(array_distinct(concat({_sentences(joined(c))}, transform({c}, x -> {_plain('x.x')}))), s -> s <> '')")
+    hashed = lambda p, c: f"array_append(transform({p}, s -> xxhash64(s)), xxhash64('whole', {_plain(joined(c))}))"
+    lines = lines.withColumns({"own_pieces": pieces("own_lines"), "quoted_pieces": pieces("quoted_lines"), "quoted_words": F.expr(_words(joined("quoted_lines")))})
+    # Short pieces, and all that is quoted if that is short, are looked for whole.
+    short = f"transform(filter(transform(array_append(quoted_pieces, array_join(quoted_words, ' ')), s -> {_words('s')}), w -> size(w) BETWEEN 1 AND {PART - 1}), w -> xxhash64('part', array_join(w, ' ')))"
     return lines.select(
         *messages.columns,
         F.expr("trim(BOTH '\\n' FROM array_join(transform(own_lines, x -> x.raw), '\\n'))").alias("own"),
-        F.expr(f"array_append({hashed(own)}, {whole(own)})").alias("own_hashes"),
-        F.expr(f"CASE WHEN exists(l, x -> x.level = 1 AND x.x <> '') THEN array_append({hashed(quoted)}, {whole(quoted)}) ELSE array() END").alias("quoted_hashes"),
+        F.expr(hashed("own_pieces", "own_lines")).alias("own_hashes"),
+        F.expr(f"CASE WHEN size(quoted_lines) > 0 THEN {hashed('quoted_pieces', 'quoted_lines')} ELSE array() END").alias("quoted_hashes"),
+        F.expr(f"array_distinct(concat({_runs('quoted_words', PART)}, {short}))").alias("quoted_parts"),
         F.expr("array_max(transform(l, x -> x.level))").alias("levels"),
     )
 
@@ -61,6 +90,7 @@ def chat_format(messages: DataFrame) -> DataFrame:
     """One row per row of ``messages`` (conv_id, turn, role, text): conv_id, turn, role, reply_to, linked, quote_levels, branch, position, text, chat.
 
     reply_to is the turn of the message quoted (linked = true) or else of the one before;
+    a quote is linked by any whole sentence or line, any PART words in a row, or all of a shorter passage;
     null for a conversation's first. ``branch`` is the turn that opened the message's
     branch, ``position`` its place in the reply-ordered conversation from 0, ``text`` what
     it says itself, and ``chat`` that with its role marked. Null text counts as empty; a
@@ -70,14 +100,18 @@ def chat_format(messages: DataFrame) -> DataFrame:
     scratch = Scratch(messages.sparkSession)
     rows = messages.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.col("role").cast("string").alias("role"), F.col("text").cast("string").alias("text"))
     parsed = scratch.keep(parse_quotes(rows).drop("text").withColumn("uid", F.monotonically_increasing_id()).withColumn("stretch", F.floor(F.coalesce("turn", F.lit(-1)) / STRETCH)))
-    quotes = parsed.where(F.size("quoted_hashes") > 0).select("uid", "conv_id", "turn", "stretch", F.explode("quoted_hashes").alias("h"))
-    said = parsed.select("conv_id", "turn", "stretch", F.explode("own_hashes").alias("h")).where("turn is not null")
+    # A quote's parts together weigh as much as one sentence, so that whole sentences decide.
+    weighed = F.expr("concat(transform(quoted_hashes, h -> named_struct('h', h, 'w', 1D)), transform(quoted_parts, h -> named_struct('h', h, 'w', 1D / size(quoted_parts))))")
+    quotes = parsed.where(F.size("quoted_hashes") > 0).select("uid", "conv_id", "turn", "stretch", F.inline(weighed))
+    own = RowFilter(quotes, "conv_id").some(parsed, "conv_id").where("turn is not null").withColumn("words", F.expr(_words("own")))
+    parts = F.expr(f"array_distinct(concat({', '.join(_runs('words', n) for n in range(1, PART + 1))}))")
+    said = own.select("conv_id", "turn", "stretch", F.explode(F.concat("own_hashes", parts)).alias("h"))
     said = RowFilter(quotes, "conv_id", "h").some(said, "conv_id", "h").distinct()  # most sentences are quoted by nobody
-    events = quotes.select("uid", "conv_id", "h", "stretch", "turn", F.lit(None).cast("long").alias("original"))
-    events = events.unionByName(said.select(F.lit(None).cast("long").alias("uid"), "conv_id", "h", "stretch", "turn", F.col("turn").alias("original")))
+    events = quotes.select("uid", "conv_id", "h", "w", "stretch", "turn", F.lit(None).cast("long").alias("original"))
+    events = events.unionByName(said.select(F.lit(None).cast("long").alias("uid"), "conv_id", "h", F.lit(None).cast("double").alias("w"), "stretch", "turn", F.col("turn").alias("original")))
     linked = _before(events, ["conv_id", "h"], [F.col("turn"), F.col("original").isNotNull()], {"source": "max(original)", "sources": "count(original)"})
     # A sentence that several earlier messages say counts less; ties go to the later message.
-    votes = linked.where("uid is not null and source is not null and source < turn").groupBy("uid", "source").agg(F.sum(1 / F.col("sources")).alias("weight"))
+    votes = linked.where("uid is not null and source is not null and source < turn").groupBy("uid", "source").agg(F.sum(F.col("w") / F.col("sources")).alias("weight"))
     links = votes.groupBy("uid").agg(F.max_by("source", F.struct(F.round("weight", 6), "source")).alias("quoted"))
 
     placed = parsed.select("uid", "conv_id", "turn", "stretch").join(links, "uid", "left")

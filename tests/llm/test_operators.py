@@ -420,6 +420,21 @@ def test_chat_edges(spark):
     assert (last.reply_to, last.linked, last.text, last.quote_levels) == (0, True, "fine", 1) and last.chat == "<|user|>\nfine\n"
 
 
+def test_chat_parts_of_messages(spark):
+    """Turn 0 is quoted by its lines, by parts of its sentences and at deeper levels; turn 1 stands between."""
+    said = "- milk and eggs\n- two loaves of rye bread\nprint(x)\nWe could meet at the old station on Tuesday after lunch, or later."
+    quotes = ["> - two loaves of rye bread", "> print(x)", "> meet at the old station on Tuesday", "> old\n> station on", "> Tuesday after lunch", ">> - milk and eggs", "> On Monday Bob wrote:\n> > - milk and eggs", ">>> the old station on Tuesday after", ">\n>> print(x)"]
+    rows = [(n, t, "user", x) for n, q in enumerate(quotes) for t, x in enumerate([said, "Two loaves. The old bread and milk.", q + "\nSure."])]
+    rows += [(50 + n, t, "user", x) for n, q in enumerate(["> 明日は雨です。", "> 駅で会いましょう"]) for t, x in enumerate(["今日は晴れ。明日は雨です。古い駅で会いましょうか。", "はい。", q])]
+    got = {(r.conv_id, r.turn): r for r in chat_format(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
+    assert {c: (got[c, 2].reply_to, got[c, 2].linked, got[c, 2].branch) for c, t in got if t == 2} == {c: (0, True, 2) for c, t in got if t == 2}
+
+
+def test_chat_whole_sentences_decide(spark):
+    rows = [(1, 0, "user", "Yes."), (1, 1, "user", "I say yes to that."), (1, 2, "user", "> Yes.\nGood."), (1, 3, "user", "> nobody ever said all of this here\nNo."), (1, 4, "user", "> Good.\n>> Yes.\nAh.")]
+    assert [(r[2], r[3]) for r in chat(spark, rows)] == [(None, False), (0, False), (0, True), (2, False), (2, True)]
+
+
 def test_chat_is_native(spark):
     plan = chat_format(spark.createDataFrame(CHAT, "conv_id long, turn long, role string, text string"))._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Arrow|Pandas", plan)
