@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.workers import ship
+from ..sources import scratch
 from . import aggregates as A
 from .browse import induced
 
@@ -220,65 +221,95 @@ def _brandes(starts: np.ndarray, indptr: np.ndarray, indices: np.ndarray, weight
     return total
 
 
-#: Edges up to which a graph is sent whole to every worker.
-WHOLE_GRAPH_EDGES = 5_000_000
+#: Edges of a component that one task holds at most, and from which its sources are dealt over tasks.
+WHOLE_GRAPH_EDGES, SOURCE_EDGES = 5_000_000, 10_000
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """(node, component) of every node of ``edges``; a component is named by its smallest node."""
+    def kept(df: DataFrame) -> DataFrame:
+        path = scratch.path(edges.sparkSession, "components")
+        df.write.parquet(path)
+        return edges.sparkSession.read.parquet(path)
+
+    both = kept(edges.select(F.col("src").alias("node"), F.col("dst").alias("near")).unionByName(edges.select(F.col("dst").alias("node"), F.col("src").alias("near"))))
+    labels = kept(both.groupBy("node").agg(F.least("node", F.min("near")).alias("component")))
+    while True:
+        least = both.join(labels.toDF("near", "other"), "near").groupBy("node").agg(F.min("other").alias("other"))
+        new = labels.join(least, "node").select("node", "component", F.least("component", "other").alias("new"))
+        # A label is a node as well: take over its label of before.
+        new = kept(new.join(labels.toDF("new", "further"), "new").select("node", "component", F.least("new", "further").alias("new")))
+        labels = new.select("node", F.col("new").alias("component"))
+        if new.where("new <> component").isEmpty():
+            return labels
+
+
+def _by_component(edges: DataFrame) -> DataFrame:
+    """``edges`` and their component, none of which is too large for one task."""
+    parts = edges.join(components(edges).withColumnRenamed("node", "src"), "src")
+    most = parts.groupBy("component").count().agg(F.max("count")).first()[0] or 0
+    if most > WHOLE_GRAPH_EDGES:
+        raise ValueError(f"a component of {most} edges is too large for one task; take a subgraph, a sample of sources or label_propagation")
+    return parts
+
+
+def _adjacent(a: np.ndarray, b: np.ndarray, w: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    tail, head, both = np.concatenate([a, b]), np.concatenate([b, a]), np.concatenate([w, w])
+    order = np.argsort(tail, kind="stable")
+    return np.concatenate([[0], np.cumsum(np.bincount(tail, minlength=n))]), head[order], both[order]
 
 
 def betweenness(nodes: DataFrame, edges: DataFrame, key: str = "id", invert_weight: bool = False) -> DataFrame:
     """(id, betweenness_centrality), normalised; edge weights are taken as distances unless inverted.
 
-    Sources are dealt over the tasks, each of which holds the adjacency; a graph of more
-    than WHOLE_GRAPH_EDGES edges is refused rather than broadcast.
+    No path leaves a connected component, so small components are dealt over the tasks, and a large
+    one's sources are; one of more than WHOLE_GRAPH_EDGES edges is refused.
     """
     spark = edges.sparkSession
     ship(spark)
-    m = edges.count()
-    if m > WHOLE_GRAPH_EDGES:
-        raise ValueError(f"{m} edges are too many to hold in one worker; take a subgraph or sample of sources")
-    ids = np.array(sorted(r[0] for r in nodes.select(key).collect()))
-    e = edges.select("src", "dst", "weight").toPandas()
-    at = {v: i for i, v in enumerate(ids.tolist())}
-    a, b = e["src"].map(at).to_numpy(np.int64), e["dst"].map(at).to_numpy(np.int64)
-    w = e["weight"].to_numpy(float)
-    w = 1 / w if invert_weight else w
-    tail, head, both = np.concatenate([a, b]), np.concatenate([b, a]), np.concatenate([w, w])
-    order = np.argsort(tail, kind="stable")
-    indptr = np.concatenate([[0], np.cumsum(np.bincount(tail, minlength=len(ids)))])
-    graph = spark.sparkContext.broadcast((ids, indptr, head[order], both[order]))
-    scale = 1 / ((len(ids) - 1) * (len(ids) - 2)) if len(ids) > 2 else 1.0
+    edges = edges.select("src", "dst", (1 / F.col("weight") if invert_weight else F.col("weight")).cast("double").alias("weight"))
+    size = nodes.count()
+    scale = 1 / ((size - 1) * (size - 2)) if size > 2 else 1.0
 
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known, ptr, idx, wts = graph.value
-        for part in parts:
-            total = _brandes(part["id"].to_numpy(), ptr, idx, wts)
-            hit = np.flatnonzero(total)
-            yield pd.DataFrame({"at": hit, "b": total[hit]})
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        found, at = np.unique(pdf[["src", "dst"]].to_numpy(), return_inverse=True)
+        a, b = at.reshape(-1, 2).T
+        starts = np.arange(pdf["share"].iloc[0], len(found), pdf["shares"].iloc[0])
+        return pd.DataFrame({key: found, "b": _brandes(starts, *_adjacent(a, b, pdf["weight"].to_numpy(float), len(found)))})
+
+    parts = _by_component(edges)
+    buckets = 1 + edges.count() // SOURCE_EDGES
+    most = spark.sparkContext.defaultParallelism * 4
+    shares = parts.groupBy("component").agg(F.least(F.lit(most), F.ceil(F.count("*") / SOURCE_EDGES)).cast("int").alias("shares"))
+    dealt = parts.join(shares, "component").withColumn("share", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)))
+    dealt = dealt.withColumn("part", F.when(F.col("shares") == 1, F.pmod(F.xxhash64("component"), F.lit(buckets))).otherwise(F.col("component")))
+    sums = dealt.groupBy("shares", "part", "share").applyInPandas(run, f"{key} long, b double").groupBy(key).agg(F.sum("b").alias("b"))
+    return nodes.select(key).join(sums, key, "left").select(key, F.round(F.coalesce("b", F.lit(0.0)) * scale, 9).alias("betweenness_centrality"))
 
-    tasks = spark.sparkContext.defaultParallelism * 4
-    sums = spark.range(0, len(ids), 1, tasks).mapInPandas(run, "at long, b double").groupBy("at").agg(F.sum("b").alias("b"))
-    names = spark.createDataFrame(pd.DataFrame({"at": np.arange(len(ids)), key: ids}))
-    return names.join(sums, "at", "left").select(key, F.round(F.coalesce("b", F.lit(0.0)) * scale, 9).alias("betweenness_centrality"))
 
+def greedy_modularity(edges: list[tuple[int, int, float]], total: float | None = None) -> list[set[int]]:
+    """Clauset-Newman-Moore: merge the pair of communities of largest gain until none gains; ties go to the smaller ids.
 
-def greedy_modularity(edges: list[tuple[int, int, float]]) -> list[set[int]]:
-    """Clauset-Newman-Moore: merge the pair of communities of largest gain until none gains; ties go to the smaller ids."""
+    ``total`` is twice the weight of the whole graph where ``edges`` are some of its components.
+    """
     degree: dict[int, float] = {}
     near: dict[int, dict[int, float]] = {}
     for a, b, w in edges:
         if a == b:
             continue
-        degree[a], degree[b] = degree.get(a, 0.0) + w, degree.get(b, 0.0) + w
-        near.setdefault(a, {})[b] = near.setdefault(a, {}).get(b, 0.0) + w
-        near.setdefault(b, {})[a] = near.setdefault(b, {}).get(a, 0.0) + w
-    total = sum(degree.values())
+        degree[a], degree[b] = degree.get(a, 0) + w, degree.get(b, 0) + w
+        near.setdefault(a, {})[b] = near.setdefault(a, {}).get(b, 0) + w
+        near.setdefault(b, {})[a] = near.setdefault(b, {}).get(a, 0) + w
+    total = sum(degree.values()) if total is None else total
+    least = 0 if isinstance(total, int) else total**2 * 5e-13  # whole numbers are compared exactly
     members = {v: {v} for v in degree}
     while True:
         best = None
         for a in sorted(near):
             for b, w in near[a].items():
                 if a < b:
-                    gain = 2 * (w / total - degree[a] * degree[b] / total**2)
-                    if gain > 1e-12 and (best is None or gain > best[0] + 1e-12 or (abs(gain - best[0]) <= 1e-12 and (a, b) < best[1])):
+                    gain = w * total - degree[a] * degree[b]
+                    if gain > least and (best is None or gain > best[0] + least or (abs(gain - best[0]) <= least and (a, b) < best[1])):
                         best = (gain, (a, b))
         if best is None:
             return sorted(members.values(), key=lambda s: (-len(s), min(s)))
@@ -288,26 +319,31 @@ def greedy_modularity(edges: list[tuple[int, int, float]]) -> list[set[int]]:
         for c, w in near.pop(b).items():
             near[c].pop(b)
             if c != a:
-                near[a][c] = near[a].get(c, 0.0) + w
-                near[c][a] = near[c].get(a, 0.0) + w
+                near[a][c] = near[a].get(c, 0) + w
+                near[c][a] = near[c].get(a, 0) + w
 
 
 def communities(nodes: DataFrame, edges: DataFrame, key: str = "id") -> DataFrame:
     """(id, cluster_id) by greedy modularity over all weights 1; ids by size, isolated nodes get one each after them.
 
-    The method is sequential over one graph, so it runs in one task and takes no more than
-    WHOLE_GRAPH_EDGES edges; :func:`label_propagation` is for larger graphs.
+    Communities merge only within a connected component, by gains that depend on the rest of
+    the graph by its number of edges alone; so each component is a task's, of at most
+    WHOLE_GRAPH_EDGES edges; :func:`label_propagation` is for larger ones.
     """
+    edges = edges.select("src", "dst").where("src <> dst")
+    total = 2 * edges.count()
+
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        found = greedy_modularity([(int(a), int(b), 1.0) for a, b in zip(pdf["src"], pdf["dst"])])
-        return pd.DataFrame([(v, k) for k, s in enumerate(found) for v in sorted(s)], columns=[key, "cluster_id"])
+        found = [s for _, part in pdf.groupby("component") for s in greedy_modularity(list(zip(part["src"].tolist(), part["dst"].tolist(), [1] * len(part))), total)]
+        return pd.DataFrame([(v, len(s), min(s)) for s in found for v in sorted(s)], columns=[key, "size", "least"])
 
     ship(edges.sparkSession)
-    if edges.count() > WHOLE_GRAPH_EDGES:
-        raise ValueError("too many edges for one task; use label_propagation")
-    named = edges.select("src", "dst", F.lit(1).alias("all")).groupBy("all").applyInPandas(run, f"{key} long, cluster_id long")
+    parts = _by_component(edges).withColumn("part", F.pmod(F.xxhash64("component"), F.lit(1 + total // SOURCE_EDGES)))
+    found = parts.groupBy("part").applyInPandas(run, f"{key} long, size long, least long")
+    numbers = found.select("size", "least").distinct().select("least", (F.expr("row_number() over (order by size desc, least)") - 1).alias("cluster_id"))
+    named = found.join(numbers, "least").select(key, "cluster_id")
     alone = nodes.select(key).join(edges.select(F.explode(F.array("src", "dst")).alias(key)).distinct(), key, "left_anti")
-    first = named.agg(F.coalesce(F.max("cluster_id") + 1, F.lit(0)).alias("_first"))
+    first = numbers.agg(F.coalesce(F.max("cluster_id") + 1, F.lit(0)).alias("_first"))
     alone = alone.crossJoin(F.broadcast(first)).select(key, (F.col("_first") + F.expr(f"row_number() over (order by {key})") - 1).alias("cluster_id"))
     return named.unionByName(alone)
 

@@ -289,22 +289,12 @@ def gr_explain(c):
 
 @query()
 def gr_betweenness(c):
-    """Over the graph of conferences that share authors: small at any scale."""
-    return G.betweenness(*_conference_graph(c))
+    return G.betweenness(c.papers, c.edges)
 
 
 @query()
 def gr_communities(c):
-    return G.communities(*_conference_graph(c))
-
-
-def _conference_graph(c):
-    """Conferences (nations), linked by the number of authors (suppliers) whose papers both have."""
-    p = c.papers.select(F.col("id").alias("paper_id"), "edition_id").join(c.editions.select(F.col("id").alias("edition_id"), "conference_id"), "edition_id")
-    rows = p.join(c.paper_authors, "paper_id").select(F.col("conference_id").cast("long").alias("v"), "author_id").distinct()
-    pairs = rows.toDF("src", "author_id").join(rows.toDF("dst", "author_id"), "author_id").where("src < dst")
-    edges = pairs.groupBy("src", "dst").agg(F.count("*").cast("double").alias("weight"))
-    return c.conferences.select(F.col("id").cast("long").alias("id")), edges
+    return G.communities(c.papers, c.edges)
 
 
 @query()

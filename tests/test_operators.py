@@ -55,6 +55,25 @@ def test_communities_of_two_cliques(spark):
     assert spread[8] == 8 and len(spread) == 10
 
 
+def test_graphs_by_component(spark, monkeypatch):
+    rows = [(0, 1, 1), (1, 2, 1), (2, 3, 1), (3, 4, 1), (10, 11, 5), (10, 12, 1), (11, 12, 1), *((20, k, 2) for k in range(21, 25))]
+    chain = [(k, k + 1, 1) for k in range(99, 29, -1)]
+    numbers = lambda rows: [{r[0]: r[1] for r in f(nodes(spark, 110), edges(spark, rows)).collect()} for f in (G.betweenness, G.communities)]
+    want = numbers(rows + chain)
+    monkeypatch.setattr(G, "SOURCE_EDGES", 5)
+    got = numbers(rows + chain)
+    assert got[0] == pytest.approx(want[0]) and got[1] == want[1] and len(want[0]) == len(want[1]) == 110
+    by: dict[int, set] = {}
+    for v, k in want[1].items():
+        by.setdefault(k, set()).add(v)
+    whole = G.greedy_modularity([(a, b, 1) for a, b, _ in rows + chain])
+    assert [by[k] for k in range(len(whole))] == whole
+    monkeypatch.setattr(G, "WHOLE_GRAPH_EDGES", 60)
+    for f in (G.betweenness, G.communities):
+        with pytest.raises(ValueError, match="component of 70 edges"):
+            f(nodes(spark, 110), edges(spark, rows + chain))
+
+
 def entities(spark):
     rows = [(p, "technique", n, c) for p, n, c in [(1, "Adam", "Adam"), (1, "adam", None), (2, "ADAM", "Adam"), (3, "raw", None), (2, "raw", None)]]
     rows += [(1, "category", "adam", None), (1, "category", "LLM", None), (2, "category", "llm", None), (1, "dataset", "C4", None), (2, "dataset", "c4", None), (3, "methodology", "m", None)]

@@ -47,3 +47,12 @@ def test_query(spark, duck, name):
         quoted = ", ".join(f'"{c}"' for c in cols)
         want = sorted(tuple(map(_plain, r)) for r in duck.sql(f"select {quoted} from ({registry.ORACLE_SQL[name]})").fetchall())
         assert got == want
+
+
+@pytest.mark.skipif(not os.path.isdir(DIR), reason="the tables are not there")
+@pytest.mark.parametrize("name", ["gr_betweenness", "gr_communities"])
+def test_graph_of_papers(spark, name):
+    from inkwell.plans import registry
+
+    papers = {r[0] for r in spark.read.parquet(f"{DIR}/orders.parquet").select("o_orderkey").collect()}
+    assert {r.id for r in registry.QUERIES[name](spark, DIR).select("id").collect()} == papers
