@@ -108,10 +108,11 @@ def row_hash() -> Column:
 
 def without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
     """``docs`` less the rows whose (doc_id, row_hash) is in ``dropped``; only rows that may be dropped are shuffled."""
-    marked = RowFilter(dropped, "doc_id").mark(docs, "doc_id")
-    gone = dropped.select(F.col("doc_id").cast(docs.schema["doc_id"].dataType).alias("__ink_key"), F.col("row_hash").alias("__ink_hash")).distinct()
+    # An int and a long of one value have different hashes.
+    gone = dropped.select(F.col("doc_id").cast("long").alias("__ink_key"), F.col("row_hash").alias("__ink_hash")).distinct()
+    marked = RowFilter(gone, "__ink_key").mark(docs.withColumn("__ink_id", F.col("doc_id").cast("long")), "__ink_id").drop("__ink_id")
     unsure = marked.where("__ink_may").drop("__ink_may")
-    same = unsure["doc_id"].eqNullSafe(gone["__ink_key"]) & (F.xxhash64(unsure["text"].cast("string")) == gone["__ink_hash"])
+    same = unsure["doc_id"].cast("long").eqNullSafe(gone["__ink_key"]) & (F.xxhash64(unsure["text"].cast("string")) == gone["__ink_hash"])
     return marked.where("not __ink_may").drop("__ink_may").unionByName(unsure.join(gone, same, "left_anti"))
 
 

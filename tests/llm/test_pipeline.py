@@ -78,3 +78,12 @@ def test_run(spark, planted):
             assert r.ids_crc32 == zlib.crc32(ids[at : at + r.length].tobytes())
             at += r.length
         assert at == len(ids)
+
+
+def test_without_takes_ids_of_any_whole_type(spark):
+    from inkwell.llm.common import row_hash, without
+
+    docs = spark.createDataFrame([(i, f"t{i}") for i in range(20)] + [(None, "n")], "doc_id int, text string")
+    gone = docs.where("doc_id % 2 = 0 or doc_id is null").select(docs["doc_id"].cast("long").alias("doc_id"), row_hash())
+    left = without(docs, gone)
+    assert left.schema == docs.schema and sorted(r.doc_id for r in left.collect()) == list(range(1, 20, 2))
