@@ -46,6 +46,8 @@ def features(texts: pa.Array) -> Iterator[tuple[int, int, list[tuple[np.ndarray,
         out = [((span_hashes(part, starts, ends) >> np.uint64(64 - TABLE_BITS)).astype(np.int64), np.searchsorted(row, np.arange(end - first + 1)))]
         again = np.zeros(len(starts), np.int64)
         again[1:] = out[0][0][1:] == out[0][0][:-1]
+        firsts = out[0][1][:-1]
+        again[firsts[firsts < len(again)]] = 0
         out.append((again, out[0][1]))
         wide = part.astype(np.uint32)
         for g in GRAMS:
@@ -55,7 +57,7 @@ def features(texts: pa.Array) -> Iterator[tuple[int, int, list[tuple[np.ndarray,
                 h += wide[k : k + n] * _GRAM[g, k]
                 h ^= h >> np.uint32(7)
             # A row has its n-grams but for those that reach into the next row.
-            out.append((_mixed32(h), np.minimum(at, n)))
+            out.append((_mixed32(h), at))
         yield first, end, out
 
 
@@ -105,10 +107,10 @@ def score(texts: pa.Array, table: np.ndarray, bias: float) -> np.ndarray:
         total, n = np.zeros(end - first), np.zeros(end - first)
         for k, (rows, edges) in enumerate(kinds):
             sums = np.concatenate([[0.0], np.cumsum(table[rows], dtype=np.float64)])
-            last = np.maximum(edges[:-1], edges[1:] - (GRAMS[k - 2] - 1 if k > 1 else 0))
-            last = np.minimum(last, len(rows))
-            total += sums[last] - sums[edges[:-1]]
-            n += last - edges[:-1]
+            start = np.minimum(edges[:-1], len(rows))
+            last = np.maximum(start, edges[1:] - (GRAMS[k - 2] - 1 if k > 1 else 0))
+            total += sums[last] - sums[start]
+            n += last - start
         out[first:end] = 1 / (1 + np.exp(-(total / np.maximum(n, 1) + bias)))
     return out
 

@@ -200,6 +200,18 @@ def test_quality_score_is_the_feature_mean():
         assert abs(1 / (1 + np.exp(-z)) - s) < 1e-4
 
 
+def test_quality_of_a_text_does_not_depend_on_its_neighbours():
+    table = np.random.default_rng(1).standard_normal(1 << quality.TABLE_BITS).astype(np.float32)
+    texts = ["one two", "two two three", "ab", "three", None, "three x", "", "abc", "c"]
+    alone = [next(quality.counts(pa.array([t], pa.string()))) for t in texts]
+    assert len(alone[texts.index("abc")][0]) == 3  # word, pair, one n-gram
+    for (a, x), (b, y) in zip(alone, quality.counts(pa.array(texts, pa.string()))):
+        assert a.tolist() == b.tolist() and x.tolist() == y.tolist()
+    got = quality.score(pa.array(texts, pa.string()), table, 0.3)
+    assert np.allclose(got, [quality.score(pa.array([t], pa.string()), table, 0.3)[0] for t in texts])
+    assert np.allclose(got, [1 / (1 + np.exp(-(float(x @ table[a]) + 0.3))) for a, x in alone], atol=1e-4)
+
+
 def test_toxicity(spark):
     rows = synthetic(900, 3)
     docs = frame(spark, [(d, t, "s") for d, t, _, _ in rows] + [(9000, None, "s"), (9001, "", "s")])
