@@ -9,6 +9,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from inkwell.llm import minhash
 from inkwell.llm.exact_dedup import exact_dedup, golomb_decode, golomb_encode
 from inkwell.llm.minhash import near_dedup
 
@@ -112,9 +113,12 @@ def test_near_empty(spark):
     assert near(spark, []) == []
 
 
-@pytest.mark.parametrize("seed", [1, 2])
-def test_near_cloud(spark, seed):
-    """A large group around one text with all similarities from little to much, and texts that share a passage."""
+@pytest.mark.parametrize("seed, block", [(1, None), (2, 24)])
+def test_near_cloud(spark, seed, block, monkeypatch):
+    """A large group around one text with all similarities from little to much, and texts that share a passage; also in many blocks."""
+    if block:
+        monkeypatch.setattr(minhash, "BLOCK", block)
+        monkeypatch.setattr(minhash, "VISITORS", block // 2)
     rng = random.Random(seed)
     word = lambda: "".join(rng.choices("abcdefgh", k=5))
     base, passage = [word() for _ in range(80)], [word() for _ in range(40)]
