@@ -17,32 +17,42 @@ from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-#: Slots of a RowFilter: 2**24 bits, so at most 2**18 rows of 64 bits are broadcast.
-FILTER_BITS = 24
+#: A RowFilter has 16 bits for each key, but 2**16 to 2**30 bits (128 MB) in all.
+FILTER_BITS = (16, 30)
+#: Bits of a RowFilter that one broadcast row holds, as a power of two.
+CHUNK_BITS = 16
+#: Bytes of text that an Arrow batch holds, but for its last row.
+BATCH_BYTES = 32 << 20
 #: Documents are handled in runs of about so many bytes of text.
 RUN_BYTES = 2 << 20
 
 
 def tune(spark: SparkSession) -> None:
-    """Arrow batches of few rows, so that a batch of very long texts fits in memory; workers find this package."""
+    """Arrow batches of few rows and bytes, so that very long texts fit in memory; workers find this package.
+
+    These settings of the session stay, as a plan reads them only when it is run.
+    """
     root = str(Path(__file__).resolve().parents[2])
     own = spark.sparkContext.environment.get("PYTHONPATH", "")
     if root not in own.split(os.pathsep):
         spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join(filter(None, [own, root]))
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")) > 1000:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one of our own only where none is set."""
+    """The folder that driver and executors share; one of our own only where none is set and all run on one machine."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found.rstrip("/")
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
+        if not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="inkwell-"))
     return context._jsc.sc().getCheckpointDir().get().rstrip("/")
 
@@ -72,30 +82,31 @@ class Scratch:
 
 
 class RowFilter:
-    """Which rows may have a key of ``keys``: a bit set of fixed size, broadcast at 2**18 rows at most.
+    """Which rows may have a key of ``keys``: a bit set that is broadcast, of 16 bits a key and 128 MB at most.
 
-    It has no false negatives and few false positives while the keys are few next to
-    2**24; with more it lets ever more rows through, so an exact join must follow.
+    It has no false negatives and few false positives up to 10**8 keys; with more it lets
+    ever more rows through, so an exact join must follow. ``keys`` is read twice.
     """
 
     def __init__(self, keys: DataFrame, *cols: str):
+        least, most = FILTER_BITS
+        self.bits = min(most, max(least, (16 * keys.count()).bit_length()))
         slot = self._slot(*(F.col(c) for c in cols))
-        self.words = (
-            keys.select(slot.alias("s"))
-            .groupBy(F.shiftright("s", 6).alias("__ink_word"))
-            .agg(F.expr("bit_or(shiftleft(1L, cast(s & 63 as int)))").alias("__ink_bits"))
-        )
+        some = keys.select(slot.alias("s")).selectExpr("shiftright(s, 6) AS word", "shiftleft(1L, cast(s & 63 AS int)) AS bit")
+        every = keys.sparkSession.range(1 << (self.bits - 6)).selectExpr("id AS word", "0L AS bit")
+        words = some.unionByName(every).groupBy("word").agg(F.expr("bit_or(bit)").alias("bits"))
+        chunks = words.groupBy(F.shiftright("word", CHUNK_BITS - 6).alias("__ink_chunk")).agg(F.sort_array(F.collect_list(F.struct("word", "bits"))).alias("w"))
+        self.chunks = chunks.select("__ink_chunk", F.expr("transform(w, x -> x.bits)").alias("__ink_words"))
 
-    @staticmethod
-    def _slot(*cols: Column) -> Column:
-        return F.pmod(F.xxhash64(*cols), F.lit(1 << FILTER_BITS))
+    def _slot(self, *cols: Column) -> Column:
+        return F.pmod(F.xxhash64(*cols), F.lit(1 << self.bits))
 
     def mark(self, df: DataFrame, *cols: str) -> DataFrame:
         """``df`` and a boolean ``__ink_may``. No row moves."""
         slot = self._slot(*(df[c] for c in cols))
-        out = df.withColumn("__ink_slot", slot).withColumn("__ink_word", F.shiftright("__ink_slot", 6))
-        bit = F.expr("coalesce(shiftright(__ink_bits, cast(__ink_slot & 63 as int)) & 1, 0) = 1")
-        return out.join(F.broadcast(self.words), "__ink_word", "left").withColumn("__ink_may", bit).drop("__ink_word", "__ink_slot", "__ink_bits")
+        out = df.withColumn("__ink_slot", slot).withColumn("__ink_chunk", F.shiftright("__ink_slot", CHUNK_BITS))
+        bit = F.expr(f"coalesce(shiftright(get(__ink_words, cast(shiftright(__ink_slot, 6) & {(1 << (CHUNK_BITS - 6)) - 1} AS int)), cast(__ink_slot & 63 AS int)) & 1, 0) = 1")
+        return out.join(F.broadcast(self.chunks), "__ink_chunk", "left").withColumn("__ink_may", bit).drop("__ink_chunk", "__ink_slot", "__ink_words")
 
     def some(self, df: DataFrame, *cols: str) -> DataFrame:
         """The rows of ``df`` that may have one of the keys."""
@@ -108,9 +119,13 @@ def row_hash() -> Column:
 
 
 def without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
-    """``docs`` less the rows whose (doc_id, row_hash) is in ``dropped``; only rows that may be dropped are shuffled."""
+    """``docs`` less the rows whose (doc_id, row_hash) is in ``dropped``; only rows that may be dropped are shuffled.
+
+    ``dropped`` is written once, as the filter and the join both read it.
+    """
     # An int and a long of one value have different hashes.
     gone = dropped.select(F.col("doc_id").cast("long").alias("__ink_key"), F.col("row_hash").alias("__ink_hash")).distinct()
+    gone = Scratch(docs.sparkSession).keep(gone)
     marked = RowFilter(gone, "__ink_key").mark(docs.withColumn("__ink_id", F.col("doc_id").cast("long")), "__ink_id").drop("__ink_id")
     unsure = marked.where("__ink_may").drop("__ink_may")
     same = unsure["doc_id"].cast("long").eqNullSafe(gone["__ink_key"]) & (F.xxhash64(unsure["text"].cast("string")) == gone["__ink_hash"])
@@ -136,6 +151,21 @@ def map_arrow(df: DataFrame, function: Callable[[pa.RecordBatch], Iterator[pa.Re
     return df.mapInArrow(run, schema)
 
 
+def sampled(docs: DataFrame, labels: DataFrame, label: str, rows: int, size: int, where: Column | None = None) -> DataFrame:
+    """(doc_id, label, text) to train on: labelled documents in the order of a hash of doc_id, ``rows`` and ``size`` bytes of text at most.
+
+    Null and other labels than 0 and 1 and null doc_ids don't count. Repeated doc_ids count as often as they are.
+    """
+    known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("label"))
+    known = known.where(F.col("label").isin(0, 1) & F.col("doc_id").isNotNull() & (F.lit(True) if where is None else where))
+    known = known.orderBy(F.xxhash64("doc_id"), "doc_id", "label").limit(rows)
+    found = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id")
+    order = [F.xxhash64("doc_id"), F.col("doc_id"), F.col("label"), F.xxhash64("text")]
+    found = found.orderBy(*order).limit(rows)
+    so_far = F.sum(F.coalesce(F.octet_length("text"), F.lit(0))).over(Window.orderBy(*order))
+    return found.withColumn("so_far", so_far).where(F.col("so_far") <= size).drop("so_far")
+
+
 def learn(rows: DataFrame, train: Callable[[pa.Table], bytes]) -> bytes | None:
     """What ``train`` makes of all of ``rows``, a sample of bounded size, in one executor's task; None without rows."""
 

@@ -14,13 +14,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import learn, map_arrow, runs, span_hashes, spans, strings, tune
+from .common import learn, map_arrow, runs, sampled, span_hashes, spans, strings, tune
 
 #: log2 of the rows of the vector table, and a vector's length.
 TABLE_BITS, WIDTH = 18, 8
 GRAMS = (3, 4, 5)
 #: Labelled documents that training sees at most, and passes over them.
 SAMPLE, EPOCHS, RATE = 3000, 6, 0.5
+#: Bytes of text that training sees at most.
+SAMPLE_BYTES = 256 << 20
 
 _NOT_SPACE = np.ones(256, bool)
 _NOT_SPACE[[0x20, *range(0x09, 0x0E)]] = False
@@ -116,8 +118,8 @@ def score(texts: pa.Array, table: np.ndarray, bias: float) -> np.ndarray:
 
 
 def _fitted(rows: pa.Table) -> bytes:
-    rows = rows.sort_by([("doc_id", "ascending"), ("quality", "ascending"), ("text", "ascending")])
-    table, bias = train([x or "" for x in rows["text"].to_pylist()], rows["quality"].to_pylist())
+    rows = rows.sort_by([("doc_id", "ascending"), ("label", "ascending"), ("text", "ascending")])
+    table, bias = train([x or "" for x in rows["text"].to_pylist()], rows["label"].to_pylist())
     return np.append(table, np.float32(bias)).tobytes()
 
 
@@ -129,17 +131,15 @@ def held_out(doc_id: str = "doc_id"):
 def quality_scores(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, threshold: float = 0.3) -> DataFrame:
     """One row per row of ``docs``: doc_id, held_out, score (of label 1), predicted.
 
-    At most ``sample`` labelled documents, the first by a hash of doc_id, are
-    trained on, in one task; a null label or doc_id is not. Null and empty texts have no
+    At most ``sample`` labelled documents of SAMPLE_BYTES in all, the first by a hash of
+    doc_id, are trained on, in one task; a null label or doc_id is not. Null and empty texts have no
     features and get the bias's score; with no labelled rows every score is 0.5. A null
     doc_id is not held out. Repeated rows repeat. Other columns are ignored.
     """
     spark = docs.sparkSession
     tune(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality"))
-    known = known.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out()).orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(sample)
-    model = learn(docs.join(F.broadcast(known), "doc_id"), lambda t: _fitted(t))
+    model = learn(sampled(docs, labels, "quality", sample, SAMPLE_BYTES, ~held_out()), lambda t: _fitted(t))
     both = np.frombuffer(model, np.float32) if model else np.zeros((1 << TABLE_BITS) + 1, np.float32)
     table, bias = both[:-1], float(both[-1])
     table = spark.sparkContext.broadcast(table)
