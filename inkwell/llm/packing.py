@@ -66,7 +66,10 @@ class Encoder:
     def __call__(self, text: str) -> np.ndarray:
         if self.ranked is None or _NOT_PLAIN.search(text):
             return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint16)
-        return self.ranked.encode_to_numpy(text, allowed_special=set(), disallowed_special=()).astype(np.uint16)
+        try:
+            return self.ranked.encode_to_numpy(text, allowed_special=set(), disallowed_special=()).astype(np.uint16)
+        except ValueError:  # a run of a million blanks is too long for its pattern
+            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint16)
 
 
 def projection() -> np.ndarray:
@@ -160,7 +163,8 @@ def pack(docs: DataFrame, tokenizer: str, length: int = LENGTH) -> DataFrame:
     empty (id 0 alone). Pieces tile each document and each sequence without gaps; a
     sequence has ``length`` ids, only the very last may have fewer. Repeated rows and rows
     without doc_id are packed like any other; ties on the curve go by doc_id. Other
-    columns are ignored; an empty table gives an empty result.
+    columns are ignored; an empty table gives an empty result. Texts are encoded whole,
+    however long. A vocabulary of more than 65,536 ids is refused with a ValueError.
     """
     spark = docs.sparkSession
     tune(spark)
