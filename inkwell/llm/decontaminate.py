@@ -18,12 +18,14 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_arrow, mix, row_hash, runs, span_hashes, spans, strings, tune
+from .common import Scratch, map_arrow, mix, row_hash, runs, span_hashes, spans, strings, tune
 
 MIN_MATCH = 4
 COVERAGE = 0.5
-#: Bytes of benchmark text that are held against the documents at a time.
+#: Bytes of distinct benchmark texts that are held against the documents at a time.
 BLOCK_BYTES = 8 << 20
+#: Items that share a seed up to which it joins them to a document by itself.
+COMMON = 16
 
 #: Tokens are runs of letters, digits and all that is not ASCII.
 TOKEN = np.zeros(256, bool)
@@ -103,7 +105,7 @@ def tiles(item: list[int], text: list[int], least: int = MIN_MATCH) -> list[tupl
 class Index:
     """The seeds of a block of benchmark items."""
 
-    def __init__(self, ids: list[int], texts: list[str], least: int):
+    def __init__(self, ids: list[int], texts: list[str], least: int, coverage: float):
         self.ids, self.tokens, seeds = ids, [], []
         for _, tokens, edges in token_hashes(pa.array(texts, pa.large_string())):
             self.tokens += [tokens[a:b] for a, b in zip(edges[:-1], edges[1:])]
@@ -117,6 +119,23 @@ class Index:
         self.places = np.array([s[2] for s in seeds], np.int64)
         self.maybe = np.zeros(1 << 20, bool)
         self.maybe[(self.hashes >> np.uint64(44)).astype(np.int64)] = True
+        # A seed of many items joins only those that such seeds alone could cover; to the others it
+        # is added once another seed has joined them.
+        _, back, counts = np.unique(self.hashes, return_inverse=True, return_counts=True)
+        common = np.flatnonzero(counts[back] > COMMON)
+        self.common: dict[int, dict[int, list[int]]] = defaultdict(lambda: defaultdict(list))
+        for k in common.tolist():
+            self.common[int(self.items[k])][int(self.hashes[k])].append(int(self.places[k]))
+        later = set()
+        for k, of in self.common.items():
+            covered, width = np.zeros(len(self.tokens[k]), bool), min(least, len(self.tokens[k]))
+            for p in sorted(p for ps in of.values() for p in ps):
+                covered[p : p + width] = True
+            if covered.sum() < coverage * len(covered):
+                later.add(k)
+        self.common = {k: dict(v) for k, v in self.common.items() if k in later}
+        now = ~(np.isin(self.items, list(later)) & (counts[back] > COMMON)) if later else np.ones(len(seeds), bool)
+        self.hashes, self.items, self.places = self.hashes[now], self.items[now], self.places[now]
 
     def hits(self, tokens: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
         """(place in tokens, width, first and end of the equal seeds)."""
@@ -141,6 +160,11 @@ def _matched(index, least: int, coverage: float):
                         by[row, int(ix.items[k])].append((place - int(edges[row]), int(ix.places[k]), width))
             for (row, item), seeds in by.items():
                 own = ix.tokens[item]
+                if common := ix.common.get(item):
+                    width, start = min(least, len(own)), int(edges[row])
+                    rolled = window_hashes(tokens[start : edges[row + 1]], width)
+                    for place in np.flatnonzero(np.isin(rolled, np.array(list(common), np.uint64))).tolist():
+                        seeds += [(place, p, width) for p in common[int(rolled[place])]]
                 # No tile reaches beyond its seeds, so they bound the coverage and bear all that can match.
                 covered = np.zeros(len(own), bool)
                 spots = set()
@@ -161,7 +185,7 @@ def _matched(index, least: int, coverage: float):
                     rows.append((docs[first + row], ix.ids[item], size / len(own), size, len(own), len(found), hashes[first + row]))
         if rows:
             kinds = [pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64(), pa.int64(), pa.int64()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], ["doc_id", "item_id", "coverage", "matched", "item_tokens", "tiles", "row_hash"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], ["doc_id", "uid", "coverage", "matched", "item_tokens", "tiles", "row_hash"])
 
     return match
 
@@ -172,18 +196,27 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, least: int = MIN_MATCH,
     Tokens are lower-cased. An item of fewer than ``least`` tokens must occur whole; one
     without tokens (or null) matches nothing. Null and empty texts match nothing. Repeated
     rows of either table give repeated pairs; a null id is carried as it is. Other
-    columns are ignored. The benchmark is taken in blocks of bounded size, each held
-    against all documents, so its size is free.
+    columns are ignored. The benchmark's distinct texts are taken in blocks of bounded size,
+    each held against all documents, so its size is free; a block's index is gone before
+    the next is made.
     """
     spark = docs.sparkSession
     tune(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), row_hash()).where("text is not null")
     benchmark = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("text is not null")
-    total = benchmark.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    scratch = Scratch(spark)
+    benchmark = scratch.keep(benchmark.withColumn("low", F.xxhash64("text")).withColumn("high", F.xxhash64("text", F.lit(1))))
+    texts = benchmark.groupBy("low", "high").agg(F.first("text").alias("text"))
+    texts = scratch.keep(texts.withColumn("uid", F.monotonically_increasing_id()))
+    total = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks, out = max(1, math.ceil(total / BLOCK_BYTES)), None
     for k in range(blocks):
-        block = benchmark.where(F.pmod(F.xxhash64("text"), F.lit(blocks)) == k).collect()
-        index = spark.sparkContext.broadcast(Index([r["item_id"] for r in block], [r["text"] for r in block], least))
-        found = map_arrow(docs, _matched(index, least, coverage), "doc_id long, item_id long, coverage double, matched long, item_tokens long, tiles long, row_hash long")
+        block = texts.where(F.pmod("low", F.lit(blocks)) == k).select("uid", "text").collect()
+        index = spark.sparkContext.broadcast(Index([r["uid"] for r in block], [r["text"] for r in block], least, coverage))
+        found = map_arrow(docs, _matched(index, least, coverage), "doc_id long, uid long, coverage double, matched long, item_tokens long, tiles long, row_hash long")
+        if blocks > 1:
+            found = scratch.keep(found)
+            index.destroy()
         out = found if out is None else out.unionByName(found)
-    return out
+    items = texts.select("uid", "low", "high").join(benchmark.select("low", "high", "item_id"), ["low", "high"]).select("uid", "item_id")
+    return out.join(items, "uid").select("doc_id", "item_id", "coverage", "matched", "item_tokens", "tiles", "row_hash")
