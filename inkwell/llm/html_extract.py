@@ -12,8 +12,10 @@ from __future__ import annotations
 
 import html
 import math
+import pickle
 import random
 import re
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
 from zlib import crc32
@@ -22,9 +24,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_arrow, tune
+from .common import learn, map_arrow, tune
 
-_TAG = re.compile(r"""<!--.*?(?:--!?>|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<[!?/][^>]*(?:>|\Z)""", re.S)
+_TAG = re.compile(r"""<!--.*?(?:--!?>|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*"|'[^']*')*+)>|<[!?/][^>]*(?:>|\Z)""", re.S)
+#: Tags that end at the next ``>`` whatever quotes say, and how tags begin.
+_LOOSE = re.compile(r"""<!--.*?(?:--!?>|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<[!?/][^>]*(?:>|\Z)""", re.S)
+_OPENS = re.compile("</?[a-zA-Z]")
 _ATTRIBUTE = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*(?:"([^"]*)(?:"|\Z)|'([^']*)(?:'|\Z)|([^\s"'>][^\s>]*)))?""")
 _NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 _WHITE = re.compile(r"\s+")
@@ -42,14 +47,72 @@ CLOSES = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "d
 SCOPE = {"table", "td", "th", "button", "object", "html"}
 
 
+#: What a start tag closes and where the search for it stops, by the place in Node.near.
+NEAR = [({"p"}, SCOPE), *dict.fromkeys((frozenset(a), frozenset(b)) for a, b in CLOSES.values())]
+_NEAR_OF = {tag: [frozenset(x) for x, _ in NEAR].index(frozenset(ends)) for tag, (ends, _) in CLOSES.items()}
+
+
 class Node:
-    __slots__ = ("tag", "names", "parent", "children", "text", "linked", "hidden", "label", "size", "links")
+    """An element or run of text; ``near``, ``scope`` and ``box`` tell what is open around it without a walk up the stack."""
+
+    __slots__ = ("tag", "names", "parent", "text", "linked", "hidden", "label", "size", "links", "article", "depth", "near", "scope", "box", "around", "ended")
 
     def __init__(self, tag: str, parent: Node | None, names: tuple[str, ...] = (), hidden: bool = False, label: str | None = None):
         self.tag, self.parent, self.names, self.hidden, self.label = tag, parent, names, hidden, label
-        self.children, self.text, self.linked, self.size, self.links = [], [], 0, 0, 0
-        if parent is not None:
-            parent.children.append(self)
+        self.text, self.linked, self.size, self.links, self.around, self.ended = [], 0, 0, 0, None, False
+        self.article = None if parent is None else parent if parent.tag in ("article", "main") else parent.article
+
+
+class _Stack:
+    """The open elements. Each step takes constant time on average, whatever is open."""
+
+    def __init__(self, root: Node):
+        root.depth, root.near, root.scope, root.box = 0, (None,) * len(NEAR), 0, root
+        self.open, self.by_tag, self.hidden, self.first, self.unseen = [root], defaultdict(list), [], 0, 0
+
+    def push(self, node: Node) -> None:
+        top, tag = self.open[-1], node.tag
+        node.depth, node.near, node.scope, node.box = len(self.open), top.near, top.scope, top.box
+        if tag not in INLINE:
+            node.box = node
+        if tag in SCOPE:
+            node.scope = node.depth
+        if tag in _MARKS:
+            node.near = tuple(node if tag in ends else None if tag in stop else was for (ends, stop), was in zip(NEAR, top.near))
+        self.open.append(node)
+        self.by_tag[tag].append(node)
+        if node.hidden:
+            self.hidden.append(node)
+            self.unseen += 1
+
+    def pop_to(self, depth: int) -> None:
+        while len(self.open) > depth:
+            node = self.open.pop()
+            same = self.by_tag[node.tag]
+            if same and same[-1] is node:
+                same.pop()
+            if self.hidden and self.hidden[-1] is node:
+                self.hidden.pop()
+                self.unseen -= not node.ended
+
+    def unseen_below(self, depth: int) -> bool:
+        """Whether a hidden element is open further out."""
+        if not self.unseen:
+            return False
+        self.first = min(self.first, len(self.hidden) - 1)
+        while self.hidden[self.first].ended:
+            self.first += 1
+        return self.hidden[self.first].depth < depth
+
+    def last(self, tag: str) -> Node | None:
+        """The innermost open element of this tag."""
+        same = self.by_tag[tag]
+        while same and same[-1].ended:
+            same.pop()
+        return same[-1] if same else None
+
+
+_MARKS = set().union(*(set(a) | set(b) for a, b in NEAR))
 
 
 def parse(source: str) -> list[Node]:
@@ -58,143 +121,130 @@ def parse(source: str) -> list[Node]:
     Markup that browsers don't show is left out; unclosed and misnested tags are put
     right in the usual way: a new block ends an open paragraph, an end tag without a
     start is ignored. A hidden inline element ends at its own end tag, and the text
-    around it is one run; inline elements are on the stack only within hidden ones.
+    around it is one run; inline elements are on the stack only within hidden ones. One
+    that ends before blocks that it holds stays on the stack without effect. Time and
+    memory grow with the page's length, however its tags are nested.
     """
     root = Node("#root", None)
-    nodes, stack, at, n = [root], [root], 0, len(source)
-    open_inline: list[str] = []
+    nodes, stack, at, n = [root], _Stack(root), 0, len(source)
+    inline: Counter[str] = Counter()
     leaf: Node | None = None
-    unseen = 0
-    around: dict[Node, tuple[Node | None, list[str]]] = {}
+    tags, begin, last_tag = _TAG, 0, source.rfind(">")
 
     def put(text: str) -> None:
         nonlocal leaf
-        if unseen or not text:
+        if stack.unseen or not text:
             return
         if leaf is None:
             if not text.strip():
                 return
-            leaf = Node("#text", stack[-1])
+            leaf = Node("#text", stack.open[-1].box)
             nodes.append(leaf)
         text = html.unescape(text)
         leaf.text.append(text)
-        if "a" in open_inline:
+        if inline["a"]:
             leaf.linked += len(text)
 
-    def pop_to(k: int) -> None:
-        nonlocal unseen
-        while len(stack) > k:
-            unseen -= stack.pop().hidden
-
     def end_inline(tag: str) -> None:
         """Ends the last inline element of this tag on the stack; blocks that it holds stay open."""
-        nonlocal leaf, unseen
-        for k in range(len(stack) - 1, 0, -1):
-            if stack[k].tag == tag:
-                break
-            if stack[k].tag in SCOPE or stack[k].tag not in INLINE and tag not in FORMATTING:
-                return
-        else:
+        nonlocal leaf, inline
+        node, top = stack.last(tag), stack.open[-1]
+        if node is None or top.scope > node.depth or tag not in FORMATTING and top.box.depth > node.depth:
+            return
+        below = stack.unseen_below(node.depth)
+        leaf, inline = node.around[0], Counter(node.around[1])
+        if node is top:
+            stack.pop_to(node.depth)
             return
-        node, *rest = stack[k:]
-        del stack[k:]
-        unseen -= node.hidden
-        leaf, open_inline[:] = around[node]
-        above = sum(x.hidden for x in stack)
-        for x in rest:
-            above += x.hidden
-            if x.tag in INLINE and not above:
-                open_inline.append(x.tag)
+        node.ended = True
+        stack.unseen -= node.hidden
+        for k in range(node.depth + 1, len(stack.open)):
+            x = stack.open[k]
+            if below or x.hidden and not x.ended:  # what follows stays unseen
+                leaf, inline = None, Counter()
+                break
+            if x.tag in INLINE:
+                if not x.ended:
+                    x.ended = True
+                    inline[x.tag] += 1
                 continue
-            x.parent, leaf = stack[-1], None
-            stack.append(x)
-            open_inline.clear()
-            if not above:
-                nodes.append(x)
+            leaf, inline = None, Counter()
+            nodes.append(x)
 
     while at < n:
-        m = _TAG.search(source, at)
+        start = source.find("<", begin, n)
+        m = None
+        if start >= 0:
+            opens = _OPENS.match(source, start)
+            m = None if opens and start > last_tag else tags.match(source, start)
+            if m is None and tags is _TAG and opens and start < last_tag:
+                # Its quotes leave it open up to the page's end: from here on tags are read without them.
+                tags = _LOOSE
+                m = tags.match(source, start)
+            if m is None:
+                begin = start + 1
+                continue
+        put(source[at : start if m else n])
         if m is None:
-            put(source[at:])
             break
-        put(source[at : m.start()])
-        at = m.end()
-        tag = m[2] or m[5]
+        at = begin = m.end()
+        tag = m[2]
         if tag is None:
             if m[0].startswith("<![CDATA["):
                 put(m[0][9:].removesuffix("]]>").replace("&", "&amp;"))
             continue
-        tag, closing = tag.lower(), bool(m[1] or m[4])
-        if closing:
+        tag = tag.lower()
+        if m[1]:
             if tag in INLINE and tag not in UNSEEN:
-                if tag in open_inline:
-                    del open_inline[len(open_inline) - 1 - open_inline[::-1].index(tag)]
+                if inline[tag]:
+                    inline[tag] -= 1
                 else:
                     end_inline(tag)
                 continue
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].tag == tag:
-                    pop_to(k)
-                    leaf = None
-                    open_inline.clear()
-                    break
-                if stack[k].tag in SCOPE and tag not in SCOPE and tag not in ("body", "html"):
-                    break
+            node = stack.last(tag)
+            if node is not None and (stack.open[-1].scope <= node.depth or tag in SCOPE or tag in ("body", "html")):
+                stack.pop_to(node.depth)
+                leaf, inline = None, Counter()
             continue
-        rest = m[3] if m[2] else m[6]
+        rest = m[3]
         attributes = {k.lower(): a or b or c or "" for k, a, b, c in _ATTRIBUTE.findall(rest)} if rest else {}
         bare = rest.lower() if rest else ""
         hidden = tag in UNSEEN or "hidden" in attributes or attributes.get("aria-hidden") == "true" or "display:none" in attributes.get("style", "").replace(" ", "").lower()
         if tag in RAW:
             end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(source, at)
-            at = end.end() if end else n
+            at = begin = end.end() if end else n
             continue
-        if unseen and tag == "a":
+        if stack.unseen and tag == "a":
             end_inline(tag)
-        if tag in INLINE and tag not in VOID and (hidden or unseen):
+        if tag in INLINE and tag not in VOID and (hidden or stack.unseen):
             if not bare.endswith("/"):
-                node = Node(tag, stack[-1], hidden=hidden)
-                around[node] = leaf, open_inline[:]
-                stack.append(node)
-                unseen += hidden
-                leaf = None
-                open_inline.clear()
+                node = Node(tag, stack.open[-1].box, hidden=hidden)
+                node.around = leaf, dict(inline)
+                stack.push(node)
+                leaf, inline = None, Counter()
             continue
         if tag in INLINE:
             if tag == "br":
                 put(" ")
             elif tag not in VOID and not bare.endswith("/"):
-                if leaf is None or tag == "a":
-                    pass
-                open_inline.append(tag)
+                inline[tag] += 1
             continue
         if tag in VOID:
             if tag == "hr":
                 leaf = None
             continue
-        if tag in CLOSES:
-            ends, stop = CLOSES[tag]
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].tag in stop:
-                    break
-                if stack[k].tag in ends:
-                    pop_to(k)
-        else:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].tag in SCOPE:
-                    break
-                if stack[k].tag == "p":
-                    pop_to(k)
-                    break
-        leaf = None
-        open_inline.clear()
+        which = _NEAR_OF.get(tag, 0)
+        while (open_one := stack.open[-1].near[which]) is not None:
+            stack.pop_to(open_one.depth)
+            if not which:
+                break
+        leaf, inline = None, Counter()
         names = tuple(w.lower() for w in _NAME.findall(f"{attributes.get('class', '')} {attributes.get('id', '')} {attributes.get('role', '')}"))
-        node = Node(tag, stack[-1], names, hidden, attributes.get("data-label"))
-        if not unseen and not hidden:
+        node = Node(tag, stack.open[-1].box, names, hidden, attributes.get("data-label"))
+        if not stack.unseen and not hidden:
             nodes.append(node)
         if not bare.endswith("/"):
-            stack.append(node)
-            unseen += hidden
+            stack.push(node)
     for node in nodes:
         if node.tag == "#text":
             node.text = [_WHITE.sub(" ", "".join(node.text)).strip()]
@@ -216,9 +266,7 @@ def evidence(node: Node) -> list[str]:
     linked = 0 if share < 0.2 else 1 if share < 0.6 else 2
     if node.tag == "#text":
         return ["text", f"text links {linked}"]
-    above = node.parent
-    while above is not None and above.tag not in ("article", "main"):
-        above = above.parent
+    above = node.article
     out = [f"tag {node.tag}", f"{node.tag} in {above.tag if above is not None else 'page'}", f"box links {linked}", f"{node.tag} links {linked}"]
     for name in node.names:
         out += [f"name {name}", f"start {name[:4]}"]
@@ -372,6 +420,10 @@ def _tree(nodes: list[Node]) -> tuple[list[list[int]], list[int], list[str]]:
     return [[crc32(f.encode()) for f in evidence(x)] for x in nodes], [at[id(x.parent)] if x.parent is not None else -1 for x in nodes], ["text" if x.tag == "#text" else "box" for x in nodes]
 
 
+#: The model, once an executor has trained it.
+_fitted: list[tuple[dict[int, float], dict[str, float]]] = []
+
+
 @lru_cache(1)
 def model() -> tuple[dict[int, float], dict[str, float]]:
     """(log-odds of each piece of evidence, tie of each kind of child), by gradient ascent on the labelled pages' likelihood."""
@@ -420,7 +472,9 @@ def extract(pages: DataFrame) -> DataFrame:
     """
     tune(pages.sparkSession)
     pages = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
-    known = pages.sparkSession.sparkContext.broadcast(model())
+    if not _fitted:
+        _fitted.append(pickle.loads(learn(pages.sparkSession.range(1), lambda _: pickle.dumps(model()))))  # noqa: S301  our own
+    known = pages.sparkSession.sparkContext.broadcast(_fitted[0])
 
     def extracted(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         texts = [main_text(x.as_py(), *known.value) for x in batch.column("html")]
