@@ -4,9 +4,9 @@ Quote levels are parsed line by line. The sentences and lines of what is quoted
 shallowest level are normalised and hashed, and joined within the conversation to the
 latest earlier message that says them itself; so are, for sentences that were cut, all
 runs of PART words and the sentences and lines that are shorter. The message with the
-most weight is the one replied to. A message that
-answers another than the one before it opens a branch. Conversations are put in order
-branch by branch, so that every reply comes after its original, without the quotes.
+most weight is the one replied to. A message that answers another than the one before it
+opens a branch. Conversations are put in the order of their reply trees, depth first, so
+that every reply stands below its original, without the quotes.
 """
 
 from __future__ import annotations
@@ -86,13 +86,62 @@ def _before(rows: DataFrame, keys: list[str], order: list, values: dict[str, str
     return joined.withColumns(both).drop(*(f"{n}_{x}" for n in values for x in ("before", "near")), *(f"k_{k}" for k in [*keys, "stretch"]))
 
 
+def _following(rows: DataFrame, keys: list[str], order: list[str], chunks: list[list[str]]) -> DataFrame:
+    """``rows`` with ``next``, the branch of the next row by ``order`` among those of equal ``keys``.
+
+    Runs within chunks (columns that agree with the order) and then over the chunks' first rows.
+    """
+    if not chunks:
+        return rows.withColumn("next", F.lead("branch").over(Window.partitionBy(*keys).orderBy(*order)))
+    inner = [*keys, *chunks[0]]
+    near = rows.withColumn("near", F.lead("branch").over(Window.partitionBy(*inner).orderBy(*order)))
+    firsts = rows.groupBy(*inner).agg(F.min_by("branch", F.struct(*order)).alias("branch"))
+    firsts = _following(firsts, keys, chunks[0], chunks[1:]).select(*inner, F.col("next").alias("far"))
+    return near.join(firsts, inner).withColumn("next", F.coalesce("near", "far")).drop("near", "far")
+
+
+def _ahead(placed: DataFrame, scratch: Scratch) -> DataFrame | None:
+    """For each branch (cid, branch) of conversations with several, how many messages come before it depth first.
+
+    A branch is a run of messages that each answer the one before; it hangs on the message
+    that its first one quotes. Depth first, a branch's messages come one after another and
+    then the branches that hang on them, those on its last messages first. Entering and
+    leaving each branch are the steps of one walk; each step learns what the walk still
+    counts from there by doubling how far it points, in as many rounds as the number of
+    steps has binary digits.
+    """
+    branches = placed.groupBy("cid", "branch").agg(F.count("*").alias("n"), F.max(F.when(F.col("key") == F.col("branch"), F.col("quoted"))).alias("at"))
+    counted = branches.groupBy("cid").agg(F.count("*").alias("branches"), F.sum("n").alias("total")).where("branches > 1")
+    most = counted.agg(F.max("branches")).first()[0]
+    if most is None:
+        return None
+    branches = scratch.keep(branches.join(counted.select("cid", "total"), "cid"))
+    turns = placed.select("cid", F.col("key").alias("at"), F.col("branch").alias("up")).distinct()
+    hung = branches.where("at is not null").join(turns, ["cid", "at"]).select("cid", "up", "branch", (-F.col("at")).alias("late"))
+    hung = hung.withColumns({"lates": F.floor(F.col("late") / STRETCH), "opened": F.floor(F.col("branch") / STRETCH)})
+    hung = scratch.keep(_following(hung, ["cid", "up"], ["late", "branch"], [["lates", "late", "opened"], ["lates"]]))
+    firsts = hung.groupBy("cid", "up").agg(F.min_by("branch", F.struct("late", "branch")).alias("down")).withColumnRenamed("up", "branch")
+    steps = branches.join(firsts, ["cid", "branch"], "left").join(hung.select("cid", "branch", "up", "next"), ["cid", "branch"], "left")
+    enter = F.struct(F.lit(False).alias("leave"), F.col("branch").alias("of"), F.coalesce("down", "branch").alias("to"), F.col("down").isNull().alias("to_leave"), F.col("n").alias("rest"))
+    leave = F.struct(F.lit(True).alias("leave"), F.col("branch").alias("of"), F.coalesce("next", "up").alias("to"), F.col("next").isNull().alias("to_leave"), F.lit(0).cast("long").alias("rest"))
+    steps = scratch.keep(steps.select("cid", F.inline(F.array(enter, leave))))
+    for _ in range((2 * most).bit_length()):
+        then = steps.select("cid", F.col("of").alias("to"), F.col("leave").alias("to_leave"), F.col("to").alias("then"), F.col("to_leave").alias("then_leave"), F.col("rest").alias("more"))
+        further = steps.join(then, ["cid", "to", "to_leave"], "left")
+        further = scratch.keep(further.select("cid", "leave", "of", F.col("then").alias("to"), F.col("then_leave").alias("to_leave"), (F.col("rest") + F.coalesce("more", F.lit(0))).alias("rest")))
+        scratch.drop(steps)
+        steps = further
+    return steps.where("not leave").join(branches.select("cid", F.col("branch").alias("of"), "total"), ["cid", "of"]).select("cid", F.col("of").alias("branch"), (F.col("total") - F.col("rest")).alias("ahead"))
+
+
 def chat_format(messages: DataFrame) -> DataFrame:
     """One row per row of ``messages`` (conv_id, turn, role, text): conv_id, turn, role, reply_to, linked, quote_levels, branch, position, text, chat.
 
     reply_to is the turn of the message quoted (linked = true) or else of the one before;
     a quote is linked by any whole sentence or line, any PART words in a row, or all of a shorter passage;
     null for a conversation's first. ``branch`` is the turn that opened the message's
-    branch, ``position`` its place in the reply-ordered conversation from 0, ``text`` what
+    branch, ``position`` its place from 0 in the reply tree depth first (replies to one message
+    by turn), ``text`` what
     it says itself, and ``chat`` that with its role marked. Null text counts as empty; a
     null conv_id is a conversation of its own, null turns come first; a null role is
     written as user. Rows repeated with one turn stand together. Other columns are ignored.
@@ -129,13 +178,18 @@ def chat_format(messages: DataFrame) -> DataFrame:
     # Rows of one turn share the branch that any of them opens.
     placed = placed.withColumn("branch", F.max("branch").over(Window.partitionBy("conv_id", "key")))
 
-    runs = placed.groupBy("conv_id", "branch", "stretch").agg(F.count("*").alias("n"))
-    ahead = Window.partitionBy("conv_id").orderBy("branch", "stretch").rowsBetween(Window.unboundedPreceding, -1)
-    runs = runs.select(F.col("conv_id").alias("c"), F.col("branch").alias("b"), F.col("stretch").alias("s"), F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("ahead"))
-    placed = placed.withColumn("within", F.row_number().over(Window.partitionBy("conv_id", "branch", "stretch").orderBy("key", "uid")) - 1)
-    placed = placed.join(runs, placed["conv_id"].eqNullSafe(runs["c"]) & (placed["branch"] == runs["b"]) & (placed["stretch"] == runs["s"]))
+    placed = scratch.keep(placed.withColumn("cid", F.coalesce(F.col("conv_id").cast("string"), F.lit(""))))
+    ahead = _ahead(placed, scratch)
+    runs = placed.groupBy("cid", "branch", "stretch").agg(F.count("*").alias("n"))
+    earlier = Window.partitionBy("cid", "branch").orderBy("stretch").rowsBetween(Window.unboundedPreceding, -1)
+    runs = runs.select("cid", "branch", "stretch", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
+    placed = placed.withColumn("within", F.row_number().over(Window.partitionBy("cid", "branch", "stretch").orderBy("key", "uid")) - 1)
+    placed = placed.join(runs, ["cid", "branch", "stretch"])
+    if ahead is not None:
+        placed = placed.join(ahead, ["cid", "branch"], "left")
+    position = F.col("before") + F.col("within") + (F.lit(0) if ahead is None else F.coalesce("ahead", F.lit(0)))
     known = lambda c: F.when(F.col(c) > -(1 << 62), F.col(c))
-    placed = placed.select("uid", F.coalesce("quoted", known("previous")).alias("reply_to"), F.col("quoted").isNotNull().alias("linked"), known("branch").alias("branch"), (F.col("ahead") + F.col("within")).alias("position"))
+    placed = placed.select("uid", F.coalesce("quoted", known("previous")).alias("reply_to"), F.col("quoted").isNotNull().alias("linked"), known("branch").alias("branch"), position.alias("position"))
     out = parsed.join(placed, "uid")
     chat = F.concat(F.lit("<|"), F.coalesce("role", F.lit("user")), F.lit("|>\n"), F.col("own"), F.lit("\n"))
     return out.select("conv_id", "turn", "role", "reply_to", "linked", F.col("levels").cast("long").alias("quote_levels"), "branch", "position", F.col("own").alias("text"), chat.alias("chat"))
