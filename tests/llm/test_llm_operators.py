@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -12,7 +13,7 @@ import pytest
 from inkwell.llm import decontaminate, html_extract, quality, toxicity
 from inkwell.llm.chat import chat_format
 from inkwell.llm.decontaminate import contaminated, tiles
-from inkwell.llm.html_extract import extract, main_text, messages, model
+from inkwell.llm.html_extract import extract, main_text, messages, model, parse
 from inkwell.llm.license_scan import BASE, PATTERNS, license_scan
 from inkwell.llm.packing import Encoder, hilbert_key, pack
 from inkwell.llm.quality import quality_scores
@@ -81,6 +82,12 @@ def test_hilbert_is_a_curve():
     assert sorted(key.tolist()) == list(range(512)) and (np.abs(np.diff(order, axis=0)).sum(axis=1) == 1).all()
 
 
+@pytest.mark.parametrize("c", [" ", "a", "1", "!", "\n"])
+def test_encoder_takes_runs_of_a_million(c):
+    encode, text = Encoder(tokenizer_path()), f"w {c * 1_000_001} z"
+    assert (encode(text) == np.array(encode.tokenizer.encode(text, add_special_tokens=False).ids)).all()
+
+
 def test_encoder_is_the_tokenizer():
     e = Encoder(tokenizer_path())
     texts = ["it's  a\n\n test'll <|endoftext|> ok  ", "日本語 text x", "", " ", "a b", "é" * 50, "tab\tx\r\n", "x²½ ª!", "'S 're", "\x1c \x85"]
@@ -281,6 +288,22 @@ def test_decontamination_in_blocks(spark, monkeypatch):
     assert sorted((r.doc_id, r.item_id) for r in contaminated(docs, bench).collect()) == [(i, i) for i in range(12)]
 
 
+def test_decontamination_seeds_of_many_items(spark):
+    """All items begin alike: that joins a document only to items that are mostly the beginning."""
+    start = "please answer the following question now"
+    own = lambda i: [f"{c}{i}" for c in "abcdefgh"]
+    items = [(i, " ".join([start, *own(i)])) for i in range(40)] + [(100 + i, f"{start} q{i} r{i} s{i}") for i in range(20)]
+    docs = [(1, start), (2, " ".join([start, *own(3)])), (3, " ".join(own(4))), (4, " ".join(["x", *own(5)[:4], "y", start])), (5, " ".join([start, *own(6)[:3]]))]
+    got = {(r.doc_id, r.item_id): round(r.coverage, 3) for r in contaminated(frame(spark, [(d, t, "s") for d, t in docs]), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    expected = {}
+    for d, t in docs:
+        for i, x in items:
+            share = sum(k for *_, k in tiles_by_hand([hash(w) & 0xFFFFFFFF for w in x.split()], [hash(w) & 0xFFFFFFFF for w in t.split()], decontaminate.MIN_MATCH)) / len(x.split())
+            if share >= decontaminate.COVERAGE:
+                expected[d, i] = round(share, 3)
+    assert got == expected and len(got) == 84
+
+
 # HTML.
 
 
@@ -353,6 +376,18 @@ def test_html_deep_nesting():
     assert isinstance(main_text("<div>" * 5000 + "x" + "</div>" * 5000, *model()), str)
 
 
+@pytest.mark.parametrize("page", ["<div>x" * 40_000, "<a " * 80_000, "<b>x" * 60_000, '<a ">" ' * 40_000, "<i hidden>" * 10_000 + "<div>" * 10_000 + "</i>" * 10_000, "<div>" * 20_000 + "<li></li>" * 10_000, "<div><table>" + "<section>" * 20_000 + "</div>" * 20_000])
+def test_html_takes_time_in_proportion(page):
+    """What is quadratic takes minutes here."""
+    began = time.process_time()
+    parse(page)
+    assert time.process_time() - began < 20
+
+
+def test_html_quotes_that_stay_open():
+    assert [x.text for x in parse('<p>one</p><p title="a > b">two</p><p title="x>three</p><p>four</p>') if x.tag == "#text"] == [["one"], ["two"], ["three"], ["four"]]
+
+
 # Chat.
 
 
@@ -389,7 +424,15 @@ def chat_expected(rows):
             if k == 0 or (source is not None and source != before):
                 branch = turn
             placed.append((branch, turn, source, before, own))
-        for position, (b, turn, source, before, own) in enumerate(sorted(placed, key=lambda x: x[:2])):
+        replies = {}
+        for b, turn, source, before, own in placed:
+            replies.setdefault(source if source is not None else before, []).append((b, turn, source, before, own))
+        walk, ordered = sorted(replies.get(None, []), key=lambda x: -x[1]), []
+        while walk:  # depth first, replies to one message by turn
+            ordered.append(walk.pop())
+            walk += sorted(replies.get(ordered[-1][1], []), key=lambda x: -x[1])
+        assert len(ordered) == len(placed)
+        for position, (b, turn, source, before, own) in enumerate(ordered):
             out.append((conv, turn, source if source is not None else before, source is not None, b, position, own))
     return sorted(out, key=str)
 
@@ -406,6 +449,14 @@ def chat(spark, rows):
     return sorted(((r.conv_id, r.turn, r.reply_to, r.linked, r.branch, r.position, r.text) for r in got), key=str)
 
 
+def test_chat_depth_first(spark):
+    """Turn 4 answers 2 and so comes before 3, which answers 0; 6 answers 3, and 7 answers 4."""
+    rows = [(1, 0, "user", "Alpha one."), (1, 1, "user", "Beta two."), (1, 2, "user", "Gamma three."), (1, 3, "user", "> Alpha one.\nDelta four."), (1, 4, "user", "> Gamma three.\nEpsilon five."), (1, 5, "user", "Zeta six."), (1, 6, "user", "> Delta four.\nEta seven."), (1, 7, "user", "> Epsilon five.\nTheta eight.")]
+    got = {r[1]: r[5] for r in chat(spark, rows)}
+    assert sorted(got, key=got.get) == [0, 1, 2, 4, 5, 7, 3, 6]
+    assert chat(spark, rows) == chat_expected(rows)
+
+
 def test_chat(spark):
     assert chat(spark, CHAT) == chat_expected(CHAT)
     assert chat(spark, []) == []
