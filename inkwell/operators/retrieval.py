@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.workers import ship
 
-# See the README's table of constants.
+# Fixed values.
 SEMANTIC_WEIGHT, CHUNKS, PAPERS, LEAST_COSINE, CHUNK_CHARS, CHUNKS_PER_PAPER = 40.0, 200, 50, 0.30, 2000, 5
 RRF_K, DENSE_WEIGHT, TECHNIQUE_WEIGHT, CATEGORY_WEIGHT = 60, 1.0, 1.4, 0.7
 MAX_RRF = (DENSE_WEIGHT + TECHNIQUE_WEIGHT + CATEGORY_WEIGHT) / RRF_K

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -147,6 +149,11 @@ def segment_simple(docs: DataFrame, key: str = "id", text: str = "text") -> Data
     return body.where("body <> ''").groupBy(key, "section").agg(F.max_by("body", "start").alias("body"))
 
 
+def _once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is evaluated once, however often it is used: a lambda's variable, not its expression."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def llm_context(sections: DataFrame, budget: int = 4000) -> Column:
     """The sections of most value under their caps, until the budget has 50 words or fewer left."""
     parts = F.array(*(F.struct(F.lit(s).alias("s"), F.lit(cap).alias("cap"), F.coalesce(F.col(s), F.lit("")).alias("t")) for s, cap in CONTEXT_CAPS))
@@ -156,7 +163,7 @@ def llm_context(sections: DataFrame, budget: int = 4000) -> Column:
         room = F.least(x["cap"], F.lit(budget) - acc["used"])
         chunk = truncate_words(x["t"], room)
         heading = F.concat(F.lit("=== "), F.upper(F.replace(x["s"], F.lit("_"), F.lit(" "))), F.lit(" ===\n"))
-        added = F.struct((acc["used"] + word_count(chunk)).alias("used"), F.lit(False).alias("done"), F.array_append(acc["out"], F.concat(heading, chunk)).alias("out"))
+        added = _once(chunk, lambda c: F.struct((acc["used"] + word_count(c)).alias("used"), F.lit(False).alias("done"), F.array_append(acc["out"], F.concat(heading, c)).alias("out")))
         return F.when(acc["done"] | (x["t"] == ""), acc).when(room <= 50, F.struct(acc["used"].alias("used"), F.lit(True).alias("done"), acc["out"].alias("out"))).otherwise(added)
 
     return F.aggregate(parts, empty, step, lambda acc: F.array_join(acc["out"], "\n\n"))
@@ -294,9 +301,11 @@ def unwrap(value: Column, path: str) -> Column:
 
 def prose_paragraphs(text: Column, size: int = 3) -> Column:
     """Sentences regrouped by ``size``."""
-    s = F.filter(F.split(text, r"(?<=[.!?])\s+"), lambda x: x != "")
-    starts = F.when(F.size(s) > 0, F.sequence(F.lit(0), F.floor((F.size(s) - 1) / size).cast("int"))).otherwise(F.array().cast("array<int>"))
-    return F.transform(starts, lambda i: F.array_join(F.slice(s, i * size + 1, F.lit(size)), " "))
+    def regrouped(s: Column) -> Column:
+        starts = F.when(F.size(s) > 0, F.sequence(F.lit(0), F.floor((F.size(s) - 1) / size).cast("int"))).otherwise(F.array().cast("array<int>"))
+        return F.transform(starts, lambda i: F.array_join(F.slice(s, i * size + 1, F.lit(size)), " "))
+
+    return _once(F.filter(F.split(text, r"(?<=[.!?])\s+"), lambda x: x != ""), regrouped)
 
 
 # Topics and notebooks.
