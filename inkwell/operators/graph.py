@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Iterator
 
 import numpy as np
@@ -302,25 +303,35 @@ def greedy_modularity(edges: list[tuple[int, int, float]], total: float | None =
         near.setdefault(b, {})[a] = near.setdefault(b, {}).get(a, 0) + w
     total = sum(degree.values()) if total is None else total
     least = 0 if isinstance(total, int) else total**2 * 5e-13  # whole numbers are compared exactly
-    members = {v: {v} for v in degree}
-    while True:
-        best = None
-        for a in sorted(near):
-            for b, w in near[a].items():
-                if a < b:
-                    gain = w * total - degree[a] * degree[b]
-                    if gain > least and (best is None or gain > best[0] + least or (abs(gain - best[0]) <= least and (a, b) < best[1])):
-                        best = (gain, (a, b))
-        if best is None:
-            return sorted(members.values(), key=lambda s: (-len(s), min(s)))
-        a, b = best[1]
+    members, changed = {v: {v} for v in degree}, dict.fromkeys(degree, 0)
+    heap: list[tuple[float, int, int, int, int]] = []
+
+    def offer(a: int, b: int) -> None:
+        a, b = min(a, b), max(a, b)
+        gain = near[a][b] * total - degree[a] * degree[b]
+        if gain > least:
+            heapq.heappush(heap, (-round(gain / least) if least else -gain, a, b, changed[a], changed[b]))
+
+    for a in near:
+        for b in near[a]:
+            if a < b:
+                offer(a, b)
+    while heap:
+        _, a, b, at_a, at_b = heapq.heappop(heap)
+        # An offer is void once either side has grown: what grows makes its offers anew.
+        if a not in members or b not in members or (changed[a], changed[b]) != (at_a, at_b):
+            continue
         members[a] |= members.pop(b)
         degree[a] += degree.pop(b)
+        changed[a] += 1
         for c, w in near.pop(b).items():
             near[c].pop(b)
             if c != a:
                 near[a][c] = near[a].get(c, 0) + w
                 near[c][a] = near[c].get(a, 0) + w
+        for c in near[a]:
+            offer(a, c)
+    return sorted(members.values(), key=lambda s: (-len(s), min(s)))
 
 
 def communities(nodes: DataFrame, edges: DataFrame, key: str = "id") -> DataFrame:
@@ -350,7 +361,9 @@ def communities(nodes: DataFrame, edges: DataFrame, key: str = "id") -> DataFram
 
 def label_propagation(nodes: DataFrame, edges: DataFrame, key: str = "id", rounds: int = 5) -> DataFrame:
     """(id, cluster_id): each node takes the label of most weight around it, ``rounds`` times; ties go to the smaller."""
-    both = symmetrise(edges)
+    path = scratch.path(edges.sparkSession, "propagation")
+    symmetrise(edges).write.parquet(path)  # read again in each round
+    both = edges.sparkSession.read.parquet(path)
     labels = nodes.select(F.col(key).alias("node"), F.col(key).alias("label"))
     for _ in range(rounds):
         votes = both.join(labels.withColumnRenamed("node", "neighbour"), "neighbour").groupBy("node", "label").agg(F.round(F.sum("weight"), 6).alias("w"))
