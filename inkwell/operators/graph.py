@@ -130,24 +130,42 @@ def technique_metrics(techniques: DataFrame, edges: DataFrame, co: DataFrame | N
     return usage.join(reach, "canonical_name").join(best, "canonical_name", "left")
 
 
-def related(edges: DataFrame, papers: DataFrame, node, min_weight: float, k: int) -> DataFrame:
-    """The ``k`` nearest neighbours of a paper, with their titles."""
+def _nearest(edges: DataFrame, node, min_weight: float, k: int) -> DataFrame:
     rows = symmetrise(edges.where((F.col("src") == node) | (F.col("dst") == node))).where((F.col("node") == node) & (F.col("weight") >= min_weight))
-    top = rows.orderBy(F.desc("weight"), "neighbour").limit(k)
-    return top.join(papers.select(F.col("id").alias("neighbour"), "title"), "neighbour").select(F.col("neighbour").alias("id"), "title", "weight")
+    return rows.orderBy(F.desc("weight"), "neighbour").limit(k)
 
 
-def ego(edges: DataFrame, node, min_weight: float, k: int) -> DataFrame:
-    """Nodes of the 1-hop graph around ``node``: the node itself and its ``k`` nearest neighbours."""
-    rows = symmetrise(edges.where((F.col("src") == node) | (F.col("dst") == node))).where((F.col("node") == node) & (F.col("weight") >= min_weight))
-    top = rows.orderBy(F.desc("weight"), "neighbour").limit(k).select(F.col("neighbour").alias("id"), F.lit(False).alias("is_ego"))
-    return top.unionByName(edges.sparkSession.createDataFrame([(node, True)], top.schema))
+def related(edges: DataFrame, papers: DataFrame, entities: DataFrame, node, min_weight: float, k: int) -> DataFrame:
+    """The ``k`` nearest neighbours of a paper, with their columns of ``papers`` and sorted lists of the names of each kind they share."""
+    top = F.broadcast(_nearest(edges, node, min_weight, k).select(F.col("neighbour").alias("id"), "weight"))  # k rows
+    mine = entities.where(F.col("paper_id") == node).select("kind", "name").distinct()
+    theirs = entities.join(top.select(F.col("id").alias("paper_id")), "paper_id").join(mine, ["kind", "name"])
+    lists = theirs.groupBy(F.col("paper_id").alias("id")).agg(*(F.array_sort(F.collect_set(F.when(F.col("kind") == x, F.col("name")))).alias(f"shared_{x}") for x in BASE))
+    none = F.array().cast("array<string>")
+    out = papers.join(top, "id").join(lists, "id", "left")
+    return out.withColumns({f"shared_{x}": F.coalesce(f"shared_{x}", none) for x in BASE})
+
+
+def view(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """A graph to draw as one table, told apart by ``part``: its nodes, its edges (src, dst, weight), and one row of totals."""
+    weights = edges.agg(F.count("*").alias("edge_count"), F.coalesce(F.min("weight"), F.lit(0.0)).alias("min_weight"), F.coalesce(F.max("weight"), F.lit(0.0)).alias("max_weight"))
+    meta = nodes.agg(F.count("*").alias("node_count")).crossJoin(weights)  # one row each
+    out = nodes.withColumn("part", F.lit("node")).unionByName(edges.select("src", "dst", "weight", F.lit("edge").alias("part")), allowMissingColumns=True)
+    return out.unionByName(meta.withColumn("part", F.lit("meta")), allowMissingColumns=True)
+
+
+def ego(nodes: DataFrame, edges: DataFrame, node, min_weight: float, k: int) -> DataFrame:
+    """The 1-hop graph around ``node`` as a :func:`view`: itself, its ``k`` nearest neighbours and the edges to them."""
+    top = _nearest(edges, node, min_weight, k)
+    near = F.broadcast(top.select(F.col("neighbour").alias("id")))  # k rows
+    own = nodes.where(F.col("id") == node).withColumn("is_ego", F.lit(True)).unionByName(nodes.join(near, "id", "left_semi").withColumn("is_ego", F.lit(False)))
+    return view(own, top.select(F.least("node", "neighbour").alias("src"), F.greatest("node", "neighbour").alias("dst"), "weight"))
 
 
 def full_graph(nodes: DataFrame, edges: DataFrame, min_weight: float, cluster: int | None = None) -> DataFrame:
-    """Edges of ``min_weight`` or more among the nodes of a cluster (or all)."""
+    """The nodes of a cluster (or all) and the edges of ``min_weight`` or more among them, as a :func:`view`."""
     keep = nodes if cluster is None else nodes.where(F.col("cluster_id") == cluster)
-    return induced(edges.where(F.col("weight") >= min_weight), keep.select("paper_id"))
+    return view(keep, induced(edges.where(F.col("weight") >= min_weight), keep.select(F.col("id").alias("paper_id"))))
 
 
 def bridge_papers(edges: DataFrame, metrics: DataFrame, threshold: float = BRIDGE) -> DataFrame:

@@ -8,7 +8,7 @@ from ..operators import aggregates as A
 from ..operators import browse as B
 from ..operators import graph as G
 from ..operators import intel as I
-from .aggregate_queries import ROLES_SQL
+from .aggregate_queries import IDF_SQL, ROLES_SQL, TIER_SQL
 from .registry import query
 
 ENTITY_SQL = """ents0 as (
@@ -112,19 +112,56 @@ def join_technique_neighbors(c):
     return near.groupBy("canonical_name").agg(F.count_distinct("neighbour").alias("neighbours"))
 
 
-@query(f"with {SYM_SQL} select id, title, weight from (select neighbour, weight from sym where node = 7 and weight >= 1.5 order by weight desc, neighbour limit 10) join papers on id = neighbour")
+NAMED_SQL = """nodes as (select p.id, title, short_name as conference, p.year, coalesce(p.citation_count, 0) as citation_count, cluster_id, coalesce(degree_centrality, 0) as degree_centrality, coalesce(betweenness_centrality, 0) as betweenness_centrality
+  from papers p left join editions e on e.id = p.edition_id left join conferences c on c.id = e.conference_id left join metrics m on m.paper_id = p.id),
+named as (select paper_id, 'technique' as kind, coalesce(canonical_name, name) as name from techniques union select paper_id, 'dataset', name from datasets
+  union select paper_id, 'category', coalesce(canonical_name, name) from categories union select paper_id, 'methodology', name from methodologies)"""
+
+
+def _nodes(c):
+    """Papers as nodes of a drawing."""
+    conf = c.conferences.select(F.col("id").alias("conference_id"), F.col("short_name").alias("conference"))
+    venue = c.editions.select(F.col("id").alias("edition_id"), "conference_id").join(conf, "conference_id", "left").drop("conference_id")
+    rows = c.papers.select("id", "title", "edition_id", "year", "citation_count").join(venue, "edition_id", "left")
+    rows = rows.join(c.metrics.select(F.col("paper_id").alias("id"), "cluster_id", "degree_centrality", "betweenness_centrality"), "id", "left")
+    zero = {x: F.coalesce(x, F.lit(0)) for x in ("citation_count", "degree_centrality", "betweenness_centrality")}
+    return rows.withColumns(zero).drop("edition_id")
+
+
+def _named(c):
+    one = lambda df, kind, name: df.select("paper_id", F.lit(kind).alias("kind"), name.alias("name"))
+    rows = one(c.techniques, "technique", A.effective_name(False)).unionByName(one(c.datasets, "dataset", F.col("name")))
+    return rows.unionByName(one(c.categories, "category", A.effective_name(False))).unionByName(one(c.methodologies, "methodology", F.col("name")))
+
+
+_SHARED_SQL = ", ".join(f"coalesce(string_agg(s.name, '; ' order by s.name) filter (s.kind = '{k}'), '') as shared_{k}" for k in G.BASE)
+
+
+@query(f"""with {SYM_SQL}, {NAMED_SQL}, near as (select neighbour as id, weight from sym where node = 7 and weight >= 1.5 order by weight desc, neighbour limit 10),
+s as (select t.paper_id, t.kind, t.name from named t join named m on m.paper_id = 7 and m.kind = t.kind and m.name = t.name where t.paper_id in (select id from near))
+select nodes.*, near.weight, {_SHARED_SQL} from near join nodes using (id) left join s on s.paper_id = nodes.id group by all""")
 def gr_related(c):
-    return G.related(c.edges, c.papers, 7, 1.5, 10)
+    rows = G.related(c.edges, _nodes(c), _named(c), 7, 1.5, 10)
+    return rows.withColumns({f"shared_{k}": F.array_join(f"shared_{k}", "; ") for k in G.BASE})
+
+
+def _view_sql(nodes, edges):
+    cols = "id, title, conference, year, citation_count, cluster_id, degree_centrality, betweenness_centrality"
+    return f"""n as ({nodes}), e as ({edges})
+select 'node' as part, n.*, null::bigint as src, null::bigint as dst, null::double as weight, null::bigint as node_count, null::bigint as edge_count, null::double as min_weight, null::double as max_weight from n
+union all by name select 'edge' as part, src, dst, weight from e
+union all by name select 'meta' as part, (select count(*) from n) as node_count, count(*) as edge_count, coalesce(min(weight), 0) as min_weight, coalesce(max(weight), 0) as max_weight from e"""
 
 
-@query(f"with {SYM_SQL} select id, is_ego from (select neighbour as id, false as is_ego from sym where node = 7 and weight >= 1.0 order by weight desc, neighbour limit 30) union all select 7, true")
+@query(f"with {SYM_SQL}, {NAMED_SQL}, near as (select neighbour, weight from sym where node = 7 and weight >= 1.0 order by weight desc, neighbour limit 30), " + _view_sql(
+    "select *, id = 7 as is_ego from nodes where id = 7 or id in (select neighbour from near)", "select least(7, neighbour) as src, greatest(7, neighbour) as dst, weight from near"))
 def gr_ego(c):
-    return G.ego(c.edges, 7, 1.0, 30)
+    return G.ego(_nodes(c), c.edges, 7, 1.0, 30)
 
 
-@query("select src, dst, weight from edges where weight >= 1.5 and src in (select paper_id from metrics where cluster_id = 3) and dst in (select paper_id from metrics where cluster_id = 3)")
+@query(f"with {NAMED_SQL}, " + _view_sql("select * from nodes where cluster_id = 3", "select src, dst, weight from edges where weight >= 1.5 and src in (select id from n) and dst in (select id from n)"))
 def gr_full_graph(c):
-    return G.full_graph(c.metrics, c.edges, 1.5, 3)
+    return G.full_graph(_nodes(c), c.edges, 1.5, 3)
 
 
 @query("with nodes as (select kind from (select name as kind, count(distinct paper_id) as u from methodologies group by 1) where u >= 2) select a.name as a, b.name as b, count(*) as n from methodologies a join methodologies b on a.paper_id = b.paper_id and a.name < b.name where a.name in (from nodes) and b.name in (from nodes) group by 1, 2 having count(*) >= 5")
@@ -237,11 +274,18 @@ def srt_category_rankings(c):
     return long.withColumn("rank", F.expr("row_number() over (partition by metric order by value desc, name)"))
 
 
-@query("""with prof as (select cluster_id, count(*) as papers, round(avg(citation_count), 2) as avg_citations, round(avg(degree_centrality), 4) as avg_degree from metrics join papers on id = paper_id group by 1),
+@query(f"""with {IDF_SQL}, prof as (select cluster_id, count(*) as papers, round(avg(citation_count), 2) as avg_citations, round(avg(degree_centrality), 4) as avg_degree, round(avg(betweenness_centrality), 5) as avg_betweenness from metrics join papers on id = paper_id group by 1),
+tn as (select cluster_id, canonical_name as name, {TIER_SQL} = 'GENERIC' as generic, count(distinct paper_id) as n from metrics join techniques using (paper_id) join idf using (canonical_name) group by 1, 2, 3),
+tr as (select *, row_number() over (partition by cluster_id, generic order by n desc, name) as r from tn),
+te as (select cluster_id, coalesce(string_agg(name || ':' || n, '; ' order by r) filter (not generic and r <= 10), '') as techniques, coalesce(string_agg(name || ':' || n, '; ' order by r) filter (generic and r <= 5), '') as generic_techniques from tr group by 1),
+co as (select a.cluster_id, coalesce(round(avg(weight) filter (a.cluster_id = b.cluster_id), 4), 0) as intra, coalesce(round(avg(weight) filter (a.cluster_id <> b.cluster_id), 4), 0) as inter from edges join metrics a on a.paper_id = src join metrics b on b.paper_id = dst group by 1),
+ends as (select src as p, dst as q from edges union all select dst, src from edges),
+br as (select cluster_id, count(*) as bridges from (select a.cluster_id, a.paper_id from ends join metrics a on a.paper_id = p join metrics b on b.paper_id = q group by a.cluster_id, a.paper_id, a.neighbors_count having count_if(a.cluster_id <> b.cluster_id) / greatest(a.neighbors_count, 1) >= 0.3) group by 1),
 cats as (select cluster_id, string_agg(name || ':' || n, '; ' order by r) as categories from (select cluster_id, name, count(*) as n, row_number() over (partition by cluster_id order by count(*) desc, name) as r from metrics join categories using (paper_id) group by 1, 2) where r <= 8 group by 1)
-select * from prof left join cats using (cluster_id)""")
+select prof.*, categories, coalesce(techniques, '') as techniques, coalesce(generic_techniques, '') as generic_techniques, coalesce(intra, 0) as intra, coalesce(inter, 0) as inter, case when inter > 0 then round(intra / inter, 3) else 0 end as cohesion, coalesce(bridges, 0) as bridges
+from prof left join cats using (cluster_id) left join te using (cluster_id) left join co using (cluster_id) left join br using (cluster_id)""")
 def gr_community_profile(c):
-    return I.community_profile(c.metrics, c.papers, c.categories)
+    return I.community_profile(c.metrics, c.papers, c.categories, c.techniques, c.edges)
 
 
 @query("""with n as (select cluster_id, name, count(*) as n, row_number() over (partition by cluster_id order by count(*) desc, name) as r from metrics join categories using (paper_id) group by 1, 2),
