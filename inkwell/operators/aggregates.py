@@ -137,3 +137,18 @@ def top_clusters(metrics: DataFrame, papers: DataFrame, categories: DataFrame, l
     cats = cats.withColumn("r", F.expr("row_number() over (partition by cluster_id order by n desc, name)")).where("r <= 4")
     cats = cats.groupBy("cluster_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("r", "name"))), lambda x: x["name"]), "; ").alias("categories"))
     return size.join(top, "cluster_id", "left").join(cats, "cluster_id", "left")
+
+
+def snapshot(tables: dict[str, DataFrame]) -> DataFrame:
+    """(name, n_rows) of some tables."""
+    out = None
+    for name, df in tables.items():
+        part = df.agg(F.lit(name).alias("name"), F.count("*").alias("n_rows"))
+        out = part if out is None else out.unionByName(part)
+    return out.select("name", "n_rows")
+
+
+def snapshot_delta(before: DataFrame, after: DataFrame) -> DataFrame:
+    """(name, before, n_rows, delta) of two snapshots; a table that one of them lacks has 0 rows there."""
+    out = before.withColumnRenamed("n_rows", "before").join(after, "name", "full_outer").fillna(0)
+    return out.select("name", "before", "n_rows", (F.col("n_rows") - F.col("before")).alias("delta"))

@@ -336,3 +336,9 @@ def assign_topics(docs: DataFrame, scores: DataFrame, fallback: str, key: str =
 def capacity_batches(assigned: DataFrame, size: int = 45, group: str = "slug", key: str = "id") -> DataFrame:
     """Adds the notebook, from 1, that an assignment goes to: ``size`` of each topic in one."""
     return assigned.withColumn("notebook", (F.floor((F.row_number().over(Window.partitionBy(group).orderBy(key)) - 1) / size) + 1).cast("int"))
+
+
+def reading_minutes(text: Column) -> Column:
+    """Minutes that a text takes at 200 words a minute, 1 at least; halves are rounded up."""
+    words = word_count(F.coalesce(text, F.lit("")))
+    return F.greatest(F.lit(1), F.floor(words / 200 + 0.5)).cast("long")

@@ -162,16 +162,22 @@ def agg_effective_contrib(c):
     return rows.crossJoin(F.broadcast(total)).select("tier", F.round(100 * F.col("a") / F.col("ta"), 2).alias("before"), F.round(100 * F.col("b") / F.col("tb"), 2).alias("after"))
 
 
-TABLES = ["papers", "authors", "techniques", "categories", "datasets", "methodologies", "edges"]
+TABLES = ["conferences", "editions", "papers", "authors", "paper_authors", "techniques", "categories", "datasets", "methodologies", "metrics", "edges"]
+#: Tables whose rows belong to a paper; the snapshot before has the papers of before 1998.
+OF_PAPERS = ["paper_authors", "techniques", "categories", "datasets", "methodologies", "metrics"]
 
 
-@query(" union all ".join(f"select '{t}' as name, count(*) as n_rows from {t}" for t in TABLES))
+def _snapshot_sql(t):
+    before = f"{t} where year < 1998" if t == "papers" else f"{t} where paper_id in (select id from papers where year < 1998)" if t in OF_PAPERS else t
+    return f"select '{t}' as name, (select count(*) from {before}) as before, (select count(*) from {t}) as n_rows"
+
+
+@query("select *, n_rows - before as delta from (" + " union all ".join(map(_snapshot_sql, TABLES)) + ")")
 def agg_snapshot_counts(c):
-    out = None
-    for t in TABLES:
-        part = getattr(c, t).agg(F.lit(t).alias("name"), F.count("*").alias("n_rows"))
-        out = part if out is None else out.unionByName(part)
-    return out.select("name", "n_rows")
+    old = c.papers.where("year < 1998")
+    now = {t: getattr(c, t) for t in TABLES}
+    before = now | {t: now[t].join(old.select(F.col("id").alias("paper_id")), "paper_id", "left_semi") for t in OF_PAPERS} | {"papers": old}
+    return A.snapshot_delta(A.snapshot(before), A.snapshot(now))
 
 
 @query("select canonical_name, count(distinct name) as merged, string_agg(distinct name, '; ' order by name) as names from techniques where canonical_name is not null group by 1 having count(distinct name) > 1")
@@ -237,6 +243,11 @@ def agg_corpus_size(c):
     return c.papers.agg(F.count("*").alias("n_papers"), F.count_distinct("title").alias("n_titles"))
 
 
+@query("select id, title from papers")
+def dim_titles(c):
+    return c.papers.select("id", "title")
+
+
 @query("select r_name, n_name, grouping(r_name, n_name)::int as level, count(*) as customers, round(sum(c_acctbal), 2) as balance from customer join nation on c_nationkey = n_nationkey join region on n_regionkey = r_regionkey group by rollup (r_name, n_name)")
 def agg_rollup(c):
     n = c.table("customer").join(c.table("nation"), F.col("c_nationkey") == F.col("n_nationkey")).join(c.table("region"), F.col("n_regionkey") == F.col("r_regionkey"))

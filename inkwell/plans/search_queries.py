@@ -214,7 +214,10 @@ def ret_hybrid(c):
 FEATURE_SQL = """f1 as (select name as feature_id, paper_id, row_number() over (partition by name order by confidence desc, paper_id) - 1 as position from categories),
 f2 as (select feature_id, paper_id, matches, row_number() over (partition by feature_id order by matches desc, citation_count desc nulls last, paper_id) - 1 as position from
   (select c.name as feature_id, m.paper_id, count(distinct lower(m.name)) as matches, any_value(citation_count) as citation_count from (select distinct name from categories) c join (select 'Brand#' || (i + 10) as brand, i from range(1, 46) t(i)) b on (length(c.name) + i) % 3 = 0 join methodologies m on lower(m.name) = lower(b.brand) join papers p on p.id = m.paper_id group by 1, 2)),
-rr as (select feature_id, paper_id, round(sum(part), 9) as score from (select feature_id, paper_id, 1.0 / (60 + position) as part from f1 where position < 50 union all select feature_id, paper_id, 1.4 / (60 + position) from f2 where position < 50) group by 1, 2)"""
+f3 as (select feature_id, paper_id, matches, row_number() over (partition by feature_id order by matches desc, citation_count desc nulls last, paper_id) - 1 as position from
+  (select a.name as feature_id, k.paper_id, count(distinct lower(k.name)) as matches, any_value(citation_count) as citation_count from (select distinct name from categories) a join categories k on split_part(a.name, ' ', 1) = split_part(k.name, ' ', 1) and split_part(a.name, ' ', 2) = split_part(k.name, ' ', 2) join papers p on p.id = k.paper_id group by 1, 2)),
+rr as (select feature_id, paper_id, round(sum(part), 9) as score from (select feature_id, paper_id, 1.0 / (60 + position) as part from f1 where position < 50 union all select feature_id, paper_id, 1.4 / (60 + position) from f2 where position < 50
+  union all select feature_id, paper_id, 0.7 / (60 + position) from f3 where position < 50) group by 1, 2)"""
 
 
 def _dense(c):
@@ -229,8 +232,16 @@ def _named(c):
     return R.name_matches(c.methodologies, wanted, c.papers)
 
 
+def _of_family(c):
+    """A feature's categories are those that share its first two words."""
+    names, family = c.categories.select("name").distinct(), F.substring_index("name", " ", 2).alias("family")
+    wanted = names.select(F.col("name").alias("feature_id"), family).join(names.select("name", family), "family").select("feature_id", "name")
+    return R.name_matches(c.categories, wanted, c.papers)
+
+
 def _fused(c):
-    return R.rrf({"dense": (_dense(c).where("position < 50"), R.DENSE_WEIGHT), "technique": (_named(c).where("position < 50"), R.TECHNIQUE_WEIGHT)})
+    signals = {"dense": (_dense(c), R.DENSE_WEIGHT), "technique": (_named(c), R.TECHNIQUE_WEIGHT), "category": (_of_family(c), R.CATEGORY_WEIGHT)}
+    return R.rrf({name: (rows.where("position < 50"), weight) for name, (rows, weight) in signals.items()})
 
 
 @query(f"with {FEATURE_SQL} select feature_id, paper_id, matches, position::int as position from f2 where position < 200")
@@ -238,6 +249,11 @@ def ret_technique_rows(c):
     return _named(c).where("position < 200")
 
 
+@query(f"with {FEATURE_SQL} select feature_id, paper_id, matches, position::int as position from f3 where position < 200")
+def ret_category_rows(c):
+    return _of_family(c).where("position < 200")
+
+
 @query(f"with {FEATURE_SQL} select feature_id, paper_id, position::int as position from f1")
 def win_rrf_position(c):
     return _dense(c).select("feature_id", "paper_id", "position")
@@ -254,14 +270,14 @@ def ret_for_feature(c):
 
 
 @query(f"""with {FEATURE_SQL}, t as (select feature_id, avg(score) as q from (select *, row_number() over (partition by feature_id order by score desc, paper_id) as rank from rr) where rank <= 5 group by 1),
-b as (select t.feature_id, q, (select (count(*) >= 3)::int from f1 where f1.feature_id = t.feature_id) as d, (select (count(*) >= 2)::int from f2 where f2.feature_id = t.feature_id) as e from t),
-s as (select feature_id, round(0.6 * (d + e) / 3 + 0.4 * least(1.0, q / (3.1 / 60)), 3) as coverage from b) select feature_id, coverage, case when coverage > 0.65 then 'strong' when coverage > 0.4 then 'moderate' when coverage > 0.15 then 'weak' else 'novel' end as tier from s""")
+b as (select t.feature_id, q, (select (count(*) >= 3)::int from f1 where f1.feature_id = t.feature_id) as d, (select (count(*) >= 2)::int from f2 where f2.feature_id = t.feature_id) as e, (select (count(*) >= 2)::int from f3 where f3.feature_id = t.feature_id) as g from t),
+s as (select feature_id, round(0.6 * (d + e + g) / 3 + 0.4 * least(1.0, q / (3.1 / 60)), 3) as coverage from b) select feature_id, coverage, case when coverage > 0.65 then 'strong' when coverage > 0.4 then 'moderate' when coverage > 0.15 then 'weak' else 'novel' end as tier from s""")
 def ret_coverage(c):
-    dense, named = _dense(c), _named(c)
-    return R.coverage(dense, dense, named, named.limit(0), R.top_fused(_fused(c)))
+    dense = _dense(c)
+    return R.coverage(dense, dense, _named(c), _of_family(c), R.top_fused(_fused(c)))
 
 
-@query(f"with {FEATURE_SQL}, g as (select feature_id, paper_id, string_agg(signal, ',' order by signal) as fired from (select feature_id, paper_id, 'dense' as signal from f1 where position < 50 union all select feature_id, paper_id, 'technique' from f2 where position < 50) group by 1, 2) select feature_id, paper_id, score, fired from (select *, row_number() over (partition by feature_id order by score desc, paper_id) as r from rr join g using (feature_id, paper_id)) where r <= 20")
+@query(f"with {FEATURE_SQL}, g as (select feature_id, paper_id, string_agg(signal, ',' order by signal) as fired from (select feature_id, paper_id, 'dense' as signal from f1 where position < 50 union all select feature_id, paper_id, 'technique' from f2 where position < 50 union all select feature_id, paper_id, 'category' from f3 where position < 50) group by 1, 2) select feature_id, paper_id, score, fired from (select *, row_number() over (partition by feature_id order by score desc, paper_id) as r from rr join g using (feature_id, paper_id)) where r <= 20")
 def ret_debug(c):
     return R.top_fused(_fused(c), 20).select("feature_id", "paper_id", "score", F.array_join("fired", ",").alias("fired"))
 

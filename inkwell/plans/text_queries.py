@@ -452,6 +452,11 @@ def udf_llm(c):
     return M.call_model(c.table("nation").select(F.col("n_nationkey").alias("id"), F.col("n_name").alias("prompt")), None)
 
 
+@query(f"select doc_id, greatest(1, floor(coalesce(len({WORDS_SQL.format('text')}), 0) / 200 + 0.5))::bigint as minutes from documents")
+def txt_reading_time(c):
+    return c.table("documents").select("doc_id", X.reading_minutes(F.col("text")).alias("minutes"))
+
+
 # Upserts and validation.
 
 
@@ -464,6 +469,17 @@ def ups_conference(c):
     return U.get_or_create(_known_editions(c), c.conferences.select("short_name"), ["short_name"])
 
 
+@query("with known as (select id, conference_id, year, location from editions where conference_id % 2 = 0) from known union all select distinct null, conference_id, year, null from editions where (conference_id, year) not in (select (conference_id, year) from known)")
+def ups_edition(c):
+    return U.get_or_create(c.editions.where("conference_id % 2 = 0"), c.editions.select("conference_id", "year"), ["conference_id", "year"])
+
+
+@query("with known as (select id, full_name from authors where id % 3 = 0) from known union all select distinct null, full_name from paper_authors join authors on id = author_id where full_name not in (select full_name from known)")
+def ups_author(c):
+    names = c.paper_authors.join(c.authors.select(F.col("id").alias("author_id"), "full_name"), "author_id").select("full_name")
+    return U.get_or_create(c.authors.where("id % 3 = 0").select("id", "full_name"), names, ["full_name"])
+
+
 UP_SQL = "old as (select id, title, year, abstract from papers where presentation_type <> 'oral'), inc as (select id as row, title, year, 'new ' || title as abstract from papers where presentation_type in ('oral', 'poster'))"
 
 

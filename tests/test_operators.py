@@ -299,3 +299,24 @@ def test_stream_sync(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert sorted(r.term for r in state["index"].collect()) == ["a", "b", "c"]
+
+
+def test_jdbc(spark, tmp_path):
+    from inkwell.sources import readers
+
+    spark._jvm.System.setProperty("derby.stream.error.file", str(tmp_path / "derby.log"))
+    url = "jdbc:derby:memory:readers;create=true"
+    rows = [(i, f"name {i}" if i % 7 else None) for i in range(50)]
+    spark.createDataFrame(rows, "id long, label string").write.format("jdbc").options(url=url, dbtable="known").save()
+    whole = readers.jdbc(spark, url, "known")
+    assert sorted(map(tuple, whole.collect())) == rows
+    parts = readers.jdbc(spark, url, "known", "id", (0, 50), 5)
+    assert sorted(map(tuple, parts.collect())) == rows and parts.rdd.getNumPartitions() == 5
+
+
+def test_snapshot_delta(spark):
+    from inkwell.operators import aggregates as A
+
+    one, two = spark.range(3), spark.range(5)
+    out = A.snapshot_delta(A.snapshot({"a": one, "gone": one}), A.snapshot({"a": two, "new": two}))
+    assert {tuple(r) for r in out.collect()} == {("a", 3, 5, 2), ("gone", 3, 0, -3), ("new", 0, 5, 5)}
