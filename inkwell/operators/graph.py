@@ -168,6 +168,37 @@ def full_graph(nodes: DataFrame, edges: DataFrame, min_weight: float, cluster: i
     return view(keep, induced(edges.where(F.col("weight") >= min_weight), keep.select(F.col("id").alias("paper_id"))))
 
 
+def technique_graph(metrics: DataFrame, co: DataFrame, min_usage: int, min_weight: float) -> DataFrame:
+    """Techniques of ``min_usage`` papers or more and the pairs (a, b, n) of ``min_weight`` papers or more among them, as a :func:`view`."""
+    nodes = metrics.where(F.col("usage_count") >= min_usage).withColumnRenamed("canonical_name", "name")
+    name = nodes.select("name")
+    edges = co.where(F.col("n") >= min_weight).join(name.toDF("a"), "a", "left_semi").join(name.toDF("b"), "b", "left_semi")
+    return view(nodes, edges.select(F.col("a").alias("src"), F.col("b").alias("dst"), F.col("n").cast("double").alias("weight")))
+
+
+def technique_related(techniques: DataFrame, papers: DataFrame, metrics: DataFrame, co: DataFrame, asked: DataFrame, k: int = 20) -> DataFrame:
+    """For each name ``asked`` its technique (of that very name, else whatever the case), its figures, ``k`` of its papers, the most cited first, and ``k`` companions.
+
+    Names that no technique has give no row; of several that differ in case only the first is taken.
+    """
+    asked = asked.select("asked").distinct()
+    known = metrics.select(F.col("canonical_name").alias("technique"))
+    exact = asked.join(known, F.col("asked") == F.col("technique"))
+    loose = asked.join(exact.select("asked"), "asked", "left_anti").join(known, F.lower("asked") == F.lower("technique")).groupBy("asked").agg(F.min("technique").alias("technique"))
+    found = exact.unionByName(loose)
+    wanted = found.select("technique").distinct()
+    users = techniques.select("paper_id", F.col("canonical_name").alias("technique")).unionByName(techniques.select("paper_id", F.col("name").alias("technique")))
+    users = users.join(wanted, "technique").distinct()
+    users = users.withColumn("r", F.row_number().over(Window.partitionBy("technique").orderBy("paper_id"))).where(F.col("r") <= k)
+    users = users.join(papers.select(F.col("id").alias("paper_id"), F.coalesce("citation_count", F.lit(0)).alias("cited")), "paper_id")
+    listed = users.groupBy("technique").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("cited")).alias("c"), "paper_id"))), lambda x: x["paper_id"].cast("string")), ",").alias("papers"))
+    both = co.select(F.col("a").alias("technique"), F.col("b").alias("other"), "n").unionByName(co.select(F.col("b").alias("technique"), F.col("a").alias("other"), "n")).join(wanted, "technique")
+    both = both.withColumn("r", F.row_number().over(Window.partitionBy("technique").orderBy(F.desc("n"), "other"))).where(F.col("r") <= k)
+    near = both.groupBy("technique").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("r", "other", "n"))), lambda x: F.concat(x["other"], F.lit(":"), x["n"].cast("string"))), "; ").alias("companions"))
+    figures = metrics.select(F.col("canonical_name").alias("technique"), "usage_count", "connected_papers_count")
+    return found.join(figures, "technique").join(listed, "technique").join(near, "technique", "left").select("asked", "technique", "usage_count", "connected_papers_count", "papers", F.coalesce("companions", F.lit("")).alias("companions"))
+
+
 def bridge_papers(edges: DataFrame, metrics: DataFrame, threshold: float = BRIDGE) -> DataFrame:
     """Papers of which ``threshold`` or more of the edges lead to other clusters."""
     c = metrics.select("paper_id", "cluster_id")

@@ -164,19 +164,35 @@ def gr_full_graph(c):
     return G.full_graph(_nodes(c), c.edges, 1.5, 3)
 
 
-@query("with nodes as (select kind from (select name as kind, count(distinct paper_id) as u from methodologies group by 1) where u >= 2) select a.name as a, b.name as b, count(*) as n from methodologies a join methodologies b on a.paper_id = b.paper_id and a.name < b.name where a.name in (from nodes) and b.name in (from nodes) group by 1, 2 having count(*) >= 5")
+NODES_SQL = "tn as (select canonical_name as name, usage_count, connected_papers_count, top from tm join reach using (canonical_name) left join tops using (canonical_name))"
+
+
+def _tops(df):
+    return df.withColumn("top", F.array_join(F.transform("top_cooccurring", lambda x: F.concat(x["name"], F.lit(":"), x["count"].cast("string"))), "; ")).drop("top_cooccurring")
+
+
+def _technique_pairs(c):
+    named = c.techniques.where("canonical_name is not null").select("paper_id", F.lit("technique").alias("kind"), F.col("canonical_name").alias("entity"))
+    return G.cooccurrence(named)
+
+
+@query(f"with {TECH_SQL}, {NODES_SQL}, " + _view_sql("select * from tn where usage_count >= 2", "select canonical_name as src, other as dst, n::double as weight from co where canonical_name < other and n >= 2 and canonical_name in (select name from n) and other in (select name from n)"))
 def gr_technique_graph(c):
-    co = G.cooccurrence(c.methodologies.select("paper_id", F.lit("methodology").alias("kind"), F.col("name").alias("entity")))
-    used = c.methodologies.groupBy("name").agg(F.count_distinct("paper_id").alias("u")).where("u >= 2").select("name")
-    rows = co.where("n >= 5").join(used.toDF("a"), "a", "left_semi").join(used.toDF("b"), "b", "left_semi")
-    return rows.select("a", "b", "n")
+    co = _technique_pairs(c)
+    return _tops(G.technique_graph(G.technique_metrics(c.techniques, c.edges, co), co, 2, 2))
 
 
-@query("with co as (select case when a.name = 'Brand#11' then b.name else a.name end as other, count(*) as n from methodologies a join methodologies b on a.paper_id = b.paper_id and a.name < b.name where a.name = 'Brand#11' or b.name = 'Brand#11' group by 1) select other, n from co order by n desc, other limit 20")
+@query(f"""with {TECH_SQL}, {NODES_SQL}, q as (select min(canonical_name) as asked from techniques union select upper(max(canonical_name)) from techniques union select 'no technique'),
+f as (select asked, coalesce((select min(name) from tn where name = asked), (select min(name) from tn where lower(name) = lower(asked))) as technique from q),
+u as (select technique, paper_id, row_number() over (partition by technique order by paper_id) as r from (select distinct technique, paper_id from f join techniques on canonical_name = technique or name = technique)),
+ul as (select technique, string_agg(paper_id::varchar, ',' order by citation_count desc, paper_id) as papers from u join papers on id = paper_id where r <= 20 group by 1),
+cl as (select canonical_name as technique, string_agg(other || ':' || n, '; ' order by r) as companions from (select *, row_number() over (partition by canonical_name order by n desc, other) as r from co) where r <= 20 group by 1)
+select asked, technique, usage_count, connected_papers_count, papers, coalesce(companions, '') as companions from f join tn on name = technique join ul using (technique) left join cl using (technique)""")
 def gr_technique_related(c):
-    co = G.cooccurrence(c.methodologies.select("paper_id", F.lit("methodology").alias("kind"), F.col("name").alias("entity")))
-    mine = co.where("a = 'Brand#11' or b = 'Brand#11'").select(F.when(F.col("a") == "Brand#11", F.col("b")).otherwise(F.col("a")).alias("other"), "n")
-    return mine.orderBy(F.desc("n"), "other").limit(20)
+    co = _technique_pairs(c)
+    names = c.techniques.agg(F.min("canonical_name").alias("a"), F.upper(F.max("canonical_name")).alias("b"))
+    asked = names.select(F.explode(F.array("a", "b", F.lit("no technique"))).alias("asked"))
+    return G.technique_related(c.techniques, c.papers, G.technique_metrics(c.techniques, c.edges, co), co, asked)
 
 
 @query(f"with {SYM_SQL}, r as (select node, o.cluster_id as own, count(*) as degree, count_if(o.cluster_id <> n.cluster_id) as cross_ from sym join metrics o on o.paper_id = node join metrics n on n.paper_id = neighbour group by 1, 2) select node, own, degree, cross_ as cross, round(cross_ / degree, 3) as ratio from r where round(cross_ / degree, 3) >= 0.0")
