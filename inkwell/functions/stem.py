@@ -10,9 +10,9 @@ from pyspark.sql import functions as F
 
 from .workers import ship
 
-_STEP2 = [("ational", "ate"), ("tional", "tion"), ("enci", "ence"), ("anci", "ance"), ("izer", "ize"), ("bli", "ble"), ("alli", "al"), ("entli", "ent"), ("eli", "e"), ("ousli", "ous"), ("ization", "ize"), ("ation", "ate"), ("ator", "ate"), ("alism", "al"), ("iveness", "ive"), ("fulness", "ful"), ("ousness", "ous"), ("aliti", "al"), ("iviti", "ive"), ("biliti", "ble"), ("logi", "log")]
-_STEP3 = [("icate", "ic"), ("ative", ""), ("alize", "al"), ("iciti", "ic"), ("ical", "ic"), ("ful", ""), ("ness", "")]
-_STEP4 = ["al", "ance", "ence", "er", "ic", "able", "ible", "ant", "ement", "ment", "ent", "ion", "ou", "ism", "ate", "iti", "ous", "ive", "ize"]
+STEP_2 = [("ational", "ate"), ("tional", "tion"), ("enci", "ence"), ("anci", "ance"), ("izer", "ize"), ("bli", "ble"), ("alli", "al"), ("entli", "ent"), ("eli", "e"), ("ousli", "ous"), ("ization", "ize"), ("ation", "ate"), ("ator", "ate"), ("alism", "al"), ("iveness", "ive"), ("fulness", "ful"), ("ousness", "ous"), ("aliti", "al"), ("iviti", "ive"), ("biliti", "ble"), ("logi", "log")]
+STEP_3 = [("icate", "ic"), ("ative", ""), ("alize", "al"), ("iciti", "ic"), ("ical", "ic"), ("ful", ""), ("ness", "")]
+STEP_4 = ["al", "ance", "ence", "er", "ic", "able", "ible", "ant", "ement", "ment", "ent", "ion", "ou", "ism", "ate", "iti", "ous", "ive", "ize"]
 
 
 def _vowel(w: str, i: int) -> bool:
@@ -59,13 +59,13 @@ def porter(w: str) -> str:
                 break
     if w.endswith("y") and has_vowel(w[:-1]):
         w = w[:-1] + "i"
-    for table in (_STEP2, _STEP3):
+    for table in (STEP_2, STEP_3):
         for end, new in sorted(table, key=lambda x: -len(x[0])):
             if w.endswith(end):
                 if _measure(w[: -len(end)]) > 0:
                     w = w[: -len(end)] + new
                 break
-    for end in sorted(_STEP4, key=lambda x: -len(x)):
+    for end in sorted(STEP_4, key=lambda x: -len(x)):
         if w.endswith(end):
             stem = w[: -len(end)]
             if _measure(stem) > 1 and (end != "ion" or stem.endswith(("s", "t"))):
@@ -88,3 +88,15 @@ def stem(words: str | Column) -> Column:
         return batch.map(lambda w: w if w is None else porter(w))
 
     return run(words)
+
+
+def stem_all(words: str | Column) -> Column:
+    """The stems of a column of arrays of lower-case words."""
+
+    ship(SparkSession.active())
+
+    @F.pandas_udf("array<string>")
+    def run(batch: pd.Series) -> pd.Series:
+        return batch.map(lambda ws: None if ws is None else [porter(w) for w in ws])
+
+    return run(words)

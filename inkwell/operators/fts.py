@@ -1,14 +1,21 @@
 """Full-text search: postings, BM25 and the scoring that is built on it.
 
 Queries are rows (query_id, term), so any number of them is one plan. Postings hold a
-document's term once per field with its count; they can be written bucketed by term.
+document's term once per field with its count. An ``Index`` is postings that were
+written once, stemmed, in buckets by term: a search reads its terms' buckets only.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Callable
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.stem import stem, stem_all
+from .substrings import find
+
 # BM25's k1 and b, least idf, weights of title and abstract, candidates kept, caps of a hit's score.
 K1, B = 1.2, 0.75
 LEAST_IDF = 1e-6
@@ -16,6 +23,8 @@ WEIGHTS = {"title": 10.0, "abstract": 5.0}
 PAPER_LIMIT, ENTITY_LIMIT = 200, 500
 TITLE_CAP, ABSTRACT_CAP = 20.0, 15.0
 CATEGORY_POINTS, TECHNIQUE_POINTS = 15.0, 12.0
+#: Folders of an index, by a hash of the term.
+BUCKETS = 64
 
 # Words that queries are freed of, and words that say little in this field.
 STOP_WORDS = (
@@ -45,53 +54,124 @@ def token_boost(token: Column) -> Column:
     return F.when(token.isin(GENERIC_TOKENS), 0.2).otherwise(0.5)
 
 
-def postings(docs: DataFrame, fields: list[str], key: str = "id", stemmer=None) -> DataFrame:
-    """(id, field, term, tf) of the words of some columns, stemmed if a function for that is given."""
-    out = None
+def postings(docs: DataFrame, fields: list[str], key: str = "id", stemmer: Callable[[Column], Column] | None = None) -> DataFrame:
+    """(id, field, term, tf) of the words of some columns, stemmed if a function of arrays of words is given."""
+    return _occurrences(docs.select(key, *fields), fields, key, stemmer).groupBy(key, "field", "term").agg(F.count("*").alias("tf"))
+
+
+def _occurrences(docs: DataFrame, fields: list[str], key: str, stemmer: Callable[[Column], Column] | None) -> DataFrame:
+    """A row for each word of ``fields``, with the other columns."""
+    rest, out = [c for c in docs.columns if c not in fields], None
     for f in fields:
-        part = docs.select(key, F.lit(f).alias("field"), F.explode(words(F.col(f))).alias("term"))
+        found = docs.select(*rest, F.lit(f).alias("field"), words(F.col(f)).alias("_w"))
+        if stemmer is not None:
+            found = found.withColumn("_w", stemmer(F.col("_w")))
+        part = found.select(*rest, "field", F.explode("_w").alias("term"))
         out = part if out is None else out.unionByName(part)
-    if stemmer is not None:
-        # Each distinct word is stemmed once.
-        stems = out.select("term").distinct().withColumn("_stem", stemmer("term"))
-        out = out.join(stems, "term").select(key, "field", F.col("_stem").alias("term"))
-    return out.groupBy(key, "field", "term").agg(F.count("*").alias("tf"))
+    return out
+
+
+def _bucket(term: Column) -> Column:
+    return F.pmod(F.xxhash64(term), F.lit(BUCKETS)).cast("int")
+
+
+@dataclass(frozen=True)
+class Index:
+    """Stored postings (bucket, id, field, term, tf, dl) of stems, and one row of the number and mean length of documents."""
+
+    post: DataFrame
+    totals: DataFrame
 
+    def asked(self, queries: DataFrame) -> DataFrame:
+        """(query_id, term) with the terms stemmed as the index is."""
+        return queries.select("query_id", stem(F.col("term")).alias("term")).distinct()
 
-def corpus_stats(post: DataFrame, key: str = "id") -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(df by term, length by document, one row of n and mean length)."""
-    df = post.groupBy("term").agg(F.count_distinct(key).alias("df"))
+    def of(self, asked: DataFrame) -> DataFrame:
+        """The postings in the buckets of the terms asked for; other folders are not read."""
+        wanted = [r[0] for r in asked.select(_bucket(F.col("term"))).distinct().collect()]  # BUCKETS at most
+        return self.post.where(F.col("bucket").isin(wanted))
+
+
+def write_index(docs: DataFrame, fields: list[str], path: str, key: str = "id") -> Index:
+    """Write the index of some columns of ``docs``, whose keys are unique, and read it.
+
+    Occurrences are shuffled once, by bucket and a part of the key, so that a frequent
+    term's bucket is as many tasks as the session has partitions for it. A document's
+    length counts its key's words too, as the key is a column of the index. Documents
+    without words count in the totals only.
+    """
+    spark = docs.sparkSession
+    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")) // BUCKETS)
+    sizes = [F.coalesce(F.size(words(F.col(f))), F.lit(0)) for f in (*fields, key)]
+    lengths = docs.select(key, *fields, sum(F.greatest(n, F.lit(0)) for n in sizes).cast("long").alias("dl"))
+    each = _occurrences(lengths, fields, key, stem_all).withColumn("bucket", _bucket(F.col("term")))
+    # A row of no term for each document, in a folder of its own.
+    each = each.unionByName(lengths.select(key, "dl", F.lit("").alias("field"), F.lit("").alias("term"), F.lit(-1).alias("bucket")))
+    each = each.withColumn("_part", F.pmod(F.xxhash64(key), F.lit(parts))).repartition("bucket", "_part")
+    post = each.groupBy("bucket", "_part", key, "dl", "field", "term").agg(F.count("*").alias("tf")).drop("_part")
+    post.sortWithinPartitions("bucket", "term", key).write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/post")
+    totals = _stored(spark, path, post.schema).where("bucket < 0").agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
+    # With the key's name and type, which an index of no documents has nowhere else.
+    totals.withColumn(key, F.lit(None).cast(post.schema[key].dataType)).write.mode("overwrite").parquet(f"{path}/totals")
+    return read_index(spark, path)
+
+
+def read_index(spark: SparkSession, path: str) -> Index:
+    """What ``write_index`` has written."""
+    totals = spark.read.parquet(f"{path}/totals")
+    key = totals.schema[-1]
+    schema = f"`{key.name}` {key.dataType.simpleString()}, dl long, field string, term string, tf long, bucket int"
+    return Index(_stored(spark, path, schema).where("bucket >= 0"), totals.select("n", "avgdl"))
+
+
+def _stored(spark: SparkSession, path: str, schema) -> DataFrame:
+    return spark.read.schema(schema).parquet(f"{path}/post")
+
+
+def corpus_stats(post: DataFrame, key: str = "id") -> tuple[DataFrame, DataFrame]:
+    """(length by document, one row of n and mean length)."""
     length = post.groupBy(key).agg(F.sum("tf").alias("dl"))
-    return df, length, length.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
+    return length, length.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
 
 
-def bm25(post: DataFrame, queries: DataFrame, key: str = "id", weights: dict[str, float] | None = None, limit: int | None = PAPER_LIMIT) -> DataFrame:
+def bm25(post: DataFrame | Index, queries: DataFrame, key: str = "id", weights: dict[str, float] | None = None, limit: int | None = PAPER_LIMIT, weighted_cut: bool = False) -> DataFrame:
     """(query_id, id, score) of the documents that have every term of a query.
 
     ``queries`` has a row per (query_id, term). Only the terms asked for are joined; the
-    ``limit`` best of each query are kept, ties by id.
+    ``limit`` best of each query are kept, ties by id. Scores are weighted; the cut is by
+    scores of equal weights unless ``weighted_cut`` is set.
     """
     w = F.lit(1.0)
     for f, x in (weights or WEIGHTS).items():
         w = F.when(F.col("field") == f, x).otherwise(w)
-    df, length, totals = corpus_stats(post, key)
-    asked = queries.select("query_id", "term").distinct()
+    if isinstance(post, Index):
+        asked, totals = post.asked(queries), post.totals
+        rows = post.of(asked)
+    else:
+        asked = queries.select("query_id", "term").distinct()
+        length, totals = corpus_stats(post, key)
+        rows = post.join(length, key)
     n_terms = asked.groupBy("query_id").agg(F.count("*").alias("n_terms"))
-    hits = post.join(asked, "term").groupBy("query_id", key, "term").agg(F.sum(w * F.col("tf")).alias("tf"))
-    hits = hits.join(df, "term").join(length, key).crossJoin(F.broadcast(totals))
+    hits = rows.join(asked.select("term").distinct(), "term").groupBy(key, "term").agg(F.sum(w * F.col("tf")).alias("tf"), F.sum("tf").alias("plain"), F.max("dl").alias("dl"))
+    df = hits.groupBy("term").agg(F.count("*").alias("df"))
+    hits = hits.join(df, "term").join(asked, "term").crossJoin(F.broadcast(totals))
     idf = F.greatest(F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(LEAST_IDF))
-    part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    out = hits.groupBy("query_id", key).agg(F.sum(part).alias("score"), F.count("*").alias("_m"))
-    out = out.join(n_terms, "query_id").where(F.col("_m") == F.col("n_terms")).select("query_id", key, "score")
-    if limit is None:
-        return out
-    best = Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), key)
-    return out.withColumn("_r", F.row_number().over(best)).where(F.col("_r") <= limit).drop("_r")
+    part = lambda tf: F.sum(idf * F.col(tf) * (K1 + 1) / (F.col(tf) + K1 * (1 - B + B * F.col("dl") / F.col("avgdl"))))
+    out = hits.groupBy("query_id", key).agg(part("tf").alias("score"), part("plain").alias("_plain"), F.count("*").alias("_m"))
+    out = out.join(n_terms, "query_id").where(F.col("_m") == F.col("n_terms"))
+    if limit is not None:
+        best = Window.partitionBy("query_id").orderBy(F.desc(F.round("score" if weighted_cut else "_plain", 9)), key)
+        out = out.withColumn("_r", F.row_number().over(best)).where(F.col("_r") <= limit)
+    return out.select("query_id", key, "score")
 
 
-def match_field(post: DataFrame, queries: DataFrame, field: str, key: str = "id") -> DataFrame:
+def match_field(post: DataFrame | Index, queries: DataFrame, field: str, key: str = "id") -> DataFrame:
     """(query_id, id) of documents that have all terms of a query in one field."""
-    asked = queries.select("query_id", "term").distinct()
+    if isinstance(post, Index):
+        asked = post.asked(queries)
+        post = post.of(asked)
+    else:
+        asked = queries.select("query_id", "term").distinct()
     n_terms = asked.groupBy("query_id").agg(F.count("*").alias("n_terms"))
     hits = post.where(F.col("field") == field).join(asked, "term").groupBy("query_id", key).agg(F.count("*").alias("_m"))
     return hits.join(n_terms, "query_id").where(F.col("_m") == F.col("n_terms")).select("query_id", key)
@@ -135,7 +215,7 @@ def expand_terms(queries: DataFrame) -> DataFrame:
     return phrase.unionByName(token)
 
 
-def fts_score(post: DataFrame, entities: DataFrame, queries: DataFrame) -> DataFrame:
+def fts_score(post: DataFrame | Index, entities: DataFrame, queries: DataFrame) -> DataFrame:
     """(query_id, id, score): hits in titles, abstracts, categories and techniques of each pass, by its boost."""
     terms = expand_terms(queries)
     passes = terms.select(F.struct("query_id", "pass_id").alias("query_id"), "term", "boost")
@@ -152,7 +232,7 @@ def fts_score(post: DataFrame, entities: DataFrame, queries: DataFrame) -> DataF
     return both.groupBy(F.col("query_id.query_id").alias("query_id"), "id").agg(F.round(F.sum("points"), 6).alias("score"))
 
 
-def matched_in(post: DataFrame, entities: DataFrame, queries: DataFrame) -> DataFrame:
+def matched_in(post: DataFrame | Index, entities: DataFrame, queries: DataFrame) -> DataFrame:
     """(query_id, id, labels): where the whole query is found: title, abstract (if not the title), kind:name."""
     asked = queries.select("query_id", F.explode(F.array_distinct(words(F.col("text")))).alias("term"))
     title = match_field(post, asked, "title")
@@ -170,23 +250,22 @@ LIKE_POINTS = {"title_exact": 40.0, "title": 20.0, "abstract": 15.0, "category":
 def like_score(papers: DataFrame, entities: DataFrame, queries: DataFrame, signals: tuple[str, ...] = tuple(LIKE_POINTS), tokens: bool = True) -> DataFrame:
     """(query_id, id, score, labels): each signal counts once per query and label, with its best boost.
 
-    ``queries`` (query_id, text) is a set of stated queries and so broadcast; every
-    paper and every distinct entity name is tested once against each term.
+    Every paper and every distinct entity name is read once for all terms of ``queries``
+    (query_id, text).
     """
     term = queries.select("query_id", F.lower(F.trim("text")).alias("t"), F.lit(1.0).alias("boost")).where("t <> ''")
     if tokens:
         each = queries.select("query_id", F.lower(F.trim("text")).alias("_q"), F.explode(query_tokens(F.trim("text"))).alias("t"))
         term = term.unionByName(each.where("t <> _q").select("query_id", "t", token_boost(F.col("t")).alias("boost")))
-    term = F.broadcast(term)
-    # Texts are lowered once and each distinct term is looked for once; queries come in after.
-    low = papers.select("id", F.lower(F.coalesce("title", F.lit(""))).alias("lt"), F.lower(F.coalesce("abstract", F.lit(""))).alias("la"))
-    own = low.join(F.broadcast(term.select("t").distinct()), F.contains("lt", "t") | F.contains("la", "t"))
-    found = F.array_compact(F.array(
-        F.when(F.col("lt") == F.col("t"), F.lit("title_exact")), F.when((F.col("lt") != F.col("t")) & F.contains("lt", "t"), F.lit("title")), F.when(F.contains("la", "t"), F.lit("abstract")),
-    ))
-    own = own.select("id", "t", F.explode(found).alias("signal")).join(term, "t")
-    rows = own.select("query_id", "id", "boost", "signal").withColumn("label", F.regexp_replace("signal", "_exact", ""))
-    names = entities.select("kind", "name").distinct().join(term, F.contains(F.lower("name"), F.col("t"))).select("query_id", "kind", "name", "boost")
+    # Texts are lowered once and read once for all terms; queries come in after.
+    wanted = term.select("t").distinct()
+    low = papers.select("id", F.lower(F.coalesce("title", F.lit(""))).alias("title"), F.lower(F.coalesce("abstract", F.lit(""))).alias("abstract"))
+    own = find(low, "id", ["title", "abstract"], wanted)
+    signal = F.when((F.col("field") == "title") & F.col("whole"), F.lit("title_exact")).otherwise(F.col("field")).alias("signal")
+    rows = own.join(term, "t").select("query_id", "id", "boost", signal, F.col("field").alias("label"))
+    kinds = entities.select("kind", "name").distinct()
+    low = kinds.select("name", F.lower("name").alias("low")).distinct()
+    names = kinds.join(find(low, "name", ["low"], wanted), "name").join(term, "t").select("query_id", "kind", "name", "boost")
     ent = entities.select("paper_id", "kind", "name").distinct().join(names, ["kind", "name"])
     rows = rows.unionByName(ent.select("query_id", F.col("paper_id").alias("id"), "boost", F.col("kind").alias("signal"), F.concat_ws(":", "kind", "name").alias("label")))
     points = F.lit(0.0)

@@ -5,25 +5,37 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..functions.stem import stem
 from ..operators import fts as T
 from ..operators import retrieval as R
+from ..sources import scratch
 from .registry import query
+from .stem_sql import stems_sql
 
 #: The benchmark's texts are the searches: their first three words.
 QUERIES_SQL = "qs as (select item_id as query_id, array_to_string(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+')[1:3], ' ') as text from benchmark where text is not null)"
 WORDS = "regexp_extract_all(lower({0}), '[\\p{{L}}\\p{{N}}]+')"
+PLAIN_SQL = f"""occ as (select id, 'title' as field, unnest({WORDS.format('title')}) as term from texts union all select id, 'abstract', unnest({WORDS.format('abstract')}) from texts)"""
+#: Postings of stems, and the stems that are asked for.
 POST_SQL = f"""{QUERIES_SQL},
-occ as (select id, 'title' as field, unnest({WORDS.format('title')}) as term from texts union all select id, 'abstract', unnest({WORDS.format('abstract')}) from texts),
-post as (select id, field, term, count(*) as tf from occ group by all),
-asked as (select distinct query_id, unnest({WORDS.format('text')}) as term from qs)"""
-BM25_SQL = f"""{POST_SQL},
-dfs as (select term, count(distinct id) as df from post group by 1), dls as (select id, sum(tf) as dl from post group by 1), tot as (select count(*) as n, avg(dl) as avgdl from dls),
-nt as (select query_id, count(*) as n_terms from asked group by 1),
-hit as (select query_id, id, term, sum(tf * case field when 'title' then 10.0 else 5.0 end)::double as tf from post join asked using (term) group by all),
-part as (select query_id, id, greatest(ln((n - df + 0.5) / (df + 0.5)), 1e-6) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl)) as s from hit join dfs using (term) join dls using (id) cross join tot),
-scored as (select query_id, id, sum(s) as score from part join nt using (query_id) group by query_id, id, n_terms having count(*) = n_terms),
-bm as (select * from (select *, row_number() over (partition by query_id order by round(score, 9) desc, id) as r from scored) where r <= 200)"""
+{PLAIN_SQL}, said as (select distinct query_id, unnest({WORDS.format('text')}) as term from qs), known as (select term from occ union select term from said),
+{stems_sql('known')},
+post as (select id, field, stem as term, count(*) as tf from occ join stems using (term) group by all),
+asked as (select distinct query_id, stem as term from said join stems using (term))"""
+
+
+def _bm25_sql(asked, name, weighted=True):
+    """CTEs that end in ``name`` (query_id, id, score): documents with all terms of ``asked``, 200 a query."""
+    tf = "case field when 'title' then 10.0 else 5.0 end"
+    return f"""{name}_nt as (select query_id, count(*) as n_terms from {asked} group by 1),
+{name}_hit as (select query_id, id, term, sum(tf * {tf})::double as tf, sum(tf)::double as plain from post join {asked} using (term) group by all),
+{name}_part as (select query_id, id, greatest(ln((n - df + 0.5) / (df + 0.5)), 1e-6) as idf, tf, plain, 1.2 * (0.25 + 0.75 * dl / avgdl) as k from {name}_hit join dfs using (term) join dls using (id) cross join tot),
+{name}_sum as (select query_id, id, sum(idf * tf * 2.2 / (tf + k)) as score, sum(idf * plain * 2.2 / (plain + k)) as cut from {name}_part join {name}_nt using (query_id) group by query_id, id, n_terms having count(*) = n_terms),
+{name} as (select query_id, id, score from (select *, row_number() over (partition by query_id order by round(cut, 9) desc, id) as r from {name}_sum) where r <= 200)"""
+
+
+STATS_SQL = f"""dfs as (select term, count(distinct id) as df from post group by 1),
+dls as (select id, coalesce(len({WORDS.format('title')}), 0) + coalesce(len({WORDS.format('abstract')}), 0) + len({WORDS.format('id::varchar')}) as dl from texts), tot as (select count(*) as n, avg(dl) as avgdl from dls)"""
+BM25_SQL = f"{POST_SQL},\n{STATS_SQL},\n{_bm25_sql('asked', 'bm')}"
 
 
 def _queries(c):
@@ -39,19 +51,36 @@ def _post(c):
     return T.postings(c.texts, ["title", "abstract"])
 
 
-@query(f"with {POST_SQL} select * from post")
+_STORED: dict[tuple, str] = {}
+
+
+def _index(c, again=False):
+    """The stemmed index of the text papers; written once for each version of the table, then read by every search."""
+    jvm = c.spark._jvm
+    at = jvm.org.apache.hadoop.fs.Path(f"{c.sf_dir}/documents.parquet")
+    fs = at.getFileSystem(c.spark._jsc.hadoopConfiguration())
+    key = (c.spark.sparkContext.applicationId, at.toString(), fs.getFileStatus(at).getModificationTime(), fs.getContentSummary(at).getLength())
+    if again or key not in _STORED:
+        path = scratch.path(c.spark, "index")
+        T.write_index(c.texts, ["title", "abstract"], path)
+        _STORED[key] = path
+    return T.read_index(c.spark, _STORED[key])
+
+
+@query(f"with {PLAIN_SQL} select id, field, term, count(*) as tf from occ group by all")
 def fts_build_index(c):
     return _post(c)
 
 
-@query()
+@query(f"with {POST_SQL} select * from post")
 def fts_build_index_stemmed(c):
-    return T.postings(c.texts, ["title", "abstract"], stemmer=stem)
+    """Writes the index that the searches read."""
+    return _index(c, again=True).post.select("id", "field", "term", "tf")
 
 
 @query(f"with {BM25_SQL} select query_id, id, round(score, 6) as score from bm")
 def fts_match_papers(c):
-    return T.bm25(_post(c), _asked(c)).withColumn("score", F.round("score", 6))
+    return T.bm25(_index(c), _asked(c)).withColumn("score", F.round("score", 6))
 
 
 def _field_sql(field):
@@ -60,12 +89,12 @@ def _field_sql(field):
 
 @query(_field_sql("title"))
 def fts_match_title(c):
-    return T.match_field(_post(c), _asked(c), "title")
+    return T.match_field(_index(c), _asked(c), "title")
 
 
 @query(_field_sql("abstract"))
 def fts_match_abstract(c):
-    return T.match_field(_post(c), _asked(c), "abstract")
+    return T.match_field(_index(c), _asked(c), "abstract")
 
 
 ENTITY_QUERIES = [(1, "economy"), (2, "steel"), (3, "brand"), (4, "small"), (5, "promo")]
@@ -101,19 +130,44 @@ def _tagged(c):
     return t.select(F.col("id").alias("paper_id"), F.lit("technique").alias("kind"), F.col("venue").alias("name")).unionByName(t.select("id", F.lit("category"), "field").toDF("paper_id", "kind", "name"))
 
 
-@query()
+TAGGED_SQL = "ents as (select id as paper_id, 'technique' as kind, venue as name from texts union all select id, 'category', field from texts)"
+#: Passes are numbered texts: the whole query, then each of its other tokens.
+PASSES_SQL = f"""passes as (select query_id, '' as pass, text, 1.0::double as boost from qs union all
+  select query_id, w, w, case when list_contains({T.GENERIC_TOKENS}, w) then 0.2 else 0.5 end from (select query_id, text, unnest(list_distinct(list_filter(regexp_split_to_array(lower(text), '[\\s\\-_/.,;:!?()\\[\\]]+'), lambda w: length(w) >= 2 and not list_contains({T.STOP_WORDS}, w)))) as w from qs) where w <> lower(trim(text))),
+words as (select distinct (query_id, pass) as query_id, unnest({WORDS.format('text')}) as term from passes),
+stemmed as (select distinct query_id, stem as term from words join stems using (term)),
+boosts as (select (query_id, pass) as query_id, boost from passes),
+{_bm25_sql('stemmed', 'pm')},
+titled as (select query_id, id from post join stemmed using (term) join pm_nt using (query_id) where field = 'title' group by query_id, id, n_terms having count(*) = n_terms)"""
+
+
+def _entities_sql(asked, name):
+    """CTEs that end in ``name``: entities whose names have all terms of ``asked``, 500 a query."""
+    return f"""{name}_names as (select distinct name, unnest({WORDS.format('name')}) as term from (select distinct name from ents)),
+{name}_nt as (select query_id, count(*) as n_terms from {asked} group by 1),
+{name}_found as (select query_id, name from {name}_names join {asked} using (term) join {name}_nt using (query_id) group by query_id, name, n_terms having count(*) = n_terms),
+{name} as (select query_id, paper_id, kind, name from (select *, row_number() over (partition by query_id order by paper_id, kind, name) as r from (select distinct query_id, paper_id, kind, name from ents join {name}_found using (name))) where r <= 500)"""
+
+
+@query(f"""with {POST_SQL}, {STATS_SQL}, {TAGGED_SQL}, {PASSES_SQL}, {_entities_sql('words', 'em')},
+points as (select query_id, id, boost * case when t.id is not null then 20 + least(score, 20) else 15 + least(score, 15) end as p from pm left join titled t using (query_id, id) join boosts using (query_id)
+  union all select query_id, paper_id, boost * case kind when 'category' then 15 when 'technique' then 12 else 0 end from em join boosts using (query_id))
+select query_id[1] as query_id, id, round(sum(p), 6) as score from points group by 1, 2""")
 def fts_score(c):
-    return T.fts_score(_post(c), _tagged(c), _queries(c))
+    return T.fts_score(_index(c), _tagged(c), _queries(c))
 
 
-@query()
+@query(f"""with {BM25_SQL}, {TAGGED_SQL}, {_entities_sql('said', 'em')},
+title as (select query_id, id from post join asked using (term) join bm_nt using (query_id) where field = 'title' group by query_id, id, n_terms having count(*) = n_terms),
+labels as (select query_id, id, 0 as o, 'title' as label from title union select query_id, id, 1, 'abstract' from bm anti join title using (query_id, id) union select query_id, paper_id, 2, kind || ':' || name from em)
+select query_id, id, string_agg(label, '; ' order by o, label) as labels from labels group by 1, 2""")
 def ret_matched_in(c):
-    return T.matched_in(_post(c), _tagged(c), _queries(c)).withColumn("labels", F.array_join("labels", "; "))
+    return T.matched_in(_index(c), _tagged(c), _queries(c)).withColumn("labels", F.array_join("labels", "; "))
 
 
 @query(f"with {BM25_SQL} select query_id, id, title, round(score, 6) as score from bm join texts using (id)")
 def join_fts_papers(c):
-    return T.bm25(_post(c), _asked(c)).join(c.texts.select("id", "title"), "id").select("query_id", "id", "title", F.round("score", 6).alias("score"))
+    return T.bm25(_index(c), _asked(c)).join(c.texts.select("id", "title"), "id").select("query_id", "id", "title", F.round("score", 6).alias("score"))
 
 
 @query("with t as (select doc_id, list_filter(regexp_split_to_array(lower(text), '[\\s\\-_/.,;:!?()\\[\\]]+'), lambda w: length(w) >= 2 and not list_contains(" + str(T.STOP_WORDS) + ", w)) as ws from documents), u as (select doc_id, unnest(ws) as w, generate_subscripts(ws, 1) as i from t), f as (select doc_id, w, min(i) as i from u group by 1, 2) select t.doc_id, coalesce(string_agg(w, ' ' order by i), '') as tokens from t left join f using (doc_id) group by 1")
@@ -121,7 +175,7 @@ def txt_query_tokenize(c):
     return c.table("documents").select("doc_id", F.array_join(T.query_tokens(F.col("text")), " ").alias("tokens"))
 
 
-@query(f"with {POST_SQL} select distinct term, case when list_contains({T.GENERIC_TOKENS}, term) then 0.2 else 0.5 end::double as boost from asked")
+@query(f"with {QUERIES_SQL}, said as (select unnest({WORDS.format('text')}) as term from qs) select distinct term, case when list_contains({T.GENERIC_TOKENS}, term) then 0.2 else 0.5 end::double as boost from said")
 def txt_token_boost(c):
     return _asked(c).select("term").distinct().withColumn("boost", T.token_boost(F.col("term")))
 
@@ -148,7 +202,13 @@ def ret_search_legacy(c):
     return rows.withColumn("labels", F.array_join("labels", "; "))
 
 
-@query()
+@query(f"""with {LIKE_SQL}, term as (select query_id, t, 1.0::double as boost from lq union all
+  select query_id, w, case when list_contains({T.GENERIC_TOKENS}, w) then 0.2 else 0.5 end from (select query_id, t, unnest(list_distinct(list_filter(regexp_split_to_array(t, '[\\s\\-_/.,;:!?()\\[\\]]+'), lambda w: length(w) >= 2 and not list_contains({T.STOP_WORDS}, w)))) as w from lq) where w <> t),
+each as (select query_id, id, 'title' as label, boost * case when lower(title) = t then 40 else 20 end as p from texts join term on contains(lower(title), t)
+  union all select query_id, id, 'abstract', boost * 15 from texts join term on contains(lower(abstract), t)
+  union all select query_id, paper_id, kind || ':' || name, boost * case kind when 'category' then 15 else 12 end from (select distinct * from ents) join term on contains(lower(name), t)),
+best as (select query_id, id, label, max(p) as p from each group by all)
+select query_id, id, round(sum(p), 6)::double as score, string_agg(label, '; ' order by label) as labels from best group by 1, 2""")
 def ret_like_legacy(c):
     return T.like_score(c.texts, _tagged(c), _like_queries(c)).withColumn("labels", F.array_join("labels", "; "))
 
@@ -207,7 +267,7 @@ def ret_hybrid(c):
     q = c.table("embeddings").where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
     semantic = R.max_pool(R.vector_topk(e, q))
     papers = c.table("documents").select(F.col("doc_id").alias("id"), F.col("n_chars").alias("citation_count"))
-    return R.hybrid(T.bm25(_post(c), _asked(c)), semantic, papers, 20)
+    return R.hybrid(T.bm25(_index(c), _asked(c)), semantic, papers, 20)
 
 
 # Features are the categories; their names are matched against methodologies and categories of the papers.
@@ -297,13 +357,13 @@ def ret_context_block(c):
 
 @query(f"with {BM25_SQL}, k as (select query_id, id, row_number() over (partition by query_id order by score desc, id) as rank from bm), h as (select b.item_id, coalesce(bool_or(contains(lower(d.text), lower(substr(b.text, 1, 20)))), false) as hit from benchmark b left join k on k.query_id = b.item_id and rank <= 5 left join documents d on d.doc_id = k.id group by 1) select count(*) as cases, count_if(hit) as passed, round(count_if(hit) / count(*), 4) as rate, round(count_if(hit) / count(*), 4) >= 0.8 as ok from h")
 def ret_recall_gate(c):
-    hits = T.bm25(_post(c), _asked(c)).withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id")))
+    hits = T.bm25(_index(c), _asked(c)).withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id")))
     results = hits.join(c.table("documents").select(F.col("doc_id").alias("id"), F.col("text").alias("title")), "id").select("query_id", "rank", "title")
     expected = c.table("benchmark").select(F.col("item_id").alias("query_id"), F.substring("text", 1, 20).alias("piece"))
     return R.recall_gate(results, expected)
 
 
-@query(f"with {POST_SQL} select id, field, term, tf from post")
+@query(f"with {PLAIN_SQL} select id, field, term, count(*) as tf from occ group by all")
 def snk_fts_sync(c):
     """The index after the rows of one language are rebuilt in it."""
     post = _post(c)

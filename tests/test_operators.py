@@ -320,3 +320,40 @@ def test_snapshot_delta(spark):
     one, two = spark.range(3), spark.range(5)
     out = A.snapshot_delta(A.snapshot({"a": one, "gone": one}), A.snapshot({"a": two, "new": two}))
     assert {tuple(r) for r in out.collect()} == {("a", 3, 5, 2), ("gone", 3, 0, -3), ("new", 0, 5, 5)}
+
+
+def test_stored_index_is_stemmed(spark, tmp_path):
+    docs = spark.createDataFrame([(1, "Neural networks", "x"), (2, "a network", None), (3, None, "networking alone"), (4, "", "")], "id int, title string, abstract string")
+    index = T.write_index(docs, ["title", "abstract"], str(tmp_path / "index"))
+    assert tuple(index.totals.first()) == (4, pytest.approx((4 + 3 + 3 + 1) / 4))  # the id is a word
+    asked = spark.createDataFrame([(1, "networks"), (2, "networks"), (2, "neural"), (3, "absent")], "query_id int, term string")
+    assert sorted((r.query_id, r.id) for r in T.bm25(index, asked).collect()) == [(1, 1), (1, 2), (1, 3), (2, 1)]
+    assert sorted(T.match_field(index, asked, "abstract").collect()) == [(1, 3)]
+    part = lambda tf, dl: 1e-6 * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / 2.75))  # noqa: E731  df is 3 of 4: the least idf
+    assert {r.id: r.score for r in T.bm25(index, asked.where("query_id = 1")).collect()} == pytest.approx({1: part(10, 4), 2: part(10, 3), 3: part(5, 3)})
+
+
+def test_search_cut_is_by_equal_weights(spark):
+    docs = spark.createDataFrame([(1, "alpha", "x x x x"), (2, "x", "alpha alpha alpha alpha"), (3, "y", "z"), (4, "u", "v"), (5, "w", "w")], "id int, title string, abstract string")
+    post, asked = T.postings(docs, ["title", "abstract"]), spark.createDataFrame([(1, "alpha")], "query_id int, term string")
+    weights = {"title": 30.0, "abstract": 5.0}
+    assert [r.id for r in T.bm25(post, asked, weights=weights, limit=1).collect()] == [2]
+    assert [r.id for r in T.bm25(post, asked, weights=weights, limit=1, weighted_cut=True).collect()] == [1]
+
+
+def test_index_of_nothing(spark, tmp_path):
+    docs = spark.createDataFrame([], "id int, title string, abstract string")
+    index = T.write_index(docs, ["title", "abstract"], str(tmp_path / "index"))
+    assert T.bm25(index, spark.createDataFrame([(1, "a")], "query_id int, term string")).collect() == []
+
+
+@pytest.mark.parametrize("block", [1, 4, 1 << 20])
+def test_find_substrings(spark, block):
+    from inkwell.operators.substrings import find
+
+    rows = spark.createDataFrame([(1, "abcab", None), (2, "bc", "abc"), (None, "", "cab"), (4, None, None)], "id int, x string, y string")
+    terms = spark.createDataFrame([("ab",), ("bc",), ("abc",), ("",), (None,), ("bc",), ("zz",)], "t string")
+    got = sorted(find(rows, "id", ["x", "y"], terms, block).collect(), key=str)
+    want = [(r.id, f, t, t == r[f]) for r in rows.collect() for f in "xy" for t in ("ab", "bc", "abc", "zz") if r[f] and t in r[f]]
+    assert got == sorted((tuple(w) for w in want), key=str)
+    assert find(rows, "id", ["x"], terms.where("t is null"), block).collect() == []
