@@ -56,19 +56,20 @@ def token_boost(token: Column) -> Column:
 
 def postings(docs: DataFrame, fields: list[str], key: str = "id", stemmer: Callable[[Column], Column] | None = None) -> DataFrame:
     """(id, field, term, tf) of the words of some columns, stemmed if a function of arrays of words is given."""
-    return _occurrences(docs.select(key, *fields), fields, key, stemmer).groupBy(key, "field", "term").agg(F.count("*").alias("tf"))
+    lists = _word_lists(docs, fields, key, stemmer)
+    return lists.select(key, F.explode(_labelled(fields)).alias("o")).groupBy(key, F.col("o.field").alias("field"), F.col("o.term").alias("term")).agg(F.count("*").alias("tf"))
 
 
-def _occurrences(docs: DataFrame, fields: list[str], key: str, stemmer: Callable[[Column], Column] | None) -> DataFrame:
-    """A row for each word of ``fields``, with the other columns."""
-    rest, out = [c for c in docs.columns if c not in fields], None
-    for f in fields:
-        found = docs.select(*rest, F.lit(f).alias("field"), words(F.col(f)).alias("_w"))
-        if stemmer is not None:
-            found = found.withColumn("_w", stemmer(F.col("_w")))
-        part = found.select(*rest, "field", F.explode("_w").alias("term"))
-        out = part if out is None else out.unionByName(part)
-    return out
+def _word_lists(docs: DataFrame, fields: list[str], key: str, stemmer: Callable[[Column], Column] | None) -> DataFrame:
+    """The key, and each field's words in its place."""
+    lists = docs.select(key, *(F.coalesce(words(F.col(f)), F.array().cast("array<string>")).alias(f) for f in fields))
+    return lists if stemmer is None else lists.select(key, *(stemmer(F.col(f)).alias(f) for f in fields))
+
+
+def _labelled(fields: list[str]) -> Column:
+    """The words of all fields as one array of (field, term)."""
+    one = lambda f: F.transform(F.col(f), lambda w: F.struct(F.lit(f).alias("field"), w.alias("term")))
+    return F.concat(*(one(f) for f in fields))
 
 
 def _bucket(term: Column) -> Column:
@@ -102,11 +103,12 @@ def write_index(docs: DataFrame, fields: list[str], path: str, key: str = "id")
     """
     spark = docs.sparkSession
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")) // BUCKETS)
-    sizes = [F.coalesce(F.size(words(F.col(f))), F.lit(0)) for f in (*fields, key)]
-    lengths = docs.select(key, *fields, sum(F.greatest(n, F.lit(0)) for n in sizes).cast("long").alias("dl"))
-    each = _occurrences(lengths, fields, key, stem_all).withColumn("bucket", _bucket(F.col("term")))
+    lists = _word_lists(docs, fields, key, stem_all)
+    lengths = sum((F.size(f) for f in fields), F.size(words(F.col(key).cast("string")))).cast("long")
     # A row of no term for each document, in a folder of its own.
-    each = each.unionByName(lengths.select(key, "dl", F.lit("").alias("field"), F.lit("").alias("term"), F.lit(-1).alias("bucket")))
+    none = F.array(F.struct(F.lit("").alias("field"), F.lit("").alias("term")))
+    each = lists.select(key, lengths.alias("dl"), F.explode(F.concat(none, _labelled(fields))).alias("o"))
+    each = each.select(key, "dl", "o.field", "o.term").withColumn("bucket", F.when(F.col("term") == "", -1).otherwise(_bucket(F.col("term"))))
     each = each.withColumn("_part", F.pmod(F.xxhash64(key), F.lit(parts))).repartition("bucket", "_part")
     post = each.groupBy("bucket", "_part", key, "dl", "field", "term").agg(F.count("*").alias("tf")).drop("_part")
     post.sortWithinPartitions("bucket", "term", key).write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/post")
