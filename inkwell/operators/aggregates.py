@@ -152,3 +152,19 @@ def snapshot_delta(before: DataFrame, after: DataFrame) -> DataFrame:
     """(name, before, n_rows, delta) of two snapshots; a table that one of them lacks has 0 rows there."""
     out = before.withColumnRenamed("n_rows", "before").join(after, "name", "full_outer").fillna(0)
     return out.select("name", "before", "n_rows", (F.col("n_rows") - F.col("before")).alias("delta"))
+
+
+def technique_browser(techniques: DataFrame, metrics: DataFrame | None, min_papers: int = 1) -> DataFrame:
+    """(canonical_name, usage_count, connected_papers_count, top_cooccurring, introduces, uses) of names in ``min_papers`` and more.
+
+    ``metrics`` is what ``graph.technique_metrics`` gives. Without it (None) names are
+    counted afresh, with no connections, companions or roles.
+    """
+    named = techniques.where("canonical_name is not null")
+    if metrics is None:
+        usage = named.groupBy("canonical_name").agg(F.count_distinct("paper_id").alias("usage_count")).where(F.col("usage_count") >= min_papers)
+        none = F.array().cast("array<struct<name:string,count:bigint>>")
+        return usage.select("canonical_name", "usage_count", F.lit(0).cast("long").alias("connected_papers_count"), none.alias("top_cooccurring"), F.lit(0).cast("long").alias("introduces"), F.lit(0).cast("long").alias("uses"))
+    roles = named.groupBy("canonical_name").agg(F.count_if(F.col("role") == "introduces").alias("introduces"), F.count_if(F.col("role") == "uses").alias("uses"))
+    known = metrics.where(F.col("usage_count") >= min_papers).join(roles, "canonical_name", "left")
+    return known.select("canonical_name", "usage_count", "connected_papers_count", "top_cooccurring", F.coalesce("introduces", F.lit(0)).alias("introduces"), F.coalesce("uses", F.lit(0)).alias("uses"))

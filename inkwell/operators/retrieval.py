@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.workers import ship
+from . import fts
 
 # Fixed values.
 SEMANTIC_WEIGHT, CHUNKS, PAPERS, LEAST_COSINE, CHUNK_CHARS, CHUNKS_PER_PAPER = 40.0, 200, 50, 0.30, 2000, 5
@@ -77,6 +78,26 @@ def hybrid(keyword: DataFrame, semantic: DataFrame, papers: DataFrame, limit: in
     return ranked.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))).where(F.col("rank") <= limit)
 
 
+def retrieve(index: fts.Index | None, papers: DataFrame, entities: DataFrame, queries: DataFrame, semantic: DataFrame, limit: int) -> DataFrame:
+    """(query_id, id, score, semantic, rank, labels): the whole search, with where each of the ``limit`` best was found.
+
+    ``queries`` is (query_id, text), ``semantic`` (query_id, paper_id, score), ``papers``
+    (id, title, abstract, citation_count). Without an index (there is none, or
+    ``fts.health`` finds it lacking) the substring search ranks alone; its score is
+    then without the citations that it is ordered by.
+    """
+    if index is None:
+        found = fts.like_score(papers, entities, queries).join(papers.select("id", "citation_count"), "id")
+        order = F.round(F.col("score") + F.log1p(F.coalesce("citation_count", F.lit(0))), 6)
+        found = found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc(order), "id"))).where(F.col("rank") <= limit)
+        return found.select("query_id", "id", "score", F.lit(False).alias("semantic"), "rank", "labels")
+    top = hybrid(fts.fts_score(index, entities, queries), semantic, papers, limit)
+    top = top.join(fts.matched_in(index, entities, queries), ["query_id", "id"], "left")
+    none = F.array().cast("array<string>")
+    labels = F.concat(F.when(F.col("semantic"), F.array(F.lit("semantic"))).otherwise(none), F.coalesce("labels", none))
+    return top.withColumn("labels", F.array_distinct(labels))
+
+
 def name_matches(rows: DataFrame, wanted: DataFrame, papers: DataFrame) -> DataFrame:
     """(feature_id, paper_id, matches, position): papers by how many of a feature's names they have, whatever the case."""
     named = rows.select("paper_id", F.lower("name").alias("n")).distinct()

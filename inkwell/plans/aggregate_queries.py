@@ -61,13 +61,6 @@ def agg_freq_methodology(c):
     return A.frequency(c.methodologies, F.col("name"))
 
 
-@query("select canonical_name, count(distinct paper_id) as usage, count_if(role = 'introduces') as introduces, count_if(role = 'uses') as uses from techniques where canonical_name is not null group by 1 having count(distinct paper_id) >= 3")
-def agg_technique_browser(c):
-    rows = c.techniques.where("canonical_name is not null").groupBy("canonical_name").pivot("role", ["introduces", "uses", "compares"]).agg(F.count(F.lit(1)))
-    usage = c.techniques.where("canonical_name is not null").groupBy("canonical_name").agg(F.count_distinct("paper_id").alias("usage")).where("usage >= 3")
-    return usage.join(rows, "canonical_name").select("canonical_name", "usage", F.coalesce("introduces", F.lit(0)).alias("introduces"), F.coalesce("uses", F.lit(0)).alias("uses"))
-
-
 @query("select (select count(*) from edges) as edges, (select round(avg(weight), 4) from edges) as avg_weight, (select max(weight) from edges) as max_weight, (select count(*) from papers where id not in (select src from edges union select dst from edges)) as isolated, (select count(distinct cluster_id) from metrics) as clusters, (select paper_id from metrics order by degree_centrality desc, paper_id limit 1) as most_central, (select max(n) from (select count(*) as n from metrics group by cluster_id)) as largest_cluster")
 def agg_graph_stats(c):
     return A.graph_stats(c.edges, c.papers, c.metrics)

@@ -105,6 +105,13 @@ def gr_technique_metrics(c):
     return _technique_metrics(c).select("canonical_name", "usage_count", "connected_papers_count", top.alias("top"))
 
 
+@query(f"""with {TECH_SQL}, roles as (select canonical_name, count_if(role = 'introduces') as introduces, count_if(role = 'uses') as uses from techniques where canonical_name is not null group by 1)
+select canonical_name, usage_count, connected_papers_count, top, introduces, uses from tm join reach using (canonical_name) left join tops using (canonical_name) join roles using (canonical_name) where usage_count >= 3""")
+def agg_technique_browser(c):
+    top = F.array_join(F.transform("top_cooccurring", lambda x: F.concat(x["name"], F.lit(":"), x["count"].cast("string"))), "; ")
+    return A.technique_browser(c.techniques, _technique_metrics(c), 3).withColumn("top", top).drop("top_cooccurring")
+
+
 @query(f"with {SYM_SQL}, reach as (select distinct canonical_name, neighbour as paper_id from techniques join sym on node = paper_id where canonical_name is not null) select canonical_name, count(*) as neighbours from reach group by 1")
 def join_technique_neighbors(c):
     named = c.techniques.where("canonical_name is not null").select("paper_id", "canonical_name").distinct()

@@ -149,18 +149,22 @@ def _entities_sql(asked, name):
 {name} as (select query_id, paper_id, kind, name from (select *, row_number() over (partition by query_id order by paper_id, kind, name) as r from (select distinct query_id, paper_id, kind, name from ents join {name}_found using (name))) where r <= 500)"""
 
 
-@query(f"""with {POST_SQL}, {STATS_SQL}, {TAGGED_SQL}, {PASSES_SQL}, {_entities_sql('words', 'em')},
+SCORE_SQL = f"""{POST_SQL}, {STATS_SQL}, {TAGGED_SQL}, {PASSES_SQL}, {_entities_sql('words', 'em')},
 points as (select query_id, id, boost * case when t.id is not null then 20 + least(score, 20) else 15 + least(score, 15) end as p from pm left join titled t using (query_id, id) join boosts using (query_id)
-  union all select query_id, paper_id, boost * case kind when 'category' then 15 when 'technique' then 12 else 0 end from em join boosts using (query_id))
-select query_id[1] as query_id, id, round(sum(p), 6) as score from points group by 1, 2""")
+  union all select query_id, paper_id, boost * case kind when 'category' then 15 when 'technique' then 12 else 0 end from em join boosts using (query_id)),
+fs as (select query_id[1] as query_id, id, round(sum(p), 6) as score from points group by 1, 2)"""
+LABEL_SQL = f"""{_bm25_sql('asked', 'bm')}, {_entities_sql('said', 'lm')},
+title as (select query_id, id from post join asked using (term) join bm_nt using (query_id) where field = 'title' group by query_id, id, n_terms having count(*) = n_terms),
+labels as (select query_id, id, 0 as o, 'title' as label from title union select query_id, id, 1, 'abstract' from bm anti join title using (query_id, id) union select query_id, paper_id, 2, kind || ':' || name from lm),
+found_in as (select query_id, id, string_agg(label, '; ' order by o, label) as labels from labels group by 1, 2)"""
+
+
+@query(f"with {SCORE_SQL} select * from fs")
 def fts_score(c):
     return T.fts_score(_index(c), _tagged(c), _queries(c))
 
 
-@query(f"""with {BM25_SQL}, {TAGGED_SQL}, {_entities_sql('said', 'em')},
-title as (select query_id, id from post join asked using (term) join bm_nt using (query_id) where field = 'title' group by query_id, id, n_terms having count(*) = n_terms),
-labels as (select query_id, id, 0 as o, 'title' as label from title union select query_id, id, 1, 'abstract' from bm anti join title using (query_id, id) union select query_id, paper_id, 2, kind || ':' || name from em)
-select query_id, id, string_agg(label, '; ' order by o, label) as labels from labels group by 1, 2""")
+@query(f"with {POST_SQL}, {STATS_SQL}, {TAGGED_SQL}, {LABEL_SQL} select * from found_in")
 def ret_matched_in(c):
     return T.matched_in(_index(c), _tagged(c), _queries(c)).withColumn("labels", F.array_join("labels", "; "))
 
@@ -256,18 +260,21 @@ def hashing_encoder(texts, width: int = 64):
     return out
 
 
-HYBRID_SQL = f"""{BM25_SQL}, sem as (select query_id as q, paper_id, score from (select v.query_id, e.vec_id as paper_id, v.score from (select * from (select q.vec_id as query_id, e.vec_id as chunk_id, round(list_dot_product(e.embedding::double[], q.embedding::double[]), 6) as score from embeddings e, (select * from embeddings where vec_id % 20 = 0) q) where score >= 0.30) v join embeddings e on e.vec_id = v.chunk_id)),
-ks as (select query_id, id, score as k from bm), ss as (select q as query_id, paper_id as id, score as s from (select *, row_number() over (partition by q order by score desc, paper_id) as r from sem) where r <= 50),
-hy as (select query_id, id, round(coalesce(k, 0) + 40 * coalesce(s, 0) + ln(1 + n_chars), 6) as score, s is not null as semantic from ks full join ss using (query_id, id) join documents on doc_id = id)"""
+HYBRID_SQL = f"""{SCORE_SQL}, {LABEL_SQL}, sims as (select q.vec_id as query_id, e.vec_id as id, round(list_dot_product(e.embedding::double[], q.embedding::double[]), 6) as score from embeddings e, (select * from embeddings where vec_id % 20 = 0) q),
+near as (select * from (select *, row_number() over (partition by query_id order by score desc, id) as r from sims) where r <= 200 and score >= 0.30),
+ss as (select query_id, id, score as s from (select *, row_number() over (partition by query_id order by score desc, id) as r from near) where r <= 50),
+hy as (select query_id, id, round(coalesce(fs.score, 0) + 40 * coalesce(s, 0) + ln(1 + coalesce(n_chars, 0)), 6) as score, s is not null as semantic from fs full join ss using (query_id, id) join documents on doc_id = id)"""
 
 
-@query(f"with {HYBRID_SQL} select query_id, id, score, semantic, rank from (select *, row_number() over (partition by query_id order by score desc, id)::int as rank from hy) where rank <= 20")
+@query(f"""with {HYBRID_SQL} select query_id, id, score, semantic, rank, concat_ws('; ', case when semantic then 'semantic' end, labels) as labels
+from (select *, row_number() over (partition by query_id order by score desc, id)::int as rank from hy) left join found_in using (query_id, id) where rank <= 20""")
 def ret_hybrid(c):
     e = c.table("embeddings").select(F.col("vec_id").alias("chunk_id"), F.col("vec_id").alias("paper_id"), "embedding")
     q = c.table("embeddings").where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
     semantic = R.max_pool(R.vector_topk(e, q))
     papers = c.table("documents").select(F.col("doc_id").alias("id"), F.col("n_chars").alias("citation_count"))
-    return R.hybrid(T.bm25(_index(c), _asked(c)), semantic, papers, 20)
+    found = R.retrieve(_index(c), papers, _tagged(c), _queries(c), semantic, 20)
+    return found.withColumn("labels", F.array_join("labels", "; "))
 
 
 # Features are the categories; their names are matched against methodologies and categories of the papers.

@@ -357,3 +357,22 @@ def test_find_substrings(spark, block):
     want = [(r.id, f, t, t == r[f]) for r in rows.collect() for f in "xy" for t in ("ab", "bc", "abc", "zz") if r[f] and t in r[f]]
     assert got == sorted((tuple(w) for w in want), key=str)
     assert find(rows, "id", ["x"], terms.where("t is null"), block).collect() == []
+
+
+def test_retrieve_with_and_without_an_index(spark, tmp_path):
+    papers = spark.createDataFrame([(1, "graph learning", "nothing", 10), (2, "other", "a graph", 1000), (3, "x", "y", 0), (4, "z", "w", None)], "id int, title string, abstract string, citation_count long")
+    ents = spark.createDataFrame([(3, "technique", "Graph nets")], "paper_id int, kind string, name string")
+    q = spark.createDataFrame([(1, "graph")], "query_id int, text string")
+    near = spark.createDataFrame([(1, 1, 0.5), (1, 4, 0.9)], "query_id int, paper_id int, score double")
+    index = T.write_index(papers, ["title", "abstract"], str(tmp_path / "index"))
+    got = {r.rank: (r.id, r.semantic, r.labels) for r in R.retrieve(index, papers, ents, q, near, 3).collect()}
+    assert got == {1: (1, True, ["semantic", "title"]), 2: (4, True, ["semantic"]), 3: (2, False, ["abstract"])}
+    got = [(r.id, r.score, r.labels) for r in R.retrieve(None, papers, ents, q, near, 2).orderBy("rank").collect()]
+    assert got == [(1, 20, ["title"]), (2, 15, ["abstract"])]
+
+
+def test_technique_browser_without_metrics(spark):
+    from inkwell.operators import aggregates as A
+
+    rows = spark.createDataFrame([(1, "a", "uses"), (2, "a", "introduces"), (1, "b", "uses"), (1, None, "uses")], "paper_id int, canonical_name string, role string")
+    assert [(r.canonical_name, r.usage_count, r.uses) for r in A.technique_browser(rows, None, 2).collect()] == [("a", 2, 0)]
