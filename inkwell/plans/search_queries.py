@@ -362,11 +362,14 @@ def ret_context_block(c):
     return R.context_block(rows.withColumnRenamed("lang", "query_id"), title="source", body="text")
 
 
-@query(f"with {BM25_SQL}, k as (select query_id, id, row_number() over (partition by query_id order by score desc, id) as rank from bm), h as (select b.item_id, coalesce(bool_or(contains(lower(d.text), lower(substr(b.text, 1, 20)))), false) as hit from benchmark b left join k on k.query_id = b.item_id and rank <= 5 left join documents d on d.doc_id = k.id group by 1) select count(*) as cases, count_if(hit) as passed, round(count_if(hit) / count(*), 4) as rate, round(count_if(hit) / count(*), 4) >= 0.8 as ok from h")
+@query(f"""with {FEATURE_SQL}, k as (select feature_id, paper_id, row_number() over (partition by feature_id order by score desc, paper_id) as rank from rr), e as (select feature_id, title as piece from f1 join papers on id = paper_id where position = 0),
+h as (select e.feature_id, coalesce(bool_or(contains(lower(title), lower(piece))), false) as hit from e left join k on k.feature_id = e.feature_id and rank <= 5 left join papers on id = k.paper_id group by 1)
+select count(*) as cases, count_if(hit) as passed, round(count_if(hit) / count(*), 4) as rate, round(count_if(hit) / count(*), 4) >= 0.8 as ok from h""")
 def ret_recall_gate(c):
-    hits = T.bm25(_index(c), _asked(c)).withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id")))
-    results = hits.join(c.table("documents").select(F.col("doc_id").alias("id"), F.col("text").alias("title")), "id").select("query_id", "rank", "title")
-    expected = c.table("benchmark").select(F.col("item_id").alias("query_id"), F.substring("text", 1, 20).alias("piece"))
+    """Whether the retrieval for a feature brings the title of its surest paper among the first five."""
+    titles = c.papers.select(F.col("id").alias("paper_id"), "title")
+    results = R.top_fused(_fused(c)).join(titles, "paper_id").select(F.col("feature_id").alias("query_id"), "rank", "title")
+    expected = _dense(c).where("position = 0").join(titles, "paper_id").select(F.col("feature_id").alias("query_id"), F.col("title").alias("piece"))
     return R.recall_gate(results, expected)
 
 
