@@ -12,10 +12,13 @@ from .exact_dedup import exact_dedup
 from .html_extract import extract
 from .license_scan import license_scan, oracle_sql as license_sql
 from .minhash import near_dedup
+from .neighbours import nearest_neighbours
 from .packing import pack
+from .prefix_trie import conversation_trie, oracle_sql as trie_sql
 from .quality import quality_scores
 from .secrets import secret_scan
 from .toxicity import toxicity_scores
+from .vector_codes import oracle_sql as codes_sql, vector_codes
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -79,12 +82,33 @@ def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format(_table(spark, sf_dir, "conversations"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_minhash_near_dedup, op2_license_scan, op3_hilbert_packing, op4_quality_classifier, op5_secret_scan, op6_benchmark_decontamination, op7_toxicity, op8_html_extraction, op9_exact_dedup, op10_chat_formatting)}
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The prefix trie of all conversations, by partition refinement."""
+    return conversation_trie(_table(spark, sf_dir, "conversations"))
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Product codes of all vectors, entries found in kd-trees."""
+    return vector_codes(_table(spark, sf_dir, "embeddings")).drop("label")
+
+
+def op13_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The nearest vectors of every twentieth, by a permutation index."""
+    return nearest_neighbours(_table(spark, sf_dir, "embeddings"))
+
+
+_ALL = (
+    op1_minhash_near_dedup, op2_license_scan, op3_hilbert_packing, op4_quality_classifier, op5_secret_scan, op6_benchmark_decontamination, op7_toxicity,
+    op8_html_extraction, op9_exact_dedup, op10_chat_formatting, op11_prefix_trie, op12_vector_codes, op13_nearest_neighbours,
+)
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _ALL}
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 ORACLE_SQL: dict[str, str] = {
     "op2_license_scan": license_sql(),
+    "op11_prefix_trie": trie_sql(),
+    "op12_vector_codes": codes_sql(),
     "op1_minhash_near_dedup": f"""
 with recursive w as (
   select doc_id, regexp_extract_all({_LOWER}, '[^\\x20\\x09-\\x0D]+') as ws from documents),
