@@ -33,7 +33,8 @@ HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{24,}")
 #: Kinds that the scan adds to the base ones.
 MORE = {
     "github": re.compile(r"gh[pousr]_[A-Za-z0-9]{36,}"),
-    "jwt": re.compile(r"eyJ[A-Za-z0-9_-]{10,}\.eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}"),
+    # From a run's first eyJ: if that has no match, a later one of the run has none.
+    "jwt": re.compile(r"(?<![A-Za-z0-9_-])(?>[A-Za-z0-9_-]*?(?=eyJ))(eyJ[A-Za-z0-9_-]{10,}+\.eyJ[A-Za-z0-9_-]{10,}+\.[A-Za-z0-9_-]{10,}+)"),
     "slack": re.compile(r"xox[abprs]-[A-Za-z0-9-]{20,}"),
     "google": re.compile(r"AIza[A-Za-z0-9_-]{35}"),
     "payment": re.compile(r"[sr]k_live_[A-Za-z0-9]{16,}"),
@@ -52,7 +53,7 @@ def find_secrets(text: str) -> list[tuple[int, int, int, str]]:
     out += [(m.start(), 1, m.end(), m[0]) for m in ACCESS.finditer(text) if len(m[0]) >= 20]
     out += [(m.start(), 2, m.end(), m[0]) for m in HEX.finditer(text)]
     for k, pattern in enumerate(MORE.values(), 3):
-        out += [(m.start(), k, m.end(), m[0]) for m in pattern.finditer(text)]
+        out += [(m.start(pattern.groups), k, m.end(), m[pattern.groups]) for m in pattern.finditer(text)]
     return sorted(out)
 
 
