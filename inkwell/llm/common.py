@@ -246,7 +246,8 @@ _powers: dict[str, np.ndarray] = {}
 LONG_SPAN = 128
 
 
-def _powers_to(n: int) -> tuple[np.ndarray, np.ndarray]:
+def powers_to(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first ``n`` powers or more of the base of running sums, and of its inverse."""
     if len(_powers.get("up", ())) < n:
         size = max(n, RUN_BYTES + 4096)
         for name, base in (("up", _BASE), ("down", _INVERSE)):
@@ -258,7 +259,7 @@ def _powers_to(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """64-bit hashes of byte spans, from one running sum over all bytes."""
-    up, down = _powers_to(len(data) + 1)
+    up, down = powers_to(len(data) + 1)
     total = np.zeros(len(data) + 1, np.uint64)
     np.cumsum(_BYTE[data] * up[: len(data)], out=total[1:])
     out = mix((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(np.uint64))

@@ -18,7 +18,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, map_arrow, mix, row_hash, runs, span_hashes, spans, strings, tune
+from .common import Scratch, map_arrow, mix, powers_to, row_hash, runs, span_hashes, spans, strings, tune
 
 MIN_MATCH = 4
 COVERAGE = 0.5
@@ -50,56 +50,75 @@ def window_hashes(tokens: np.ndarray, width: int) -> np.ndarray:
     return mix(out)
 
 
-def tiles(item: list[int], text: list[int], least: int = MIN_MATCH) -> list[tuple[int, int, int]]:
+class _Line:
+    """Tokens of which any run's hash comes from one running sum, and which of them are free."""
+
+    def __init__(self, tokens: np.ndarray, free: np.ndarray):
+        up, self.down = powers_to(len(tokens) + 1)
+        self.tokens, self.free = tokens, free
+        self.total = np.zeros(len(tokens) + 1, np.uint64)
+        np.cumsum(mix(tokens + np.uint64(1)) * up[: len(tokens)], out=self.total[1:])
+
+    def windows(self, size: int) -> tuple[np.ndarray, np.ndarray]:
+        """(starts, Karp-Rabin hashes) of the runs of ``size`` free tokens."""
+        so_far = np.concatenate([[0], np.cumsum(self.free)])
+        starts = np.flatnonzero(so_far[size:] - so_far[:-size] == size) if len(self.free) >= size else np.zeros(0, np.int64)
+        return starts, (self.total[starts + size] - self.total[starts]) * self.down[starts]
+
+
+def _shared(item: _Line, text: _Line, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(starts, hashes) of the windows in item and in text that the other has too."""
+    (i, hi), (t, ht) = item.windows(size), text.windows(size)
+    known = np.unique(hi)
+    at = np.searchsorted(known, ht)
+    some = known[np.minimum(at, len(known) - 1)] == ht if len(known) else np.zeros(len(ht), bool)
+    both = np.isin(hi, ht[some])
+    return i[both], hi[both], t[some], ht[some]
+
+
+def tiles(item, text, least: int = MIN_MATCH) -> list[tuple[int, int, int]]:
     """Greedy tiles (start in item, start in text, length); equal numbers are equal tokens.
 
     Negative numbers in ``text`` match nothing. Of matches equally long, the one first in
     the item, then in the text, is marked first.
+
+    Each round searches for the greatest length at which free windows are equal (if a length
+    has such, so have all lesser ones) and marks all tiles of it, so the next is less. A
+    round takes time in proportion to the tokens and the logarithm of the item's length,
+    and there are no more rounds than different lengths fit in the item.
     """
-    taken_i, taken_t, out = [False] * len(item), [x < 0 for x in text], []
-    size = max(least, len(item))
-    base, mask = 0x100000001B3, (1 << 61) - 1
-
-    def windows(values: list[int], taken: list[bool], size: int) -> Iterator[tuple[int, int]]:
-        """(Karp-Rabin hash, start) of each run of ``size`` unmarked values, each from the one before."""
-        top, h, run = pow(base, size - 1, mask), 0, 0
-        for k, v in enumerate(values):
-            if taken[k]:
-                h = run = 0
-                continue
-            if run >= size:
-                h = (h - values[k - size] * top) % mask
-            h, run = (h * base + v) % mask, run + 1
-            if run >= size:
-                yield h, k - size + 1
+    return _tiles(np.array(item, np.uint64), np.array([max(x, 0) for x in text], np.uint64), np.array([x >= 0 for x in text], bool), least)
+
 
+def _tiles(item: np.ndarray, text: np.ndarray, free: np.ndarray, least: int) -> list[tuple[int, int, int]]:
+    item, text = _Line(item, np.ones(len(item), bool)), _Line(text, free)
+    out: list[tuple[int, int, int]] = []
+    most = min(len(item.free), len(text.free))
     while True:
-        index = defaultdict(list)
-        for h, t in windows(text, taken_t, size):
-            index[h].append(t)
-        found = []
-        for h, i in windows(item, taken_i, size):
-            for t in index.get(h, ()):
-                if i and t and not taken_i[i - 1] and not taken_t[t - 1] and item[i - 1] == text[t - 1] and size == least:
-                    continue  # not its match's start
-                k = 0
-                while i + k < len(item) and t + k < len(text) and not taken_i[i + k] and not taken_t[t + k] and item[i + k] == text[t + k]:
-                    k += 1
-                if k >= size:
-                    found.append((-k, i, t))
-        marked = False
-        longest = -min(found)[0] if found else 0
-        for k, i, t in sorted(found):
-            if -k < longest:
-                break
-            if not any(taken_i[i : i - k]) and not any(taken_t[t : t - k]):
-                taken_i[i : i - k] = taken_t[t : t - k] = [True] * -k
-                out.append((i, t, -k))
-                marked = True
-        if not marked:
-            if size <= least:
-                return out
-            size = max(least, size // 2)
+        # Invariant: ``low`` is shared, or one less than the least that counts.
+        low, high = least - 1, most
+        while low < high:
+            half = (low + high + 1) // 2
+            low, high = (half, high) if len(_shared(item, text, half)[0]) else (low, half - 1)
+        if low < least:
+            return out
+        most = low - 1
+        starts, hashes, places, found = _shared(item, text, low)
+        order = np.lexsort((places, found))
+        places, found = places[order], found[order]
+        next_at, ends = (dict(zip(hashes.tolist(), np.searchsorted(found, hashes, side).tolist())) for side in ("left", "right"))
+        over = 0
+        for i, h in zip(starts.tolist(), hashes.tolist()):
+            if i < over:
+                continue  # reaches into a tile of this round
+            k = next_at[h]
+            while k < ends[h] and not (text.free[places[k]] and text.free[places[k] + low - 1]):
+                k += 1  # a place that is taken stays so
+            next_at[h] = k
+            if k < ends[h] and np.array_equal(item.tokens[i : i + low], text.tokens[places[k] : places[k] + low]):
+                t, over = int(places[k]), i + low
+                item.free[i:over] = text.free[t : t + low] = False
+                out.append((i, t, low))
 
 
 class Index:
@@ -137,14 +156,18 @@ class Index:
         now = ~(np.isin(self.items, list(later)) & (counts[back] > COMMON)) if later else np.ones(len(seeds), bool)
         self.hashes, self.items, self.places = self.hashes[now], self.items[now], self.places[now]
 
-    def hits(self, tokens: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
-        """(place in tokens, width, first and end of the equal seeds)."""
+    def hits(self, tokens: np.ndarray, edges: np.ndarray) -> np.ndarray:
+        """(row, place in tokens, width, first and end of the equal seeds) of the seeds within a row, by row."""
+        found = []
         for width in self.widths:
             rolled = window_hashes(tokens, width)
             at = np.flatnonzero(self.maybe[(rolled >> np.uint64(44)).astype(np.int64)])
             a, b = (np.searchsorted(self.hashes, rolled[at], side) for side in ("left", "right"))
-            for k in np.flatnonzero(b > a).tolist():
-                yield int(at[k]), width, int(a[k]), int(b[k])
+            row = np.searchsorted(edges, at, "right") - 1
+            some = (b > a) & (at + width <= edges[row + 1])
+            found.append(np.stack([row, at, np.full(len(at), width), a, b], 1)[some])
+        out = np.concatenate(found) if found else np.zeros((0, 5), np.int64)
+        return out[np.argsort(out[:, 0], kind="stable")]
 
 
 def _matched(index, least: int, coverage: float):
@@ -152,37 +175,41 @@ def _matched(index, least: int, coverage: float):
         ix, rows = index.value, []
         docs, hashes = batch.column("doc_id").to_pylist(), batch.column("row_hash").to_pylist()
         for first, tokens, edges in token_hashes(batch.column("text")):
-            by: dict[tuple[int, int], list[tuple[int, int, int]]] = defaultdict(list)
-            for place, width, a, b in ix.hits(tokens):
-                row = int(np.searchsorted(edges, place, "right")) - 1
-                if place + width <= edges[row + 1]:
+            hits = ix.hits(tokens, edges)
+            cuts = np.flatnonzero(np.diff(hits[:, 0])) + 1
+            for own_hits in np.split(hits, cuts) if len(hits) else []:
+                row, start = int(own_hits[0, 0]), int(edges[own_hits[0, 0]])
+                # Of equal seeds in a document one says which items' places they cover.
+                _, one = np.unique(own_hits[:, 3], return_index=True)
+                by: dict[int, list[tuple[int, int, int]]] = defaultdict(list)
+                for _, _, width, a, b in own_hits[one].tolist():
                     for k in range(a, b):
-                        by[row, int(ix.items[k])].append((place - int(edges[row]), int(ix.places[k]), width))
-            for (row, item), seeds in by.items():
-                own = ix.tokens[item]
-                if common := ix.common.get(item):
-                    width, start = min(least, len(own)), int(edges[row])
-                    rolled = window_hashes(tokens[start : edges[row + 1]], width)
-                    for place in np.flatnonzero(np.isin(rolled, np.array(list(common), np.uint64))).tolist():
-                        seeds += [(place, p, width) for p in common[int(rolled[place])]]
-                # No tile reaches beyond its seeds, so they bound the coverage and bear all that can match.
-                covered = np.zeros(len(own), bool)
-                spots = set()
-                for place, p, width in seeds:
-                    covered[p : p + width] = True
-                    spots.update(range(place, place + width))
-                if covered.sum() < coverage * len(own):
-                    continue
-                text, last = [], None
-                for s in sorted(spots):
-                    if last is not None and s != last + 1:
-                        text.append(-1)
-                    text.append(int(tokens[edges[row] + s]))
-                    last = s
-                found = tiles(own.tolist(), text, min(least, len(own)))
-                size = sum(k for _, _, k in found)
-                if size >= coverage * len(own):
-                    rows.append((docs[first + row], ix.ids[item], size / len(own), size, len(own), len(found), hashes[first + row]))
+                        by[int(ix.items[k])].append((a, int(ix.places[k]), width))
+                for item, seeds in by.items():
+                    own = ix.tokens[item]
+                    mine = own_hits[np.isin(own_hits[:, 3], [a for a, _, _ in seeds])]
+                    spots = [mine[mine[:, 2] == w, 1, None] - start + np.arange(w) for w in np.unique(mine[:, 2])]
+                    # No tile reaches beyond its seeds, so they bound the coverage and bear all that can match.
+                    covered = np.zeros(len(own), bool)
+                    for _, p, width in seeds:
+                        covered[p : p + width] = True
+                    if common := ix.common.get(item):
+                        width = min(least, len(own))
+                        rolled = window_hashes(tokens[start : edges[row + 1]], width)
+                        at = np.flatnonzero(np.isin(rolled, np.array(list(common), np.uint64)))
+                        spots.append(at[:, None] + np.arange(width))
+                        for h in np.unique(rolled[at]).tolist():
+                            for p in common[h]:
+                                covered[p : p + width] = True
+                    if covered.sum() < coverage * len(own):
+                        continue
+                    at = np.unique(np.concatenate([x.reshape(-1) for x in spots]))
+                    gaps = np.flatnonzero(np.diff(at) > 1) + 1
+                    text, open_ = np.insert(tokens[start + at], gaps, 0), np.insert(np.ones(len(at), bool), gaps, False)
+                    found = _tiles(own, text, open_, min(least, len(own)))
+                    size = sum(k for _, _, k in found)
+                    if size >= coverage * len(own):
+                        rows.append((docs[first + row], ix.ids[item], size / len(own), size, len(own), len(found), hashes[first + row]))
         if rows:
             kinds = [pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64(), pa.int64(), pa.int64()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], ["doc_id", "uid", "coverage", "matched", "item_tokens", "tiles", "row_hash"])
