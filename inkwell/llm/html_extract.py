@@ -37,10 +37,17 @@ _WHITE = re.compile(r"\s+")
 # HTML's own element classes.
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "br", "cite", "code", "data", "del", "dfn", "em", "font", "i", "img", "ins", "kbd", "label", "mark", "q", "rp", "rt", "ruby", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr"}
+#: Phrasing elements that are not shown: the text around them is one run.
+PHRASING = {"svg", "object", "canvas", "audio", "video", "select", "button", "datalist", "option", "template", "annotation", "annotation-xml", "mphantom", "foreignobject"}
+#: Elements that a drawing can't hold: it ends before them.
+LEAVES_SVG = {"blockquote", "body", "center", "dd", "div", "dl", "dt", "h1", "h2", "h3", "h4", "h5", "h6", "hr", "li", "main", "menu", "nav", "ol", "p", "pre", "section", "article", "table", "ul"}
+#: Formulas are shown as text.
+MATH = {"math", "mi", "mo", "mn", "ms", "mtext", "mrow", "mfrac", "msqrt", "mroot", "msub", "msup", "msubsup", "munder", "mover", "munderover", "mtable", "mtr", "mtd", "semantics", "mstyle", "mspace", "mpadded", "menclose", "merror", "mmultiscripts", "mprescripts"}
+INLINE |= PHRASING | MATH
 #: Inline elements whose end tags also count within blocks that they hold.
 FORMATTING = {"a", "b", "big", "code", "em", "font", "i", "s", "small", "strike", "strong", "tt", "u"}
 #: What a browser does not show as text.
-UNSEEN = {"script", "style", "noscript", "template", "head", "svg", "math", "iframe", "object", "canvas", "audio", "video", "textarea", "select", "title", "button", "option", "datalist"}
+UNSEEN = {"script", "style", "noscript", "head", "iframe", "textarea", "title"} | PHRASING
 RAW = {"script", "style", "textarea", "title", "noscript", "iframe", "xmp", "noembed", "noframes"}
 #: A start tag ends these open elements; second, where to stop looking.
 CLOSES = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
@@ -115,6 +122,15 @@ class _Stack:
 _MARKS = set().union(*(set(a) | set(b) for a, b in NEAR))
 
 
+def _closed(rest: str) -> bool:
+    """Whether a start tag ends itself: by a slash that isn't the end of an unquoted value."""
+    if not rest.endswith("/"):
+        return False
+    before, _, last = rest.rpartition(" ") if not rest[:-1].endswith((" ", "\t", "\n", "\r", "\f")) else ("", "", "/")
+    name, equals, value = last.partition("=")
+    return not (value[:1] not in ("'", '"') and value[-2:-1] not in ("'", '"') if equals else before.rstrip().endswith("="))
+
+
 def parse(source: str) -> list[Node]:
     """The page's block elements and, as ``#text`` nodes, its runs of inline text, parents first.
 
@@ -149,7 +165,11 @@ def parse(source: str) -> list[Node]:
         """Ends the last inline element of this tag on the stack; blocks that it holds stay open."""
         nonlocal leaf, inline
         node, top = stack.last(tag), stack.open[-1]
-        if node is None or top.scope > node.depth or tag not in FORMATTING and top.box.depth > node.depth:
+        if node is None or top.scope > node.depth and tag not in SCOPE or tag not in FORMATTING | PHRASING and top.box.depth > node.depth:
+            return
+        if tag in PHRASING:  # what it holds ends with it
+            leaf, inline = node.around[0], Counter(node.around[1])
+            stack.pop_to(node.depth)
             return
         below = stack.unseen_below(node.depth)
         leaf, inline = node.around[0], Counter(node.around[1])
@@ -195,7 +215,7 @@ def parse(source: str) -> list[Node]:
             continue
         tag = tag.lower()
         if m[1]:
-            if tag in INLINE and tag not in UNSEEN:
+            if tag in INLINE:
                 if inline[tag]:
                     inline[tag] -= 1
                 else:
@@ -208,7 +228,6 @@ def parse(source: str) -> list[Node]:
             continue
         rest = m[3]
         attributes = {k.lower(): a or b or c or "" for k, a, b, c in _ATTRIBUTE.findall(rest)} if rest else {}
-        bare = rest.lower() if rest else ""
         hidden = tag in UNSEEN or "hidden" in attributes or attributes.get("aria-hidden") == "true" or "display:none" in attributes.get("style", "").replace(" ", "").lower()
         if tag in RAW:
             end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(source, at)
@@ -216,8 +235,13 @@ def parse(source: str) -> list[Node]:
             continue
         if stack.unseen and tag == "a":
             end_inline(tag)
+        if stack.unseen and tag != "svg" and (svg := stack.last("svg")) is not None and stack.last("foreignobject") is None:
+            if tag not in LEAVES_SVG:
+                continue  # a shape ends nothing around it
+            stack.pop_to(svg.depth)
+            leaf, inline = svg.around[0], Counter(svg.around[1])
         if tag in INLINE and tag not in VOID and (hidden or stack.unseen):
-            if not bare.endswith("/"):
+            if not _closed(rest):
                 node = Node(tag, stack.open[-1].box, hidden=hidden)
                 node.around = leaf, dict(inline)
                 stack.push(node)
@@ -226,7 +250,7 @@ def parse(source: str) -> list[Node]:
         if tag in INLINE:
             if tag == "br":
                 put(" ")
-            elif tag not in VOID and not bare.endswith("/"):
+            elif tag not in VOID and not _closed(rest):
                 inline[tag] += 1
             continue
         if tag in VOID:
@@ -239,11 +263,11 @@ def parse(source: str) -> list[Node]:
             if not which:
                 break
         leaf, inline = None, Counter()
-        names = tuple(w.lower() for w in _NAME.findall(f"{attributes.get('class', '')} {attributes.get('id', '')} {attributes.get('role', '')}"))
+        names = names_of(f"{attributes.get('class', '')} {attributes.get('id', '')} {attributes.get('role', '')}")
         node = Node(tag, stack.open[-1].box, names, hidden, attributes.get("data-label"))
         if not stack.unseen and not hidden:
             nodes.append(node)
-        if not bare.endswith("/"):
+        if not _closed(rest):
             stack.push(node)
     for node in nodes:
         if node.tag == "#text":
@@ -258,44 +282,82 @@ def parse(source: str) -> list[Node]:
     return [x for x in nodes if x.tag != "#text" or x.size]
 
 
-def evidence(node: Node) -> list[str]:
-    """The node's own features and whether it stands in an article; what its relatives hold comes by the messages."""
-    if node.tag == "#root":
-        return ["root"]
-    share = node.links / node.size if node.size else 0
-    linked = 0 if share < 0.2 else 1 if share < 0.6 else 2
-    if node.tag == "#text":
-        return ["text", f"text links {linked}"]
-    above = node.article
-    out = [f"tag {node.tag}", f"{node.tag} in {above.tag if above is not None else 'page'}", f"box links {linked}", f"{node.tag} links {linked}"]
-    for name in node.names:
-        out += [f"name {name}", f"start {name[:4]}"]
-    return out
-
-
 #: Names that boxes of each sort commonly bear, for the labelled pages.
 CONTENT_NAMES = ["content", "main", "article", "post", "entry", "story", "body", "text", "page", "container", "wrapper", "row", "col", "section", "hentry", "prose", "markdown", "document", "primary"]
 BOILERPLATE = {
-    "nav": ["nav", "navbar", "menu", "navigation", "breadcrumb", "breadcrumbs", "toc", "topbar", "toolbar", "pagination", "pager", "skip", "tabs"],
+    "nav": ["nav", "navbar", "menu", "navigation", "breadcrumb", "breadcrumbs", "toc", "topbar", "toolbar", "pagination", "pager", "skip", "links"],
     "header": ["header", "masthead", "top", "banner", "brand", "logo", "site", "hero"],
     "footer": ["footer", "foot", "bottom", "copyright", "legal", "colophon", "credits"],
     "aside": ["sidebar", "side", "aside", "widget", "related", "recommended", "popular", "trending", "recent", "rail", "tags", "meta", "author", "bio", "secondary", "complementary"],
-    "notice": ["cookie", "cookies", "consent", "gdpr", "notice", "banner", "popup", "modal", "overlay", "alert", "privacy", "disclaimer", "paywall", "announcement", "notification", "message"],
+    "notice": ["cookie", "cookies", "consent", "gdpr", "notice", "banner", "popup", "modal", "overlay", "alert", "privacy", "disclaimer", "paywall", "announcement", "notification"],
     "ad": ["ad", "ads", "advert", "advertisement", "advertising", "sponsor", "sponsored", "promo", "promotion", "adsense", "adsbygoogle", "commercial", "dfp", "outbrain", "taboola"],
     "form": ["form", "newsletter", "subscribe", "signup", "login", "search", "contact", "subscription"],
-    "comments": ["comments", "comment", "reply", "replies", "respond", "discussion", "disqus", "commentlist", "reviews", "responses", "feedback"],
+    "comments": ["comments", "comment", "reply", "replies", "respond", "disqus", "commentlist", "reviews", "responses", "feedback"],
     "share": ["share", "sharing", "social", "follow", "buttons", "icons", "twitter", "facebook"],
 }
 
 
+#: Words of names that say only that something is a box.
+BOX_WORDS = {"box", "area", "inner", "outer", "list", "wrap", "wrapper", "container", "block", "panel", "module", "item", "group", "region", "holder", "div"}
+#: What boxes beside an article often list.
+LISTED = ["posts", "articles", "stories", "news", "entries", "pages"]
+KNOWN = {*LISTED, *CONTENT_NAMES, *(w for names in BOILERPLATE.values() for w in names)}
+
+
+@lru_cache(1 << 14)
+def names_of(value: str) -> tuple[str, ...]:
+    """What the class, id and role of a box say of it.
+
+    A name of one word, but for words and numbers that only say that it is a box, is
+    evidence of another weight than a word among others: "related-work" is not "related".
+    Words that are in no list of names are all alike.
+    """
+    out = []
+    for token in value.split():
+        found = [w.lower() for w in _NAME.findall(token)]
+        own = [w for w in found if w not in BOX_WORDS]
+        kind = "name" if len(own) < 2 else "part"
+        out += [f"{kind} {w}" if w in KNOWN else f"{kind} other" for w in own] or ["name box"] * bool(found)
+        if kind == "name":
+            out += [f"name of {sort}" for w in own for sort, names in BOILERPLATE.items() if w in names]
+    return tuple(dict.fromkeys(out))
+
+
+#: Parts of lists: a list is judged as a whole, not by the number of its items.
+ITEMS = {"li", "dt", "dd"}
+_SENTENCE = re.compile(r"""[.!?…。:;]["'”’»)\]]*$""")
+
+
+def evidence(node: Node) -> list[str]:
+    """The node's own features and whether it stands in an article; what its relatives hold comes by the messages."""
+    if node.tag == "#root":
+        return ["root"]
+    share = node.links / node.size if node.size else 0
+    linked = 0 if share < 0.2 else 1 if share < 0.6 else 2
+    above = node.article.tag if node.article is not None else "page"
+    if node.tag == "#text":
+        if node.parent.tag in ITEMS:
+            return []
+        long = min(5, int(math.log2(1 + node.size / 16)))
+        return ["text", f"text links {linked}", f"text links {linked} in {above}", f"text long {long}", f"text ends {bool(_SENTENCE.search(node.text[0][-8:]))} {min(long, 2)}"]
+    if node.tag in ITEMS:
+        return list(node.names)
+    return [f"tag {node.tag}", f"{node.tag} in {above}", f"{node.tag} under {node.parent.tag}", f"box links {linked}", f"{node.tag} links {linked}", f"{node.tag} links {linked} in {above}", *node.names]
+
+
 def labelled_pages(n: int = 500, seed: int = 17) -> Iterator[str]:
     """Pages of random words in which ``data-label`` says of each box whether it is content."""
     rng = random.Random(seed)
     syllables = ["an", "er", "tion", "the", "is", "re", "ver", "que", "en", "ein", "la", "do"]
     words = lambda a, b: " ".join("".join(rng.choices(syllables, k=rng.randint(1, 4))) for _ in range(rng.randint(a, b)))
 
+    brief = 0.15
+
+    def sentence(a: int, b: int) -> str:
+        return words(a, b) + (rng.choice([".", ".", ".", "?", "!", ":", '."']) if rng.random() < (0.85 if brief < 0.5 else 0.4) else "")
+
     def prose() -> str:
-        out = words(1, 3) if rng.random() < 0.15 else words(4, 80)
+        out = sentence(1, 3) if rng.random() < brief else sentence(4, 80)
         if rng.random() < 0.15:
             out += f' <a href="/x">{words(1, 4)}</a> {words(3, 20)}'
         if rng.random() < 0.15:
@@ -303,16 +365,36 @@ def labelled_pages(n: int = 500, seed: int = 17) -> Iterator[str]:
         return out
 
     def piece() -> str:
-        kind = rng.choices(["p", "h2", "ul", "blockquote", "table", "pre", "figure", "div", "section", "dl"], [60, 9, 6, 4, 3, 3, 3, 8, 3, 1])[0]
+        kind = rng.choices(["p", "h2", "ul", "blockquote", "table", "pre", "figure", "div", "section", "dl"], [60, 9, 6, 4, 3, 3, 3, 8, 5, 1])[0]
+        if rng.random() < 0.05:  # sources, references, further reading
+            return rng.choice(["", f"<h2>{words(1, 3)}</h2>"]) + listed()
         if kind in ("ul", "table", "dl"):
             inner = "".join(f"<li>{prose()}</li>" if kind == "ul" else f"<tr><td>{words(1, 5)}</td><td>{words(1, 5)}</td></tr>" if kind == "table" else f"<dt>{words(1, 2)}</dt><dd>{prose()}</dd>" for _ in range(rng.randint(1, 5)))
             return f"<{kind}>{inner}</{kind}>"
         if kind == "figure":
             return f"<figure><img src=x><figcaption>{words(2, 12)}</figcaption></figure>"
         if kind in ("div", "section"):
-            return f"<{kind}><p>{prose()}</p><p>{prose()}</p></{kind}>"
+            inner = "".join(f"<p>{prose()}</p>" for _ in range(rng.choice([1, 1, 1, 2, 3]))) if rng.random() < 0.85 else f"<h3>{words(1, 4)}</h3>" + (listed() if rng.random() < 0.4 else f"<p>{prose()}</p>")
+            return f"<{kind}{titled()}>{inner}</{kind}>"
         return f"<{kind}>{words(1, 8) if kind == 'h2' else prose()}</{kind}>"
 
+    def titled() -> str:
+        """A box of an article may be called anything, also by a word that other boxes are called by if another word stands beside it."""
+        how = rng.random()
+        if how < 0.3:
+            return ""
+        if how < 0.55:
+            name = words(1, 1)
+        elif how < 0.7:
+            name = rng.choice(CONTENT_NAMES)
+        else:
+            name = "-".join(rng.sample([rng.choice([*KNOWN]), words(1, 1)], 2))
+        return f' {rng.choice(["class", "class", "id"])}="{name}{rng.choice(["", "", "", "2", "-box", "-block", "_inner"])}"'
+
+    def listed() -> str:
+        kind = rng.choice(["ul", "ul", "ol"])
+        return f"<{kind}>" + "".join(f'<li><a href="/{i}">{words(1, 9)}</a></li>' for i in range(rng.choice([1, 1, 2, 2, 3, 5, 9, 20]))) + f"</{kind}>"
+
     def links(a: int, b: int) -> str:
         each = [f'<a href="/{i}">{words(1, 3)}</a>' for i in range(rng.randint(a, b))]
         return "<ul>" + "".join(f"<li>{x}</li>" for x in each) + "</ul>" if rng.random() < 0.7 else " | ".join(each)
@@ -320,7 +402,10 @@ def labelled_pages(n: int = 500, seed: int = 17) -> Iterator[str]:
     def named(names: list[str]) -> str:
         if rng.random() < 0.1:
             return ""
-        name = rng.choice(names) + rng.choice(["", "", "", "-box", "-area", "-1", "-inner", "-list", "_wrap", "-container", "-section"])
+        name = rng.choice(names)
+        if rng.random() < 0.2:  # two words of its sort, or one and what it belongs to
+            name = rng.choice([name + "-" + rng.choice(names), rng.choice(["site", "page", "main", "post", "entry", "article", "global"]) + "-" + name, name + "-" + rng.choice(["section", "content", "text", "row"]), name + "-" + rng.choice(LISTED)])
+        name += rng.choice(["", "", "", "-box", "-area", "-1", "-inner", "-list", "_wrap", "-container"])
         return f' {rng.choice(["class", "class", "id"])}="{name}"'
 
     def boiler(kind: str) -> str:
@@ -330,13 +415,13 @@ def labelled_pages(n: int = 500, seed: int = 17) -> Iterator[str]:
         if own != tag and not name:
             name = f' class="{BOILERPLATE[kind][0]}"'
         inner = {
-            "nav": lambda: links(2, 9),
+            "nav": lambda: rng.choice([links(2, 9), links(2, 9), links(1, 1), words(1, 6)]),
             "header": lambda: rng.choice([f"<h1>{words(1, 4)}</h1><p>{words(2, 8)}</p>", f'<a href="/">{words(1, 2)}</a>', f"<div>{words(1, 5)}</div>{links(2, 6)}"]),
-            "footer": lambda: rng.choice([f"&copy; {words(2, 8)}", f"<p>{words(3, 20)}</p>{links(1, 5)}"]),
-            "aside": lambda: rng.choice([f"<h3>{words(1, 3)}</h3>{links(2, 7)}", f"<p>{words(4, 40)}</p>", f"<h3>{words(1, 3)}</h3><p>{words(5, 40)}</p>"]),
-            "notice": lambda: f"<p>{words(5, 40)}</p>" + rng.choice(["", '<a href="/p">ok</a>']),
-            "ad": lambda: rng.choice([words(3, 30), f"<p>{words(3, 30)}</p>", f'<a href="/a">{words(2, 10)}</a>']),
-            "form": lambda: f"<label>{words(1, 3)}</label><input><p>{words(2, 12)}</p>",
+            "footer": lambda: rng.choice([f"&copy; {words(2, 8)}", f"<p>{sentence(3, 20)}</p>{links(1, 5)}"]),
+            "aside": lambda: rng.choice([f"<h3>{words(1, 3)}</h3>{links(2, 7)}", f"<p>{sentence(4, 40)}</p>", f"<h3>{words(1, 3)}</h3><p>{sentence(5, 40)}</p>"]),
+            "notice": lambda: f"<p>{sentence(5, 40)}</p>" + rng.choice(["", '<a href="/p">ok</a>']),
+            "ad": lambda: rng.choice([sentence(3, 30), f"<p>{sentence(3, 30)}</p>", f'<a href="/a">{words(2, 10)}</a>']),
+            "form": lambda: f"<label>{words(1, 3)}</label><input><p>{sentence(2, 12)}</p>",
             "comments": lambda: f"<h3>{words(1, 3)}</h3>" + "".join(rng.choice([f"<div><p>{prose()}</p></div>", f'<div class="comment"><p>{prose()}</p><p>{prose()}</p></div>', f"<li>{prose()}</li>", f"<article><p>{prose()}</p></article>"]) for _ in range(rng.randint(1, 5))),
             "share": lambda: links(2, 5),
         }[kind]()
@@ -344,9 +429,11 @@ def labelled_pages(n: int = 500, seed: int = 17) -> Iterator[str]:
 
     kinds = list(BOILERPLATE)
     for _ in range(n):
+        brief = 0.8 if rng.random() < 0.12 else 0.15  # some articles are nothing but short lines
         tag = rng.choice(["article", "article", "main", "div", "div", "section"])
-        body = "".join(piece() for _ in range(rng.randint(1, 14)))
-        if rng.random() < 0.8:
+        tiny = brief > 0.5 and rng.random() < 0.5
+        body = "".join(f"<p>{prose()}</p>" if tiny else piece() for _ in range(rng.randint(1, 3 if tiny else 14)))
+        if rng.random() < 0.8 and not tiny:
             title = f"<h1>{words(2, 9)}</h1>"
             if tag in ("article", "main") and rng.random() < 0.35:
                 title = f'<header{rng.choice(["", ' class="entry-header"', ' class="post-header"', ' class="article-header"'])} data-label="1">{title}{rng.choice(["", f"<p>{words(3, 12)}</p>"])}</header>'
@@ -361,6 +448,9 @@ def labelled_pages(n: int = 500, seed: int = 17) -> Iterator[str]:
         body = f'<{tag}{name} data-label="1">{body}</{tag}>'
         if rng.random() < 0.3:
             body = f'<div class="{rng.choice(["wrapper", "container", "page", "site", "layout", "app"])}">{body}</div>'
+        if rng.random() < (0.5 if tiny else 0.08):  # a fragment of a page
+            yield body
+            continue
         before = [boiler(k) for k in rng.sample(kinds, rng.randint(0, 4))]
         after = [boiler(k) for k in rng.sample(kinds, rng.randint(0, 4))]
         yield f"<html><head><title>{words(1, 5)}</title></head><body>{''.join(before)}{body}{''.join(after)}</body></html>"
@@ -417,7 +507,17 @@ def _states(nodes: list[Node]) -> list[int]:
 
 def _tree(nodes: list[Node]) -> tuple[list[list[int]], list[int], list[str]]:
     at = {id(x): i for i, x in enumerate(nodes)}
-    return [[crc32(f.encode()) for f in evidence(x)] for x in nodes], [at[id(x.parent)] if x.parent is not None else -1 for x in nodes], ["text" if x.tag == "#text" else "box" for x in nodes]
+    return [[crc32(f.encode()) for f in evidence(x)] for x in nodes], [at[id(x.parent)] if x.parent is not None else -1 for x in nodes], ["item" if x.tag in ITEMS or x.parent is not None and x.parent.tag in ITEMS else "text" if x.tag == "#text" else "box" for x in nodes]
+
+
+def _odds(found: list[list[int]], parent: list[int], kinds: list[str], weights: dict[int, float], ties: dict[str, float]) -> list[float]:
+    """Each node's log-odds. A list's are less what its items could add by their mere number."""
+    own = [sum(weights.get(f, 0.0) for f in fs) for fs in found]
+    free = math.log1p(math.exp(ties["item"]))
+    for i, kind in enumerate(kinds):
+        if kind == "item":
+            own[parent[i]] -= free
+    return own
 
 
 #: The model, once an executor has trained it.
@@ -431,12 +531,12 @@ def model() -> tuple[dict[int, float], dict[str, float]]:
     for source in labelled_pages(PAGES):
         nodes = parse(source)
         pages.append((*_tree(nodes), _states(nodes)))
-    weights, past, ties = {}, {}, {"text": 1.0, "box": 1.0}
+    weights, past, ties = {}, {}, {"text": 1.0, "box": 1.0, "item": 1.0}
     rng = random.Random(1)
     for epoch in range(EPOCHS):
         rng.shuffle(pages)
         for found, parent, kinds, y in pages:
-            p, pairs = messages([sum(weights.get(f, 0.0) for f in fs) for fs in found], parent, [ties[k] for k in kinds])
+            p, pairs = messages(_odds(found, parent, kinds, weights, ties), parent, [ties[k] for k in kinds])
             slope: dict[int, float] = {}
             for fs, want, have in zip(found, y, p):
                 for f in fs:
@@ -445,14 +545,17 @@ def model() -> tuple[dict[int, float], dict[str, float]]:
                 past[f] = past.get(f, 0.1) + g * g
                 weights[f] = weights.get(f, 0.0) * (1 - 1e-4) + 0.3 * g / math.sqrt(past[f])
             for i in range(1, len(y)):
-                ties[kinds[i]] += 0.01 / (1 + epoch) * (y[i] * y[parent[i]] - pairs[i])
+                step = y[i] * y[parent[i]] - pairs[i]
+                if kinds[i] == "item":
+                    step -= (y[parent[i]] - p[parent[i]]) / (1 + math.exp(-ties["item"]))
+                ties[kinds[i]] += 0.01 / (1 + epoch) * step
     return weights, ties
 
 
 def marginals(nodes: list[Node], weights: dict[int, float], ties: dict[str, float]) -> list[float]:
     """P(content) of each node of a page."""
     found, parent, kinds = _tree(nodes)
-    return messages([sum(weights.get(f, 0.0) for f in fs) for fs in found], parent, [ties[k] for k in kinds])[0]
+    return messages(_odds(found, parent, kinds, weights, ties), parent, [ties[k] for k in kinds])[0]
 
 
 def main_text(source: str | None, weights: dict[int, float], ties: dict[str, float]) -> str:
