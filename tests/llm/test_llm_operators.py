@@ -18,7 +18,7 @@ from inkwell.llm.license_scan import BASE, PATTERNS, license_scan
 from inkwell.llm.packing import Encoder, hilbert_key, pack
 from inkwell.llm.quality import quality_scores
 from inkwell.llm.queries import tokenizer_path
-from inkwell.llm.secrets import secret_scan
+from inkwell.llm.secrets import find_secrets, secret_scan
 from inkwell.llm.toxicity import toxicity_scores
 
 DOCS = "doc_id long, text string, lang string, source string, score string, uid string, n string"
@@ -234,6 +234,22 @@ def test_toxicity(spark):
     assert not any(r.toxic for r in toxicity_scores(docs, labels.limit(0)).collect())
 
 
+@pytest.mark.parametrize("text", ["eyJ" * 340_000, "eyJabcdefghijk." * 70_000, "token" * 200_000, "AKIA" * 250_000, "-----BEGIN A " * 80_000, "ghp_" * 250_000, "xoxb-" * 200_000])
+def test_secrets_take_time_in_proportion(text):
+    """1 MB of what patterns begin with."""
+    began = time.process_time()
+    find_secrets(text)
+    assert time.process_time() - began < 1.5
+
+
+def test_secrets_jwt_wherever_it_stands():
+    rng = random.Random(1)
+    plain = re.compile(r"eyJ[A-Za-z0-9_-]{10,}\.eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}")
+    for _ in range(20_000):
+        text = "".join(rng.choice(["eyJ", "abcdefghij", ".", ".", "_", "x", " ", "eyJabcdefghijk"]) for _ in range(rng.randrange(3, 16)))
+        assert [(a, b) for a, k, b, _ in find_secrets(text) if k == 4] == [m.span() for m in plain.finditer(text)]
+
+
 # Decontamination.
 
 
@@ -264,6 +280,33 @@ def test_tiles(seed):
     assert sum(k for *_, k in tiles(item, text, 3)) == sum(k for *_, k in tiles_by_hand(item, text, 3))
 
 
+@pytest.mark.parametrize("seed", range(200))
+def test_tiles_are_the_greedy_ones(seed):
+    rng = random.Random(1000 + seed)
+    kinds = rng.randrange(1, 6)
+    item = [rng.randrange(kinds) for _ in range(rng.randrange(0, 25))]
+    text = [rng.choice([*range(kinds), -1]) for _ in range(rng.randrange(0, 40))]
+    least = rng.randrange(1, 5)
+    assert sorted(tiles(item, text, least)) == sorted(tiles_by_hand(item, text, least))
+
+
+@pytest.mark.parametrize("period", [[5], [5, 6], [1, 2, 3, 4, 5, 6, 7, 8]])
+def test_tiles_of_repeated_tokens_take_time_in_proportion(period):
+    item, text = [9] + (period * 200)[:199], period * (1_000_000 // len(period))
+    began = time.process_time()
+    found = tiles(item, text)
+    assert found[0] == (1, 0, 199) and time.process_time() - began < 10
+
+
+def test_decontamination_of_one_repeated_word(spark):
+    """1 MB of one word, in document and item alike."""
+    docs = frame(spark, [(1, "aa " * 350_000, "s"), (2, "aa " * 300 + "zz", "s"), (3, "zz " * 5, "s")])
+    bench = spark.createDataFrame([(1, "zz " + "aa " * 199), (2, "bb " + "aa " * 3), (3, "aa " * 7)], "item_id long, text string")
+    began = time.time()
+    got = {(r.doc_id, r.item_id): round(r.coverage, 3) for r in contaminated(docs, bench).collect()}
+    assert got == {(1, 1): 0.995, (2, 1): 0.995, (1, 3): 1.0, (2, 3): 1.0} and time.time() - began < 60
+
+
 def test_decontamination(spark):
     rng = random.Random(5)
     word = lambda: "".join(rng.choices("abcdefghijk", k=4))
@@ -367,6 +410,70 @@ def test_html_hidden(source, text):
         assert main_text(source, *model()) == text
 
 
+PLAIN = "Plain words of the article stand here and go on for a while. "
+
+
+def page(x, nav='<nav><ul><li><a href="/a">Home</a></li><li><a href="/b">News</a></li></ul></nav>'):
+    return f"<html><body>{nav}<article><h1>The title</h1><p>{PLAIN}{PLAIN}</p>{x}<p>{PLAIN}Last.</p></article><footer>&copy; x 2020</footer></body></html>"
+
+
+def around(x=None):
+    plain = PLAIN.strip()
+    return "\n\n".join(["The title", f"{plain} {plain}", *([x] if x else []), f"{plain} Last."])
+
+
+@pytest.mark.parametrize("times", [1, 2, 33])
+@pytest.mark.parametrize("box", [*(f'div class="{n}"' for n in ("box2", "top-story", "tabs", "legal-analysis", "author-interview", "related-work", "text-body")), "div", *(f"section {n}" for n in ('class="chapter"', 'class="message"', 'class="discussion"', 'id="search-methods"'))])
+def test_html_named_box_of_one_paragraph(box, times):
+    text = (PLAIN * times).strip()
+    assert main_text(page(f"<{box}><p>{text}</p></{box.split()[0]}>"), *model()) == around(text)
+
+
+@pytest.mark.parametrize("n", [1, 2, 5, 20])
+@pytest.mark.parametrize("form", ["{}", "<section><h2>Sources</h2>{}</section>", "<h2>Sources</h2>{}"])
+def test_html_lists_of_links_in_an_article(form, n):
+    names = [f"Source number {i}" for i in range(n)]
+    x = form.format("<ul>" + "".join(f'<li><a href="/s">{s}</a></li>' for s in names) + "</ul>")
+    assert main_text(page(x), *model()) == around("\n\n".join((["Sources"] if "h2" in form else []) + names))
+
+
+@pytest.mark.parametrize("nav", ["<nav>Menu text</nav>", "<nav><a href=/>Menu</a></nav>", '<nav><a href="/">Menu</a> <a href=/about/>About</a></nav>'])
+def test_html_bare_menus_go(nav):
+    assert main_text(page("", nav), *model()) == around()
+
+
+@pytest.mark.parametrize(
+    "box",
+    [
+        '<div class="share"><a href=x>Tweet</a> <a href=y>Post</a></div>', '<div class="ad">Buy this thing now, it is good.</div>', '<div class="related"><h3>Related</h3><ul><li><a href=1>One</a></li><li><a href=2>Two</a></li></ul></div>',
+        '<section class="comments"><h3>Comments</h3><p>I liked this article very much.</p></section>', '<div class="related-posts"><ul><li><a href=1>One</a></li><li><a href=2>Two</a></li></ul></div>',
+        '<div class="cookie-banner"><p>We use cookies to give you the best of all experiences.</p></div>', "<aside><p>Some side remark about it.</p></aside>", "<form><label>Mail</label><input><p>Subscribe now to our letter.</p></form>",
+        '<div id="comments"><div class="comment"><p>Nice text. I read it twice and liked it.</p></div><div class="comment"><p>Me too.</p></div></div>', '<div class="newsletter"><h3>News</h3><p>Get the best by mail each day.</p></div>',
+    ],
+)
+def test_html_boxes_that_go(box):
+    assert main_text(page(box), *model()) == around()
+    assert main_text(page("").replace("<article>", box + "<article>"), *model()) == around()
+
+
+@pytest.mark.parametrize(
+    "source, text",
+    [
+        ("<p>Press <svg><path d=1><circle/></svg>to go on</p>", "Press to go on"), ("<p>Press <svg><g><p>on</svg></p>", "Press\n\non"), ("<p>Press <button>x <div>y</div></button>to go on</p>", "Press to go on"),
+        ("<p>a <select><option>b<option>c</select>d</p>", "a d"), ("<p>see <a href=/about/>this</a> there</p>", "see this there"), ("<p>a <video src=x>no</video>b</p>", "a b"),
+        ("<p>so <math><mi>x</mi><mo>=</mo><mn>1</mn><annotation>tex</annotation></math> it is</p>", "so x=1 it is"), ("<p><span class='a'/>q</p>", "q"), ("<p>a<canvas>b</canvas> c<object>d</object></p>", "a c"),
+    ],
+)
+def test_html_phrasing(source, text):
+    assert "\n\n".join(x.text[0] for x in parse(f"<article>{source}</article>") if x.tag == "#text") == text
+
+
+def test_html_slash_of_an_unquoted_value():
+    link = parse("<p><a href=/about/>one two</a> x</p>")[-1]
+    assert link.text == ["one two x"] and link.linked == len("one two")
+    assert [x.text for x in parse("<div id=a/><p>x</p></div><div id='a'/><div id/><div /><p>y</p>") if x.tag == "#text"] == [["x"], ["y"]]
+
+
 def test_html_hidden_keeps_links():
     text = html_extract.parse("<p><a href=x>one <i hidden>x</i>two</a></p>")[-1]
     assert text.text == ["one two"] and text.linked == len("one two")
