@@ -12,7 +12,9 @@ from pyspark.sql import functions as F
 
 from ..functions.workers import ship
 from ..sources import scratch
+from ..sources.ranges import numbered
 from . import aggregates as A
+from . import modularity, paths
 from .browse import induced
 
 # Weights of what two papers share, factors of the idf tiers, weight of a technique without idf.
@@ -233,7 +235,7 @@ def stage(introduces: Column, uses: Column, cross_adoption: Column, tier: Column
     )
 
 
-# Graph algorithms that have no DataFrame form.
+# What a task does with a small connected component.
 
 
 def _brandes(starts: np.ndarray, indptr: np.ndarray, indices: np.ndarray, weights: np.ndarray) -> np.ndarray:
@@ -271,8 +273,8 @@ def _brandes(starts: np.ndarray, indptr: np.ndarray, indices: np.ndarray, weight
     return total
 
 
-#: Edges of a component that one task holds at most, and from which its sources are dealt over tasks.
-WHOLE_GRAPH_EDGES, SOURCE_EDGES = 5_000_000, 10_000
+#: Edges of a connected component that one task takes as a whole, and edges that are dealt to a task.
+WHOLE_GRAPH_EDGES, SOURCE_EDGES = 2_000, 10_000
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -294,13 +296,16 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def _by_component(edges: DataFrame) -> DataFrame:
-    """``edges`` and their component, none of which is too large for one task."""
-    parts = edges.join(components(edges).withColumnRenamed("node", "src"), "src")
-    most = parts.groupBy("component").count().agg(F.max("count")).first()[0] or 0
-    if most > WHOLE_GRAPH_EDGES:
-        raise ValueError(f"a component of {most} edges is too large for one task; take a subgraph, a sample of sources or label_propagation")
-    return parts
+def _by_component(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``edges`` of the components that a task can hold, dealt to parts, and those of the larger ones."""
+    found = components(edges)
+    at = scratch.path(edges.sparkSession, "parts")
+    edges.join(found.withColumnRenamed("node", "src"), "src").write.parquet(at)
+    parts = edges.sparkSession.read.parquet(at)
+    sizes = parts.groupBy("component").agg((F.count("*") > WHOLE_GRAPH_EDGES).alias("large"))
+    parts = parts.join(sizes, "component")
+    buckets = 1 + edges.count() // SOURCE_EDGES
+    return parts.where("not large").withColumn("part", F.pmod(F.xxhash64("component"), F.lit(buckets))), parts.where("large")
 
 
 def _adjacent(a: np.ndarray, b: np.ndarray, w: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -310,10 +315,11 @@ def _adjacent(a: np.ndarray, b: np.ndarray, w: np.ndarray, n: int) -> tuple[np.n
 
 
 def betweenness(nodes: DataFrame, edges: DataFrame, key: str = "id", invert_weight: bool = False) -> DataFrame:
-    """(id, betweenness_centrality), normalised; edge weights are taken as distances unless inverted.
+    """(id, betweenness_centrality), normalised; edge weights, above zero, are taken as distances unless inverted.
 
-    No path leaves a connected component, so small components are dealt over the tasks, and a large
-    one's sources are; one of more than WHOLE_GRAPH_EDGES edges is refused.
+    No path leaves a connected component. Components of WHOLE_GRAPH_EDGES edges or fewer are
+    dealt over the tasks; larger ones go through supersteps (:mod:`.paths`), a block of
+    sources at a time, of which no task holds more than its share of rows.
     """
     spark = edges.sparkSession
     ship(spark)
@@ -324,16 +330,25 @@ def betweenness(nodes: DataFrame, edges: DataFrame, key: str = "id", invert_weig
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         found, at = np.unique(pdf[["src", "dst"]].to_numpy(), return_inverse=True)
         a, b = at.reshape(-1, 2).T
-        starts = np.arange(pdf["share"].iloc[0], len(found), pdf["shares"].iloc[0])
-        return pd.DataFrame({key: found, "b": _brandes(starts, *_adjacent(a, b, pdf["weight"].to_numpy(float), len(found)))})
-
-    parts = _by_component(edges)
-    buckets = 1 + edges.count() // SOURCE_EDGES
-    most = spark.sparkContext.defaultParallelism * 4
-    shares = parts.groupBy("component").agg(F.least(F.lit(most), F.ceil(F.count("*") / SOURCE_EDGES)).cast("int").alias("shares"))
-    dealt = parts.join(shares, "component").withColumn("share", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)))
-    dealt = dealt.withColumn("part", F.when(F.col("shares") == 1, F.pmod(F.xxhash64("component"), F.lit(buckets))).otherwise(F.col("component")))
-    sums = dealt.groupBy("shares", "part", "share").applyInPandas(run, f"{key} long, b double").groupBy(key).agg(F.sum("b").alias("b"))
+        return pd.DataFrame({key: found, "b": _brandes(np.arange(len(found)), *_adjacent(a, b, pdf["weight"].to_numpy(float), len(found)))})
+
+    small, large = _by_component(edges)
+    sums = small.groupBy("part").applyInPandas(run, f"{key} long, b double")
+    if not large.isEmpty():
+        at = scratch.path(spark, "near")
+        near = large.select("component", F.col("src").alias("tail"), F.col("dst").alias("head"), "weight")
+        near.unionByName(near.select("component", F.col("head").alias("tail"), F.col("tail").alias("head"), "weight")).where("tail <> head").write.parquet(at)
+        near = spark.read.parquet(at)
+        sources = near.select("component", F.col("tail").alias("source")).distinct()
+        # A source reaches its component: so many (source, node) rows there are in all.
+        rows = sources.groupBy("component").count().agg(F.sum(F.col("count") * F.col("count"))).first()[0]
+        blocks = max(1, -(-rows // paths.BLOCK_ROWS))
+        for k in range(blocks):
+            own = sources.where(F.pmod(F.xxhash64("source"), F.lit(blocks)) == k).select("source")
+            at = scratch.path(spark, "dependencies")
+            paths.dependencies(near.drop("component"), own).write.parquet(at)
+            sums = sums.unionByName(spark.read.parquet(at).select(F.col("node").alias(key), "b"))
+    sums = sums.groupBy(key).agg(F.sum("b").alias("b"))
     return nodes.select(key).join(sums, key, "left").select(key, F.round(F.coalesce("b", F.lit(0.0)) * scale, 9).alias("betweenness_centrality"))
 
 
@@ -384,27 +399,34 @@ def greedy_modularity(edges: list[tuple[int, int, float]], total: float | None =
 
 
 def communities(nodes: DataFrame, edges: DataFrame, key: str = "id") -> DataFrame:
-    """(id, cluster_id) by greedy modularity over all weights 1; ids by size, isolated nodes get one each after them.
+    """(id, cluster_id) by modularity over all weights 1; ids by size, isolated nodes get one each after them.
 
     Communities merge only within a connected component, by gains that depend on the rest of
-    the graph by its number of edges alone; so each component is a task's, of at most
-    WHOLE_GRAPH_EDGES edges; :func:`label_propagation` is for larger ones.
+    the graph by its number of edges alone. So each component of WHOLE_GRAPH_EDGES edges or
+    fewer is a task's, by the best gain of all; larger ones are contracted in rounds
+    (:mod:`.modularity`).
     """
+    spark = edges.sparkSession
     edges = edges.select("src", "dst").where("src <> dst")
     total = 2 * edges.count()
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         found = [s for _, part in pdf.groupby("component") for s in greedy_modularity(list(zip(part["src"].tolist(), part["dst"].tolist(), [1] * len(part))), total)]
-        return pd.DataFrame([(v, len(s), min(s)) for s in found for v in sorted(s)], columns=[key, "size", "least"])
+        return pd.DataFrame([(v, min(s)) for s in found for v in sorted(s)], columns=[key, "least"])
 
-    ship(edges.sparkSession)
-    parts = _by_component(edges).withColumn("part", F.pmod(F.xxhash64("component"), F.lit(1 + total // SOURCE_EDGES)))
-    found = parts.groupBy("part").applyInPandas(run, f"{key} long, size long, least long")
-    numbers = found.select("size", "least").distinct().select("least", (F.expr("row_number() over (order by size desc, least)") - 1).alias("cluster_id"))
+    ship(spark)
+    small, large = _by_component(edges)
+    found = small.groupBy("part").applyInPandas(run, f"{key} long, least long")
+    if not large.isEmpty():
+        found = found.unionByName(modularity.communities(large, total).select(F.col("node").alias(key), F.col("community").alias("least")))
+    at = scratch.path(spark, "communities")
+    found.write.parquet(at)
+    found = spark.read.parquet(at)
+    sizes = found.groupBy("least").agg(F.count("*").alias("size"))
+    numbers = numbered(sizes, [F.desc("size"), F.asc("least")], "cluster_id").select("least", "cluster_id")
     named = found.join(numbers, "least").select(key, "cluster_id")
     alone = nodes.select(key).join(edges.select(F.explode(F.array("src", "dst")).alias(key)).distinct(), key, "left_anti")
-    first = numbers.agg(F.coalesce(F.max("cluster_id") + 1, F.lit(0)).alias("_first"))
-    alone = alone.crossJoin(F.broadcast(first)).select(key, (F.col("_first") + F.expr(f"row_number() over (order by {key})") - 1).alias("cluster_id"))
+    alone = numbered(alone, [key], "_place").select(key, (F.col("_place") + sizes.count()).alias("cluster_id"))
     return named.unionByName(alone)
 
 
@@ -414,8 +436,12 @@ def label_propagation(nodes: DataFrame, edges: DataFrame, key: str = "id", round
     symmetrise(edges).write.parquet(path)  # read again in each round
     both = edges.sparkSession.read.parquet(path)
     labels = nodes.select(F.col(key).alias("node"), F.col(key).alias("label"))
-    for _ in range(rounds):
+    for k in range(rounds):
         votes = both.join(labels.withColumnRenamed("node", "neighbour"), "neighbour").groupBy("node", "label").agg(F.round(F.sum("weight"), 6).alias("w"))
         best = votes.groupBy("node").agg(F.max_by("label", F.struct(F.col("w"), -F.col("label"))).alias("new"))
         labels = labels.join(best, "node", "left").select("node", F.coalesce("new", "label").alias("label"))
+        if k < rounds - 1:  # else each round would plan all before it
+            at = scratch.path(edges.sparkSession, "labels")
+            labels.write.parquet(at)
+            labels = edges.sparkSession.read.parquet(at)
     return labels.toDF(key, "cluster_id")

@@ -1,6 +1,7 @@
 """Operators that SQL can't express, and documented numbers, on small fixtures."""
 
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -15,6 +16,7 @@ from inkwell.operators import retrieval as R
 from inkwell.operators import text as X
 from inkwell.operators import upsert as U
 from inkwell.sources import readers, writers
+from inkwell.sources.ranges import numbered
 from inkwell.streaming import streams
 
 
@@ -68,10 +70,53 @@ def test_graphs_by_component(spark, monkeypatch):
         by.setdefault(k, set()).add(v)
     whole = G.greedy_modularity([(a, b, 1) for a, b, _ in rows + chain])
     assert [by[k] for k in range(len(whole))] == whole
-    monkeypatch.setattr(G, "WHOLE_GRAPH_EDGES", 60)
-    for f in (G.betweenness, G.communities):
-        with pytest.raises(ValueError, match="component of 70 edges"):
-            f(nodes(spark, 110), edges(spark, rows + chain))
+
+
+def modularity_of(rows, cluster):
+    m, inner, degree = len(rows), {}, {}
+    for a, b, _ in rows:
+        inner[cluster[a]] = inner.get(cluster[a], 0) + (cluster[a] == cluster[b])
+        for v in (a, b):
+            degree[cluster[v]] = degree.get(cluster[v], 0) + 1
+    return sum(n / m for n in inner.values()) - sum((d / (2 * m)) ** 2 for d in degree.values())
+
+
+def some_graph(kind, seed):
+    """Edges of weights 1 to 3 over at most 60 nodes."""
+    rng = random.Random(seed)
+    w = lambda: rng.choice([1, 1, 2, 3, 0.5])
+    if kind == "blocks":
+        found = {(a, b) for a in range(60) for b in range(a + 1, 60) if rng.random() < (0.5 if a // 12 == b // 12 else 0.02)}
+    elif kind == "star":
+        found = {(0, k) for k in range(1, 40)} | {(40, k) for k in range(41, 60)} | {(0, 40)}
+    else:
+        found = {tuple(sorted(rng.sample(range(40), 2))) for _ in range(90)}
+    return [(a, b, w()) for a, b in sorted(found)]
+
+
+@pytest.mark.parametrize("kind, seed", [("blocks", 1), ("star", 2), ("random", 4)])
+def test_large_components(spark, monkeypatch, kind, seed):
+    """Supersteps give what Brandes gives; contraction loses 2 % of the modularity at most."""
+    rows = some_graph(kind, seed)
+    small = [(100, 101, 1), (101, 102, 1)]
+    g, v = edges(spark, rows + small), nodes(spark, 110)
+    want = {r.id: r.betweenness_centrality for r in G.betweenness(v, g).collect()}
+    whole = G.greedy_modularity([(a, b, 1) for a, b, _ in rows + small])
+    monkeypatch.setattr(G, "WHOLE_GRAPH_EDGES", 2)
+    if kind == "star":  # sources in blocks
+        monkeypatch.setattr(G.paths, "BLOCK_ROWS", 2000)
+    assert {r.id: r.betweenness_centrality for r in G.betweenness(v, g).collect()} == pytest.approx(want, abs=1e-8)
+    got = {r.id: r.cluster_id for r in G.communities(v, g).collect()}
+    assert sorted(got) == list(range(110)) and sorted(set(got.values())) == list(range(len(set(got.values()))))
+    best = modularity_of(rows + small, {n: k for k, s in enumerate(whole) for n in s})
+    assert modularity_of(rows + small, got) >= 0.98 * best
+
+
+def test_numbered(spark):
+    rng = random.Random(1)
+    keys = rng.sample(range(10_000), 500)
+    got = {r.k: r.n for r in numbered(spark.createDataFrame([(k,) for k in keys], "k long").repartition(7), ["k"], "n").collect()}
+    assert got == {k: i for i, k in enumerate(sorted(keys))}
 
 
 def entities(spark):
