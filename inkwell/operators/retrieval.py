@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.workers import ship
 from . import fts
+from .vector_index import VectorIndex
 
 # Fixed values.
 SEMANTIC_WEIGHT, CHUNKS, PAPERS, LEAST_COSINE, CHUNK_CHARS, CHUNKS_PER_PAPER = 40.0, 200, 50, 0.30, 2000, 5
@@ -28,15 +29,12 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
 
-def vector_topk(chunks: DataFrame, queries: DataFrame, k: int = CHUNKS, least: float = LEAST_COSINE, key: str = "chunk_id") -> DataFrame:
-    """(query_id, chunk_id, paper_id, score): the ``k`` nearest chunks of each query, then those below ``least`` go.
+def vector_topk(index: VectorIndex, queries: DataFrame, k: int = CHUNKS, least: float = LEAST_COSINE, exact: bool = True) -> DataFrame:
+    """(query_id, chunk_id, paper_id, score): the ``k`` nearest chunks of each query (query_id, vector), then those below ``least`` go.
 
-    ``queries`` (query_id, vector) is a stated set: it is held against all chunks in the
-    tasks that read them, and each task keeps its best ``k`` before anything is shuffled.
+    Queries are rows that are sent to the index's cells, so any number of them is one plan.
     """
-    scored = chunks.crossJoin(F.broadcast(queries)).select("query_id", key, "paper_id", F.round(dot(F.col("embedding"), F.col("vector")), 6).alias("score"))
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), key)
-    return scored.withColumn("_r", F.row_number().over(best)).where(F.col("_r") <= k).drop("_r").where(F.col("score") >= least)
+    return index.search(queries, k, least, exact)
 
 
 def max_pool(hits: DataFrame, k: int = PAPERS) -> DataFrame:

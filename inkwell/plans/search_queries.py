@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import fts as T
 from ..operators import retrieval as R
+from ..operators import vector_index as V
 from ..sources import scratch
 from .registry import query
 from .stem_sql import stems_sql
@@ -54,12 +55,20 @@ def _post(c):
 _STORED: dict[tuple, str] = {}
 
 
+def _version(c, table):
+    """What tells a table's versions apart: the paths, times and lengths of all its files."""
+    at = c.spark._jvm.org.apache.hadoop.fs.Path(f"{c.sf_dir}/{table}.parquet")
+    files = at.getFileSystem(c.spark._jsc.hadoopConfiguration()).listFiles(at, True)
+    found = []
+    while files.hasNext():
+        f = files.next()
+        found.append((f.getPath().toString(), f.getModificationTime(), f.getLen()))
+    return c.spark.sparkContext.applicationId, table, tuple(sorted(found))
+
+
 def _index(c, again=False):
     """The stemmed index of the text papers; written once for each version of the table, then read by every search."""
-    jvm = c.spark._jvm
-    at = jvm.org.apache.hadoop.fs.Path(f"{c.sf_dir}/documents.parquet")
-    fs = at.getFileSystem(c.spark._jsc.hadoopConfiguration())
-    key = (c.spark.sparkContext.applicationId, at.toString(), fs.getFileStatus(at).getModificationTime(), fs.getContentSummary(at).getLength())
+    key = _version(c, "documents")
     if again or key not in _STORED:
         path = scratch.path(c.spark, "index")
         T.write_index(c.texts, ["title", "abstract"], path)
@@ -220,10 +229,40 @@ def ret_like_legacy(c):
 VEC_SQL = "sims as (select q.vec_id as query_id, e.vec_id as chunk_id, e.label as paper_id, round(list_dot_product(e.embedding::double[], q.embedding::double[]), 6) as score from embeddings e, (select * from embeddings where vec_id % 20 = 0) q), top as (select * from (select *, row_number() over (partition by query_id order by score desc, chunk_id) as r from sims) where r <= 200 and score >= 0.30)"
 
 
+def _vector_index(c, again=False):
+    """The index of all vectors; written once for each version of the table, then read by every search."""
+    key = _version(c, "embeddings")
+    if again or key not in _STORED:
+        path = scratch.path(c.spark, "vectors")
+        V.build(c.table("embeddings").select(F.col("vec_id").alias("chunk_id"), F.col("label").alias("paper_id"), "embedding"), path)
+        _STORED[key] = path
+    return V.VectorIndex.read(c.spark, _STORED[key])
+
+
+def _vector_queries(c):
+    return c.table("embeddings").where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
+
+
 def _vectors(c):
-    e = c.table("embeddings").select(F.col("vec_id").alias("chunk_id"), F.col("label").alias("paper_id"), "embedding")
-    q = c.table("embeddings").where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
-    return R.vector_topk(e, q)
+    return R.vector_topk(_vector_index(c), _vector_queries(c)).select("query_id", "chunk_id", "paper_id", "score")
+
+
+@query("select vec_id as chunk_id, label as paper_id from embeddings")
+def vec_index_build(c):
+    """Writes the index that the searches read."""
+    return _vector_index(c, again=True).rows.select("chunk_id", "paper_id")
+
+
+@query("select count(*) as queries, true as found_nine_tenths, true as cells_hold_all from embeddings where vec_id % 20 = 0")
+def vec_index_recall(c):
+    """Of the rows that the exact search finds, what the search of the nearest cells alone finds."""
+    index, queries = _vector_index(c), _vector_queries(c)
+    exact, near = (index.search(queries, R.CHUNKS, R.LEAST_COSINE, exact=e).select("query_id", "chunk_id") for e in (True, False))
+    both = exact.join(near.withColumn("_found", F.lit(True)), ["query_id", "chunk_id"], "left").agg(F.coalesce(F.avg(F.coalesce("_found", F.lit(False)).cast("int")), F.lit(1.0)).alias("share"))
+    sizes = index.cells.agg(F.sum("n").alias("n"))
+    total = c.table("embeddings").agg(F.count("*").alias("all"))
+    out = queries.agg(F.count("*").alias("queries")).crossJoin(both).crossJoin(sizes).crossJoin(total)  # one row each
+    return out.select("queries", (F.col("share") >= 0.9).alias("found_nine_tenths"), (F.col("n") == F.col("all")).alias("cells_hold_all"))
 
 
 @query(f"with {VEC_SQL} select query_id, chunk_id, paper_id, score from top")
@@ -269,9 +308,8 @@ hy as (select query_id, id, round(coalesce(fs.score, 0) + 40 * coalesce(s, 0) +
 @query(f"""with {HYBRID_SQL} select query_id, id, score, semantic, rank, concat_ws('; ', case when semantic then 'semantic' end, labels) as labels
 from (select *, row_number() over (partition by query_id order by score desc, id)::int as rank from hy) left join found_in using (query_id, id) where rank <= 20""")
 def ret_hybrid(c):
-    e = c.table("embeddings").select(F.col("vec_id").alias("chunk_id"), F.col("vec_id").alias("paper_id"), "embedding")
-    q = c.table("embeddings").where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
-    semantic = R.max_pool(R.vector_topk(e, q))
+    # Here each chunk is a paper of its own.
+    semantic = R.max_pool(_vectors(c).withColumn("paper_id", F.col("chunk_id")))
     papers = c.table("documents").select(F.col("doc_id").alias("id"), F.col("n_chars").alias("citation_count"))
     found = R.retrieve(_index(c), papers, _tagged(c), _queries(c), semantic, 20)
     return found.withColumn("labels", F.array_join("labels", "; "))

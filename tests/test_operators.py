@@ -15,6 +15,7 @@ from inkwell.operators import normalize as N
 from inkwell.operators import retrieval as R
 from inkwell.operators import text as X
 from inkwell.operators import upsert as U
+from inkwell.operators import vector_index as V
 from inkwell.sources import readers, writers
 from inkwell.sources.ranges import numbered
 from inkwell.streaming import streams
@@ -421,3 +422,62 @@ def test_technique_browser_without_metrics(spark):
 
     rows = spark.createDataFrame([(1, "a", "uses"), (2, "a", "introduces"), (1, "b", "uses"), (1, None, "uses")], "paper_id int, canonical_name string, role string")
     assert [(r.canonical_name, r.usage_count, r.uses) for r in A.technique_browser(rows, None, 2).collect()] == [("a", 2, 0)]
+
+
+def unit_rows(rng, n, d=16, near=0.3):
+    import numpy as np
+
+    base = rng.normal(size=(12, d))
+    x = base[rng.integers(0, 12, n)] + near * rng.normal(size=(n, d))
+    return (x / np.linalg.norm(x, axis=1, keepdims=True)).astype("float32")
+
+
+def brute_topk(rows, queries, k, least):
+    out = set()
+    for q, v in queries:
+        scored = sorted(((-round(sum(float(a) * float(b) for a, b in zip(x, v)), 6), i) for i, _, x in rows))[:k]
+        out |= {(q, i, -s) for s, i in scored if least is None or -s >= least}
+    return out
+
+
+@pytest.mark.parametrize("slice_rows", [16384, 20])
+def test_vector_index(spark, tmp_path, monkeypatch, slice_rows):
+    """Exact searches equal brute force, also where a cell holds a third of all rows and is cut to slices; the others find nine tenths."""
+    import numpy as np
+
+    monkeypatch.setattr(V, "SLICE", slice_rows)
+    rng = np.random.default_rng(3)
+    x = unit_rows(rng, 600)
+    x[:200] = x[0]
+    rows = [(i, f"p{i % 7}", v.tolist()) for i, v in enumerate(x)]
+    bad = [(900, "x", None), (901, "x", []), (902, "x", [float("nan")] * 16), (903, "x", [None] * 16), (904, "x", [1.0] * 8)]
+    df = spark.createDataFrame(rows[:500] + bad, "chunk_id long, paper_id string, embedding array<float>")
+    index = V.build(df.repartition(5), str(tmp_path / "index"))
+    queries = [(i, rows[i][2]) for i in range(0, 600, 20)]
+    asked = spark.createDataFrame(queries, "query_id long, vector array<float>")
+    found = lambda ix, **how: {(r.query_id, r.chunk_id, r.score) for r in ix.search(asked, 30, **how).collect()}
+    want = brute_topk(rows[:500], queries, 30, 0.3)
+    assert found(index, least=0.3, exact=True) == want
+    near = found(index, least=0.3)
+    assert near <= want | near and len(near & want) >= 0.9 * len(want)
+    assert found(index, exact=True) == brute_topk(rows[:500], queries, 30, None)
+    assert sum(r.n for r in index.cells.collect()) == 500
+    if slice_rows == 20:
+        assert max(r.slices for r in index.cells.collect()) >= 10
+    # Rows that are added later are found as well, by who opens the index again.
+    index.add(spark.createDataFrame(rows[500:], "chunk_id long, paper_id string, embedding array<float>"))
+    again = V.VectorIndex.read(spark, index.path)
+    assert found(again, least=0.3, exact=True) == brute_topk(rows, queries, 30, 0.3)
+
+
+def test_vector_index_reads_the_cells_it_needs(spark, tmp_path):
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    rows = [(i, v.tolist()) for i, v in enumerate(unit_rows(rng, 400, near=0.02))]
+    index = V.build(spark.createDataFrame(rows, "chunk_id long, embedding array<float>"), str(tmp_path / "index"))
+    asked = spark.createDataFrame([(0, rows[0][1])], "query_id long, vector array<float>")
+    plan = index.search(asked, 5, 0.95, exact=True)._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(cell" in plan or "PartitionFilters: [cell" in plan
+    with pytest.raises(ValueError):
+        V.build(spark.createDataFrame([], "chunk_id long, embedding array<float>"), str(tmp_path / "none"))
