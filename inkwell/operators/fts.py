@@ -72,49 +72,64 @@ def _labelled(fields: list[str]) -> Column:
     return F.concat(*(one(f) for f in fields))
 
 
-def _bucket(term: Column) -> Column:
+def bucket_of(term: Column) -> Column:
+    """The folder of a term."""
     return F.pmod(F.xxhash64(term), F.lit(BUCKETS)).cast("int")
 
 
 @dataclass(frozen=True)
 class Index:
-    """Stored postings (bucket, id, field, term, tf, dl) of stems, and one row of the number and mean length of documents."""
+    """Stored postings (bucket, id, field, term, tf, dl), and one row of the number and mean length of documents."""
 
     post: DataFrame
     totals: DataFrame
+    stemmed: bool = True
 
     def asked(self, queries: DataFrame) -> DataFrame:
-        """(query_id, term) with the terms stemmed as the index is."""
-        return queries.select("query_id", stem(F.col("term")).alias("term")).distinct()
+        """(query_id, term) with the terms stemmed if the index is."""
+        return queries.select("query_id", (stem(F.col("term")) if self.stemmed else F.col("term")).alias("term")).distinct()
 
     def of(self, asked: DataFrame) -> DataFrame:
         """The postings in the buckets of the terms asked for; other folders are not read."""
-        wanted = [r[0] for r in asked.select(_bucket(F.col("term"))).distinct().collect()]  # BUCKETS at most
+        wanted = [r[0] for r in asked.select(bucket_of(F.col("term"))).distinct().collect()]  # BUCKETS at most
         return self.post.where(F.col("bucket").isin(wanted))
 
 
-def write_index(docs: DataFrame, fields: list[str], path: str, key: str = "id") -> Index:
-    """Write the index of some columns of ``docs``, whose keys are unique, and read it.
+def stored_postings(docs: DataFrame, fields: list[str], key: str = "id", stemmed: bool = True) -> DataFrame:
+    """(bucket, id, dl, field, term, tf) as an index stores them, and in bucket -1 a row of no term for each document.
 
     Occurrences are shuffled once, by bucket and a part of the key, so that a frequent
     term's bucket is as many tasks as the session has partitions for it. A document's
-    length counts its key's words too, as the key is a column of the index. Documents
-    without words count in the totals only.
+    length counts its key's words too, as the key is a column of the index.
     """
-    spark = docs.sparkSession
-    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")) // BUCKETS)
-    lists = _word_lists(docs, fields, key, stem_all)
+    parts = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")) // BUCKETS)
+    lists = _word_lists(docs, fields, key, stem_all if stemmed else None)
     lengths = sum((F.size(f) for f in fields), F.size(words(F.col(key).cast("string")))).cast("long")
-    # A row of no term for each document, in a folder of its own.
     none = F.array(F.struct(F.lit("").alias("field"), F.lit("").alias("term")))
     each = lists.select(key, lengths.alias("dl"), F.explode(F.concat(none, _labelled(fields))).alias("o"))
-    each = each.select(key, "dl", "o.field", "o.term").withColumn("bucket", F.when(F.col("term") == "", -1).otherwise(_bucket(F.col("term"))))
+    each = each.select(key, "dl", "o.field", "o.term").withColumn("bucket", F.when(F.col("term") == "", -1).otherwise(bucket_of(F.col("term"))))
     each = each.withColumn("_part", F.pmod(F.xxhash64(key), F.lit(parts))).repartition("bucket", "_part")
-    post = each.groupBy("bucket", "_part", key, "dl", "field", "term").agg(F.count("*").alias("tf")).drop("_part")
+    return each.groupBy("bucket", "_part", key, "dl", "field", "term").agg(F.count("*").alias("tf")).drop("_part")
+
+
+def store_postings(post: DataFrame, path: str, key: str = "id") -> None:
+    """Write rows of ``stored_postings``, a folder for each bucket."""
     post.sortWithinPartitions("bucket", "term", key).write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/post")
-    totals = _stored(spark, path, post.schema).where("bucket < 0").agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
+
+
+def totals_of(post: DataFrame) -> DataFrame:
+    """The number and mean length of documents."""
+    return post.where("bucket < 0").agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
+
+
+def write_index(docs: DataFrame, fields: list[str], path: str, key: str = "id", stemmed: bool = True) -> Index:
+    """Write the index of some columns of ``docs``, whose keys are unique, and read it. Documents without words count in the totals only."""
+    spark = docs.sparkSession
+    post = stored_postings(docs, fields, key, stemmed)
+    store_postings(post, path, key)
+    totals = totals_of(_stored(spark, path, post.schema))
     # With the key's name and type, which an index of no documents has nowhere else.
-    totals.withColumn(key, F.lit(None).cast(post.schema[key].dataType)).write.mode("overwrite").parquet(f"{path}/totals")
+    totals.withColumn("stemmed", F.lit(stemmed)).withColumn(key, F.lit(None).cast(post.schema[key].dataType)).write.mode("overwrite").parquet(f"{path}/totals")
     return read_index(spark, path)
 
 
@@ -122,8 +137,12 @@ def read_index(spark: SparkSession, path: str) -> Index:
     """What ``write_index`` has written."""
     totals = spark.read.parquet(f"{path}/totals")
     key = totals.schema[-1]
-    schema = f"`{key.name}` {key.dataType.simpleString()}, dl long, field string, term string, tf long, bucket int"
-    return Index(_stored(spark, path, schema).where("bucket >= 0"), totals.select("n", "avgdl"))
+    post = _stored(spark, path, post_schema(key.name, key.dataType.simpleString()))
+    return Index(post.where("bucket >= 0"), totals.select("n", "avgdl"), totals.select("stemmed").first()[0])
+
+
+def post_schema(key: str, kind: str) -> str:
+    return f"`{key}` {kind}, dl long, field string, term string, tf long, bucket int"
 
 
 def _stored(spark: SparkSession, path: str, schema) -> DataFrame:

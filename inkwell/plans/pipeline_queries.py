@@ -10,7 +10,7 @@ from ..operators import featuremap as M
 from ..operators import orchestrate as O
 from ..operators import upsert as U
 from ..sources import readers, scratch, writers
-from . import search_queries  # noqa: F401  two names below are its queries
+from . import search_queries  # noqa: F401  a name below is its query
 from .graph_queries import EDGE_SQL
 from .registry import ORACLE_SQL, QUERIES, query
 
@@ -184,7 +184,6 @@ def str_dedup(c):
     return c.table("events").withColumn("r", F.row_number().over(w)).where("r = 1").select("user_id", "event_type", "ts")
 
 
-QUERIES["str_incremental_sync"], ORACLE_SQL["str_incremental_sync"] = QUERIES["snk_fts_sync"], ORACLE_SQL["snk_fts_sync"]
 QUERIES["flt_debug_retrieval"], ORACLE_SQL["flt_debug_retrieval"] = QUERIES["ret_debug"], ORACLE_SQL["ret_debug"]
 
 

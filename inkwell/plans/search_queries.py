@@ -6,9 +6,12 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import fts as T
+from ..operators import impact as I
 from ..operators import retrieval as R
+from ..operators import segments as S
 from ..operators import vector_index as V
 from ..sources import scratch
+from ..streaming import streams as ST
 from .registry import query
 from .stem_sql import stems_sql
 
@@ -92,6 +95,43 @@ def fts_match_papers(c):
     return T.bm25(_index(c), _asked(c)).withColumn("score", F.round("score", 6))
 
 
+WHOLE_SQL = BM25_SQL.replace("[1:3]", "")
+FIRST_SQL = BM25_SQL.replace("[1:3]", "[1:1]")
+
+
+def _impact(c):
+    """The blocks of the stemmed index."""
+    index, key = _index(c), ("impact", *_version(c, "documents"))
+    if key not in _STORED:
+        _STORED[key] = scratch.path(c.spark, "impact")
+        I.write_impact(index, _STORED[key])
+    return I.ImpactIndex.read(c.spark, _STORED[key])
+
+
+def _of_words(c, n):
+    words = T.words(F.col("text"))
+    rows = c.table("benchmark").where("text is not null")
+    return rows.select(F.col("item_id").alias("query_id"), F.explode(F.slice(words, 1, n) if n else words).alias("term"))
+
+
+@query(f"with {WHOLE_SQL} select query_id, id, round(score, 6) as score from bm")
+def fts_match_whole_texts(c):
+    """All words of each benchmark text as a search."""
+    return I.best(_impact(c), _of_words(c, 0))[0].withColumn("score", F.round("score", 6))
+
+
+@query(f"with {FIRST_SQL} select query_id, id, round(score, 6) as score from bm")
+def fts_best_blocks(c):
+    """Searches of one word each, some of them in most documents: only blocks that can hold one of the 200 best are read."""
+    return I.best(_impact(c), _of_words(c, 1))[0].withColumn("score", F.round("score", 6))
+
+
+@query()
+def fts_blocks_read(c):
+    """How many of a word's blocks were read for its 200 best."""
+    return I.best(_impact(c), _of_words(c, 1))[1]
+
+
 def _field_sql(field):
     return f"with {POST_SQL}, nt as (select query_id, count(*) as n_terms from asked group by 1) select query_id, id from post join asked using (term) join nt using (query_id) where field = '{field}' group by query_id, id, n_terms having count(*) = n_terms"
 
@@ -413,10 +453,39 @@ def ret_recall_gate(c):
 
 @query(f"with {PLAIN_SQL} select id, field, term, count(*) as tf from occ group by all")
 def snk_fts_sync(c):
-    """The index after the rows of one language are rebuilt in it."""
-    post = _post(c)
-    some = c.texts.where("field = 'fr'")
-    return T.sync(post, T.postings(some, ["title", "abstract"]), some.select("id"))
+    """The index after the rows of one language were stored with other words, put right, and all segments merged."""
+    index = S.SegmentedIndex.create(c.spark, scratch.path(c.spark, "segments"), ["title", "abstract"], stemmed=False)
+    some = F.col("field") == "fr"
+    index.apply("all", c.texts.withColumn("abstract", F.when(some, F.lit("not yet")).otherwise(F.col("abstract"))))
+    index.apply("french", c.texts.where(some))
+    index.merge(index.segments())
+    return index.live().post.select("id", "field", "term", "tf")
+
+
+#: Every fiftieth text is taken out again, those of one language are revised.
+LATER_SQL = f"""texts2 as (select id, title, case when field = 'fr' then abstract || ' revised' else abstract end as abstract from texts where id % 50 <> 0),
+occ2 as (select id, 'title' as field, unnest({WORDS.format('title')}) as term from texts2 union all select id, 'abstract', unnest({WORDS.format('abstract')}) from texts2)"""
+
+
+def _changes(c):
+    """A folder into which changes of the texts come in three lots: all texts, revised ones, removals."""
+    at = scratch.path(c.spark, "changes")
+    t = c.texts.select("id", "title", "abstract", "field")
+    lots = [(t, "abstract", False), (t.where("field = 'fr'"), F.concat("abstract", F.lit(" revised")), False), (t.where("id % 50 = 0"), "abstract", True)]
+    for k, (rows, text, gone) in enumerate(lots):
+        rows = rows.select("id", "title", (F.col(text) if isinstance(text, str) else text).alias("abstract"), F.lit(k).alias("at"), F.lit(gone).alias("removed"))
+        rows.write.mode("append").parquet(at)
+    return at
+
+
+@query(f"with {LATER_SQL} select id, field, term, count(*) as tf from occ2 group by all")
+def str_incremental_sync(c):
+    """An index kept in step by a stream of changed rows, a segment for each batch, merged now and then."""
+    index = S.SegmentedIndex.create(c.spark, scratch.path(c.spark, "segments"), ["title", "abstract"], stemmed=False)
+    schema = "id long, title string, abstract string, at int, removed boolean"
+    changes = c.spark.readStream.schema(schema).option("maxFilesPerTrigger", 8).parquet(_changes(c))
+    ST.sync_segments(changes, index, scratch.path(c.spark, "sync")).awaitTermination()
+    return index.live().post.select("id", "field", "term", "tf")
 
 
 @query("select 'papers' as index_name, count(*) as n from texts where regexp_matches(lower(abstract), '[\\p{L}\\p{N}]') union all select 'entities', count(*) from (select distinct paper_id, 't', coalesce(canonical_name, name) from techniques union all select distinct paper_id, 'c', coalesce(canonical_name, name) from categories)")

@@ -7,10 +7,12 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.query import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import StructType
 
 from ..functions.workers import ship
+from ..operators.segments import SegmentedIndex
 
 
 def files(spark: SparkSession, path: str, schema: StructType, per_trigger: int = 100) -> DataFrame:
@@ -33,6 +35,27 @@ def sync_index(changes: DataFrame, read: Callable[[], DataFrame], write: Callabl
     return changes.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).start()
 
 
+def sync_segments(changes: DataFrame, index: SegmentedIndex, checkpoint: str, at: str = "at", removed: str = "removed", name: str = "stream", merge: bool = True) -> StreamingQuery:
+    """Keeps a segmented index in step with a stream of rows (key, fields, ``at``, ``removed``); runs over what there is and stops.
+
+    Of a key's rows in a batch the latest counts (of several at one time the one that is greatest). A batch is
+    a segment named by its number, so one that is run again changes nothing. Rows
+    without a key are no documents.
+    """
+    about = index.manifest()
+    key, fields = about["key"], about["fields"]
+
+    def each(batch: DataFrame, batch_id: int) -> None:
+        row = F.struct(at, removed, *fields)
+        last = batch.where(F.col(key).isNotNull()).groupBy(key).agg(F.max(row).alias("_x")).select(key, "_x.*")
+        last = last.withColumn(removed, F.coalesce(removed, F.lit(False)))
+        index.apply(f"{name}-{batch_id:010d}", last.where(~F.col(removed)), last.where(F.col(removed)))
+        if merge:
+            index.merge()
+
+    return changes.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
 def unprocessed(rows: DataFrame, done: DataFrame, key: str, force: bool = False) -> DataFrame:
     """What is left to do of a stream or table."""
     return rows if force else rows.join(done.select(key), key, "left_anti")

@@ -10,9 +10,11 @@ from inkwell.functions.stem import porter
 from inkwell.operators import aggregates as A
 from inkwell.operators import fts as T
 from inkwell.operators import graph as G
+from inkwell.operators import impact as IM
 from inkwell.operators import intel as I
 from inkwell.operators import normalize as N
 from inkwell.operators import retrieval as R
+from inkwell.operators import segments as S
 from inkwell.operators import text as X
 from inkwell.operators import upsert as U
 from inkwell.operators import vector_index as V
@@ -481,3 +483,98 @@ def test_vector_index_reads_the_cells_it_needs(spark, tmp_path):
     assert "PartitionFilters: [isnotnull(cell" in plan or "PartitionFilters: [cell" in plan
     with pytest.raises(ValueError):
         V.build(spark.createDataFrame([], "chunk_id long, embedding array<float>"), str(tmp_path / "none"))
+
+
+def index_rows(index):
+    return sorted((r.id, r.field, r.term, r.tf, r.dl) for r in index.post.collect())
+
+
+def some_texts(spark, rng, ids, extra=""):
+    words = ["attention", "model", "models", "data", "graph", "graphs", "the", "learning"]
+    return spark.createDataFrame([(i, " ".join(rng.choices(words, k=rng.randrange(0, 3))), " ".join(rng.choices(words, k=rng.randrange(0, 9))) + extra) for i in ids], "id long, title string, abstract string")
+
+
+def test_segments_equal_a_rebuild(spark, tmp_path):
+    """Whatever was changed, removed, applied twice and merged: postings, totals and searches are those of an index of what is left."""
+    rng = random.Random(2)
+    index = S.SegmentedIndex.create(spark, str(tmp_path / "ix"), ["title", "abstract"])
+    assert index.live().post.count() == 0 and index.merge() is None
+    now = {}
+    asked = spark.createDataFrame([(1, "models"), (1, "graph"), (2, "learning"), (3, "attention")], "query_id long, term string")
+    for k in range(6):
+        ids = list(range(80)) if k == 0 else rng.sample(range(100), 9)
+        changed = some_texts(spark, rng, ids, f" lot{k}").collect()
+        gone = [i for i in rng.sample(range(100), 5) if i not in ids] if k else []
+        lot = spark.createDataFrame(changed, "id long, title string, abstract string")
+        index.apply(f"lot {k}", lot, spark.createDataFrame([(i,) for i in gone], "id long"))
+        now = {i: r for i, r in now.items() if i not in gone} | {r.id: r for r in changed}
+        if k == 3:
+            run = index.segments()[1:3]
+            index.merge(run)  # neither the oldest nor the newest
+            index.apply("lot 2", lot)  # is in already, though merged
+        if k in (3, 5):
+            docs = spark.createDataFrame(list(now.values()), "id long, title string, abstract string")
+            whole = T.write_index(docs, ["title", "abstract"], str(tmp_path / f"whole{k}"))
+            live = index.live()
+            assert index_rows(live) == index_rows(whole)
+            assert live.totals.collect() == whole.totals.collect()
+            found = lambda ix: sorted((r.query_id, r.id, round(r.score, 9)) for r in T.bm25(ix, asked).collect())
+            assert found(live) == found(whole) and found(live)
+    index.apply("lot 5", lot.withColumn("abstract", F.lit("changed")))
+    assert index_rows(index.live()) == index_rows(whole)
+    version, many = index.manifest()["version"], len(index.segments())
+    assert index.merge() and len(index.segments()) < many and index.manifest()["version"] == version + 1
+    index.merge(index.segments())
+    assert len(index.segments()) == 1 and index_rows(index.live()) == index_rows(whole)
+
+
+def test_segments_of_two_writers(spark, tmp_path):
+    """A version that is there is not replaced: who comes second reads it and goes on from it."""
+    index = S.SegmentedIndex.create(spark, str(tmp_path / "ix"), ["title"])
+    old = index.manifest()
+    docs = spark.createDataFrame([(1, "one")], "id long, title string")
+    index.apply("first", docs)
+    assert not index._publish(old | {"version": old["version"] + 1})
+    other = S.SegmentedIndex(spark, index.path)
+    other.apply("second", docs.withColumn("title", F.lit("two")))
+    assert [r.term for r in index.live().post.collect()] == ["two"] and [s.seq for s in index.segments()] == [1, 2]
+
+
+def test_stream_of_segments(spark, tmp_path):
+    """Batches replace, remove and ignore rows without a key; a second run, and one from a lost checkpoint, change nothing."""
+    schema = "id long, title string, at int, removed boolean"
+    lots = [[(1, "one", 1, False), (2, "two", 1, None), (None, "none", 1, False)], [(1, "uno", 3, False), (1, "eins", 2, False), (2, "two", 3, True)], [(3, "three", 4, False), (2, "again", 5, False)]]
+    index = S.SegmentedIndex.create(spark, str(tmp_path / "ix"), ["title"], stemmed=False)
+    (tmp_path / "in").mkdir()
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    for k, lot in enumerate(lots):
+        spark.createDataFrame(lot, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        streams.sync_segments(stream, index, str(tmp_path / "ck")).awaitTermination()
+    terms = lambda: sorted((r.id, r.term) for r in index.live().post.collect())
+    assert terms() == [(1, "uno"), (2, "again"), (3, "three")]
+    version = index.manifest()["version"]
+    streams.sync_segments(stream, index, str(tmp_path / "ck")).awaitTermination()
+    streams.sync_segments(stream, index, str(tmp_path / "lost")).awaitTermination()
+    assert index.manifest()["version"] == version and terms() == [(1, "uno"), (2, "again"), (3, "three")]
+
+
+@pytest.mark.parametrize("limit", [5, 60, 1000])
+def test_best_from_blocks(spark, tmp_path, monkeypatch, limit):
+    """The rows of a search over all postings, from few blocks where the best stand out."""
+    monkeypatch.setattr(IM, "BLOCK_DOCS", 8)
+    rng = random.Random(limit)
+    words = ["often"] * 6 + ["some"] * 3 + ["rare", "other", "more"]
+    rows = [(i, rng.choice(["often", "some rare", ""]), " ".join(rng.choices(words, k=rng.choice([1, 2, 5, 30, 200])))) for i in range(400)]
+    docs = spark.createDataFrame(rows, "id long, title string, abstract string")
+    index = T.write_index(docs, ["title", "abstract"], str(tmp_path / "ix"))
+    blocks = IM.write_impact(index, str(tmp_path / "blocks"))
+    asked = spark.createDataFrame([(1, "often"), (2, "some"), (2, "rare"), (3, "missing"), (4, "often"), (4, "missing"), (5, "often"), (5, "some"), (5, "rare"), (5, "more")], "query_id long, term string")
+    hits, read = IM.best(blocks, asked, limit)
+    found = lambda df: sorted((r.query_id, r.id, round(r.score, 9)) for r in df.collect())
+    assert found(hits) == found(T.bm25(index, asked, limit=limit)) and found(hits)
+    report = {r.query_id: (r.blocks_read, r.blocks) for r in read.collect()}
+    assert set(report) == {1, 2, 5} and all(0 < a <= b for a, b in report.values())
+    if limit == 5:
+        assert report[1][0] < report[1][1] / 2
+    nothing, read = IM.best(blocks, asked.where("query_id = 3"), limit)
+    assert nothing.count() == read.count() == 0
