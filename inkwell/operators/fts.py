@@ -27,15 +27,17 @@ CATEGORY_POINTS, TECHNIQUE_POINTS = 15.0, 12.0
 BUCKETS = 64
 
 # Words that queries are freed of, and words that say little in this field.
-STOP_WORDS = (
-    "a an the is are was were be been being have has had do does did will would could should may might shall can for in on at "
-    "to of and or but not with from by as it its this that these those what which who when where how than more less some any all "
-    "each both few very just also up about between after before over under"
-).split()
-GENERIC_TOKENS = (
-    "ai ml model models learning network networks system systems method methods data dataset deep neural large new novel proposed "
-    "based using approach training trained language task paper performance result results"
-).split()
+STOP_WORDS = [
+    "a", "an", "the", "is", "are", "was", "were", "be", "been", "being", "have", "has", "had", "do", "does", "did", "will", "would", "could",
+    "should", "may", "might", "shall", "can", "for", "in", "on", "at", "to", "of", "and", "or", "but", "not", "with", "from", "by", "as", "it",
+    "its", "this", "that", "these", "those", "what", "which", "who", "when", "where", "how", "than", "more", "less", "some", "any", "all", "each",
+    "both", "few", "very", "just", "also", "up", "about", "between", "after", "before", "over", "under",
+]
+GENERIC_TOKENS = [
+    "ai", "ml", "model", "models", "learning", "network", "networks", "system", "systems", "method", "methods", "data", "dataset", "deep", "neural",
+    "large", "new", "novel", "proposed", "based", "using", "approach", "training", "trained", "language", "task", "paper", "performance", "result",
+    "results",
+]
 
 
 def words(text: Column) -> Column:

@@ -5,22 +5,40 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .qgrams import index_of
 from .text import CITATION
 
 ACRONYM = r"\s*\([A-Z][A-Za-z0-9\-]+\)\s*$"
 
 # Names of known entities of each class.
-MODELS = (
-    "gpt-4|gpt-3|gpt-3.5|gpt-2|gpt2|gpt|claude|claude 2|claude 3|llama|llama 2|llama-2|llama2|mistral|mixtral|gemini|palm|palm 2|falcon|bloom|opt|pythia|alpaca|vicuna|orca|guanaco|chinchilla|gopher|sparrow|codex|starcoder|codegeex|"
-    "dall-e|dall·e|stable diffusion|midjourney|imagen|t5|flan-t5|ul2|switch transformer|roberta|deberta|electra|xlnet|albert|bert|bert-base|bert-large|gpt-neo|gpt-j|gpt-neox|openllama|mpt|dolly|gorilla|whisper|clip|blip|blip-2|flamingo|llava|alphallm|alphacode"
-).split("|")
-FRAMEWORKS = "pytorch|tensorflow|jax|flax|keras|hugging face|huggingface|transformers library|deepspeed|fairseq|megatron|ray|ray tune|optuna|sklearn|scikit-learn|numpy|scipy|pandas|cuda|triton|langchain|llamaindex|llama index|vllm|text generation inference|openai api|anthropic api".split("|")
-OPTIMIZERS = "adam|adamw|sgd|rmsprop|adagrad|adadelta|adafactor|lion|lamb|lars|nadam|radam|gradient descent|stochastic gradient descent|momentum|nesterov|lbfgs|bfgs|sign sgd|signsgd|universal stochastic gradient methods|ternary gradients".split("|")
-METRICS = "bleu|rouge|meteor|cider|perplexity|accuracy|f1|f1 score|precision|recall|pass@k|pass@1|human eval|humaneval|mmlu|hellaswag|winogrande|arc|exact match|em score|win rate|elo|fid|inception score|clip score|map|ndcg|kl divergence|cross-entropy loss|cross entropy loss|reward model score|truthfulqa score".split("|")
-DATASETS = (
-    "imagenet|coco|cifar|cifar-10|cifar-100|mnist|fashion-mnist|squad|squad 2.0|natural questions|trivia qa|gsm8k|math|mathbench|mmlu|truthfulqa|bbh|big bench|openwebtext|the pile|redpajama|c4|alpacaeval|mt-bench|humaneval|mbpp|boolq|hellaswag|winogrande|arc|"
-    "commonsense qa|openai evals|webgpt comparisons|laion|cc3m|cc12m|vqa|gqa|vizwiz|librispeech"
-).split("|")
+MODELS = [
+    "gpt-4", "gpt-3", "gpt-3.5", "gpt-2", "gpt2", "gpt", "claude", "claude 2", "claude 3", "llama", "llama 2", "llama-2", "llama2", "mistral",
+    "mixtral", "gemini", "palm", "palm 2", "falcon", "bloom", "opt", "pythia", "alpaca", "vicuna", "orca", "guanaco", "chinchilla", "gopher",
+    "sparrow", "codex", "starcoder", "codegeex", "dall-e", "dall·e", "stable diffusion", "midjourney", "imagen", "t5", "flan-t5", "ul2",
+    "switch transformer", "roberta", "deberta", "electra", "xlnet", "albert", "bert", "bert-base", "bert-large", "gpt-neo", "gpt-j", "gpt-neox",
+    "openllama", "mpt", "dolly", "gorilla", "whisper", "clip", "blip", "blip-2", "flamingo", "llava", "alphallm", "alphacode",
+]
+FRAMEWORKS = [
+    "pytorch", "tensorflow", "jax", "flax", "keras", "hugging face", "huggingface", "transformers library", "deepspeed", "fairseq", "megatron",
+    "ray", "ray tune", "optuna", "sklearn", "scikit-learn", "numpy", "scipy", "pandas", "cuda", "triton", "langchain", "llamaindex", "llama index",
+    "vllm", "text generation inference", "openai api", "anthropic api",
+]
+OPTIMIZERS = [
+    "adam", "adamw", "sgd", "rmsprop", "adagrad", "adadelta", "adafactor", "lion", "lamb", "lars", "nadam", "radam", "gradient descent",
+    "stochastic gradient descent", "momentum", "nesterov", "lbfgs", "bfgs", "sign sgd", "signsgd", "universal stochastic gradient methods",
+    "ternary gradients",
+]
+METRICS = [
+    "bleu", "rouge", "meteor", "cider", "perplexity", "accuracy", "f1", "f1 score", "precision", "recall", "pass@k", "pass@1", "human eval",
+    "humaneval", "mmlu", "hellaswag", "winogrande", "arc", "exact match", "em score", "win rate", "elo", "fid", "inception score", "clip score",
+    "map", "ndcg", "kl divergence", "cross-entropy loss", "cross entropy loss", "reward model score", "truthfulqa score",
+]
+DATASETS = [
+    "imagenet", "coco", "cifar", "cifar-10", "cifar-100", "mnist", "fashion-mnist", "squad", "squad 2.0", "natural questions", "trivia qa", "gsm8k",
+    "math", "mathbench", "mmlu", "truthfulqa", "bbh", "big bench", "openwebtext", "the pile", "redpajama", "c4", "alpacaeval", "mt-bench",
+    "humaneval", "mbpp", "boolq", "hellaswag", "winogrande", "arc", "commonsense qa", "openai evals", "webgpt comparisons", "laion", "cc3m", "cc12m",
+    "vqa", "gqa", "vizwiz", "librispeech",
+]
 ARCHITECTURE = r"\btransformer\b|\bcnn\b|\blstm\b|\bgru\b|\bmlp\b|\bresnet\b|\bvit\b|\bvae\b|\bgan\b|\bdiffusion model|\bmixture.of.expert|\bmoe\b|\battention mechanism|\bself.attention\b|\bmulti.head attention|\bstate.space model|\bmamba\b|\bencoder.decoder\b|\bautoregressive model|\bflow.based model|\bnormalizing flow|\bgraph neural|\bgnn\b"
 ALGORITHM = r"\bmonte carlo\b|\bmcts\b|\bbeam search\b|\bgreedy\b|\bdynamic programming\b|\bviterbi\b|\bexpectation.maximization\b|\bk.means\b|\bedge-deletion\b|\bsorting\b|\btree search\b|\bvalue iteration\b|\bpolicy gradient\b|\bppo\b|\bgrpo\b|\bdpo\b|\brlhf\b|\breinforce\b|\bsinkhorn\b|\boptimal transport\b|\bseed.selection\b|\brecursive value\b"
 REST = [
@@ -101,7 +119,7 @@ def suspected_duplicates(names: DataFrame, name: str = "name", overlap: float =
     """(a, b, reason): names of which one holds the other, or that share most tokens.
 
     Both joins are on what such pairs must share: for the overlap one of either's rarest
-    tokens, for containment the first three letters of the shorter name.
+    tokens, for containment the shorter name's rarest runs of three letters.
     """
     rows = names.select(F.col(name).alias("n")).distinct().select("n", F.lower("n").alias("low"), token_set(F.col("n")).alias("ts"))
     rare = rare_tokens(rows.where(F.size("ts") >= 2), "n", "ts", overlap)
@@ -110,10 +128,9 @@ def suspected_duplicates(names: DataFrame, name: str = "name", overlap: float =
     pairs = pairs.join(sets.toDF("a", "ta"), "a").join(sets.toDF("b", "tb"), "b")
     shared = F.size(F.array_intersect("ta", "tb"))
     jac = pairs.where(shared >= overlap * (F.size("ta") + F.size("tb") - shared)).select("a", "b", F.lit("token-overlap").alias("reason"))
-    gram = lambda c: F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(c) - 2)), lambda i: F.substring(c, i, F.lit(3))))
-    longs = rows.select(F.col("n").alias("long"), F.col("low").alias("ll"), F.explode(gram(F.col("low"))).alias("g"))
-    shorts = rows.select(F.col("n").alias("short"), F.col("low").alias("ls"), F.substring("low", 1, 3).alias("g"))
-    sub = shorts.join(longs, "g").where((F.length("ls") < F.length("ll")) & (F.length("ls") / F.length("ll") > ratio) & F.contains("ll", "ls"))
+    lows = rows.select("n", "low")
+    held = index_of(lows, "low").find(lows.select(F.col("low").alias("term")), ratio)
+    sub = held.join(lows.toDF("short", "term"), "term").join(lows.toDF("long", "text"), "text")
     sub = sub.select(F.least("short", "long").alias("a"), F.greatest("short", "long").alias("b"), F.lit("substring").alias("reason")).distinct()
     return sub.unionByName(jac.join(sub, ["a", "b"], "left_anti"))
 
@@ -145,7 +162,10 @@ def match_titles(raw: DataFrame, known: DataFrame, threshold: float = 0.5) -> Da
 
 def resolve_terms(terms: DataFrame, index: DataFrame, limits: dict[str, int]) -> DataFrame:
     """(term, kind, name, rank): names (kind, name, papers) that hold a term, the most frequent of each kind."""
-    rows = terms.select("term").distinct().join(index, F.contains(F.lower("name"), F.lower("term")))
+    low = index.select("name", F.lower("name").alias("text")).distinct()
+    asked = terms.select("term", F.lower("term").alias("_low")).distinct()
+    found = index_of(low).find(asked.select(F.col("_low").alias("term"))).toDF("_low", "text")
+    rows = asked.join(found, "_low").join(low, "text").select("term", "name").join(index, "name")
     rows = rows.withColumn("rank", F.row_number().over(Window.partitionBy("term", "kind").orderBy(F.desc("papers"), "name")))
     keep = F.lit(False)
     for kind, k in limits.items():

@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import featuremap as M
+from ..operators import fts
 from ..operators import normalize as N
 from ..operators import text as X
 from ..operators import upsert as U
@@ -184,11 +185,11 @@ def txt_backfill_canonical(c):
     return N.backfill(rows)
 
 
-@query("with ix as (select 'technique' as kind, canonical_name as name, count(distinct paper_id) as papers from techniques where canonical_name is not null group by 1, 2 union all select 'category', name, count(distinct paper_id) from categories group by 1, 2), t as (select unnest(['ste', 'gre', 'eco', 'zzz']) as term), r as (select term, kind, name, row_number() over (partition by term, kind order by papers desc, name) as rank from t join ix on contains(lower(name), term)) select term, kind, name, rank::int as rank from r where rank <= case kind when 'technique' then 3 else 2 end")
+@query("with ix as (select 'technique' as kind, canonical_name as name, count(distinct paper_id) as papers from techniques where canonical_name is not null group by 1, 2 union all select 'category', name, count(distinct paper_id) from categories group by 1, 2), t as (select distinct unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+')) as term from benchmark), r as (select term, kind, name, row_number() over (partition by term, kind order by papers desc, name) as rank from t join ix on contains(lower(name), term)) select term, kind, name, rank::int as rank from r where rank <= case kind when 'technique' then 3 else 2 end")
 def txt_term_resolve(c):
     tech = c.techniques.where("canonical_name is not null").groupBy(F.col("canonical_name").alias("name")).agg(F.count_distinct("paper_id").alias("papers")).withColumn("kind", F.lit("technique"))
     cats = c.categories.groupBy("name").agg(F.count_distinct("paper_id").alias("papers")).withColumn("kind", F.lit("category"))
-    terms = c.spark.createDataFrame([("ste",), ("gre",), ("eco",), ("zzz",)], "term string")
+    terms = c.table("benchmark").select(F.explode(fts.words(F.col("text"))).alias("term"))
     return N.resolve_terms(terms, tech.unionByName(cats), {"technique": 3, "category": 2})
 
 

@@ -13,6 +13,7 @@ from inkwell.operators import graph as G
 from inkwell.operators import impact as IM
 from inkwell.operators import intel as I
 from inkwell.operators import normalize as N
+from inkwell.operators import qgrams as Q
 from inkwell.operators import retrieval as R
 from inkwell.operators import segments as S
 from inkwell.operators import text as X
@@ -578,3 +579,18 @@ def test_best_from_blocks(spark, tmp_path, monkeypatch, limit):
         assert report[1][0] < report[1][1] / 2
     nothing, read = IM.best(blocks, asked.where("query_id = 3"), limit)
     assert nothing.count() == read.count() == 0
+
+
+def test_qgrams_find_what_contains_finds(spark, tmp_path):
+    rng = random.Random(4)
+    texts = sorted({"".join(rng.choices("aab ", k=rng.randrange(0, 14))) for _ in range(300)} | {"é👍x", "a" * 40, "ab", "b"})
+    terms = sorted({"".join(rng.choices("ab ", k=rng.randrange(0, 7))) for _ in range(60)} | {"👍x", "é", "aaaaaaaaaa", "zzz", "ab", "b", "aab"} | set(texts[:40]))
+    frame = lambda rows, c: spark.createDataFrame([(r,) for r in [*rows, None]], f"{c} string")
+    index = Q.QGramIndex.write(frame(texts, "text"), str(tmp_path / "grams"))
+    want = {(t, x) for t in terms for x in texts if t and t in x}
+    found = index.find(frame(terms, "term")).collect()
+    assert {(r.term, r.text) for r in found} == want and len(found) == len(want)
+    near = {(r.term, r.text) for r in index.find(frame(terms, "term"), 0.6).collect()}
+    assert near == {(t, x) for t, x in want if len(t) < len(x) and len(t) / len(x) > 0.6}
+    empty = Q.index_of(frame([], "text"))
+    assert empty.find(frame(terms, "term")).count() == 0 and index.find(frame([], "term")).count() == 0
