@@ -11,7 +11,7 @@ TABLES = "region nation customer supplier part orders lineitem events documents
 
 
 def _names():
-    from inkwell.plans import aggregate_queries, browse_queries, graph_queries, pipeline_queries, registry, search_queries, text_queries  # noqa: F401
+    from inkwell.plans import aggregate_queries, browse_queries, graph_queries, pipeline_queries, registry, report_queries, search_queries, text_queries  # noqa: F401
 
     return list(registry.QUERIES)
 
