@@ -125,6 +125,25 @@ def paper_detail(base: DataFrame, authors: DataFrame, paper_authors: DataFrame,
     return out
 
 
+#: List fields of an analysis, as they are stored: JSON arrays of strings.
+ANALYSIS_LISTS = ["strengths", "limitations", "practical_applications", "future_research_directions"]
+
+
+def with_analysis(detail: DataFrame, analyses: DataFrame) -> DataFrame:
+    """``detail`` with a struct ``analysis``, null for papers without one.
+
+    ``analyses`` (paper_id, summary, methodology, experimental_findings, ANALYSIS_LISTS, model) has
+    JSON in all but summary, methodology and model. What is no JSON array is an empty list; items that are null or empty are left
+    out, as are findings without a benchmark. Of a paper's analyses the one of the greatest model name counts.
+    """
+    strings = lambda c: F.filter(F.coalesce(F.from_json(c, "array<string>"), F.array().cast("array<string>")), lambda x: F.coalesce(F.trim(x), F.lit("")) != "").alias(c)
+    finding = "array<struct<benchmark: string, metric: string, scores: string>>"
+    found = F.filter(F.coalesce(F.from_json("experimental_findings", finding), F.array().cast(finding)), lambda x: F.coalesce(x["benchmark"], F.lit("")) != "").alias("experimental_findings")
+    one = analyses.select(F.col("paper_id").alias("_p"), F.struct("model", "summary", "methodology", found, *map(strings, ANALYSIS_LISTS)).alias("analysis"))
+    one = one.groupBy("_p").agg(F.max_by("analysis", "analysis.model").alias("analysis"))
+    return detail.join(one, detail["id"] == one["_p"], "left").drop("_p")
+
+
 def unprocessed_top(papers: DataFrame, done: Sequence[DataFrame], limit: int = 30) -> DataFrame:
     """The most cited papers with a pdf_url that none of ``done`` has."""
     rows = papers.where(F.coalesce("pdf_url", F.lit("")) != "")

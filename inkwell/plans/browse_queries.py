@@ -189,6 +189,44 @@ def join_paper_detail(c):
     return rows.select("id", text("authors", "concat(x.position, ':', x.full_name)"), text("techniques", "concat(x.role, ':', x.name)"), text("datasets", "x"), text("categories", "x.name"), text("methodologies", "x"))
 
 
+#: Analyses of every third paper; some of their lists are no JSON.
+ANALYSIS_SQL = """analyses as (select id as paper_id, 'm' || id % 4 as model, 'On ' || title as summary, case when id % 2 = 0 then 'By hand' end as methodology,
+  case when id % 9 = 0 then [] else ['clear', 'seen in ' || year] end as strengths, case when id % 5 = 0 then 'B' || id % 7 || ' m 1' end as findings from papers where id % 3 = 0)"""
+
+
+def _analyses(c):
+    p = c.papers.where("id % 3 = 0")
+    strengths = F.when(F.col("id") % 9 == 0, F.lit("not a list")).otherwise(F.to_json(F.array(F.lit("clear"), F.lit(" "), F.concat(F.lit("seen in "), "year"))))
+    found = F.struct(F.concat(F.lit("B"), F.col("id") % 7).alias("benchmark"), F.lit("m").alias("metric"), F.lit("1").alias("scores"))
+    none = F.struct(F.lit("").alias("benchmark"), F.lit("m").alias("metric"), F.lit("0").alias("scores"))
+    findings = F.when(F.col("id") % 5 == 0, F.to_json(F.array(none, found)))
+    lists = {x: F.lit(None).cast("string").alias(x) for x in B.ANALYSIS_LISTS} | {"strengths": strengths.alias("strengths")}
+    rows = p.select(F.col("id").alias("paper_id"), F.concat(F.lit("m"), F.col("id") % 4).alias("model"), F.concat(F.lit("On "), "title").alias("summary"), F.when(F.col("id") % 2 == 0, "By hand").alias("methodology"), findings.alias("experimental_findings"), *lists.values())
+    return rows.unionByName(rows.where("paper_id % 6 = 0").withColumn("model", F.lit("")).withColumn("summary", F.lit("An earlier one")))
+
+
+@query(f"""with {BASE_SQL}, {ANALYSIS_SQL} select p.id, p.title, p.abstract, p.year, p.conference, p.edition_year, p.presentation_type, p.citation_count, p.influential_citation_count, p.is_open_access, p.pdf_url,
+  (select string_agg(position || ':' || full_name, '; ' order by position, author_id) from paper_authors join authors a on author_id = a.id where paper_id = p.id) as authors,
+  (select string_agg(role || ':' || name || coalesce('=' || canonical_name, ''), '; ' order by role, name) from techniques where paper_id = p.id) as techniques,
+  (select string_agg(name, '; ' order by name) from datasets where paper_id = p.id) as datasets,
+  (select string_agg(name || ' ' || round(confidence * 100)::int, '; ' order by confidence desc, name) from categories where paper_id = p.id) as categories,
+  (select string_agg(name, '; ' order by name) from methodologies where paper_id = p.id) as methodologies,
+  n.summary, n.methodology, n.model, array_to_string(n.strengths, '; ') as strengths, case when n.model is not null then coalesce(n.findings, '') end as findings,
+  p.degree_centrality, p.betweenness_centrality, p.cluster_id, p.neighbors_count from base p left join analyses n on n.paper_id = p.id""")
+def join_paper_full(c):
+    """The whole page of each paper: where it appeared, its lists, its analysis and its place in the graph."""
+    rows = B.paper_detail(_base(c), c.authors, c.paper_authors, c.techniques, c.datasets, c.categories, c.methodologies)
+    rows = B.with_analysis(rows, _analyses(c))
+    text = lambda col, expr, name=None: F.expr(f"array_join(transform({col}, x -> {expr}), '; ')").alias(name or col)
+    return rows.select(
+        "id", "title", "abstract", "year", "conference", "edition_year", "presentation_type", "citation_count", "influential_citation_count", "is_open_access", "pdf_url",
+        text("authors", "concat(x.position, ':', x.full_name)"), text("techniques", "concat(x.role, ':', x.name, coalesce(concat('=', x.canonical_name), ''))"), text("datasets", "x"),
+        text("categories", "concat(x.name, ' ', cast(round(x.confidence * 100) as int))"), text("methodologies", "x"), "analysis.summary", "analysis.methodology", "analysis.model",
+        text("analysis.strengths", "x", "strengths"), text("analysis.experimental_findings", "concat_ws(' ', x.benchmark, x.metric, x.scores)", "findings"),
+        "degree_centrality", "betweenness_centrality", "cluster_id", "neighbors_count",
+    )
+
+
 @query(f"with {TOP_SQL} select paper_id, array_to_string(top_techniques, '; ') as top_techniques from best")
 def agg_grouped_topk_list(c):
     return B.top_techniques(c.techniques).withColumn("top_techniques", F.array_join("top_techniques", "; "))

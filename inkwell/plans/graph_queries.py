@@ -331,7 +331,8 @@ rl as (select paper_id, canonical_name as name, case when bool_or(role = 'introd
 tl as (select paper_id, list(name order by name) as ns, list(name order by name) filter (role = 'introduces') as intro, list(name order by name) filter (role <> 'introduces') as uses from rl group by 1),
 ml as (select paper_id, list(distinct name order by name) as ms from methodologies group by 1), cl as (select paper_id, list(distinct name order by name) as cs from categories group by 1),
 ow as (select id, title, abstract, coalesce(ns, []) as ns, coalesce(intro, []) as intro, coalesce(uses, []) as uses, coalesce(ms, []) as ms, coalesce(cs, []) as cs from papers left join tl on tl.paper_id = id left join ml on ml.paper_id = id left join cl on cl.paper_id = id),
-sh as (select src, dst, string_agg(a.name || ':' || tier || ':' || a.role || ':' || b.role, '; ' order by case tier when 'SPECIALIZED' then 0 when 'SHARED' then 1 else 2 end, a.name) as shared, list(a.name order by a.name) as sn from edges join rl a on a.paper_id = src join rl b on b.paper_id = dst and a.name = b.name join df on df.name = a.name group by 1, 2)"""
+one_end as materialized (select src, dst, name, role from edges join rl on paper_id = src),
+sh as (select src, dst, string_agg(a.name || ':' || tier || ':' || a.role || ':' || b.role, '; ' order by case tier when 'SPECIALIZED' then 0 when 'SHARED' then 1 else 2 end, a.name) as shared, list(a.name order by a.name) as sn from one_end a join rl b on b.paper_id = a.dst and a.name = b.name join df on df.name = a.name group by 1, 2)"""
 
 
 def _apart_sql(x, y):
