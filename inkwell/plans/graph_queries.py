@@ -297,20 +297,39 @@ def srt_category_rankings(c):
     return long.withColumn("rank", F.expr("row_number() over (partition by metric order by value desc, name)"))
 
 
-@query(f"""with {IDF_SQL}, prof as (select cluster_id, count(*) as papers, round(avg(citation_count), 2) as avg_citations, round(avg(degree_centrality), 4) as avg_degree, round(avg(betweenness_centrality), 5) as avg_betweenness from metrics join papers on id = paper_id group by 1),
+PROFILE_SQL = f"""{IDF_SQL}, prof as (select cluster_id, count(*) as papers, round(avg(citation_count), 2) as avg_citations, round(avg(degree_centrality), 4) as avg_degree, round(avg(betweenness_centrality), 5) as avg_betweenness from metrics join papers on id = paper_id group by 1),
 tn as (select cluster_id, canonical_name as name, {TIER_SQL} = 'GENERIC' as generic, count(distinct paper_id) as n from metrics join techniques using (paper_id) join idf using (canonical_name) group by 1, 2, 3),
 tr as (select *, row_number() over (partition by cluster_id, generic order by n desc, name) as r from tn),
 te as (select cluster_id, coalesce(string_agg(name || ':' || n, '; ' order by r) filter (not generic and r <= 10), '') as techniques, coalesce(string_agg(name || ':' || n, '; ' order by r) filter (generic and r <= 5), '') as generic_techniques from tr group by 1),
 co as (select a.cluster_id, coalesce(round(avg(weight) filter (a.cluster_id = b.cluster_id), 4), 0) as intra, coalesce(round(avg(weight) filter (a.cluster_id <> b.cluster_id), 4), 0) as inter from edges join metrics a on a.paper_id = src join metrics b on b.paper_id = dst group by 1),
 ends as (select src as p, dst as q from edges union all select dst, src from edges),
 br as (select cluster_id, count(*) as bridges from (select a.cluster_id, a.paper_id from ends join metrics a on a.paper_id = p join metrics b on b.paper_id = q group by a.cluster_id, a.paper_id, a.neighbors_count having count_if(a.cluster_id <> b.cluster_id) / greatest(a.neighbors_count, 1) >= 0.3) group by 1),
-cats as (select cluster_id, string_agg(name || ':' || n, '; ' order by r) as categories from (select cluster_id, name, count(*) as n, row_number() over (partition by cluster_id order by count(*) desc, name) as r from metrics join categories using (paper_id) group by 1, 2) where r <= 8 group by 1)
-select prof.*, categories, coalesce(techniques, '') as techniques, coalesce(generic_techniques, '') as generic_techniques, coalesce(intra, 0) as intra, coalesce(inter, 0) as inter, case when inter > 0 then round(intra / inter, 3) else 0 end as cohesion, coalesce(bridges, 0) as bridges
-from prof left join cats using (cluster_id) left join te using (cluster_id) left join co using (cluster_id) left join br using (cluster_id)""")
+cats as (select cluster_id, string_agg(name || ':' || n, '; ' order by r) as categories from (select cluster_id, name, count(*) as n, row_number() over (partition by cluster_id order by count(*) desc, name) as r from metrics join categories using (paper_id) group by 1, 2) where r <= 8 group by 1),
+profile as (select prof.*, categories, coalesce(techniques, '') as techniques, coalesce(generic_techniques, '') as generic_techniques, coalesce(intra, 0) as intra, coalesce(inter, 0) as inter, case when inter > 0 then round(intra / inter, 3) else 0 end as cohesion, coalesce(bridges, 0) as bridges
+from prof left join cats using (cluster_id) left join te using (cluster_id) left join co using (cluster_id) left join br using (cluster_id))"""
+CLUSTER_SQL = f"""{PROFILE_SQL}, sz as (select cluster_id, count(*) as size from metrics group by 1),
+crs as (select p as paper_id, count_if(a.cluster_id <> b.cluster_id) as crossing from ends join metrics a on a.paper_id = p join metrics b on b.paper_id = q group by 1),
+bridge_rows as (select cluster_id, m.paper_id, title, crossing, round(crossing / greatest(neighbors_count, 1), 4) as strength, betweenness_centrality as bc from metrics m join papers on id = m.paper_id join crs on crs.paper_id = m.paper_id),
+report as (
+  select cluster_id, 'overview' as part, unnest(range(1, 9))::int as rank, unnest(['Papers', 'Average citations', 'Average betweenness centrality', 'Average degree centrality', 'Average edge weight within', 'Average edge weight to others', 'Cohesion ratio', 'Bridge papers']) as name,
+    unnest([papers::double, avg_citations, avg_betweenness, avg_degree, intra, inter, cohesion, bridges::double]) as a, null::double as b, null::double as c from profile
+  union all select cluster_id, 'categories', r::int, name, n, round(100 * n / size, 0), null from (select cluster_id, name, count(*) as n, row_number() over (partition by cluster_id order by count(*) desc, name) as r from metrics join categories using (paper_id) group by 1, 2) join sz using (cluster_id) where r <= 8
+  union all select cluster_id, case when generic then 'generic techniques' else 'techniques' end, r::int, name, n, null, null from tr where r <= case when generic then 5 else 8 end
+  union all select cluster_id, 'central papers', r::int, title, betweenness_centrality, citation_count, null from (select *, row_number() over (partition by cluster_id order by betweenness_centrality desc, paper_id) as r from metrics join papers on id = paper_id) where r <= 5
+  union all select cluster_id, 'bridges', r::int, title, crossing, strength, bc from (select *, row_number() over (partition by cluster_id order by strength desc, paper_id) as r from bridge_rows where strength >= 0.3) where r <= 5)"""
+
+
+@query(f"with {PROFILE_SQL} select * from profile")
 def gr_community_profile(c):
     return I.community_profile(c.metrics, c.papers, c.categories, c.techniques, c.edges)
 
 
+@query(f"with {CLUSTER_SQL} select cluster_id, part, rank, name, a, b, c from report")
+def gr_cluster_report(c):
+    """All that a report says of each cluster, line by line."""
+    return I.cluster_report(c.metrics, c.papers, c.categories, c.techniques, c.edges)
+
+
 @query("""with n as (select cluster_id, name, count(*) as n, row_number() over (partition by cluster_id order by count(*) desc, name) as r from metrics join categories using (paper_id) group by 1, 2),
 t as (select cluster_id, max(n) filter (r = 1) as n1, max(name) filter (r = 1) as c1, coalesce(max(n) filter (r = 2), 0) as n2, max(name) filter (r = 2) as c2, max(name) filter (r = 3) as c3 from n group by 1),
 z as (select cluster_id, count(*) as n, avg(citation_count) as a from metrics join papers on id = paper_id group by 1)
