@@ -1,5 +1,6 @@
 """Operators that SQL can't express, and documented numbers, on small fixtures."""
 
+import datetime
 import json
 import random
 
@@ -25,7 +26,7 @@ from inkwell.operators import upsert as U
 from inkwell.operators import vector_index as V
 from inkwell.sources import readers, writers
 from inkwell.sources.ranges import numbered
-from inkwell.streaming import streams
+from inkwell.streaming import states, streams
 
 
 @pytest.mark.parametrize("word,stem", [("caresses", "caress"), ("ponies", "poni"), ("agreed", "agre"), ("motoring", "motor"), ("hopping", "hop"), ("filing", "file"), ("happy", "happi"), ("relational", "relat"), ("conditional", "condit"), ("vietnamization", "vietnam"), ("electrical", "electr"), ("adjustment", "adjust"), ("controlling", "control"), ("rate", "rate"), ("sky", "sky")])
@@ -658,3 +659,42 @@ def test_pdf_report(spark):
     assert {k: v for k, v in got.items() if k[0] == "sections"} == {("sections", "abstract"): 1, ("sections", "method"): 1}
     none = {(r.section, r.name): r.value for r in P.pdf_report(spark.createDataFrame([], schema)).collect()}
     assert none["papers", "attempted"] == 0 and none["cost", "total"] is None
+
+
+def test_stream_of_stale_groups(spark, tmp_path):
+    """Late, repeated and odd rows come to the same verdict; a change of verdict is given out once."""
+    at = lambda m: datetime.datetime(2024, 1, 1, 0, m)
+    schema = "k long, made boolean, at timestamp"
+    lots = [[(1, False, at(5)), (2, True, at(5)), (3, False, at(1)), (None, True, at(1)), (4, True, None)], [(1, True, at(9)), (2, False, at(7)), (2, False, at(7))], [(1, False, at(6)), (2, False, at(3)), (2, True, at(8))], [(1, None, at(12)), (2, True, at(8))]]
+    (tmp_path / "in").mkdir()
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    out = []
+    for lot in lots:
+        spark.createDataFrame(lot, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        with states.state_store(spark):
+            run = states.staleness(stream, "k", "made", "at")
+            run.writeStream.outputMode("update").foreachBatch(lambda b, n: out.append(sorted((r.key, r.stale) for r in b.collect()))).option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start().awaitTermination()
+    assert [x for x in out if x] == [[(2, False)], [(1, False), (2, True)], [(2, False)], [(1, True)]]
+
+
+def test_stream_of_uploads(spark, tmp_path):
+    """Attempts count once, errors set a timer that an attempt puts off, ends stay ends."""
+    at = lambda m: datetime.datetime(2024, 1, 1) + datetime.timedelta(minutes=m)
+    schema = "source_id long, attempt long, outcome string, at timestamp"
+    lots = [
+        [(1, 1, "error", at(0)), (2, 1, "ok", at(0)), (3, 1, "error", at(0)), (None, 1, "ok", at(0))],
+        [(1, 1, "error", at(0)), (3, 2, "error", at(5)), (9, 1, "abstract", at(12))],  # the first again; past source 1's ten minutes
+        [(2, 2, "error", at(13)), (3, 3, "error", at(14)), (3, 4, "error", at(15)), (3, 5, "ok", at(16))],
+        [(9, 2, "ok", at(99))],
+    ]
+    (tmp_path / "in").mkdir()
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    out = []
+    for lot in lots:
+        spark.createDataFrame(lot, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        with states.state_store(spark):
+            states.uploads(stream).writeStream.outputMode("update").foreachBatch(lambda b, n: out.extend((r.source_id, r.status, r.attempts) for r in b.collect())).option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start().awaitTermination()
+    assert sorted(x for x in out if x[0] == 1) == [(1, "due", 1), (1, "error", 1)]
+    assert [x for x in out if x[0] == 2] == [(2, "uploaded", 1)]
+    assert sorted(x for x in out if x[0] == 3) == [(3, "error", 1), (3, "error", 2), (3, "given_up", 4)]
+    assert [x for x in out if x[0] == 9] == [(9, "abstract_only", 1), (9, "uploaded", 2)]
