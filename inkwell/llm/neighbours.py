@@ -312,7 +312,8 @@ def nearest_neighbours(vectors: DataFrame, k: int = NEAREST, every: int = EVERY)
     rows = rows.where(F.size("v") == length["d"]).select("id", F.transform("v", lambda x: x + F.lit(0.0)).alias("v"))
     index = PermutationIndex(rows, k)
     asking = rows.where((F.col("id") != int(NO_ID)) & (F.col("id") % every == 0))
-    queries = index.scratch.keep(asking.groupBy("v").agg(F.min("id").alias("id")))
+    # Numbered, as rows of one vec_id can have different vectors.
+    queries = index.scratch.keep(asking.select("v").distinct().withColumn("id", F.monotonically_increasing_id()))
     hits = index.scratch.keep(index.search(queries))
     wanted = min(k, index.rows - 1)
     few = hits.groupBy("query").agg(F.count("*").alias("n")).where(F.col("n") > wanted).select("query")

@@ -158,13 +158,20 @@ def test_kd_tree_ties(seed):
 # --- neighbours
 
 
+def product(a, b):
+    """In the order of the components."""
+    out = 0.0
+    for x, y in zip(a, b):
+        out += float(x) * float(y)
+    return out
+
+
 def nearest_expected(rows, k=20, every=20):
     kept = [(i, np.float32(v).astype(float)) for i, v, _ in rows if v and all(x is not None and math.isfinite(x) for x in v) and any(v)]
     out = {}
     for a, (i, v) in enumerate(kept):
         if i is not None and i % every == 0:
-            # In the order of the components, as stated.
-            scores = [(-sum(float(x) * float(y) for x, y in zip(u, v)), neighbours.NO_ID if j is None else j) for b, (j, u) in enumerate(kept) if b != a]
+            scores = [(-product(u, v), neighbours.NO_ID if j is None else j) for b, (j, u) in enumerate(kept) if b != a]
             out.setdefault(i, []).append([(None if j == neighbours.NO_ID else j, -s) for s, j in sorted(scores)[:k]])
     return out
 
@@ -195,7 +202,7 @@ def test_neighbours_recall_and_scores(spark):
     for q, hits in got.items():
         assert [r for r, _, _ in hits] == list(range(1, 21)) and q not in [j for _, j, _ in hits]
         assert [(-s, j) for _, j, s in hits] == sorted((-s, j) for _, j, s in hits)
-        assert all(s == sum(float(x) * float(y) for x, y in zip(vectors[j], vectors[q])) for _, j, s in hits)
+        assert all(s == product(vectors[j], vectors[q]) for _, j, s in hits)
 
 
 def test_neighbours_of_copies(spark):
