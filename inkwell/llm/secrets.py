@@ -20,7 +20,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, map_arrow, spans, strings, tune
+from .common import LOWER, Scratch, map_arrow, spans, strings, tune
 
 #: A value that so many owners hold is an example, whatever it looks like.
 EXAMPLE_OWNERS = 3
@@ -64,12 +64,13 @@ def _random(value: str) -> bool:
 
 def _suspects(texts: pa.Array) -> np.ndarray:
     """Which texts can hold a secret at all, by scans at memory speed."""
-    some = pc.match_substring_regex(texts, _MARKS)
-    low = pc.ascii_lower(texts)
+    data, offsets = strings(texts)
+    # Not pc.ascii_lower, which garbles the cast of a slice: its first offset isn't 0.
+    whole, low = (pa.LargeStringArray.from_buffers(len(texts), pa.py_buffer(offsets), pa.py_buffer(x)) for x in (data, LOWER[data]))
+    some = pc.match_substring_regex(whole, _MARKS)
     for word in _WORDS:
         some = pc.or_(some, pc.match_substring(low, word))
     out = some.to_numpy(zero_copy_only=False).copy()
-    data, offsets = strings(texts)
     starts, ends, row = spans(_HEX_BYTE[data], offsets)
     out[row[ends - starts >= 24]] = True
     return out
