@@ -56,3 +56,13 @@ def test_graph_of_papers(spark, name):
 
     papers = {r[0] for r in spark.read.parquet(f"{DIR}/orders.parquet").select("o_orderkey").collect()}
     assert {r.id for r in registry.QUERIES[name](spark, DIR).select("id").collect()} == papers
+
+
+def test_sections_are_whole(spark, tmp_path):
+    """Texts of more than 100,000 characters come back as they are."""
+    from inkwell.plans import registry
+
+    rows = [(1, "x" * 100_001, "en", "a"), (2, "é " * 90_000 + "end", "de", "b"), (3, None, "en", "c"), (4, "", None, "d")]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = sorted(map(tuple, registry.QUERIES["ups_sections_simple"](spark, str(tmp_path)).select("id", "introduction", "methodology").collect()))
+    assert got == [(d, t, s if lang == "en" else None) for d, t, lang, s in rows]
