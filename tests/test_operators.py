@@ -16,6 +16,7 @@ from inkwell.operators import graph_versions as GV
 from inkwell.operators import impact as IM
 from inkwell.operators import intel as I
 from inkwell.operators import normalize as N
+from inkwell.operators import orchestrate as O
 from inkwell.operators import qgrams as Q
 from inkwell.operators import reports as P
 from inkwell.operators import retrieval as R
@@ -156,6 +157,24 @@ def test_salted_pairs_lose_none(spark, monkeypatch):
     assert sorted(map(tuple, G.paper_edges(e, 60, False).collect())) == whole and len(whole) == 3 * 190
 
 
+def test_pairs_of_dense_entities(spark, monkeypatch):
+    """Sums over what pairs share, whether an entity is of few papers or of many, or a pair shares several of each."""
+    rng = random.Random(3)
+    rows = sorted({(p, rng.choice(["technique", "dataset", "category"]), f"e{rng.randrange(n)}") for n in (3, 9, 40) for p in range(60) for _ in range(3)})
+    schema = "paper_id long, kind string, name string, canonical_name string"
+    e = G.load_entities(spark.createDataFrame([(p, k, n, n if p % 2 else None) for p, k, n in rows], schema))
+    whole = sorted(map(tuple, G.paper_edges(e, 60).select("src", "dst", *GV.SCORES, "shared").collect()))
+    few = {(r.a, r.b): r.shared for r in O.pair_overlap(e, "paper_id", "entity").collect()}
+    monkeypatch.setattr(G, "SALT_ROWS", 7)
+    for dense in (0, 4, 12, 1000):
+        monkeypatch.setattr(G, "DENSE", dense)
+        df = G.paper_edges(e, 60, False)
+        assert sorted(map(tuple, df.select("src", "dst", *GV.SCORES, "shared").collect())) == whole
+        assert {(r.a, r.b): r.shared for r in O.pair_overlap(e, "paper_id", "entity").collect()} == few
+        top = G.shared_names(df.orderBy(F.desc("weight"), "src", "dst").limit(10), e)
+        assert sorted(map(str, top.collect())) == sorted(map(str, G.paper_edges(e, 60).orderBy(F.desc("weight"), "src", "dst").limit(10).select(*top.columns).collect()))
+
+
 def test_idf_tiers(spark):
     tier = lambda n, df: spark.range(1).select(A.idf_tier(F.log(F.lit(n) / F.lit(df)))).first()[0]
     assert [tier(100, 10), tier(100, 3), tier(100, 1)] == ["GENERIC", "SHARED", "SPECIALIZED"]
