@@ -175,6 +175,20 @@ def test_pairs_of_dense_entities(spark, monkeypatch):
         assert sorted(map(str, top.collect())) == sorted(map(str, G.paper_edges(e, 60).orderBy(F.desc("weight"), "src", "dst").limit(10).select(*top.columns).collect()))
 
 
+def test_edges_that_lead_out(spark):
+    """Counted from either end; only edges between clusters are exploded."""
+    rng = random.Random(8)
+    own = {p: rng.choice([1, 2, 3, None]) for p in range(30)}
+    pairs = [(a, b, 1.0) for a in range(30) for b in range(a + 1, 32) if rng.random() < 0.2]
+    m = spark.createDataFrame(list(own.items()), "paper_id long, cluster_id int")
+    want = {}
+    for a, b, _ in pairs:
+        if own.get(a) and own.get(b) and own[a] != own[b]:
+            want[a], want[b] = want.get(a, 0) + 1, want.get(b, 0) + 1
+    got = G.crossing(spark.createDataFrame(pairs, "src long, dst long, weight double"), m)
+    assert {r.paper_id: r.cross for r in got.collect()} == want and want
+
+
 def test_idf_tiers(spark):
     tier = lambda n, df: spark.range(1).select(A.idf_tier(F.log(F.lit(n) / F.lit(df)))).first()[0]
     assert [tier(100, 10), tier(100, 3), tier(100, 1)] == ["GENERIC", "SHARED", "SPECIALIZED"]
