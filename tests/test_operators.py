@@ -3,6 +3,7 @@
 import datetime
 import json
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -657,6 +658,19 @@ def test_graph_from_what_changed(spark, seed):
     assert same == sorted(map(tuple, edges_before.select(*cols).collect()))
 
 
+def test_versions_shuffle_no_edges(spark, tmp_path, monkeypatch):
+    """Neither edges that are carried over nor those of dense entities that are made anew are shuffled by their ends."""
+    monkeypatch.setattr(G, "DENSE", 20)
+    rows = lambda n: spark.createDataFrame([(p, "dataset", "all", None) for p in range(n)] + [(p, "technique", f"t{p // 5}", f"t{p // 5}") for p in range(n)], "paper_id long, kind string, name string, canonical_name string")
+    a, b = G.load_entities(rows(60)), G.load_entities(rows(66))
+    G.paper_edges(a, 60, lists=False).write.parquet(str(tmp_path / "before"))
+    old, new = GV.weighted_rows(a, 60), GV.weighted_rows(b, 66)
+    after = GV.advance(spark.read.parquet(str(tmp_path / "before")), old, new)
+    assert after.count() == 66 * 65 // 2
+    ends = re.findall(r"hashpartitioning\(src#\d+L?, dst#\d+L?", after._jdf.queryExecution().executedPlan().toString())
+    assert not ends
+
+
 def test_constraints(spark):
     t = spark.createDataFrame([(1, "a", 5, 1), (2, "b", None, 1), (3, None, 7, 9), (4, "z", 7, None), (5, "z", 7, 2)], "id long, kind string, n long, up long")
     p = spark.createDataFrame([(1,), (2,), (None,)], "pid long")
