@@ -671,6 +671,23 @@ def test_versions_shuffle_no_edges(spark, tmp_path, monkeypatch):
     assert not ends
 
 
+def test_version_figures_from_rows(spark):
+    """Central and isolated papers, and counts of weights, are those of the edges."""
+    rng = random.Random(4)
+    rows = sorted({(p, rng.choice(["technique", "dataset"]), f"e{rng.randrange(25)}", None) for p in range(20) for _ in range(2)})
+    e = G.load_entities(spark.createDataFrame(rows, "paper_id long, kind string, name string, canonical_name string"))
+    edges = G.paper_edges(e, 24).select("src", "dst", "weight").collect()
+    total = {}
+    for a, b, w in edges:
+        total[a], total[b] = total.get(a, 0) + w, total.get(b, 0) + w
+    of = GV.weighted_rows(e, 24)
+    assert [(r.id, r["rank"]) for r in GV.central(of, 5).orderBy("rank").collect()] == [(p, i + 1) for i, p in enumerate(sorted(total, key=lambda p: (-total[p], p))[:5])]
+    got = {(r.section, r.name): r.value for r in GV.figures(G.paper_edges(e, 24, lists=False), of, spark.range(24)).collect()}
+    assert got["graph", "edges"] == len(edges) and got["graph", "isolated papers"] == 24 - len(total) and got["graph", "greatest weight"] == max(w for _, _, w in edges)
+    none = {(r.section, r.name): r.value for r in GV.figures(G.paper_edges(e.limit(0), 24, lists=False), of.limit(0), spark.range(24)).collect()}
+    assert none == {("graph", "edges"): 0, ("graph", "average weight"): None, ("graph", "greatest weight"): None, ("graph", "strong edges"): 0, ("graph", "weak edges"): 0, ("graph", "isolated papers"): 24}
+
+
 def test_constraints(spark):
     t = spark.createDataFrame([(1, "a", 5, 1), (2, "b", None, 1), (3, None, 7, 9), (4, "z", 7, None), (5, "z", 7, 2)], "id long, kind string, n long, up long")
     p = spark.createDataFrame([(1,), (2,), (None,)], "pid long")
