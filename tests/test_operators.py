@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from inkwell.functions.stem import porter
 from inkwell.operators import aggregates as A
 from inkwell.operators import constraints as C
+from inkwell.operators import featuremap as FM
 from inkwell.operators import fts as T
 from inkwell.operators import graph as G
 from inkwell.operators import graph_versions as GV
@@ -688,6 +689,20 @@ def test_version_figures_from_rows(spark):
     assert none == {("graph", "edges"): 0, ("graph", "average weight"): None, ("graph", "greatest weight"): None, ("graph", "strong edges"): 0, ("graph", "weak edges"): 0, ("graph", "isolated papers"): 24}
 
 
+def test_what_pairs_shuffle(spark):
+    """Papers are counted without a row for each feature, item and paper; entities meet as numbers."""
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    m = spark.createDataFrame([("f", 1), ("f", 1), ("f", 2), ("g", 2), ("g", None)], "feature_id string, paper_id long")
+    i = spark.createDataFrame([(1, "x"), (1, "x"), (2, "x"), (2, "y"), (2, None)], "paper_id long, name string")
+    df = FM.missing_items(m, i, spark.createDataFrame([("f", "has y"), ("g", "")], "feature_id string, blob string"))
+    assert sorted(map(tuple, df.select("feature_id", "name", "papers").collect())) == [("f", "x", 2), ("g", "x", 1), ("g", "y", 1)]
+    assert not re.search(r"keys=\[feature_id#\d+, name#\d+, paper_id#", plan(df))
+    e = spark.createDataFrame([(1, "k", "b"), (1, "k", "a"), (1, "k", "a"), (2, "k", "a"), (2, "k", "b"), (2, "l", "a"), (2, "k", None)], "paper_id long, kind string, entity string")
+    df = G.cooccurrence(e, ("k", "l"))
+    assert [tuple(r) for r in df.collect()] == [("k", "a", "b", 2)]
+    assert not re.search(r"hashpartitioning\(kind#\d+, a#\d+, b#", plan(df))
+
+
 def test_constraints(spark):
     t = spark.createDataFrame([(1, "a", 5, 1), (2, "b", None, 1), (3, None, 7, 9), (4, "z", 7, None), (5, "z", 7, 2)], "id long, kind string, n long, up long")
     p = spark.createDataFrame([(1,), (2,), (None,)], "pid long")
