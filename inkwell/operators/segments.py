@@ -134,8 +134,6 @@ class SegmentedIndex:
         key = about["key"]
         name = f"merged-{uuid.uuid4().hex}"
         rows = self._rows(run, about).drop("_seq")
-        parts = max(1, int(self.spark.conf.get("spark.sql.shuffle.partitions")) // fts.BUCKETS)
-        rows = rows.withColumn("_part", F.pmod(F.xxhash64(key), F.lit(parts))).repartition("bucket", "_part").drop("_part")
         fts.store_postings(rows, f"{self.path}/segments/{name}", key)
         # What they put out is still dead in older segments, if there are any.
         older = any(s.seq < run[0].seq for s in self.segments())

@@ -4,6 +4,7 @@ import datetime
 import json
 import random
 import re
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -422,6 +423,22 @@ def test_stored_index_is_stemmed(spark, tmp_path):
     assert {r.id: r.score for r in T.bm25(index, asked.where("query_id = 1")).collect()} == pytest.approx({1: part(10, 4), 2: part(10, 3), 3: part(5, 3)})
 
 
+@pytest.mark.parametrize("most", [1, 7, 1 << 19])
+def test_words_are_counted_where_they_stand(spark, monkeypatch, most):
+    """In slices of some words, without a shuffle of occurrences, each distinct word of a slice stemmed once."""
+    monkeypatch.setattr(T, "SLICE_WORDS", most, raising=False)
+    rng = random.Random(most)
+    words = ["network", "networks", "Networking", "graph", "graphs", "\u00e9t\u00e9s", "x1", "ing"]
+    rows = [(i, rng.choice([None, "", "graphs", "a graph"]), rng.choice([None, "", " ".join(rng.choices(words, k=rng.choice([1, 5, 40])))])) for i in range(60)]
+    post = T.stored_postings(spark.createDataFrame(rows, "id int, title string, abstract string"), ["title", "abstract"])
+    assert "Exchange" not in post._jdf.queryExecution().executedPlan().toString()
+    split = lambda t: (t or "").lower().split()
+    want = Counter((i, 1 + len(split(a)) + len(split(b)), f, porter(w)) for i, a, b in rows for f, t in (("title", a), ("abstract", b)) for w in split(t))
+    got = post.collect()
+    assert sorted((r.id, r.dl, r.field, r.term, r.tf) for r in got if r.bucket >= 0) == sorted((*k, n) for k, n in want.items())
+    assert sorted((r.id, r.dl) for r in got if r.bucket < 0) == sorted((i, 1 + len(split(a)) + len(split(b))) for i, a, b in rows)
+
+
 def test_search_cut_is_by_equal_weights(spark):
     docs = spark.createDataFrame([(1, "alpha", "x x x x"), (2, "x", "alpha alpha alpha alpha"), (3, "y", "z"), (4, "u", "v"), (5, "w", "w")], "id int, title string, abstract string")
     post, asked = T.postings(docs, ["title", "abstract"]), spark.createDataFrame([(1, "alpha")], "query_id int, term string")
