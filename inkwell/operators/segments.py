@@ -109,7 +109,7 @@ class SegmentedIndex:
         """What searches take: the postings of all segments less what later ones have put out."""
         about = self.manifest()
         rows = self._rows([Segment(**s) for s in about["segments"]], about).drop("_seq")
-        return fts.Index(rows.where("bucket >= 0"), fts.totals_of(rows), about["stemmed"])
+        return fts.Index(rows.where("bucket >= 0"), fts.totals_of(rows), about["stemmed"], rows.where("bucket < 0").select(about["key"], "dl"))
 
     def due(self) -> list[Segment]:
         """The newest segments that a merge should make one of: as far back as each is not twice as large as all after it together.

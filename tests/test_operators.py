@@ -638,6 +638,37 @@ def test_best_from_blocks(spark, tmp_path, monkeypatch, limit):
     assert nothing.count() == read.count() == 0
 
 
+def test_blocks_by_length(spark, tmp_path, monkeypatch):
+    """A block holds about as many documents as it should, all of about one length; those without words have a place too."""
+    monkeypatch.setattr(IM, "BLOCK_DOCS", 16)
+    monkeypatch.setattr(IM, "TASK_WORDS", 4)
+    rng = random.Random(2)
+    docs = spark.createDataFrame([(i, " ".join(["a", "b"] * rng.choice([0, 1, 1, 1, 2, 3, 50]))) for i in range(600)], "id long, title string")
+    index = T.write_index(docs, ["title"], str(tmp_path / "ix"))
+    assert index.lengths.count() == 600
+    blocks = IM.write_impact(index, str(tmp_path / "blocks"))
+    held = blocks.post.where("term = 'a'").join(index.lengths, "id").groupBy("block").agg(F.count("*").alias("n"), F.min("dl").alias("low"), F.max("dl").alias("high")).orderBy("block").collect()
+    assert all(r.n <= 48 for r in held) and sum(r.n for r in held) == docs.where("title <> ''").count()
+    assert all(a.high <= b.low for a, b in zip(held, held[1:]))
+
+
+def test_block_searches_shuffle_no_index(spark, tmp_path, monkeypatch):
+    """The postings of words that nobody asked for stay where they are."""
+    rows = [(i, " ".join(f"w{i}x{k}" for k in range(300)) + (" often" if i % 9 == 0 else "")) for i in range(200)]
+    index = T.write_index(spark.createDataFrame(rows, "id long, title string"), ["title"], str(tmp_path / "ix"))
+    blocks = IM.write_impact(index, str(tmp_path / "blocks"))
+    plans = []
+    keep = IM._keep
+    monkeypatch.setattr(IM, "_keep", lambda df: (plans.append(df._jdf.queryExecution().optimizedPlan().toString()), keep(df))[1])
+    monkeypatch.setattr(IM, "SENT", 1 << 20, raising=False)
+    hits, _ = IM.best(blocks, spark.createDataFrame([(1, "often")], "query_id long, term string"))
+    assert hits.count() == 23
+    joins = [line for p in plans for line in p.splitlines() if "LeftSemi" in line]
+    assert joins and all("broadcast" in line for line in joins)
+    monkeypatch.setattr(IM, "SENT", 0)
+    assert sorted(hits.collect()) == sorted(IM.best(blocks, spark.createDataFrame([(1, "often")], "query_id long, term string"))[0].collect())
+
+
 def test_qgrams_find_what_contains_finds(spark, tmp_path):
     rng = random.Random(4)
     texts = sorted({"".join(rng.choices("aab ", k=rng.randrange(0, 14))) for _ in range(300)} | {"é👍x", "a" * 40, "ab", "b"})
