@@ -24,6 +24,8 @@ MOST_CELLS, SAMPLE_PER_CELL, SAMPLE, ROUNDS = 4096, 64, 1 << 16, 8
 SLICE = 1 << 14
 #: Trial searches (held against all rows when the index is built), their depth, and the share of their neighbours that the cells visited must hold.
 TRIALS, DEPTH, SHARE = 64, 50, 0.96
+#: Scores that a task holds at once, and rows that it sends to cells at once, about.
+PAIRS, ROUTED = 1 << 20, 1 << 14
 #: What rounding to six places and single precision can add to a score.
 SLACK = 2e-6
 
@@ -108,8 +110,9 @@ def _routing(cells: np.ndarray, centroids: np.ndarray, radius: np.ndarray, slice
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _batches(batches):
-            for a in range(0, batch.num_rows, 256):
-                some = batch.slice(a, 256)
+            step = max(1, min(256, ROUTED // max(1, int(slices.sum()))))
+            for a in range(0, batch.num_rows, step):
+                some = batch.slice(a, step)
                 x = _matrix(some.column("vector"))
                 base = x @ centroids.T
                 go = np.ones(base.shape, bool) if least is None else base + np.linalg.norm(x, axis=1)[:, None] * radius >= least - SLACK
@@ -124,6 +127,21 @@ def _routing(cells: np.ndarray, centroids: np.ndarray, radius: np.ndarray, slice
     return run
 
 
+def _likely(rows: pa.RecordBatch, keys: pa.Array, codes: np.ndarray, scale: np.ndarray, k: int, least: float | None) -> tuple[np.ndarray, pa.Array] | None:
+    """Places of queries, and keys of the rows that may be among the best ``k`` of each."""
+    x, base = _matrix(rows.column("vector")), rows.column("base").to_numpy()
+    near = base[:, None] + (x.astype(np.float32) @ codes.T) * scale
+    width = np.abs(codes).max() if codes.size else 0
+    # Half a step of each component, and what single precision loses.
+    room = scale * np.abs(x).sum(1)[:, None] * (0.5 + 1e-5 * width) + SLACK + 1e-6 * np.abs(base)[:, None]
+    low, high = near - room, near + room
+    floor = np.full(len(x), -np.inf if least is None else least - SLACK)
+    if low.shape[1] > k:
+        floor = np.maximum(floor, -np.partition(-low, k - 1, axis=1)[:, k - 1])
+    q, r = np.nonzero(high >= floor[:, None])
+    return (q, keys.take(pa.array(r))) if len(q) else None
+
+
 def _scanning(k: int, least: float | None):
     """A slice's codes come first and stay, then its queries pass by. Kept are the rows that may be among a query's best ``k``, whatever the codes leave out."""
 
@@ -145,20 +163,13 @@ def _scanning(k: int, least: float | None):
                     own = pa.Table.from_batches(held)
                     codes = np.frombuffer(b"".join(own["code"].to_pylist()), np.int8).reshape(own.num_rows, -1).astype(np.float32)
                     ready = own["key"].combine_chunks(), codes, own["scale"].to_numpy()
-                keys, codes, scale = ready
-                x, base = _matrix(rows.column("vector")), rows.column("base").to_numpy()
-                near = base[:, None] + (x.astype(np.float32) @ codes.T) * scale
-                width = np.abs(codes).max() if codes.size else 0
-                # Half a step of each component, and what single precision loses.
-                room = scale * np.abs(x).sum(1)[:, None] * (0.5 + 1e-5 * width) + SLACK + 1e-6 * np.abs(base)[:, None]
-                low, high = near - room, near + room
-                floor = np.full(len(x), -np.inf if least is None else least - SLACK)
-                if low.shape[1] > k:
-                    floor = np.maximum(floor, -np.partition(-low, k - 1, axis=1)[:, k - 1])
-                q, r = np.nonzero(high >= floor[:, None])
-                if len(q):
-                    one = lambda v: pa.array(np.full(len(q), v), pa.int32())
-                    yield pa.RecordBatch.from_arrays([rows.column("query_id").take(pa.array(q)), keys.take(pa.array(r)), one(at[0]), one(at[1])], ["query_id", "key", "cell", "slice"])
+                step = max(1, PAIRS // len(ready[0]))
+                for first in range(0, rows.num_rows, step):
+                    found = _likely(rows.slice(first, step), *ready, k, least)
+                    if found is not None:
+                        q, keys = found
+                        one = lambda v: pa.array(np.full(len(q), v), pa.int32())
+                        yield pa.RecordBatch.from_arrays([rows.column("query_id").take(pa.array(q + first)), keys, one(at[0]), one(at[1])], ["query_id", "key", "cell", "slice"])
 
     return run
 

@@ -4,8 +4,11 @@ import datetime
 import json
 import random
 import re
+import tracemalloc
 from collections import Counter
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -530,6 +533,40 @@ def test_vector_index(spark, tmp_path, monkeypatch, slice_rows):
     assert found(again, least=0.3, exact=True) == brute_topk(rows, queries, 30, 0.3)
 
 
+@pytest.mark.parametrize("pairs", [1, 5000, 1 << 20])
+def test_a_batch_of_searches_in_little_memory(monkeypatch, pairs):
+    """A task's scores are of some searches at a time, whatever the batch, and the rows found are the same."""
+    monkeypatch.setattr(V, "PAIRS", pairs, raising=False)
+    rng = np.random.default_rng(3)
+    n, asks = (2000, 3000) if pairs > 5000 else (100, 60)
+    codes, vectors = rng.integers(-127, 128, (n, 8)).astype(np.int8), rng.normal(size=(asks, 8))
+    same = lambda m, v: pa.array(np.full(m, v), pa.int32())
+    names = ["cell", "slice", "ask", "key", "scale", "code", "query_id", "vector", "base"]
+    none = lambda m, t: pa.nulls(m, t)
+    own = pa.RecordBatch.from_arrays([same(n, 3), same(n, 0), pa.array([False] * n), pa.array(np.arange(n)), pa.array(np.full(n, 0.01)), pa.array([c.tobytes() for c in codes], pa.binary()), none(n, pa.int64()), none(n, pa.list_(pa.float64())), none(n, pa.float64())], names)
+    ask = pa.RecordBatch.from_arrays([same(asks, 3), same(asks, 0), pa.array([True] * asks), none(asks, pa.int64()), none(asks, pa.float64()), none(asks, pa.binary()), pa.array(np.arange(asks)), pa.array(list(vectors), pa.list_(pa.float64())), pa.array(np.zeros(asks))], names)
+    tracemalloc.start()
+    found = {}
+    for b in V._scanning(5, None)(iter([own, ask])):
+        for q, key in zip(b["query_id"].to_pylist(), b["key"].to_pylist()):
+            found.setdefault(q, set()).add(key)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    best = np.argsort(-(vectors @ (codes * 0.01).T), axis=1)[:, :5]
+    assert set(found) == set(range(asks)) and all(set(best[q].tolist()) <= found[q] for q in range(asks))
+    assert peak < 160e6, peak
+
+
+def test_searches_are_sent_in_small_batches(monkeypatch):
+    monkeypatch.setattr(V, "ROUTED", 64, raising=False)
+    rng = np.random.default_rng(4)
+    cells, vectors = np.arange(16), rng.normal(size=(50, 4))
+    batch = pa.RecordBatch.from_arrays([pa.array(np.arange(50)), pa.array(list(vectors), pa.list_(pa.float64()))], ["query_id", "vector"])
+    sent = list(V._routing(cells, rng.normal(size=(16, 4)), np.ones(16), np.full(16, 2), None, None)(iter([batch])))
+    assert max(b.num_rows for b in sent) <= 64
+    assert sorted((q, c, s) for b in sent for q, c, s in zip(b["query_id"].to_pylist(), b["cell"].to_pylist(), b["slice"].to_pylist())) == [(q, c, s) for q in range(50) for c in range(16) for s in range(2)]
+
+
 def test_vector_index_reads_the_cells_it_needs(spark, tmp_path):
     import numpy as np
 
