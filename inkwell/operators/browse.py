@@ -70,6 +70,23 @@ def sort_papers(rows: DataFrame, sort: str = "citations_desc") -> DataFrame:
     return rows.orderBy(*SORTS.get(sort, SORTS["citations_desc"])(), "id")
 
 
+def first_papers(papers: DataFrame, editions: DataFrame, conferences: DataFrame, metrics: DataFrame, sort: str, k: int) -> DataFrame:
+    """The first ``k`` rows of :func:`sort_papers` over :func:`base_papers`, of which only papers that can be among them are joined.
+
+    The joins lose no paper, so the first rows are of papers whose own sort key is among the
+    first ``k``; only a key that metrics hold has to be looked up for all.
+    """
+    keyed = papers
+    if sort == "centrality_desc":
+        # Merged, as a table that is small on disk can be a large one in every task's memory.
+        keyed = papers.select("id").join(metrics.select(F.col("paper_id").alias("_m"), "degree_centrality").hint("merge"), F.col("id") == F.col("_m"), "left")
+    ids = F.broadcast(sort_papers(keyed, sort).limit(k).select(F.col("id").alias("_id")).distinct())
+    few = papers.join(ids, F.col("id") == F.col("_id"), "left_semi")
+    e = editions.join(F.broadcast(few.select(F.col("edition_id").alias("_e"))), F.col("id") == F.col("_e"), "left_semi")
+    m = metrics.join(ids, F.col("paper_id") == F.col("_id"), "left_semi")
+    return sort_papers(base_papers(few, F.broadcast(e), conferences, F.broadcast(m)), sort).limit(k)
+
+
 def page(rows: DataFrame, number: int, size: int) -> DataFrame:
     """Page ``number`` (from 1) of sorted rows."""
     return rows.offset((number - 1) * size).limit(size)

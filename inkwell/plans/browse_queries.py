@@ -162,7 +162,7 @@ def srt_page(c):
 def srt_sort_map(c):
     out = None
     for name in B.SORTS:
-        part = B.sort_papers(_base(c), name).limit(10).select(F.lit(name).alias("sort"), "id")
+        part = B.first_papers(c.papers, c.editions, c.conferences, c.metrics, name, 10).select(F.lit(name).alias("sort"), "id")
         out = part if out is None else out.unionByName(part)
     return out
 
