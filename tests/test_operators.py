@@ -6,6 +6,7 @@ import random
 import re
 import tracemalloc
 from collections import Counter
+from decimal import ROUND_HALF_UP, Decimal
 
 import numpy as np
 import pyarrow as pa
@@ -24,6 +25,7 @@ from inkwell.operators import impact as IM
 from inkwell.operators import intel as I
 from inkwell.operators import normalize as N
 from inkwell.operators import orchestrate as O
+from inkwell.operators import propagation as LP
 from inkwell.operators import qgrams as Q
 from inkwell.operators import reports as P
 from inkwell.operators import retrieval as R
@@ -74,6 +76,56 @@ def test_communities_of_two_cliques(spark):
     assert spread[8] == 8 and len(spread) == 10
 
 
+def spread_labels(nodes, rows, rounds=5):
+    """Label propagation by the definition; nodes may come twice, and a null weight is less than any."""
+    label, times = {v: v for v in nodes}, Counter(nodes)
+    half_up = lambda x: float(Decimal(repr(x)).quantize(Decimal("1e-6"), ROUND_HALF_UP))
+    for _ in range(rounds):
+        votes: dict = {}
+        for a, b, w in [*rows, *((b, a, w) for a, b, w in rows)]:
+            if a in label and b in label:
+                got = votes.setdefault(a, {}).setdefault(label[b], [])
+                got += [] if w is None else [w] * times[b]
+        label |= {v: max(got, key=lambda x: (len(got[x]) > 0, half_up(float(sum(got[x]))), -x)) for v, got in votes.items()}  # noqa: B023
+    return sorted((v, label[v]) for v in nodes)
+
+
+def test_label_propagation_of_whole_and_open_groups(spark, monkeypatch):
+    rnd = random.Random(5)
+    weight = lambda: rnd.choice([1.0, 2.0, 1.0000005, 0.0000004, round(1 + rnd.random(), 8), -1.0, None])
+    rows, base = [], 0
+    for n in (2, 3, 7, 9, 4, 6, 8, 5):
+        rows += [(base + b, base + a, weight()) if rnd.random() < 0.5 else (base + a, base + b, weight()) for a in range(n) for b in range(a + 1, n)]
+        base += n
+    rows += [(k, k + 1, weight()) for k in range(base, base + 12)] + [(base + 20, base + 20 + k, weight()) for k in range(1, 9)] + [(base + 20 + k, base + 40 + k, weight()) for k in range(1, 9)]
+    rows += [(0, 0, 1.0), (2, 3, 4.0), (base + 60, base + 61, None), (base + 62, base + 63, 2.0), (base + 63, base + 62, 1.0)]
+    ids = [v for v in range(base + 65) if v not in (6, base + 3)] + [1, 8, 8, base + 24]  # some are no nodes, some come twice
+    given, held = spark.createDataFrame(rows, "src long, dst long, weight double"), spark.createDataFrame([(v,) for v in ids], "id long")
+    want = spread_labels(ids, rows)
+    for part, group in ((100_000, 1_000_000), (10, 1_000_000), (10, 12)):
+        monkeypatch.setattr(LP, "PART_EDGES", part)
+        monkeypatch.setattr(LP, "GROUP_EDGES", group)
+        found = LP.whole_groups(held.withColumnRenamed("id", "node"), given, 5).collect()
+        assert {r.label is None for r in found} == {True, False}
+        assert sorted(map(tuple, G.label_propagation(held, given).collect())) == want
+
+
+def shuffled_rows(spark):
+    """Rows that all stages so far have written to shuffles."""
+    sc = spark.sparkContext
+    sc._jsc.sc().listenerBus().waitUntilEmpty()
+    stages = sc._jsc.sc().statusStore().stageList(None, False, False, sc._gateway.new_array(sc._jvm.double, 0), None)
+    return sum(stages.apply(k).shuffleWriteRecords() for k in range(stages.size()))
+
+
+def test_label_propagation_shuffles_no_votes_of_whole_groups(spark):
+    rows = [(60 * k + a, 60 * k + b, 1 + (a * b % 7) / 8) for k in range(20) for a in range(60) for b in range(a + 1, 60)]
+    before = shuffled_rows(spark)
+    got = sorted(map(tuple, G.label_propagation(nodes(spark, 1200), edges(spark, rows)).collect()))
+    assert shuffled_rows(spark) - before < len(rows)
+    assert got == spread_labels(range(1200), rows)
+
+
 def test_graphs_by_component(spark, monkeypatch):
     rows = [(0, 1, 1), (1, 2, 1), (2, 3, 1), (3, 4, 1), (10, 11, 5), (10, 12, 1), (11, 12, 1), *((20, k, 2) for k in range(21, 25))]
     chain = [(k, k + 1, 1) for k in range(99, 29, -1)]
