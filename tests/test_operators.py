@@ -931,3 +931,22 @@ def test_stream_of_uploads(spark, tmp_path):
     assert [x for x in out if x[0] == 2] == [(2, "uploaded", 1)]
     assert sorted(x for x in out if x[0] == 3) == [(3, "error", 1), (3, "error", 2), (3, "given_up", 4)]
     assert [x for x in out if x[0] == 9] == [(9, "abstract_only", 1), (9, "uploaded", 2)]
+
+
+def _lines(spark, at, rows, parts):
+    """Tables in the folder ``at`` of which papers and works have the ``parts`` (key, name, type, size), by ``rows`` (order, customer, part)."""
+    spark.createDataFrame([(o, p, 1, "N", 0.0) for o, _, p in rows], "l_orderkey long, l_partkey long, l_suppkey long, l_returnflag string, l_discount double").write.parquet(f"{at}/lineitem.parquet")
+    spark.createDataFrame([(p, n, "Brand", t, s) for p, n, t, s in parts], "p_partkey long, p_name string, p_brand string, p_type string, p_size int").write.parquet(f"{at}/part.parquet")
+    spark.createDataFrame(sorted({(o, c) for o, c, _ in rows}), "o_orderkey long, o_custkey long").write.parquet(f"{at}/orders.parquet")
+    spark.createDataFrame(sorted({(c, 1, "S", 100.0 * c, f"work {c}") for _, c, _ in rows}), "c_custkey long, c_nationkey long, c_mktsegment string, c_acctbal double, c_name string").write.parquet(f"{at}/customer.parquet")
+    spark.createDataFrame([(1, "N", 1)], "n_nationkey long, n_name string, n_regionkey long").write.parquet(f"{at}/nation.parquet")
+
+
+def test_missing_techniques_are_techniques(spark, tmp_path):
+    """Candidates are the papers' canonical techniques, without those that the feature names and those without a canonical name."""
+    from inkwell.plans import registry, text_queries  # noqa: F401
+
+    parts = [(1, "Adam", "optimiser adam", 1), (2, "BERT", "model", 1), (3, "raw", "model", 50), (4, " ", "model", 1)]
+    _lines(spark, tmp_path, [(1, 1, 1), (1, 1, 2), (2, 1, 2), (2, 1, 3), (2, 1, 1), (2, 1, 4)], parts)
+    got = sorted(map(tuple, registry.QUERIES["txt_missing_techniques"](spark, str(tmp_path)).select("feature_id", "name", "papers", "rank").collect()))
+    assert got == [("model", "adam", 2, 1), ("model", "bert", 2, 2), ("optimiser adam", "bert", 2, 1)]
