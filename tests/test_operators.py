@@ -950,3 +950,16 @@ def test_missing_techniques_are_techniques(spark, tmp_path):
     _lines(spark, tmp_path, [(1, 1, 1), (1, 1, 2), (2, 1, 2), (2, 1, 3), (2, 1, 1), (2, 1, 4)], parts)
     got = sorted(map(tuple, registry.QUERIES["txt_missing_techniques"](spark, str(tmp_path)).select("feature_id", "name", "papers", "rank").collect()))
     assert got == [("model", "adam", 2, 1), ("model", "bert", 2, 2), ("optimiser adam", "bert", 2, 1)]
+
+
+def test_cooccurrence_is_whole(spark, tmp_path, monkeypatch):
+    """Pairs that one work has alone are there, and each pair is made where it is counted, in as many tasks as there are pairs for."""
+    from inkwell.plans import graph_queries, registry  # noqa: F401
+
+    parts = [(p, f"n{p}", "t", 1) for p in range(5)]
+    _lines(spark, tmp_path, [(1, 1, 0), (2, 1, 1), (3, 1, 2), (4, 2, 1), (4, 2, 2), (5, 3, 4)], parts)
+    monkeypatch.setattr(G, "TASK_PAIRS", 1)
+    df = registry.QUERIES["gr_cooccurrence"](spark, str(tmp_path))
+    assert sorted(map(tuple, df.select("kind", "a", "b", "n").collect())) == [("technique", "t 0", "t 1", 1), ("technique", "t 0", "t 2", 1), ("technique", "t 1", "t 2", 2)]
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and not re.search(r"hashpartitioning\(kind#\d+, a#\d+, b#", plan)
