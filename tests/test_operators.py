@@ -963,3 +963,55 @@ def test_cooccurrence_is_whole(spark, tmp_path, monkeypatch):
     assert sorted(map(tuple, df.select("kind", "a", "b", "n").collect())) == [("technique", "t 0", "t 1", 1), ("technique", "t 0", "t 2", 1), ("technique", "t 1", "t 2", 2)]
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "Join" not in plan and not re.search(r"hashpartitioning\(kind#\d+, a#\d+, b#", plan)
+
+
+def test_counts_and_heaviest_pairs(spark, monkeypatch):
+    """Numbers of edges by weight and the heaviest are those of the edges, though no pair of a dense entity is made for them; few pairs are held at once."""
+    from inkwell.operators import pairs
+
+    rng = random.Random(5)
+    rows = sorted({(p, rng.choice(["technique", "dataset", "category"]), f"e{rng.randrange(n)}") for n in (3, 9, 40) for p in range(60) for _ in range(3)})
+    schema = "paper_id long, kind string, name string, canonical_name string"
+    e = G.load_entities(spark.createDataFrame([(p, k, n, n if p % 2 else None) for p, k, n in rows] + [(None, "dataset", "e1", None), (70, "category", "alone", None)], schema))
+    edges = G.paper_edges(e, 62)
+    want = edges.collect()
+    papers = spark.range(72)
+    monkeypatch.setattr(pairs, "HELD", 30)  # workers keep their own
+    for dense in (0, 4, 12, 1000):
+        monkeypatch.setattr(G, "DENSE", dense)
+        weighted = G.weighted(e, 62)
+        shared = G.weights_of(weighted)
+        counts = shared.counts()
+        assert sorted(map(tuple, counts.collect())) == sorted(Counter(r.weight for r in want).items())
+        top = shared.heaviest()
+        assert sorted(map(tuple, top.collect())) == sorted((r.src, r.dst, r.weight) for r in sorted(want, key=lambda r: (-r.weight, r.src, r.dst))[:10])
+        assert sorted(map(str, G.named_edges(top, weighted).select(*want[0].__fields__).collect())) == sorted(map(str, sorted(want, key=lambda r: (-r.weight, r.src, r.dst))[:10]))
+        assert G.counted_stats(papers, shared.rows, counts).first() == G.build_stats(papers, spark.createDataFrame(want, edges.schema)).first()
+        assert sorted(map(str, G.paper_edges(e, 62).collect())) == sorted(map(str, want))
+
+
+def test_edges_list_names(spark, tmp_path):
+    """An edge has the names of what is shared, of each kind and in order."""
+    from inkwell.plans import graph_queries, registry  # noqa: F401
+
+    parts = [(p, f"n{p}", "t", 1) for p in range(12)]
+    _lines(spark, tmp_path, [(1, 1, 10), (1, 1, 2), (1, 1, 3), (2, 2, 2), (2, 2, 10), (3, 13, 3), (3, 13, 4)], parts)
+    got = {(r.src, r.dst): (r.shared, r.techniques, r.datasets, r.categories, r.methodologies) for r in registry.QUERIES["gr_paper_edges"](spark, str(tmp_path)).collect()}
+    assert got == {(1, 2): (4, "t 10; t 2", "N S", "", "bucket 0"), (1, 13): (2, "t 3", "N S", "", ""), (2, 13): (1, "", "N S", "", "")}
+
+
+def test_summing_holds_few_pairs(monkeypatch):
+    """Papers are taken a few at a time and never cut; sums don't depend on where."""
+    from inkwell.operators import pairs
+
+    rng = random.Random(2)
+    rows = [(s, sorted(rng.sample(range(100, 140), rng.randrange(1, 9))), rng.choice([0.75, 3.0])) for s in range(40) for _ in range(rng.randrange(1, 5))]
+    table = pa.table({"src": pa.array([r[0] for r in rows], pa.int64()), "_dst": [r[1] for r in rows], "_one": pa.array([[-1] * len(r[1]) for r in rows], pa.list_(pa.int32())), "_more": pa.nulls(len(rows), pa.list_(pa.list_(pa.int64()))), "_hot": pa.nulls(len(rows), pa.list_(pa.int64())), "w": [r[2] for r in rows]})
+    want = Counter()
+    for s, near, w in rows:
+        for d in near:
+            want[s, d] += w
+    for held in (1, 25, 10_000):
+        monkeypatch.setattr(pairs, "HELD", held)
+        got = [b.to_pydict() for b in pairs.summing(["w"], [], False)(iter(table.to_batches(max_chunksize=7)))]
+        assert {(s, d): w for b in got for s, d, w in zip(b["src"], b["dst"], b["w"])} == want and (held > 25 or max(len(b["src"]) for b in got) < 60)
